@@ -2,8 +2,8 @@
 
 P(grade <= k) = sigmoid(threshold_k - s), where s is a sum of weights shared by all grades over a text's hashed features
 and the thresholds ascend. That gives the expected grade and the tail probability of the best grade. Features are the
-distinct words of the text (1 each), its token shapes by their share of tokens (letters, capitals, digits and each
-punctuation mark, runs collapsed) and the share of tokens that repeat the one before.
+distinct words of the text (1 each), its token shapes by their share of tokens (the marks around a word and whether it is
+written in capitals or digits) and the share of tokens that repeat the one before.
 
 Weights are fitted on a bounded sample of rated rows (TRAIN_ROWS, those with the least hash of doc_id); scoring covers
 every row and whole texts, without a shuffle.
@@ -16,7 +16,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,50 +24,53 @@ from quern.llm.common import batches, texts
 BUCKETS = 1 << 17
 #: Rows that the fit reads at most.
 TRAIN_ROWS = 8_000
-ROUNDS = 250
-PENALTY = 2e-5
+ROUNDS = 200
+PENALTY = 1e-4
+#: Features of fewer sampled rows keep weight 0.
+LEAST_ROWS = 6
 #: What a whole text of one shape adds, against 1 for a word.
 SHAPE_SCALE = 4.0
 #: A row is selected if its best grade is at least this probable.
 SELECT_AT = 0.5
 #: Entries of a worker's token cache.
 CACHE = 400_000
-SHAPES = [(regex.compile(p, regex.V1), to) for p, to in ((r"\p{Lu}+", "A"), (r"[\p{L}\p{M}--[\p{Lu}A]]+", "a"), (r"\p{N}+", "9"), (r"(.)\1+", r"\1"))]
-EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+#: Stripped from the ends of a token to find its word.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»‹›“”„‘’‚–—…·"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("keep", pa.bool_())])
 RESULT = "doc_id long, expected_grade double, tail_prob double, keep boolean"
-_cache: dict[str, tuple[int, int]] = {}
+_cache: dict[str, int] = {}
 
 
-def bucket(kind: str, value: str) -> int:
-    return zlib.crc32(f"{kind}:{value}".encode("utf-8", "replace")) % BUCKETS
+def bucket(kind: bytes, value: str) -> int:
+    return zlib.crc32(value.encode("utf-8", "replace"), zlib.crc32(kind)) % BUCKETS
 
 
-def token_buckets(token: str) -> tuple[int, int]:
-    """The buckets of a token's word (-1: none) and of its shape."""
-    word, shape = EDGES.sub("", token).lower(), token
-    for pattern, to in SHAPES:
-        shape = pattern.sub(to, shape)
-    return bucket("w", word[:64]) if word else -1, bucket("s", shape[:16])
+def token_buckets(token: str) -> int:
+    """The buckets of a token's word (0: none) and of its shape, as one number."""
+    word = token.strip(MARKS)
+    at = token.find(word)
+    case = "9" if word.isdigit() else "A" if len(word) > 1 and word.isupper() else "a" if word else ""
+    shape = f"{token[:at][-2:]}{case}{token[at + len(word) :][:3]}"
+    return (bucket(b"w", word.lower()) if word else 0) * BUCKETS + bucket(b"s", shape)
 
 
 def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of a whole text; one bucket at least."""
     tokens = text.split()
     if not tokens:
-        return np.array([bucket("t", "empty")], np.int32), np.ones(1, np.float32)
+        return np.array([bucket(b"t", "empty")], np.int32), np.ones(1, np.float32)
     counts = Counter(tokens)
     if len(_cache) > CACHE:
         _cache.clear()
-    for t in counts.keys() - _cache.keys():
-        _cache[t] = token_buckets(t)
-    pairs = np.array([_cache[t] for t in counts], np.int32)
-    words = np.unique(pairs[:, 0])
-    shapes, at = np.unique(pairs[:, 1], return_inverse=True)
+    for t in counts:
+        if t not in _cache:
+            _cache[t] = token_buckets(t)
+    words, kinds = np.divmod(np.fromiter(map(_cache.__getitem__, counts), np.int64, len(counts)), BUCKETS)
+    words = np.unique(words)
+    shapes, at = np.unique(kinds, return_inverse=True)
     share = np.bincount(at, weights=np.fromiter(counts.values(), float, len(counts))) / len(tokens)
-    words = words[words >= 0]
     again = sum(map(str.__eq__, tokens, tokens[1:])) / len(tokens)
-    index = np.concatenate([words, shapes, [bucket("t", "again")]]).astype(np.int32)
+    index = np.concatenate([words, shapes, [bucket(b"t", "again")]]).astype(np.int32)
     value = np.concatenate([np.ones(len(words)), SHAPE_SCALE * share, [SHAPE_SCALE * again]]).astype(np.float32)
     return index, value
 
@@ -86,6 +88,8 @@ def fit_cumulative(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grade
     """Weights and thresholds by full-batch Adam on the negative log likelihood. rows, index, value: sparse features."""
     n = len(grades)
     weights, cuts = np.zeros(BUCKETS), np.linspace(-1, 1, levels - 1) if levels > 2 else np.zeros(levels - 1)
+    known = np.bincount(index, minlength=BUCKETS) >= min(LEAST_ROWS, n)
+    rows, value, index = rows[known[index]], value[known[index]], index[known[index]]
     state = [np.zeros(BUCKETS + levels - 1) for _ in range(2)]
     for t in range(1, ROUNDS + 1):
         s = np.bincount(rows, weights=value * weights[index], minlength=n)
