@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import read_table
@@ -10,16 +11,26 @@ from quern.llm.language import identify
 from quern.llm.media import wav_fingerprints
 from quern.llm.mixing import mix
 from quern.llm.quality import classify
+from quern.llm.simhash import near_duplicates
+from quern.llm.token_files import round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wav_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_quality, op8_media, op9_language, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_quality, op5_simhash, op8_media, op9_language, op10_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
