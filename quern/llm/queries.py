@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import read_table
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.language import identify
+from quern.llm.lexicon import encode_decode
 from quern.llm.media import wav_fingerprints
 from quern.llm.mixing import mix
 from quern.llm.quality import classify
@@ -31,6 +32,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wav_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_quality, op5_simhash, op8_media, op9_language, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_quality, op5_simhash, op7_bpe, op8_media, op9_language, op10_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
