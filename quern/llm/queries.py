@@ -13,6 +13,7 @@ from quern.llm.media import wav_fingerprints
 from quern.llm.mixing import mix
 from quern.llm.quality import classify
 from quern.llm.simhash import near_duplicates
+from quern.llm.surrogates import replace_entities
 from quern.llm.token_files import round_trip
 
 
@@ -32,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_quality, op5_simhash, op7_bpe, op8_media, op9_language, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_quality, op5_simhash, op6_surrogates, op7_bpe, op8_media, op9_language, op10_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
