@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batches, texts
+from quern.llm.common import batches, expose_package, texts
 
 BUCKETS = 1 << 17
 #: Rows that the fit reads at most.
@@ -128,22 +128,38 @@ def fit(docs: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, li
     return weights, cuts, levels
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, list[int]], select_at: float = SELECT_AT) -> DataFrame:
-    """doc_id, expected_grade, tail_prob (of the best grade) and keep, for every row of docs."""
+def grader(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, list[int]]):
+    """A function from texts to (expected grade, tail probability of the best grade) in tasks."""
     weights, cuts, levels = model
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), cuts, np.array(levels or [0], float)))
 
-    def one(batch: pa.RecordBatch) -> dict:
+    def grade(found: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         weights, cuts, levels = shared.value
-        found = [text_features(t) for t in batch.column("text").to_pylist()]
-        s = np.array([float(weights[i] @ v) for i, v in found])
+        s = np.array([float(weights[i] @ v) for i, v in (text_features(t or "") for t in found)])
         below = np.concatenate([np.zeros((len(s), 1)), sigmoid(cuts[None, :] - s[:, None]), np.ones((len(s), 1))], axis=1)
-        grade, tail = np.diff(below, axis=1) @ levels, 1 - below[:, -2]
-        return {"doc_id": batch.column("doc_id"), "expected_grade": grade, "tail_prob": tail, "keep": tail >= select_at}
+        return np.diff(below, axis=1) @ levels, 1 - below[:, -2]
+
+    return grade
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, list[int]], select_at: float = SELECT_AT) -> DataFrame:
+    """doc_id, expected_grade, tail_prob (of the best grade) and keep, for every row of docs."""
+    grade = grader(docs, model)
+
+    def one(batch: pa.RecordBatch) -> dict:
+        expected, tail = grade(batch.column("text").to_pylist())
+        return {"doc_id": batch.column("doc_id"), "expected_grade": expected, "tail_prob": tail, "keep": tail >= select_at}
 
     return texts(docs).mapInArrow(batches(one, SCHEMA), RESULT)
 
 
+def select(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, list[int]], select_at: float = SELECT_AT) -> DataFrame:
+    """The rows of docs that score() keeps, with all their columns and without a join."""
+    expose_package(docs.sparkSession)
+    grade = grader(docs, model)
+    return docs.mapInArrow(batches(lambda batch: batch.filter(pa.array(grade(batch.column("text").to_pylist())[1] >= select_at))), docs.schema)
+
+
 def grades_of(labels: DataFrame) -> DataFrame:
     """Ratings from the labels table: 0 poor, 1 well written but toxic, 2 well written and clean."""
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)

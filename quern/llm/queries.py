@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import read_table
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.interpolation import interpolated_scores
 from quern.llm.language import identify
 from quern.llm.lexicon import encode_decode
 from quern.llm.media import wav_fingerprints
@@ -25,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -53,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_quality, op5_simhash, op6_surrogates, op7_bpe, op8_media, op9_language, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_interpolation, op4_quality, op5_simhash, op6_surrogates, op7_bpe, op8_media, op9_language, op10_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
