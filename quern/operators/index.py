@@ -19,19 +19,20 @@ def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def query_postings(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, len, hits): a document's length and its counts of the query's terms, in one narrow pass.
+    """(doc_id, len, tf_0, tf_1, ...): length and counts of the query's distinct terms, for documents with one of them.
 
-    For a query the whole inverted index isn't needed: terms are counted where a text is read, and only documents with a
-    term go on.
+    For a query the whole inverted index isn't needed: texts are cut into tokens where they are read, tokens of the query
+    alone are exploded, and an aggregate adds them up.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), bm25_tokens(text_col).alias("tokens"))
-    tf = F.array(*(F.struct(F.lit(t).alias("term"), F.size(F.filter("tokens", lambda x, t=t: x == t)).alias("tf")) for t in dict.fromkeys(terms)))
-    return base.select("doc_id", F.size("tokens").alias("len"), F.filter(tf, lambda h: h["tf"] > 0).alias("hits"))
+    terms = list(dict.fromkeys(terms))
+    tokens = bm25_tokens(text_col)
+    found = docs.select(F.col(id_col).alias("doc_id"), F.size(tokens).alias("len"), F.explode(F.filter(tokens, lambda t: t.isin(*terms))).alias("term"))
+    return found.groupBy("doc_id", "len").agg(*(F.count_if(F.col("term") == t).alias(f"tf_{i}") for i, t in enumerate(terms)))
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df, cf): documents and occurrences of each term."""
-    counted = docs.select(F.explode(F.transform(F.array_distinct(bm25_tokens(text_col)), lambda t: t)).alias("term"))
+    """(term, df): documents with each term."""
+    counted = docs.select(F.explode(F.array_distinct(bm25_tokens(text_col))).alias("term"))
     return counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import bm25_tokens, char_trigrams, search_key
+from quern.functions.text import bm25_tokens, search_key
 from quern.operators.index import query_postings
 
 K1, B = 1.2, 0.75
@@ -23,24 +23,24 @@ def top_k(scored: DataFrame, k: int, score: str = "score", id_col: str = "doc_id
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.round(score, digits).desc(), F.col(id_col))))
 
 
-def corpus_statistics(found: DataFrame, terms: list[str]) -> DataFrame:
-    """One row: documents, mean length and the document frequency of each term, from query_postings()."""
-    df = [F.count_if(F.exists("hits", lambda h, t=t: h["term"] == t)).alias(f"df_{i}") for i, t in enumerate(dict.fromkeys(terms))]
-    return found.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *df)
+def corpus_statistics(docs: DataFrame, found: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
+    """One row: documents, mean length, and the document frequency of each distinct term of query_postings()."""
+    size = docs.select(F.size(bm25_tokens(text_col)).alias("len")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    df = found.agg(*(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))))
+    return size.crossJoin(df)
 
 
 def bm25_scores(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of documents with a term; a term that the query repeats counts as often.
 
-    One pass reads terms and lengths; the statistics of the query are one row, broadcast.
+    The statistics of the query are one row, broadcast to the documents that have a term.
     """
-    found = query_postings(docs, terms, id_col, text_col)
-    stats = F.broadcast(corpus_statistics(found, terms))
-    joined = found.filter(F.size("hits") > 0).crossJoin(stats)
+    distinct = list(dict.fromkeys(terms))
+    found = query_postings(docs, distinct, id_col, text_col)
+    joined = found.crossJoin(F.broadcast(corpus_statistics(docs, found, distinct, text_col)))
     score = F.lit(0.0)
-    for i, t in enumerate(dict.fromkeys(terms)):
-        tf = F.coalesce(F.get(F.filter("hits", lambda h, t=t: h["term"] == t), F.lit(0))["tf"], F.lit(0)).cast("double")
-        df = F.col(f"df_{i}").cast("double")
+    for i, t in enumerate(distinct):
+        tf, df = F.col(f"tf_{i}").cast("double"), F.col(f"df_{i}").cast("double")
         idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
         score = score + F.lit(float(terms.count(t))) * idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return joined.select("doc_id", score.alias("score"))
@@ -50,11 +50,11 @@ def tfidf_scores(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text
     """(doc_id, score): sum of (1 + ln(1 + tf)) * ln(1 + N / df) over distinct terms."""
     terms = list(dict.fromkeys(terms))
     found = query_postings(docs, terms, id_col, text_col)
-    joined = found.filter(F.size("hits") > 0).crossJoin(F.broadcast(corpus_statistics(found, terms)))
+    joined = found.crossJoin(F.broadcast(corpus_statistics(docs, found, terms, text_col)))
     score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        tf = F.get(F.filter("hits", lambda h, t=t: h["term"] == t), F.lit(0))["tf"].cast("double")
-        score = score + F.coalesce((1 + F.log(1 + tf)) * F.log(1 + F.col("n_docs") / F.col(f"df_{i}")), F.lit(0.0))
+    for i in range(len(terms)):
+        one = (1 + F.log(1 + F.col(f"tf_{i}").cast("double"))) * F.log(1 + F.col("n_docs") / F.col(f"df_{i}"))
+        score = score + F.when(F.col(f"tf_{i}") > 0, one).otherwise(0.0)
     return joined.select("doc_id", score.alias("score"))
 
 
@@ -108,9 +108,12 @@ def phrase_hits(docs: DataFrame, phrases: list[str], id_col: str = "doc_id", tex
 
 
 def trigram_overlap(a: Column, needle: str) -> Column:
-    """Share of the needle's trigrams that the text has."""
-    want = char_trigrams(F.lit(needle))
-    return F.when(F.size(want) > 0, F.size(F.array_intersect(char_trigrams(a), want)) / F.size(want)).otherwise(0.0)
+    """Share of the needle's trigrams that the text's letters and digits hold; the text's own trigrams aren't built."""
+    bare = "".join(c for c in needle.upper() if c.isascii() and c.isalnum())
+    want = sorted({bare[i : i + 3] for i in range(len(bare) - 2)})
+    text = F.regexp_replace(F.upper(F.coalesce(a, F.lit(""))), "[^A-Z0-9]", "")
+    hits = sum((F.contains(text, F.lit(g)).cast("int") for g in want), F.lit(0))
+    return hits / len(want) if want else F.lit(0.0)
 
 
 def lexical_score(phrase: Column, all_terms: Column, n_terms: Column, trigram: Column, bm25: Column, kind_boost: Column) -> Column:
