@@ -222,6 +222,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+_shipped: set[tuple[str, str]] = set()
 
 
 def encoder(tokenizer_path: str, lexicon_name: str) -> Encoder:
@@ -268,11 +269,15 @@ def ship_lexicon(docs: DataFrame, tokenizer_path: str, words: int = WORDS) -> st
     """Compile the lexicon of a corpus and hand the file to Spark; its name among SparkFiles."""
     tokenizer = WordTokenizer(tokenizer_path)
     data = compile_lexicon({w: tokenizer.merge(w) for w in frequent_words(docs, tokenizer_path, words)})
-    path = os.path.join(tempfile.mkdtemp(prefix="quern-lexicon-"), f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin")
-    with open(path, "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(path)
-    return os.path.basename(path)
+    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
+    context = docs.sparkSession.sparkContext
+    if (context.applicationId, name) not in _shipped:  # Spark takes a name once
+        path = os.path.join(tempfile.mkdtemp(prefix="quern-lexicon-"), name)
+        with open(path, "wb") as f:
+            f.write(data)
+        context.addFile(path)
+        _shipped.add((context.applicationId, name))
+    return name
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, words: int = WORDS) -> DataFrame:
