@@ -27,7 +27,7 @@ SCRIPTS = {
     "Greek": ("βγδζθκλμνπρστφχ", "αεηιου", {"m": "ςνρκ", "f": "αηω", "s": "ςνκρ"}),
 }
 TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\b\.?"
-WORD = r"\p{Lu}[\p{L}'’\-]{1,30}"
+WORD = rf"(?!{TITLE})\p{{Lu}}[\p{{L}}'’\-]{{1,30}}"
 #: Type and pattern, the first that matches counts.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63})*\.\p{L}{2,24}",
