@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import canonical, code, fuse, gate, graph, incremental, index, link, profile, search, vectors
+from quern.operators import canonical, code, evidence, fuse, gate, graph, grounding, incremental, index, link, masterdata, profile, search, vectors
 from quern.plans import retrieval
 from quern.streaming import sync
 
@@ -614,3 +614,197 @@ def literal_lookup(spark, sf):
 def vector_codec(spark, sf):
     rows = table(spark, sf, "embeddings").withColumn("b", vectors.encode_vector(F.col("embedding")))
     return rows.select("vec_id", (vectors.valid_vector(F.col("b"), F.size("embedding")) & (vectors.decode_vector(F.col("b")) == F.col("embedding"))).alias("same"))
+
+
+# Grounding and gates
+
+
+@query("""select doc_id, n_chars, status as topic_status from (select doc_id, n_chars, case when t >= 2 or (t >= 1 and e > 0) then 'confirmed' when t >= 1 then 'possible' else 'not_relevant' end as status from
+    (select doc_id, n_chars, contains(lower(text), 'licensed')::int + contains(lower(text), 'version')::int as t, contains(lower(text), 'apache')::int as e from documents)) where status <> 'not_relevant'""")
+def topic_grounding(spark, sf):
+    has = lambda w: F.contains(F.lower("text"), F.lit(w)).cast("int")
+    hits = table(spark, sf, "documents").select("doc_id", "n_chars", (has("licensed") + has("version")).alias("t"), has("apache").alias("e"))
+    return grounding.ground_topics(hits, grounding.topic_status(F.col("t"), F.col("e"), True), "n_chars", "doc_id").select("doc_id", "n_chars", "topic_status")
+
+
+@query("""with n as (select unnest(['red', 'bolt', 'small ring', 'promo', 'zzz']) as name), h as (select name, contains(lower(p_name), name) as s, contains(lower(p_type), name) as w from part cross join n)
+    select name, case when count(*) filter (where s) > 0 then 'confirmed' when count(*) filter (where w and not s) > 0 then 'possible' else 'not_found' end as status, count(*) filter (where s) as n_strong, count(*) filter (where w and not s) as n_weak from h group by name""")
+def entity_grounding(spark, sf):
+    names = spark.createDataFrame([(n,) for n in ("red", "bolt", "small ring", "promo", "zzz")], "name string")
+    return grounding.entity_report(table(spark, sf, "part"), names, "p_name", "p_type", "p_partkey")
+
+
+@query("""with m as (select p_partkey, contains(lower(p_name), 'bolt')::int as own, contains(lower(p_name), 'red')::int as shared, p_size >= 25 as named from part)
+    select p_partkey, case when own >= 1 then 'PRIMARY' when shared >= 1 and named then 'SECONDARY' else 'EXCLUDED' end as tier, case when own = 0 and shared >= 1 and not named then 'shared_token_only' when own + shared = 0 then 'no_token' end as reason from m""")
+def process_tiers(spark, sf):
+    has = lambda w: F.contains(F.lower("p_name"), F.lit(w)).cast("int")
+    return table(spark, sf, "part").select("p_partkey", grounding.process_tier(has("bolt"), has("red"), F.col("p_size") >= 25).alias("t")).select("p_partkey", "t.tier", "t.reason")
+
+
+@query("select c_mktsegment as obj, max(c_nationkey % 4) as coverage, min(c_custkey % 3) as distance from customer group by 1 having max(c_nationkey % 4) >= 2 and min(c_custkey % 3) <= 1 order by coverage desc, distance, obj limit 5")
+def strong_seeds(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("obj"), (F.col("c_nationkey") % 4).alias("cov"), (F.col("c_custkey") % 3).alias("dist"))
+    return grounding.strong_seeds(rows, "obj", "cov", "dist", 3)
+
+
+@query("""with s as (select doc_id from documents where contains(text, 'Licensed')), o as (select distinct source from documents where doc_id in (select doc_id from s))
+    select doc_id from s union select doc_id from documents where n_chars > 3000 and source in (select source from o)""")
+def support_expansion(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") > 3000).alias("strong"), F.contains("text", F.lit("Licensed")).alias("hit"))
+    return grounding.support_by_object(docs, docs.filter("hit"), "source", "strong", "doc_id")
+
+
+@query("select p_partkey from part where not contains(upper(p_name), 'WIDGET') and (p_size < 10 or contains(upper(p_name), 'RED'))")
+def noise_filter(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", F.when(F.col("p_size") >= 10, "control_table").otherwise("program").alias("kind"))
+    return grounding.without_noise(rows, "p_name", "kind", ["red"], noise=("WIDGET",)).select("p_partkey")
+
+
+@query("select kind, need, coalesce(n, 0) as n, coalesce(n, 0) >= need as met from (values ('click', 10), ('none', 1), ('view', 1000000)) as w(kind, need) left join (select event_type as kind, count(*) as n from events group by 1) using (kind)")
+def evidence_budget(spark, sf):
+    counts = table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return grounding.claim_budget(counts, {"click": 10, "none": 1, "view": 1_000_000})
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then 'code_resolved' when n_rows <= 80 then 'small_customizing' when o_totalprice > 300000 then 'hardcoding' when o_orderstatus <> 'P' and n_rows <= 100 then 'ungrouped' when n_rows <= 20 and 1 >= 15 then 'high_score' else 'not_primary' end as why from (select *, o_custkey % 200 as n_rows from orders)")
+def row_relevance(spark, sf):
+    n = F.col("o_custkey") % 200
+    why = gate.row_relevance(F.col("o_orderstatus") == "F", n, F.col("o_totalprice") > 300000, F.col("o_orderstatus") == "P", F.lit(1))
+    return table(spark, sf, "orders").select("o_orderkey", why.alias("why"))
+
+
+# Master data
+
+
+@query("""with e as (select c_custkey, 'CUSTKEY' as field, c_custkey::varchar as value, 'customer' as entity_type, 0.95 as confidence from customer union all select c_custkey, 'NATIONKEY', c_nationkey::varchar, 'country', 0.8 from customer)
+    select c_custkey, field, value, entity_type, confidence::double as confidence from e""")
+def row_entities(spark, sf):
+    values = F.create_map(F.lit("CUSTKEY"), F.col("c_custkey").cast("string"), F.lit("NATIONKEY"), F.col("c_nationkey").cast("string"), F.lit("MANDT"), F.lit("100"), F.lit("OTHERKEY"), F.lit("x"), F.lit("VENDOR"), F.lit(" "))
+    return masterdata.row_entities(table(spark, sf, "customer").select("c_custkey", values.alias("values")), "c_custkey")
+
+
+@query("""select 'nation|' || n_nationkey as "from", 'HAS_KEY' as relation, 'N_NATIONKEY=' || n_nationkey as "to" from nation union all select 'nation|' || n_nationkey, 'HAS_VALUE', 'N_NAME=' || n_name from nation
+    union all select 'nation|' || n_nationkey, 'HAS_VALUE', 'N_REGIONKEY=' || n_regionkey from nation union all select 'nation|' || n_nationkey, 'ROW_OF', 'nation' from nation""")
+def row_relations(spark, sf):
+    rows = table(spark, sf, "nation").select("n_nationkey", F.create_map(F.lit("N_NATIONKEY"), F.col("n_nationkey").cast("string")).alias("pk"), F.create_map(F.lit("N_NAME"), F.col("n_name"), F.lit("N_REGIONKEY"), F.col("n_regionkey").cast("string")).alias("values"))
+    return masterdata.row_relations(rows, "nation", "n_nationkey", "pk", "values")
+
+
+@query("""with m as (select 'segment' as type, c_mktsegment as name, max_by(c_name, c_custkey) as last_name, max_by(c_nationkey, c_custkey) as last_nation from customer group by 2), f as (select c_mktsegment as name, min_by(c_name, c_custkey) as display_name from customer where c_custkey % 2 = 1 group by 1)
+    select type, name, display_name, 'last=' || last_name || ';nation=' || last_nation as attributes from m left join f using (name)""")
+def object_merge(spark, sf):
+    rows = table(spark, sf, "customer").select(F.lit("segment").alias("type"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 2 == 1, F.col("c_name")).alias("display_name"), F.create_map(F.lit("last"), F.col("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string")).alias("attributes"), "c_custkey")
+    return masterdata.merge_objects(rows, "c_custkey")
+
+
+@query("""select o_custkey as "from", o_orderstatus as "to", count(*) as occurrences, 'prio=' || string_agg(distinct o_orderpriority, ',' order by o_orderpriority) || ';stat=' || o_orderstatus as contexts from orders group by 1, 2""")
+def parsed_contexts(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("from"), F.col("o_orderstatus").alias("to"), F.concat(F.lit("prio="), "o_orderpriority", F.lit("; stat = "), "o_orderstatus").alias("meta"))
+    return masterdata.contexts_of(rows, F.col("meta"))
+
+
+@query("select o_orderkey, case when o_orderkey % 4 = 0 then 'ROW|' || o_orderkey when o_orderkey % 4 = 1 then 'FIELD|F' || o_custkey || '|3' when o_orderkey % 4 = 2 then 'KEY|A=' || o_custkey || '|B=x' else 'ID|' || o_custkey end as key from orders")
+def record_keys(spark, sf):
+    k = F.col("o_orderkey") % 4
+    text = F.col("o_custkey").cast("string")
+    values = F.when(k == 2, F.create_map(F.lit("A"), text, F.lit("B"), F.lit("x"))).otherwise(F.create_map(F.lit("A"), text, F.lit("ID"), text))
+    key = masterdata.record_key(F.when(k == 0, F.col("o_orderkey")), F.when(k == 1, F.concat(F.lit("F"), text)), F.lit(3), values, ["A", "B"], ["NO", "ID"])
+    return table(spark, sf, "orders").select("o_orderkey", key.alias("key"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, p_brand, p_partkey is not null as has_definition from lineitem left join (select p_partkey, p_brand from part where p_partkey % 2 = 0) on l_partkey = p_partkey")
+def definition_join(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    known = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return masterdata.with_definition(rows, known, ["l_partkey"])
+
+
+@query("""select p_partkey, (case when p_size > 40 then 35 else 0 end) + (case h when 3 then 60 when 2 then 40 when 1 then 25 else 0 end) + (case when n then 20 else 0 end) as score from
+    (select p_partkey, p_size, contains(lower(p_type), 'steel')::int + contains(lower(p_type), 'promo')::int + contains(lower(p_type), 'small')::int as h, contains(lower(p_name), 'small') as n from part)""")
+def master_field_score(spark, sf):
+    name = F.concat(F.when(F.col("p_size") > 40, "Z").otherwise("a"), "p_name")
+    return table(spark, sf, "part").select("p_partkey", masterdata.field_score(name, F.col("p_type"), ["steel", "promo", "small"]).alias("score"))
+
+
+# Evidence
+
+
+@query("select doc_id, source, n_chars from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents) where r <= 2")
+def two_per_object(spark, sf):
+    return evidence.at_most_per_object(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", 2, [F.desc("n_chars"), F.col("doc_id")])
+
+
+@query("select c_nationkey, c_mktsegment, c_custkey from (select *, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) as r from customer) where r = 1 order by c_custkey limit 5")
+def first_per_location(spark, sf):
+    return evidence.distinct_places(table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", "c_custkey"), ["c_nationkey", "c_mktsegment"], ["c_custkey"], 5)
+
+
+@query("select doc_id, lang, n_chars from (select *, row_number() over (partition by lang order by n_chars desc, doc_id) as r from documents) where r <= case lang when 'de' then 3 when 'en' then 4 else 1 end order by n_chars desc, doc_id limit 8")
+def coherent_selection(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return evidence.coherent_selection(rows, "lang", {"de": 3, "en": 4}, 1, [F.desc("n_chars"), F.col("doc_id")], 8)
+
+
+@query("""with s as (select doc_id, row_number() over (order by doc_id) as rank from labels where toxic = 1), p as (select doc_id, row_number() over (order by n_chars desc, doc_id) as rank from documents),
+    m as (select doc_id, min(k) as k from (select doc_id, rank as k from s union all select doc_id, 1000000000 + rank from p) group by 1)
+    select doc_id, row_number() over (order by k) as rank, k < 1000000000 as is_seed from m""")
+def preserved_merge(spark, sf):
+    from pyspark.sql import Window
+
+    seeds = table(spark, sf, "labels").filter("toxic = 1").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("rank"))
+    primary = table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    return evidence.preserved_merge(seeds, primary, "doc_id", "rank").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("select event_type as kind, 'u' || user_id as norm, max(value) as confidence, min(event_id) as first_round, max(value) >= 0.55 and length('u' || user_id) >= 3 as strong from events group by 1, 2")
+def anchor_merge(spark, sf):
+    return evidence.anchor_merge(table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.concat(F.lit("u"), "user_id").alias("norm"), F.col("value").alias("confidence"), F.col("event_id").alias("round")))
+
+
+@query("select coalesce(doc_id, l.doc_id) as doc_id, lang, quality, d.doc_id is not null as in_types, l.doc_id is not null as in_processing from (select doc_id, lang from documents where doc_id % 3 > 0) d full join (select doc_id, max(quality) as quality from labels group by 1) l using (doc_id)")
+def inventory_rows(spark, sf):
+    quality = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return evidence.full_inventory(table(spark, sf, "documents").filter("doc_id % 3 > 0").select("doc_id", "lang"), quality, "doc_id")
+
+
+@query("""select p_partkey::varchar as normalized, 2 as n_active, 0 as n_comment, 2 as n_places, 'S' || p_partkey || '|11' as first_place, true as multi_use from part""")
+def hardcoded_inventory(spark, sf):
+    found = code.scan_code(sources(spark, sf), "literals").filter("value rlike '^[0-9]{18}$'").withColumn("active", ~F.col("comment"))
+    return evidence.hardcoded_inventory(found, "normalized", "active", ["source_key", "line"])
+
+
+@query("""with c as (select o_orderpriority as v, count(*) as n from orders group by 1), t as (select * from c order by n desc, v limit 3)
+    select count(*) as n_values, count(distinct o_custkey) as n_owners, count(distinct o_orderstatus) as n_partners, (select string_agg(v || '=' || n, ',' order by n desc, v) from t) as top_values from orders""")
+def seed_profile(spark, sf):
+    return evidence.seed_profile(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_orderpriority", 3)
+
+
+@query("select l_returnflag || l_linestatus as rule, count(distinct l_partkey) as n_members, min(l_discount) as least, max(l_discount) as most from lineitem group by 1")
+def rule_rollup(spark, sf):
+    return evidence.rule_rollup(table(spark, sf, "lineitem").withColumn("rule", F.concat("l_returnflag", "l_linestatus")), "rule", "l_partkey", "l_discount")
+
+
+@query("select source, n_records, case when n_records > 0 then 'available' else 'empty' end as status from (select 'documents' as source, count(*) as n_records from documents union all select 'labels', count(*) from labels union all select 'none', count(*) from labels where false)")
+def source_coverage(spark, sf):
+    labels = table(spark, sf, "labels")
+    return evidence.source_coverage({"documents": table(spark, sf, "documents"), "labels": labels, "none": labels.filter("false")})
+
+
+@query("""with t as (select distinct lang as kind, doc_id from documents where n_chars > 1000), f as (select distinct lang as kind, doc_id from documents where n_chars > 2000 or doc_id % 7 = 0)
+    select kind, count(t.doc_id) as n_true, count(f.doc_id) as n_found, count(*) filter (where t.doc_id is not null and f.doc_id is not null) as n_common, round(n_common / nullif(n_true, 0)::double, 6) as recall, round(n_common / nullif(n_found, 0)::double, 6) as precision from t full join f using (kind, doc_id) group by kind""")
+def recall_precision(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("kind"), "doc_id", "n_chars")
+    return rounded(evidence.prediction_metrics(docs.filter("n_chars > 1000"), docs.filter("n_chars > 2000 or doc_id % 7 = 0"), ["kind", "doc_id"]), "recall", "precision")
+
+
+@query("select o_custkey, o_orderkey from orders where o_custkey in (select o_custkey from orders where o_totalprice > 300000) and o_totalprice <= 300000")
+def sibling_units(spark, sf):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return evidence.sibling_units(orders.filter("o_totalprice > 300000"), orders.select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("select source_key, line, kind, called, case when called = 'READ_ORDERS' then (select min('S' || p_partkey || '|READ_ORDERS') from part) end as callee from (select 'S' || p_partkey as source_key, u.* from part cross join (values (6, 'function', 'Z_SEND'), (10, 'perform', 'READ_ORDERS')) as u(line, kind, called))")
+def callee_resolution(spark, sf):
+    found = sources(spark, sf)
+    units = code.scan_code(found, "units").withColumn("id", F.concat_ws("|", "source_key", "unit_name"))
+    return evidence.callees(code.scan_code(found, "calls").withColumnRenamed("name", "called"), units, "unit_name", "id")

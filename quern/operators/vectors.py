@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-import pandas as pd
+from pyspark.sql import types as T
 
 
 def valid_vector(encoded: Column, dims: Column | int) -> Column:
@@ -13,14 +14,14 @@ def valid_vector(encoded: Column, dims: Column | int) -> Column:
     return F.coalesce(F.octet_length(F.unbase64(encoded)) == 4 * dims, F.lit(False))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _decode(data: pd.Series) -> pd.Series:
     import numpy as np
 
     return data.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _encode(vectors: pd.Series) -> pd.Series:
     import numpy as np
 

@@ -41,11 +41,13 @@ def current(spark: SparkSession, target: str, before: int | None = None) -> Data
 
 def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window_start, event_type, n, total) of tumbling windows; of a stream, later rows than the watermark are left out."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    grouped = timed.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return grouped.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, session_start, session_end, n) of session windows."""
-    grouped = events.withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    grouped = timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return grouped.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
