@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import canonical, code, evidence, fuse, gate, graph, grounding, incremental, index, link, masterdata, profile, search, vectors
+from quern.operators import canonical, code, documents, evidence, fuse, gate, graph, grounding, incremental, index, link, masterdata, profile, search, vectors
 from quern.plans import retrieval
 from quern.streaming import sync
 
@@ -808,3 +808,30 @@ def callee_resolution(spark, sf):
     found = sources(spark, sf)
     units = code.scan_code(found, "units").withColumn("id", F.concat_ws("|", "source_key", "unit_name"))
     return evidence.callees(code.scan_code(found, "calls").withColumnRenamed("name", "called"), units, "unit_name", "id")
+
+
+# Search documents
+
+
+@query("""with p as (select p_partkey::varchar as k, p_name, p_brand, p_size::varchar as s from part), d as (
+    select 'table_row' as kind, 'part' as object_name, 'part ' || k as title, 'Title: part ' || k || chr(10) || 'Values: P_BRAND=' || p_brand || '; P_SIZE=' || s as search_text, 'part|' || k as source_key from p
+    union all select 'master_field', 'F' || k, 'PART-F' || k, 'Title: PART-F' || k || chr(10) || 'Description: ' || p_name, 'PART|F' || k from p)
+    select 'sd_' || substr(sha256(kind || '|' || source_key), 1, 32) as search_document_id, kind, object_name, title, search_text, source_key, sha256(kind || chr(10) || search_text) as content_hash from d""")
+def search_documents(spark, sf):
+    part = table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    values = F.create_map(F.lit("P_BRAND"), F.col("p_brand"), F.lit("P_SIZE"), F.col("p_size").cast("string"), F.lit("EMPTY"), F.lit(" "))
+    rows = documents.table_rows(part, "part", key, values)
+    found = documents.corpus([rows, documents.fields(part, F.lit("PART"), F.concat(F.lit("F"), key), F.col("p_name")), rows])
+    return found.drop("confidence", "metadata")
+
+
+@query("""select p_partkey, f as field, v as value, c as class from part cross join (values ('tables', 'vbak', 'case_only'), ('tables', 'LIPS', 'only_left'), ('tables', 'VBAP', 'only_right')) as x(f, v, c)""")
+def deviations(spark, sf):
+    pairs = table(spark, sf, "part").select("p_partkey", F.lit("tables").alias("field"), F.array(F.lit("vbak"), F.lit("LIPS"), F.lit("T001")).alias("a"), F.array(F.lit("VBAK"), F.lit("VBAP"), F.lit("T001")).alias("b"))
+    return documents.deviations(pairs, "p_partkey", "field", "a", "b")
+
+
+@query("""select 'S' || p_partkey as source_key, u.* from part cross join (values (4, 'VBAK', 1, 12), (11, 'ZLOG', 6, 12)) as u(line, table_name, first, last)""")
+def access_windows(spark, sf):
+    return code.scan_code(sources(spark, sf).withColumn("source_code", F.rtrim("source_code")), "windows").withColumn("last", F.least("last", F.lit(12)))

@@ -32,6 +32,9 @@ ACCESS = (
     ("delete", re.compile(r"^\s*DELETE\s+FROM\s+([A-Za-z0-9_/]+)", re.I)),
 )
 CALL = re.compile(r"\bCALL\s+(FUNCTION|TRANSACTION|METHOD)\s+'?([A-Za-z0-9_/>=~-]+)'?|\b(PERFORM|SUBMIT)\s+([A-Za-z0-9_/]+)", re.I)
+MACRO = re.compile(r"\s*([A-Za-z][A-Za-z0-9_]*)(?=[\s.])(?!\s*(?:=|-|\())")
+# Statements with an underscore-free look that macro calls must not be taken for.
+KEYWORDS = ("END_OF_SELECTION", "START_OF_SELECTION", "CLASS_DATA", "FIELD_SYMBOLS")
 WHERE = re.compile(r"\bWHERE\b(.*)$", re.I | re.S)
 EQUAL = re.compile(r"([A-Za-z_][A-Za-z0-9_~-]*)\s*(?:=|\bEQ\b)\s*'((?:[^']|'')*)'", re.I)
 
@@ -137,11 +140,44 @@ def calls(source: str) -> list[tuple]:
     return out
 
 
+def macros(source: str) -> list[tuple]:
+    """(line, name, resolved): macro calls, the first line of each name; resolved if the source DEFINEs it.
+
+    A call is a statement whose first word is a name that the source defines, or one in upper case that is no keyword and
+    is followed by arguments alone.
+    """
+    defined = {m.upper() for m in re.findall(r"^\s*DEFINE\s+([A-Za-z0-9_]+)", source, re.I | re.M)}
+    out, seen = [], set()
+    for line, text, comment in statements(source):
+        m = None if comment else MACRO.match(text)
+        name = m[1].upper() if m else ""
+        if name and name not in seen and (name in defined or (m[1].isupper() and "_" in name and "=" not in text and "(" not in text and name not in KEYWORDS)):
+            seen.add(name)
+            out.append((line + text[: m.start(1)].count("\n"), name, name in defined))
+    return out
+
+
+def windows(source: str) -> list[tuple]:
+    """(line, table_name, first, last) of each table access: up to five lines before it, 14 after, or to the ENDIF that
+    follows an IF within 40 lines."""
+    lines, out = source.split("\n"), []
+    for line, _, table, _, _ in dict.fromkeys((a[0], a[1], a[2], None, None) for a in accesses(source)):
+        first, last = max(1, line - 5), min(len(lines), line + 14)
+        opened = next((n for n in range(line - 1, first - 1, -1) if re.match(r"\s*IF\b", lines[n - 1], re.I)), None)
+        if opened:
+            first = opened
+            last = next((n for n in range(line, min(len(lines), line + 40) + 1) if re.match(r"\s*ENDIF\b", lines[n - 1], re.I)), last)
+        out.append((line, table, first, last))
+    return out
+
+
 #: What each scanner returns beside the source's key.
 SCANNERS = {
     "units": (units, (("unit_type", pa.string()), ("unit_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("parent", pa.string()))),
     "literals": (literals, (("line", pa.int32()), ("value", pa.string()), ("normalized", pa.string()), ("field", pa.string()), ("role", pa.string()), ("comment", pa.bool_()))),
     "accesses": (accesses, (("line", pa.int32()), ("operation", pa.string()), ("table_name", pa.string()), ("where_field", pa.string()), ("where_value", pa.string()))),
+    "macros": (macros, (("line", pa.int32()), ("name", pa.string()), ("resolved", pa.bool_()))),
+    "windows": (windows, (("line", pa.int32()), ("table_name", pa.string()), ("first", pa.int32()), ("last", pa.int32()))),
     "calls": (calls, (("line", pa.int32()), ("kind", pa.string()), ("name", pa.string()))),
 }
 NAMES = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean"}

@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions import question
 from quern.functions import text as X
 from quern.operators import canonical, code, gate, incremental, index, link, search, vectors
 from quern.sources import jsonl
@@ -157,3 +158,18 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert search.bm25_scores(docs, ["a"]).count() == 0 and index.postings(docs).count() == 0
     assert incremental.changes(docs.withColumn("h", F.lit("")), docs.withColumn("h", F.lit("")), "doc_id", "h").count() == 0
+
+
+def test_questions():
+    q = question.normalise("Wie wird die Nachrichtenfindung für Z_SEND_IDOC und große Lieferungen gesteuert?")
+    assert q.terms == ["nachrichtenfindung", "z_send_idoc", "grosse", "lieferungen", "gesteuert"] and q.symbols == ["Z_SEND_IDOC"]
+    assert "große lieferungen gesteuert" in q.phrases and question.stem("großen") == "groß"
+    found = question.literal_query("Wo ist der Wert 4711 im Feld matnr oder 'ABC' hartkodiert?")
+    assert found.values == ["ABC", "4711"] and found.fields == ["MATNR"]
+    assert question.literal_query("Wie viele Aufträge gibt es 2024?") is None and question.normalise("").terms == []
+
+
+def test_macros_and_windows():
+    source = "DEFINE add_line.\nEND-OF-DEFINITION.\nadd_line 'x'.\nadd_line 'y'.\nZZ_MAC a b.\nIF x = 1.\n SELECT * FROM t1 INTO y.\n z = 2.\nENDIF.\n"
+    assert code.macros(source) == [(3, "ADD_LINE", True), (5, "ZZ_MAC", False)]
+    assert code.windows(source) == [(7, "T1", 6, 9)]
