@@ -8,9 +8,11 @@ import numpy as np
 import regex
 
 #: Pieces that one worker remembers.
-CACHE = 600_000
+CACHE = 800_000
 #: Between characters that are no white space, a blank starts a new word of a byte-level tokenizer whatever surrounds it.
 CUT = regex.compile(r"(?<=\S) (?=\S)")
+#: Characters that a regex engine may count as white space though str.isspace() doesn't.
+SPACES = "\u180e\u200b\ufeff"
 LOOSE = regex.compile(r"^ | $| \s|\s ")
 
 
@@ -34,21 +36,48 @@ class ChunkEncoder:
         pre = self.library.pre_tokenizer
         self.cuts = pre is not None and "ByteLevel" in repr(pre) and "use_regex=True" in repr(pre) and "add_prefix_space=False" in repr(pre) and self.library.normalizer is None
         self.later: dict[str, bytes] = {}
+        if self.cuts:
+            self.blank = np.zeros(self.library.get_vocab_size(), bool)
+            self.blank[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = True
+            self.marks = {m: self._ids(m) for m in ",."}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces after a blank. Pieces without white space are encoded in one text: a token that begins with the
+        blank begins a piece. A comma or full stop after a letter is a word of its own."""
+        known, bases = self.later, set()
+        for p in pieces:
+            base = p[:-1] if p[-1:] in (",", ".") and p[-2:-1].isalpha() else p
+            if base not in known:
+                bases.add(base)
+        loose = [p for p in bases if not p or any(c.isspace() or c in SPACES for c in p)]
+        for p in loose:
+            known[p] = self._ids(" " + p)
+        plain = list(bases.difference(loose)) if loose else list(bases)
+        if plain:
+            ids = np.array(self.library.encode(" " + " ".join(plain), add_special_tokens=False).ids, f"<u{self.width}")
+            at = (np.flatnonzero(self.blank[ids]) * self.width).tolist()
+            if len(at) != len(plain):
+                raise ValueError("a piece was split at a blank")
+            data = ids.tobytes()
+            known.update(zip(plain, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
+        for p in pieces:
+            if p not in known:
+                known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def __call__(self, text: str) -> bytes:
         if not self.cuts:
-            return self._ids([text])[0]
+            return self._ids(text)
         first, *later = CUT.split(text) if LOOSE.search(text) else text.split(" ")
         known = self.later
         if len(known) > CACHE:
             known.clear()
         new = [p for p in set(later) if p not in known]
         if new:
-            known.update(zip(new, self._ids([" " + p for p in new]), strict=True))
-        return self._ids([first])[0] + b"".join(map(known.__getitem__, later))
+            self._learn(new)
+        return self._ids(first) + b"".join(map(known.__getitem__, later))
 
 
 _encoders: dict[tuple[str, int | None], ChunkEncoder] = {}
