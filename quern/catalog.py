@@ -745,14 +745,12 @@ def coherent_selection(spark, sf):
     return evidence.coherent_selection(rows, "lang", {"de": 3, "en": 4}, 1, [F.desc("n_chars"), F.col("doc_id")], 8)
 
 
-@query("""with s as (select doc_id, row_number() over (order by doc_id) as rank from labels where toxic = 1), p as (select doc_id, row_number() over (order by n_chars desc, doc_id) as rank from documents),
+@query("""with s as (select doc_id, row_number() over (order by doc_id desc) as rank from labels where toxic = 1 order by doc_id desc limit 20), p as (select doc_id, row_number() over (order by n_chars desc, doc_id) as rank from documents order by n_chars desc, doc_id limit 200),
     m as (select doc_id, min(k) as k from (select doc_id, rank as k from s union all select doc_id, 1000000000 + rank from p) group by 1)
     select doc_id, row_number() over (order by k) as rank, k < 1000000000 as is_seed from m""")
 def preserved_merge(spark, sf):
-    from pyspark.sql import Window
-
-    seeds = table(spark, sf, "labels").filter("toxic = 1").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("rank"))
-    primary = table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    seeds = search.top_k(table(spark, sf, "labels").filter("toxic = 1").select("doc_id", F.col("doc_id").alias("score")), 20)
+    primary = search.top_k(table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("score")), 200)
     return evidence.preserved_merge(seeds, primary, "doc_id", "rank").withColumn("rank", F.col("rank").cast("long"))
 
 

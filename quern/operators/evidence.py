@@ -25,7 +25,7 @@ def coherent_selection(hits: DataFrame, bucket: str, caps: dict[str, int], other
 
 
 def preserved_merge(seeds: DataFrame, primary: DataFrame, id_col: str, rank: str) -> DataFrame:
-    """Seeds first, then the primary list, each id once, ranks anew."""
+    """Seeds first, then the primary list, each id once, ranks anew. Both are hit lists: what a top-k has left."""
     both = seeds.select(id_col, F.col(rank).alias("_r"), F.lit(0).alias("_s")).unionByName(primary.select(id_col, F.col(rank).alias("_r"), F.lit(1).alias("_s")))
     once = both.groupBy(id_col).agg(F.min(F.struct("_s", "_r")).alias("k"))
     return once.select(id_col, F.row_number().over(Window.orderBy("k._s", "k._r", id_col)).alias(rank), (F.col("k._s") == 0).alias("is_seed"))
