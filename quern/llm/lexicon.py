@@ -26,18 +26,19 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quern.llm.common import batches, texts
+from quern.llm.common import batches, materialize, texts
 
 #: Words of the lexicon, at most, and the longest in bytes.
-WORDS = 50_000
+WORDS = 1 << 17
 LONGEST = 64
 #: Pieces of text and words that a worker remembers.
-CACHE = 400_000
-MAGIC = b"MATL0001"
-ID_BITS = 20
-ID_MASK = (1 << ID_BITS) - 1
-NO_RANK = 1 << 62
+CACHE = 600_000
+MAGIC = b"MATL0002"
+NO_STATE = 0xFFFFFFFF
+#: Places that the compiler tries for a state's transitions before it puts them at the end.
+TRIES = 100
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -57,49 +58,37 @@ class WordTokenizer:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        if len(self.vocab) > 1 << ID_BITS:
-            raise ValueError("the vocabulary is too large")
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        # of a pair of ids: rank and id of what it becomes, as one number
-        self.merges = {self.vocab[a] << ID_BITS | self.vocab[b]: rank << ID_BITS | self.vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.special_pattern = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"], regex.V0)
-        letters = byte_letters()
-        self.inner, self.last = [self.vocab[c] for c in letters], [self.vocab[c + model["end_of_word_suffix"]] for c in letters]
+        # whether letters make one word and what follows another, as in the published patterns of this kind
+        self.runs = r"|[\p{L}]+|" in self.pattern.pattern and r"[^\s\p{L}\p{N}]+" in self.pattern.pattern
+        self.letters = dict(enumerate(byte_letters()))
+        self.model = Tokenizer.from_file(path).model
 
     def words(self, piece: str) -> list[bytes]:
         """The words of a piece without special tokens, as UTF-8."""
         if not piece.isascii():
             # lower case letter by letter: a final sigma is an ordinary one
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        return [w.encode("utf-8", "replace") for w in self.pattern.findall(piece.lower())]
+        low = piece.lower()
+        if self.runs:
+            if low.isalpha():
+                return [low.encode()]
+            if low[-1:] in (",", ".") and low[:-1].isalpha():
+                return [low[:-1].encode(), low[-1:].encode()]
+        return [w.encode("utf-8", "replace") for w in self.pattern.findall(low)]
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one word: the adjacent pair of lowest rank, the leftmost of equals, is merged until no pair has a rank."""
-        ids = [self.inner[b] for b in word]
-        ids[-1] = self.last[word[-1]]
-        get, none = self.merges.get, NO_RANK
-        ranks = [get(a << ID_BITS | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best & ID_MASK]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << ID_BITS | ids[i + 1], none)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << ID_BITS | ids[i], none)
-        return ids
+        """Ids of one word, merged exactly by the tokenizer's own ranks."""
+        return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
-    """A lexicon file: header, first transition of each state, transition labels, targets and numbers, final flags, then
-    the ids of each word. A state's transitions are in order of their labels."""
+    """A lexicon file: header, base of each state, owner, target and number of each transition slot, final flags, then the
+    ids of each word. Children are numbered before their parents; the root is the last state."""
     register: dict[tuple, int] = {}
     states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
     open_states: list[list] = [[False, []]]  # along the last word: final flag and (label, state) of finished children
@@ -123,20 +112,32 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
         last = word
     close(0, last)
     states.append((open_states[0][0], tuple(open_states[0][1])))
-    below = [0] * len(states)  # words from each state; children come before their parents
-    first, labels, targets, numbers = [0], [], [], []
+    # a state's transition with a label is in slot base[state] + label, which names its state; states fill gaps first
+    base, owner, targets, numbers, below = [0] * len(states), [], [], [], [0] * len(states)
+    free = high = 0
     for s, (final, edges) in enumerate(states):
         n = int(final)
+        while free < len(owner) and owner[free] != NO_STATE:
+            free += 1
+        at = max(0, free - edges[0][0]) if edges else 0
+        last_try = at + TRIES
+        while any(at + label < len(owner) and owner[at + label] != NO_STATE for label, _ in edges):
+            at = at + 1 if at < last_try else max(at + 1, high - edges[0][0])
+        base[s] = at
+        if edges and at + 256 > len(owner):
+            more = at + 256 - len(owner)
+            owner += [NO_STATE] * more
+            targets += [0] * more
+            numbers += [0] * more
         for label, to in edges:
-            labels.append(label)
-            targets.append(to)
-            numbers.append(n)
+            owner[at + label], targets[at + label], numbers[at + label] = s, to, n
+            high = max(high, at + label + 1)
             n += below[to]
         below[s] = n
-        first.append(len(labels))
+    owner = owner[:high] + [NO_STATE] * 256
     ids = [entries[w] for w in ordered]
     starts = np.cumsum([0, *map(len, ids)])
-    parts = [np.array(first, "<u4"), np.array(labels, "<u4"), np.array(targets, "<u4"), np.array(numbers, "<u4"), np.array([f for f, _ in states], "<u4"), starts.astype("<u4"), np.array([i for x in ids for i in x], "<u4")]
+    parts = [np.array(base, "<u4"), np.array(owner, "<u4"), np.array(targets, "<u4"), np.array(numbers, "<u4"), np.array([f for f, _ in states], "<u4"), starts.astype("<u4"), np.array([i for x in ids for i in x], "<u4")]
     head = MAGIC + struct.pack(f"<{len(parts)}I", *map(len, parts))
     return head + b"".join(p.tobytes() for p in parts)
 
@@ -154,71 +155,64 @@ class Lexicon:
         for n in sizes:
             parts.append(view[at : at + 4 * n].cast("I"))
             at += 4 * n
-        self.first, self.labels, self.targets, self.numbers, self.final, self.starts, self.ids = parts
+        self.base, self.owner, self.targets, self.numbers, self.final, self.starts, self.ids = parts
         self.root = len(self.final) - 1
 
     def lookup(self, word: bytes) -> list[int] | None:
-        first, labels, targets, numbers = self.first, self.labels, self.targets, self.numbers
+        base, owner, targets, numbers = self.base, self.owner, self.targets, self.numbers
         state, number = self.root, 0
         for b in word:
-            low, high = first[state], first[state + 1]
-            while low < high:
-                mid = (low + high) // 2
-                if labels[mid] < b:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[state + 1] or labels[low] != b:
+            slot = base[state] + b
+            if owner[slot] != state:
                 return None
-            number += numbers[low]
-            state = targets[low]
+            number += numbers[slot]
+            state = targets[slot]
         if not self.final[state]:
             return None
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
-class Encoder:
-    """Encoding and decoding of whole texts with a lexicon, remembering pieces between blanks."""
+class Encoder(dict):
+    """Encoding and decoding of whole texts with a lexicon: a dict from pieces between blanks to ids, as bytes, which fills
+    itself. Only strings and bytes are kept, so the garbage collector has nothing to follow."""
 
     def __init__(self, tokenizer_path: str, lexicon_path: str):
+        super().__init__()
         self.tokenizer, self.lexicon = WordTokenizer(tokenizer_path), Lexicon(lexicon_path)
-        self.pieces: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[bytes, list[int]] = {}
+        self.decoded: dict[str, str] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        tokenizer = self.tokenizer
+        parts = tokenizer.special_pattern.split(piece) if tokenizer.special_pattern and "<" in piece else (piece,)
+        ids = b"".join(array("I", [tokenizer.special[p]]).tobytes() if p in tokenizer.special else self.plain(p) for p in parts) if len(parts) > 1 else self.plain(piece)
+        self[piece] = ids
+        self.decoded[piece] = " ".join(map(tokenizer.names.__getitem__, memoryview(ids).cast("I"))) if ids else ""
+        return ids
 
-    def ids_of_piece(self, piece: str) -> list[int]:
-        found: list[int] = []
+    def plain(self, piece: str) -> bytes:
+        """Ids of a piece without special tokens."""
+        found = []
         for word in self.tokenizer.words(piece):
             ids = self.words.get(word)
             if ids is None:
-                ids = self.lexicon.lookup(word)
-                if ids is None:
-                    ids = self.tokenizer.merge(word)
+                ids = array("I", self.lexicon.lookup(word) or self.tokenizer.merge(word)).tobytes()
                 if len(word) <= LONGEST:
                     self.words[word] = ids
-            found += ids
-        return found
-
-    def both(self, piece: str) -> tuple[bytes, str]:
-        """Ids as bytes and their decoded text."""
-        parts = self.tokenizer.special_pattern.split(piece) if self.tokenizer.special_pattern and "<" in piece else [piece]
-        ids = []
-        for p in parts:
-            ids += [self.tokenizer.special[p]] if p in self.tokenizer.special else self.ids_of_piece(p)
-        return array("I", ids).tobytes(), " ".join(self.tokenizer.names[i] for i in ids)
+            found.append(ids)
+        return found[0] if len(found) == 1 else b"".join(found)
 
     def __call__(self, text: str) -> tuple[bytes, str]:
-        known = self.pieces
-        if len(known) > CACHE:
-            known.clear()
+        """Ids as bytes and their decoded text."""
+        if len(self) > CACHE:
+            self.clear()
+            self.decoded.clear()
         if len(self.words) > CACHE:
             self.words.clear()
         # white space only parts words in this pattern, so a text can be cut at any of it
         pieces = text.replace("\n", " ").split(" ")
-        for p in set(pieces):
-            if p not in known:
-                known[p] = self.both(p)
-        found = [known[p] for p in pieces]
-        return b"".join([i for i, _ in found]), " ".join([d for _, d in found if d])
+        ids = b"".join(map(self.__getitem__, pieces))
+        return ids, " ".join(filter(None, map(self.decoded.__getitem__, pieces)))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -260,9 +254,11 @@ def count_words(tokenizer_path: str):
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, words: int = WORDS) -> list[bytes]:
-    """The most frequent words over all whole texts; ties by the word."""
+    """Words that make up at least 1 / words of all word occurrences, over all whole texts; `words` at most by arithmetic."""
     counts = texts(docs).select("text").mapInArrow(count_words(tokenizer_path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(w) for w in counts.orderBy(F.desc("n"), "word").limit(words).toPandas()["word"]]
+    counts = materialize(counts, "bpe-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [bytes(w) for w in counts.filter(F.col("n") * words >= total).toPandas()["word"]]
 
 
 def ship_lexicon(docs: DataFrame, tokenizer_path: str, words: int = WORDS) -> str:
