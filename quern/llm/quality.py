@@ -2,11 +2,12 @@
 
 P(grade <= k) = sigmoid(threshold_k - s), where s is a sum of weights shared by all grades over a text's hashed features
 and the thresholds ascend. That gives the expected grade and the tail probability of the best grade. Features are the
-distinct words of the text (1 each), its token shapes by their share of tokens (the marks around a word and whether it is
+distinct words and word stems of the text (1 each; a stem is a word's first letters), its token shapes by their share of tokens (the marks around a word and whether it is
 written in capitals or digits) and the share of tokens that repeat the one before.
 
-Weights are fitted on a bounded sample of rated rows (TRAIN_ROWS, those with the least hash of doc_id); scoring covers
-every row and whole texts, without a shuffle.
+Weights are fitted on a bounded sample of rated documents (TRAIN_ROWS, those with the least hash of doc_id), with a
+penalty on their absolute values, so that few words carry weight and long texts don't add up chance; scoring covers every
+row and whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 from quern.llm.common import batches, expose_package, texts
 
 BUCKETS = 1 << 17
-#: Rows that the fit reads at most.
+#: Documents that the fit reads at most.
 TRAIN_ROWS = 8_000
 ROUNDS = 200
-PENALTY = 1e-4
+PENALTY = 2e-4
+RATE = 0.05
 #: Features of fewer sampled rows keep weight 0.
 LEAST_ROWS = 6
+#: Letters of a stem; shorter words are their own.
+STEM = 4
 #: What a whole text of one shape adds, against 1 for a word.
 SHAPE_SCALE = 4.0
 #: A row is selected if its best grade is at least this probable.
@@ -46,12 +50,15 @@ def bucket(kind: bytes, value: str) -> int:
 
 
 def token_buckets(token: str) -> int:
-    """The buckets of a token's word (0: none) and of its shape, as one number."""
+    """The buckets of a token's word (0: none), of its stem and of its shape, as one number."""
     word = token.strip(MARKS)
     at = token.find(word)
     case = "9" if word.isdigit() else "A" if len(word) > 1 and word.isupper() else "a" if word else ""
     shape = f"{token[:at][-2:]}{case}{token[at + len(word) :][:3]}"
-    return (bucket(b"w", word.lower()) if word else 0) * BUCKETS + bucket(b"s", shape)
+    low = word.lower()
+    whole = bucket(b"w", low) if word else 0
+    stem = bucket(b"p", low[:STEM]) if len(low) > STEM else whole
+    return (whole * BUCKETS + stem) * BUCKETS + bucket(b"s", shape)
 
 
 def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +73,7 @@ def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         if t not in _cache:
             _cache[t] = token_buckets(t)
     words, kinds = np.divmod(np.fromiter(map(_cache.__getitem__, counts), np.int64, len(counts)), BUCKETS)
-    words = np.unique(words)
+    words = np.unique(np.concatenate(np.divmod(words, BUCKETS)))
     shapes, at = np.unique(kinds, return_inverse=True)
     share = np.bincount(at, weights=np.fromiter(counts.values(), float, len(counts))) / len(tokens)
     again = sum(map(str.__eq__, tokens, tokens[1:])) / len(tokens)
@@ -85,12 +92,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_cumulative(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by full-batch Adam on the negative log likelihood. rows, index, value: sparse features."""
+    """Weights and thresholds by full-batch Adam on the negative log likelihood, each step followed by the soft threshold
+    of the penalty. rows, index, value: sparse features."""
     n = len(grades)
-    weights, cuts = np.zeros(BUCKETS), np.linspace(-1, 1, levels - 1) if levels > 2 else np.zeros(levels - 1)
     known = np.bincount(index, minlength=BUCKETS) >= min(LEAST_ROWS, n)
-    rows, value, index = rows[known[index]], value[known[index]], index[known[index]]
-    state = [np.zeros(BUCKETS + levels - 1) for _ in range(2)]
+    rows, value, index = rows[known[index]], value[known[index]], (np.cumsum(known) - 1)[index[known[index]]]
+    features = int(known.sum())
+    weights, cuts = np.zeros(features), np.linspace(-1, 1, levels - 1) if levels > 2 else np.zeros(levels - 1)
+    state = [np.zeros(features + levels - 1) for _ in range(2)]
     for t in range(1, ROUNDS + 1):
         s = np.bincount(rows, weights=value * weights[index], minlength=n)
         low, high = np.r_[-np.inf, cuts][grades], np.r_[cuts, np.inf][grades]
@@ -98,23 +107,27 @@ def fit_cumulative(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grade
         p = np.maximum(a - b, 1e-9)
         da, db = a * (1 - a) / p, b * (1 - b) / p
         by_score = (da - db) / n
-        slope = np.bincount(index, weights=by_score[rows] * value, minlength=BUCKETS) + PENALTY * weights
+        slope = np.bincount(index, weights=by_score[rows] * value, minlength=features)
         by_cut = np.array([(db[grades == k + 1].sum() - da[grades == k].sum()) / n for k in range(levels - 1)])
         g = np.r_[slope, by_cut]
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
-        step = 0.05 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
-        weights -= step[:BUCKETS]
-        cuts = np.sort(cuts - step[BUCKETS:])
-    return weights, cuts
+        rate = RATE / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
+        step = rate * state[0] / (1 - 0.9**t)
+        weights -= step[:features]
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - PENALTY * rate[:features], 0)
+        cuts = np.sort(cuts - step[features:])
+    out = np.zeros(BUCKETS)
+    out[known] = weights
+    return out, cuts
 
 
 def fit(docs: DataFrame, ratings: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(weights, thresholds, grades) from ratings (doc_id, grade) of docs. Ratings that repeat a doc_id keep the least
-    grade; null grades are ignored. Fewer than two grades give a model that keeps everything."""
+    grade and, of texts that repeat one, the least is read; null grades are ignored. Fewer than two grades give a model that keeps everything."""
     known = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rated = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "grade")
+    rated = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
     schema = pa.schema([("grade", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
     found = rated.select("text", F.col("grade").cast("int")).mapInArrow(batches(feature_batch, schema), "grade int, index array<int>, value array<float>").toArrow()
     grades = found.column("grade").to_numpy()
