@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return texts(docs).mapInArrow(batches(one, FINGERPRINTS), "doc_id long, fp long")
 
 
-def split_by_vantage(points: np.ndarray) -> tuple[np.uint64, int, np.ndarray] | None:
+def split_by_vantage(points: np.ndarray, radius: int = RADIUS) -> tuple[np.uint64, int, np.ndarray] | None:
     """The best of a few vantage points: (point, bound, distances); None if the points cannot be told apart.
 
     The bound cuts near the middle where the fewest lie within reach of it.
@@ -91,20 +91,20 @@ def split_by_vantage(points: np.ndarray) -> tuple[np.uint64, int, np.ndarray] |
             inner = at_most[bound]
             balance = min(inner, len(points) - inner) / len(points)
             if balance >= 0.2:
-                crossing = (at_most[min(64, bound + RADIUS)] - inner) / len(points)
+                crossing = (at_most[min(64, bound + radius)] - inner) / len(points)
                 cost = crossing + (0.5 - balance)
                 if best is None or cost < best[0]:
                     best = (cost, v, bound, d)
     return None if best is None else best[1:]
 
 
-def build_tree(points: np.ndarray, leaves: int) -> list[tuple[int, int, int, int]]:
+def build_tree(points: np.ndarray, leaves: int, radius: int = RADIUS) -> list[tuple[int, int, int, int]]:
     """Nodes (vantage point, bound, inner, outer) of a routing tree; a child below 0 is leaf -child - 1."""
     nodes: list[tuple[int, int, int, int]] = []
     made = [0]
 
     def grow(own: np.ndarray, want: int) -> int:
-        found = split_by_vantage(own) if want > 1 and len(own) >= 8 else None
+        found = split_by_vantage(own, radius) if want > 1 and len(own) >= 8 else None
         if found is None:
             made[0] += 1
             return -made[0]
@@ -149,7 +149,7 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int, depth: int = 0)
     def walk(ls: np.ndarray, rs: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(ls) or not len(rs):
             return
-        found = split_by_vantage(right[rs]) if len(rs) > LEAF and depth < 24 else None
+        found = split_by_vantage(right[rs], radius) if len(rs) > LEAF and depth < 24 else None
         if found is None:
             step = max(1, (1 << 21) // len(rs))
             for a in range(0, len(ls), step):
@@ -198,7 +198,7 @@ def forest_edges(values: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.n
     return values[order[child]], values[order[parent[child]]]
 
 
-def link_group(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def link_group(group: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of one shard or one pair of its blocks, as a forest."""
     table = pa.Table.from_batches(list(group))
     fp = table.column("fp").to_numpy().view(np.uint64)
@@ -207,7 +207,7 @@ def link_group(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     values, at = np.unique(fp, return_inverse=True)
     members, queries = np.unique(at[side != 1]), np.unique(at[side != 0])
     forest = Forest(len(values))
-    for i, j in near_pairs(values[queries], values[members], RADIUS):
+    for i, j in near_pairs(values[queries], values[members], radius):
         forest.add(queries[i], members[j])
     a, b = forest_edges(values, forest.root)
     yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
@@ -230,7 +230,7 @@ def links(distinct: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, connecting what links of the radius connect."""
     spark = distinct.sparkSession
     sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-    nodes = build_tree(np.sort(sample), max(1, round(total / SHARD)))
+    nodes = build_tree(np.sort(sample), max(1, round(total / SHARD)), radius)
     visits = materialize(shard_rows(distinct, nodes, radius), "simhash-visits")
     sizes = visits.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("members")).toPandas()
     # (shard, blocks of its members, blocks of its queries)
@@ -244,7 +244,11 @@ def links(distinct: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
         as_member = dealt.filter("home").withColumn("x", F.pmod(F.xxhash64("fp"), "m").cast("int")).select("shard", "x", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("y"), "fp", F.lit(0).alias("side"))
         as_query = dealt.withColumn("y", F.pmod(F.xxhash64("fp"), "q").cast("int")).select("shard", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"), "y", "fp", F.lit(1).alias("side"))
         small = small.join(F.broadcast(table.select("shard")), "shard", "left_anti").unionByName(as_member).unionByName(as_query)
-    return small.groupBy("shard", "x", "y").applyInArrow(link_group, "a long, b long")
+
+    def one(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from link_group(group, radius)
+
+    return small.groupBy("shard", "x", "y").applyInArrow(one, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,17 +270,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = materialize(lookup_join(stepped.select("node", "label"), jump, ["label"], "n", total).select("node", F.coalesce("to", "label").alias("label")), "simhash-labels")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id for every row of docs.
 
-    component_id is the smallest doc_id reachable over links of RADIUS or fewer differing bits, itself included; it is
+    component_id is the smallest doc_id reachable over links of radius or fewer differing bits, itself included; it is
     null where only null ids are reachable. Null and empty texts have fingerprint zero and are linked like others. Rows
     that share a doc_id each have their own fingerprint. An empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, words), "simhash")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     total = distinct.count()
-    labels = components(links(distinct, total))
+    labels = components(links(distinct, total, radius))
     named = labels.join(distinct.select(F.col("fp").alias("node"), "least"), "node")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
     linked = lookup_join(labels, least, ["label"], "size", total).select(F.col("node").alias("fp"), "component_id")
