@@ -3,22 +3,27 @@
 A source with weight w owns blocks 0, 1, 2, ... of its documents. Block j is released at floor(j / w) and due at
 ceil((j + 1) / w). One block fills one slot; in each slot the released block with the earliest deadline runs. On one
 sequence with weights that add up to 1, that meets every deadline, so after t slots a source is less than one block off
-w * t. Weights are whole parts of a period, so one period of slots is worked out and repeated: the work on the driver
-depends on the period and on the number of sources, never on the data. When a source runs out of blocks, a new phase
+w * t. Weights are taken as given, as fractions, and every slot is worked out, so nothing is rounded and no error adds
+up: the driver takes one step for each block of BLOCK_ROWS documents. When a source runs out of blocks, a new phase
 begins in which the others share its weight in proportion; there are at most as many phases as sources.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import floor
-
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import count, islice
+from math import floor, lcm
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import expose_package, materialize
 
-#: Slots of a period, over which weights are rounded, and documents in a block.
+#: Blocks of a source in one row of the plan, and documents in a block.
 PERIOD = 512
 BLOCK_ROWS = 16
 #: Weights are of sources named by the caller or found in the data; more than these are refused, not cut.
@@ -37,44 +42,61 @@ def whole_parts(weights: dict[str, float], period: int) -> dict[str, int]:
     return parts
 
 
-def pfair_period(parts: dict[str, int]) -> list[str]:
-    """The source of each slot of one period, earliest deadline first among released blocks; ties by name."""
+def pfair(parts: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, release, deadline) of each slot, without end: earliest deadline first among released blocks; ties
+    by name. A source's weight is its parts over the sum of parts, exactly."""
     period = sum(parts.values())
     waiting = [(0, s, 0) for s in sorted(parts)]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots = []
-    for t in range(period):
+    ready: list[tuple[int, str, int, int]] = []
+    for t in count():
         while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), s, j))
-        due, s, j = heapq.heappop(ready)
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), s, j, release))
+        due, s, j, release = heapq.heappop(ready)
         assert due > t, "a deadline was missed"
-        slots.append(s)
-        if j + 1 < parts[s]:
-            heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
-    return slots
+        yield s, j, release, due
+        heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
+
+
+def pfair_period(parts: dict[str, int]) -> list[str]:
+    """The source of each slot of one period."""
+    return [s for s, _, _, _ in islice(pfair(parts), sum(parts.values()))]
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """For each phase and source: first block, first slot, slots of the period, and the places of its blocks in it."""
-    left, first, at, made = dict(blocks), dict.fromkeys(blocks, 0), 0, []
+def exact_parts(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the very proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> Iterator[dict]:
+    """Runs of a source's blocks, none over a multiple of period or the end of a phase: first and last block, first slot, and of
+    each block its slot (places), release and deadline from there."""
+    left, first, at = dict(blocks), dict.fromkeys(blocks, 0), 0
     while left := {s: n for s, n in left.items() if n > 0}:
-        parts = whole_parts({s: weights[s] for s in left}, period)
-        slots = pfair_period(parts)
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for i, s in enumerate(slots):
-            places[s].append(i)
+        runs: dict[str, dict] = {}
         # the phase ends with the slot that takes some source's last block
-        end = min(((n - 1) // parts[s]) * len(slots) + places[s][(n - 1) % parts[s]] for s, n in left.items()) + 1
-        for s in left:
-            whole, part = divmod(end, len(slots))
-            took = whole * parts[s] + sum(p < part for p in places[s])
-            made.append({"source_key": s, "first_block": first[s], "last_block": first[s] + took - 1, "first_slot": at, "period": len(slots), "parts": parts[s], "places": places[s]})
-            first[s] += took
-            left[s] -= took
-        at += end
-    return made
+        for slot, (s, j, release, due) in enumerate(pfair(exact_parts({s: weights[s] for s in left}))):
+            block = first[s] + j
+            if s not in runs or block % period == 0:
+                if s in runs:
+                    yield runs[s]
+                runs[s] = {"source_key": s, "first_block": block, "first_slot": at + slot, "period": period, "places": [], "releases": [], "deadlines": []}
+            run = runs[s]
+            base = run["first_slot"] - at
+            run["places"].append(slot - base)
+            run["releases"].append(release - base)
+            run["deadlines"].append(due - base)
+            run["last_block"], run["parts"] = block, len(run["places"])
+            left[s] -= 1
+            if not left[s]:
+                break
+        yield from runs.values()
+        at += slot + 1
+        for s, run in runs.items():
+            first[s] = run["last_block"] + 1
 
 
 def ranked(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
@@ -97,12 +119,25 @@ def ranked(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     return marked.join(F.broadcast(table), ["source_key", "part"]).select("doc_id", "source_key", (F.col("place") + F.col("shift")).alias("rank")), before
 
 
+def plan_table(spark: SparkSession, plan: Iterator[dict], period: int) -> DataFrame:
+    """The runs of a plan, with the chunk of blocks that each lies in."""
+    names = ["source_key", "first_block", "last_block", "first_slot", "places", "releases", "deadlines"]
+    lists = {name: [] for name in names}
+    for run in plan:
+        for name in names:
+            lists[name].append(np.array(run[name], np.int64) if isinstance(run[name], list) else run[name])
+    longs = pa.list_(pa.int64())
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), longs, longs, longs]
+    table = spark.createDataFrame(pa.table({n: pa.array(lists[n], t) for n, t in zip(names, types, strict=True)}))
+    return table.withColumn("chunk", F.expr(f"first_block div {period}"))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """Every row of docs with its place in the mixture: doc_id, source, block, release, deadline, slot, position.
 
-    weights: target weights by source; those not named get the least weight that the period can hold; by default a
+    weights: target weights by source; those not named get a millionth of the least given; by default a
     source weighs the square root of its rows. release and deadline are slots counted from the start of the sequence,
-    in the phase that the block falls in. position is slot * block_rows + place in the block, unique for each row and
+    in the phase that the block falls in, by the weights as given. position is slot * block_rows + place in the block, unique for each row and
     ascending in mixture order (a source's last block may be shorter, so positions can skip). Rows with a null source
     form a source of their own. Equal doc_ids get neighbouring places. An empty table gives an empty result.
     """
@@ -114,12 +149,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     given = weights or {s: n**0.5 for s, n in totals.items()}
     least = min([w for w in given.values() if w > 0], default=1.0) * 1e-6
     plan = phases({s: -(-n // block_rows) for s, n in totals.items()}, {s: max(given.get(s, 0.0), least) for s in totals}, period)
-    table = spark.createDataFrame([(p["source_key"], p["first_block"], p["last_block"], p["first_slot"], p["period"], p["parts"], p["places"]) for p in plan], "source_key string, first_block long, last_block long, first_slot long, period long, parts long, places array<int>")
-    rows = rows.withColumn("block", F.expr(f"rank div {block_rows}"))
-    inside = (rows.source_key == table.source_key) & (F.col("block") >= F.col("first_block")) & (F.col("block") <= F.col("last_block"))
-    found = rows.join(F.broadcast(table), inside).drop(table.source_key).withColumn("j", F.col("block") - F.col("first_block"))
-    found = found.withColumn("slot", F.expr("first_slot + (j div parts) * period + element_at(places, int(j % parts) + 1)"))
-    release, due = F.expr("first_slot + (j * period) div parts"), F.expr("first_slot + ((j + 1) * period + parts - 1) div parts")
+    table = plan_table(spark, plan, period)
+    rows = rows.withColumn("block", F.expr(f"rank div {block_rows}")).withColumn("chunk", F.expr(f"rank div {block_rows * period}"))
+    inside = (rows.source_key == table.source_key) & (rows.chunk == table.chunk) & (F.col("block") >= F.col("first_block")) & (F.col("block") <= F.col("last_block"))
+    found = rows.join(table, inside).drop(table.source_key).withColumn("j", F.expr("int(block - first_block) + 1"))
+    slot, release, due = (F.col("first_slot") + F.expr(f"element_at({c}, j)") for c in ("places", "releases", "deadlines"))
+    found = found.withColumn("slot", slot)
     source = F.when(F.col("source_key") != NO_SOURCE, F.col("source_key"))
     position = F.expr(f"slot * {block_rows} + rank % {block_rows}")
     return found.select("doc_id", source.alias("source"), "block", release.alias("release"), due.alias("deadline"), "slot", position.alias("position"))

@@ -1,4 +1,5 @@
 from collections import defaultdict
+from fractions import Fraction
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,3 +50,30 @@ def test_rows_follow_weights_without_loss(spark):
 
 def test_empty_table(spark):
     assert P.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
+
+
+def lags(blocks, weights, slots):
+    """The largest distance from the given weights while every source has blocks, in blocks."""
+    order = {}
+    for p in P.phases(blocks, weights, P.PERIOD):
+        order.update({p["first_slot"] + x: p["source_key"] for x in p["places"]})
+    total, got, most = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), 0
+    for t in range(slots):
+        got[order[t]] += 1
+        most = max(most, max(abs(got[s] - Fraction(w) / total * (t + 1)) for s, w in weights.items()) if t % 97 == 0 or t == slots - 1 else 0)
+    return most
+
+
+def test_many_periods_stay_within_a_block_of_the_given_weights():
+    for weights in ({"a": 0.9} | {f"s{i}": 0.1 / 7 for i in range(7)}, {f"s{i:02}": (1000 + 37 * i) ** 0.5 for i in range(20)}):
+        assert lags(dict.fromkeys(weights, 40 * P.PERIOD), weights, 20 * P.PERIOD) < 1
+    many = {"a": 0.5} | {f"s{i:03}": 0.5 / 999 for i in range(999)}
+    assert lags(dict.fromkeys(many, 8 * P.PERIOD), many, 4000) < 1
+
+
+def test_rows_follow_weights_over_many_periods(spark):
+    df = spark.range(40_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'a', concat('s', id % 7)) as source")
+    weights = {"a": 0.9} | {f"s{i}": 0.1 / 7 for i in range(7)}
+    got = P.mix(df, weights, block_rows=1, period=64).filter("slot < 20000 and source = 'a'").collect()
+    assert abs(len(got) - 18_000) < 1 and all(r.release <= r.slot < r.deadline for r in got)
+    assert all(r.release == r.block * 10 // 9 and r.deadline == -(-(r.block + 1) * 10 // 9) for r in got if r.block % 9 not in (0, 8))
