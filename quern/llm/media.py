@@ -23,6 +23,8 @@ RATE = 8000
 UNIT = 64
 #: Samples of a frame, from frame to frame, peaks of a frame, and frames ahead in which a peak finds its partner.
 FRAME, HOP, PEAKS, AHEAD = 128, 64, 2, 2
+#: Samples that AHEAD + 1 frames take, and the hop for fewer.
+LEAST, SHORT_HOP = FRAME + AHEAD * HOP, 8
 #: Frames transformed at a time, which bounds memory for long texts.
 SLICE = 8192
 WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -51,12 +53,14 @@ def from_wav(media: bytes) -> bytes:
 def peak_bins(samples: np.ndarray) -> np.ndarray:
     """The strongest local maxima of each frame's magnitude spectrum, as (frames, PEAKS) bins, -1 where there is none.
 
-    Ties go to the lower bin. Samples shorter than a frame are padded with silence.
+    Ties go to the lower bin. Samples shorter than AHEAD + 1 frames are set between silence and
+    taken at a shorter hop, so that short ones have many frames and pairs of their own.
     """
     x = samples.astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    hop = HOP
+    if len(x) < LEAST:
+        x, hop = np.pad(x, FRAME), SHORT_HOP
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::hop]
     found = []
     for a in range(0, len(frames), SLICE):
         power = np.abs(np.fft.rfft(frames[a : a + SLICE] * WINDOW, axis=1)).astype(np.float32)

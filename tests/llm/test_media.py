@@ -58,3 +58,9 @@ def test_rows(spark):
     assert list(r.pairs) == sorted(r.pairs)
     assert M.wav_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert {r.doc_id for r in M.stored_media(spark.createDataFrame([(5, "x")], "doc_id long, text string")).collect()} == {5}
+
+
+def test_short_texts_have_pairs_of_their_own():
+    short = [b"a", b"one two", b"three four", b"Short text.", b"x" * 65, b"some words of a line that is between one and two units long, here", b"q" * 128]
+    pairs = [tuple(M.features(M.to_wav(t))[1].tolist()) for t in short]
+    assert all(pairs) and len(set(pairs)) == len(short)
