@@ -3,7 +3,7 @@
 Documents are dealt in ranges of doc_id; each task encodes its range and writes one record file:
 
     record = length (uint64), masked crc32 of those 8 bytes (uint32), payload, masked crc32 of the payload (uint32)
-    payload = doc_id (int64), ids before it in its file (uint64), id width in bytes (uint32), ids
+    payload = doc_id (int64), ids before it in its file (uint64), id width in bytes (uint32, NO_ID added for a null doc_id), ids
 
 all little-endian; the mask is ((crc >> 15 | crc << 17) + 0xa282ead8) mod 2^32, crc being zlib's. The index is a Parquet
 table beside the files (doc_id, file, offset, length, ids before it, ids) whose rows are committed by Spark: a file of a
@@ -32,6 +32,8 @@ END_ID = 2
 HEAD, FOOT, LEAD = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qQI")
 INDEX = "doc_id long, file string, shard int, at long, length long, before long, n_tokens long"
 INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("shard", pa.int32()), ("at", pa.int64()), ("length", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64())])
+#: Marks a record whose doc_id is null.
+NO_ID = 1 << 31
 #: Bytes that the reader asks for at a time, if no single record is longer.
 READ_BYTES = 4 << 20
 
@@ -55,14 +57,14 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def payload_of(doc_id: int, before: int, ids: bytes, width: int) -> bytes:
-    return LEAD.pack(doc_id, before, width) + ids
+def payload_of(doc_id: int | None, before: int, ids: bytes, width: int) -> bytes:
+    return (LEAD.pack(0, before, width | NO_ID) if doc_id is None else LEAD.pack(doc_id, before, width)) + ids
 
 
-def parse(payload: bytes) -> tuple[int, int, np.ndarray]:
+def parse(payload: bytes) -> tuple[int | None, int, np.ndarray]:
     """doc_id, ids before it in its file, and its ids."""
     doc_id, before, width = LEAD.unpack_from(payload)
-    return doc_id, before, np.frombuffer(payload, f"<u{width}", offset=LEAD.size)
+    return None if width & NO_ID else doc_id, before, np.frombuffer(payload, f"<u{width & ~NO_ID}", offset=LEAD.size)
 
 
 def writer(folder: str, tokenizer_path: str, end_id: int):
@@ -78,7 +80,7 @@ def writer(folder: str, tokenizer_path: str, end_id: int):
                 rows = {c: [] for c in INDEX_SCHEMA.names}
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = encoder(text) + encoder.end
-                    record = frame(payload_of(-1 if doc_id is None else doc_id, before, ids, encoder.width))
+                    record = frame(payload_of(doc_id, before, ids, encoder.width))
                     out.write(record)
                     n = len(ids) // encoder.width
                     for c, v in zip(INDEX_SCHEMA.names, (doc_id, name, shard, at, len(record), before, n), strict=True):
@@ -95,7 +97,7 @@ def writer(folder: str, tokenizer_path: str, end_id: int):
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Write the record files and return their index, whose before column counts within a file.
 
-    Files follow each other in ascending doc_id by their shard number. A null doc_id comes first and is written as -1.
+    Files follow each other in ascending doc_id by their shard number. Null doc_ids come first.
     """
     rows = texts(docs)
     parts = max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -134,7 +136,7 @@ def reader(folder: str):
                     handle.seek(at)
                     held, held_at = handle.read(max(length, READ_BYTES)), at
                 kept, inside, ids = parse(unframe(held[at - held_at : at - held_at + length]))
-                if inside != before or (doc_id is not None and kept != doc_id):
+                if inside != before or kept != doc_id:
                     raise ValueError(f"{file} and the index differ at {at}")
                 for c, v in zip(schema.names, (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                     rows[c].append(v)
@@ -170,4 +172,5 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folde
     expose_package(spark)
     folder = folder or scratch_path(spark, "records")
     index = write_records(docs, folder, tokenizer_path, end_id)
+    drop_orphans(index, folder)
     return read_records(global_starts(index), folder)

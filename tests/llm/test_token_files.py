@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quern.llm import token_files as R
+from quern.llm import tokens as T
 from quern.llm.tokens import ChunkEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +30,21 @@ def test_round_trip_equals_library(spark, library):
     assert sorted(r.ids_crc32 for r in got) == want
 
 
+def test_an_id_of_minus_one_is_no_null(spark):
+    df = spark.createDataFrame([(None, "a b"), (-1, "a c"), (-1, "a b")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in R.round_trip(df, PATH).collect())
+    assert got == [("-1", 3), ("-1", 3), ("None", 3)]
+    assert R.parse(R.payload_of(None, 7, b"\1\0", 2))[:2] == (None, 7) and R.parse(R.payload_of(-1, 7, b"\1\0", 2))[0] == -1
+
+
+def test_a_full_cache_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(T, "CACHE", 3)
+    encoder = ChunkEncoder(PATH)
+    for text in ("one two three, four. five-six one two " * 3, "seven one, two. eight é x.y", "one  two three"):
+        assert np.frombuffer(encoder(text), encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encoder.pieces) <= 3
+
+
 def test_empty_table(spark):
     assert R.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
