@@ -1,15 +1,16 @@
 """LM scoring by deleted interpolation.
 
-P(w | v) = a_b * c(v, w) / c(v) + b_b * c(w) / N + g_b / (V + 1), where b is the bucket of v's frequency (powers of two)
-and the weights of each bucket are learnt by expectation-maximisation on held-out counts: every training token is held
-out in turn, which takes one from each count that it is part of. A text's first word follows the end mark.
-
-Words that make up at least 1 / MOST_WORDS of all training tokens are at most MOST_WORDS by arithmetic; their counts are
-broadcast. Rarer contexts form bucket 0, which has no bigram part. Counting and scoring each deal word pairs to buckets
-by hash: pairs of two frequent words by the pair, pairs with a rare word by that word, so that one bucket holds all that
-a count needs and no key is hot (the most frequent pairs, MOST_PAIRS at most, are broadcast and scored where they are
-read). A bucket gets packed arrays, sorted and compressed, and returns packed sums to the slices of rows that they came from;
-what is dealt grows with the corpus and no table of all pairs is ever in one place.
+P(w | v) = a_b * c(v, w) / c(v) + b_b * c(w) / N + g_b / (V + 1), where b is the bucket of v's frequency (0, then powers of
+two) and the weights of each bucket are learnt by expectation-maximisation on held-out counts: every training token is
+held out in turn, which takes one from each count that it is part of and from the frequency that its bucket goes by. A
+text's first word follows the end mark.
+
+Counts are fetched by those who need them. Texts are cut into tokens once, in slices of SLICE bytes, and written as packed
+arrays. A slice asks for each of its distinct words, and then for each of its distinct word pairs, once: what it has of
+them goes to a bucket by hash, the bucket adds up and returns the sums in the same order. So a word or pair that makes up
+a third of the corpus is one item a slice, no word or pair is left out, and no table of words or pairs is ever in one
+place. The buckets of pairs also add up the histogram that expectation-maximisation reads. Words and pairs are told apart
+by hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -27,24 +28,26 @@ from pyspark.sql import functions as F
 from quern.llm.common import byte_text, int64, materialize, texts
 from quern.llm.simhash import BLANKS, LOWER
 
-WORD_BITS = 20
-MASK = (1 << WORD_BITS) - 1
-MOST_WORDS = 1 << WORD_BITS
-MOST_PAIRS = 1 << 18
-#: Training tokens for each bucket that pairs are dealt to.
+#: Training tokens for each bucket.
 BUCKET_TOKENS = 3_000_000
-#: Bytes of text handled at a time.
-SLICE = 6 << WORD_BITS
-LEVELS = 48
+#: Bytes of text in a slice, if no single text is longer.
+SLICE = 3 << 20
+LEVELS = 64
 ROUNDS = 60
 SEED = 7
 END = b""
 #: Steps of a binary logarithm in the histogram that EM reads; 0 stands for probability 0.
 STEPS = 8
 OFFSET = 1 << 10
-PAIR, WORD, DONE = 0, 1, 2
-BLOBS = "bucket int, kind int, slice long, a binary, b binary, n binary, rows binary, flags binary"
-BLOB_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("slice", pa.int64()), *((c, pa.binary()) for c in ("a", "b", "n", "rows", "flags"))])
+STEP_BITS = 12
+STEP_MASK = (1 << STEP_BITS) - 1
+TOKENS = "slice long, n_train long, ids binary, nulls binary, train binary, sizes binary, places binary, hashes binary, counts binary"
+TOKEN_SCHEMA = pa.schema([("slice", pa.int64()), ("n_train", pa.int64()), *((c, pa.binary()) for c in ("ids", "nulls", "train", "sizes", "places", "hashes", "counts"))])
+ASKED = "bucket int, slice long, key binary, n binary, c1 binary, p1 binary"
+ASKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), *((c, pa.binary()) for c in ("key", "n", "c1", "p1"))])
+#: What a bucket returns: to a slice its counts, and of its own (slice null) a histogram.
+ANSWER = "slice long, bucket int, counts binary, cells binary, weights binary, seen long"
+ANSWER_SCHEMA = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("counts", "cells", "weights")), ("seen", pa.int64())])
 
 
 def pack(x: np.ndarray, ordered: bool = False) -> bytes:
@@ -61,35 +64,30 @@ def unpack(data: bytes, dtype: str, ordered: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=dtype) if ordered else x
 
 
-def spread(x: np.ndarray, buckets: int) -> np.ndarray:
-    """A bucket for each integer."""
-    with np.errstate(over="ignore"):
-        h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+def joined(parts: list[np.ndarray], dtype: str) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
-def runs_of(*columns: np.ndarray) -> np.ndarray:
-    """Where a new combination begins, in columns sorted together."""
-    new = np.zeros(len(columns[0]), bool)
-    if len(new):
-        new[0] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
 
 
-def sums_by(starts: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(x, starts) if len(starts) else x[:0]
+def dealing(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a slice deals its distinct keys: their order, by bucket and key, the buckets and where each begins."""
+    bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((keys, bucket))
+    found, starts = np.unique(bucket[order], return_index=True)
+    return order, found, starts
 
 
-def sizes_of(starts: np.ndarray, total: int) -> np.ndarray:
-    return np.diff(np.r_[starts, total]) if len(starts) else np.empty(0, np.int64)
+# --- tokens of slices
 
 
 def token_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, hashes of distinct tokens, each token's place among them, tokens of each row), a slice of rows at a time."""
+    """(first row, ascending hashes of distinct tokens, each token's place among them, tokens of each row), a slice of
+    rows at a time."""
     text, first = byte_text(batch.column("text")), 0
     while first < len(text):
         flat: list[bytes] = []
@@ -105,158 +103,155 @@ def token_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
             size += len(text[at])
             at += 1
         distinct = list(set(flat))
-        place = dict(zip(distinct, range(len(distinct)), strict=True))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct)).view(np.int64)
-        yield first, hashes, np.fromiter(map(place.__getitem__, flat), np.int32, len(flat)), np.array(sizes)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct))
+        order = np.argsort(hashes)
+        place = dict(zip(map(distinct.__getitem__, order), range(len(distinct)), strict=True))
+        yield first, hashes[order], np.fromiter(map(place.__getitem__, flat), np.uint32, len(flat)), np.array(sizes, np.uint32)
         first = at
 
 
-def count_tokens(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tokenise(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each slice; counts are of training tokens, in the order of hashes."""
+    number = TaskContext.get().partitionId() << 33
     for batch in source:
-        for _, hashes, places, _ in token_slices(batch):
-            yield pa.RecordBatch.from_pydict({"h": hashes, "c": np.bincount(places, minlength=len(hashes))})
-
-
-class Frequent:
-    """Frequent words, sorted by hash, and what is known of the corpus."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts, self.tokens, self.distinct = hashes[order], counts[order], tokens, distinct
-        level = np.log2(np.maximum(self.counts, 1)).astype(int)
-        self.level = np.minimum(1 + level - (level.min() if len(level) else 0), LEVELS - 1).astype(np.int32)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of hashes, -1 where a word isn't frequent."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1).astype(np.int32)
-
-
-def contexts(places: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
-    """The token before each; before a row's first token, the end mark."""
-    before = np.empty_like(places)
-    before[1:] = places[:-1]
-    before[np.cumsum(sizes) - sizes] = end
-    return before
-
-
-def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return left.astype(np.int64) << WORD_BITS | right.astype(np.int64)
+        ids, train = batch.column("doc_id"), batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
+        for first, hashes, places, sizes in token_slices(batch):
+            own, flags = ids.slice(first, len(sizes)), train[first : first + len(sizes)]
+            counts = np.bincount(places, weights=np.repeat(flags, sizes), minlength=len(hashes)).astype(np.uint32)
+            made = {
+                "slice": [number],
+                "n_train": [int(counts.sum())],
+                "ids": [pack(int64(own.fill_null(0)))],
+                "nulls": [pack(own.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))],
+                "train": [pack(flags)],
+                "sizes": [pack(sizes)],
+                "places": [pack(places)],
+                "hashes": [pack(hashes, True)],
+                "counts": [pack(counts)],
+            }
+            number += 1
+            yield pa.RecordBatch.from_pydict(made, TOKEN_SCHEMA)
+
+
+class Slice:
+    """A slice's tokens, as arrays."""
+
+    def __init__(self, table: pa.Table):
+        row = table.to_pylist()[0]
+        self.number = row["slice"]
+        self.ids, self.nulls, self.train = unpack(row["ids"], "<i8"), unpack(row["nulls"], "u1"), unpack(row["train"], "u1")
+        self.sizes, self.hashes = unpack(row["sizes"], "<u4").astype(np.int64), unpack(row["hashes"], "<u8", True)
+        places = unpack(row["places"], "<u4").astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        # the token before each; before a row's first token, the end mark
+        before = np.empty_like(places)
+        before[1:] = places[:-1]
+        before[np.cumsum(self.sizes) - self.sizes] = places[-1]
+        keys, self.pair = np.unique(before << 32 | places, return_inverse=True)
+        #: of each distinct pair, the places of its words
+        self.left, self.right = keys >> 32, keys & 0xFFFFFFFF
+
+    def pair_hashes(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed(self.hashes[self.left] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.hashes[self.right]))
+
+    def answered(self, keys: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
+        """Counts of keys, put together from what each bucket returned."""
+        order, _, _ = dealing(keys, buckets)
+        counts = np.empty(len(keys), np.int64)
+        counts[order] = joined([unpack(r["counts"], "<i8") for r in sorted(answers, key=lambda r: r["bucket"])], "<i8")
+        return counts
+
+
+# --- what slices ask and buckets answer
+
+
+def asked(number: int, buckets: int, keys: np.ndarray, n: np.ndarray, c1: np.ndarray | None = None, p1: np.ndarray | None = None) -> pa.RecordBatch:
+    order, found, starts = dealing(keys, buckets)
+    made: dict[str, list] = {c: [] for c in ASKED_SCHEMA.names}
+    for bucket, s, e in zip(found.tolist(), starts, [*starts[1:], len(order)], strict=True):
+        own = order[s:e]
+        values = (bucket, number, pack(keys[own], True), pack(n[own].astype(np.uint32)), b"" if c1 is None else pack(c1[own]), b"" if p1 is None else pack(p1[own].astype(np.uint16)))
+        for c, v in zip(ASKED_SCHEMA.names, values, strict=True):
+            made[c].append(v)
+    return pa.RecordBatch.from_pydict(made, ASKED_SCHEMA)
 
 
-def code(level: np.ndarray, p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    """A cell of the histogram."""
-
-    def step(p: np.ndarray) -> np.ndarray:
-        return np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-30)) * STEPS).astype(np.int64) + OFFSET, 0)
+def ask_words(buckets: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for number, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("slice", "hashes", "counts")), strict=True):
+                yield asked(number, buckets, unpack(hashes, "<u8", True), unpack(counts, "<u4"))
 
-    return level.astype(np.int64) << 40 | step(p2) << WORD_BITS | step(p1)
+    return run
 
 
-def cells(level: np.ndarray, p2: np.ndarray, p1: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(code(level, p2, p1), return_inverse=True)
-    return found, np.bincount(at, weights=weight, minlength=len(found)).astype(np.int64)
+def ask_pairs(buckets: int, tokens: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Slice(left)
+        counts = own.answered(own.hashes, right.to_pylist(), buckets)
+        n = np.bincount(own.pair, weights=own.train[own.row], minlength=len(own.left))
+        p1 = step((counts[own.right] - 1) / max(tokens - 1, 1))
+        return pa.Table.from_batches([asked(own.number, buckets, own.pair_hashes(), n, counts[own.left], p1)])
 
+    return run
 
-def deal(kind: int, bucket: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, row: np.ndarray | None = None, flag: np.ndarray | None = None, first: int = 0) -> Iterator[pa.RecordBatch]:
-    """One row of packed arrays for each bucket. a ascends within a bucket. row: places in a slice of rows, whose training
-    flags are flag and whose number is first."""
-    order = np.argsort(bucket, kind="stable")
-    if not len(order):
-        return
-    starts = runs_of(bucket[order])
-    made: dict[str, list] = {c: [] for c in BLOB_SCHEMA.names}
-    for s, e in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-        own = order[s:e]
-        rows, flags, second = b"", b"", b[own]
-        if row is not None:
-            used, local = np.unique(row[own], return_inverse=True)
-            rows, flags = pack(used.astype(np.int64), True), pack(flag[used])
-            second = second << WORD_BITS | local
-        for c, v in zip(BLOB_SCHEMA.names, (int(bucket[own[0]]), kind, first, pack(a[own], True), pack(second), pack(n[own].astype(np.uint32)), rows, flags), strict=True):
-            made[c].append(v)
-    yield pa.RecordBatch.from_pydict(made, BLOB_SCHEMA)
 
+def step(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-30)) * STEPS).astype(np.int64) + OFFSET, 0)
 
-def pair_counts(shared, buckets: int):
-    """Of training rows: counts of pairs for their buckets, and cells of pairs that need none."""
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: Frequent = shared.value
-        for batch in source:
-            for _, hashes, places, sizes in token_slices(batch):
-                known = frequent.find(hashes)
-                before = contexts(places, sizes, int(places[-1]))
-                left, right = known[before], known[places]
-                both = (left >= 0) & (right >= 0)
-                keys, n = np.unique(pair_key(left[both], right[both]), return_counts=True)
-                yield from deal(PAIR, spread(keys, buckets), keys, np.zeros(len(keys), np.int64), n)
-                rare = right < 0
-                h, l = hashes[places[rare]], left[rare].astype(np.int64) + 1
-                order = np.lexsort((l, h))
-                h, l = h[order], l[order]
-                starts = runs_of(h, l)
-                yield from deal(WORD, spread(h[starts], buckets), h[starts], l[starts], sizes_of(starts, len(h)))
-                alone = np.bincount(right[(left < 0) & (right >= 0)], minlength=1)
-                words = np.flatnonzero(alone)
-                if len(words):
-                    p1 = (frequent.counts[words] - 1) / max(frequent.tokens - 1, 1)
-                    found, weight = cells(np.zeros(len(words), int), np.zeros(len(words)), p1, alone[words])
-                    yield from deal(DONE, spread(found[:1], buckets).repeat(len(found)), found, np.zeros(len(found), np.int64), weight)
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """The bucket of a frequency: 0 for 0, k for 2 ** (k - 1) to 2 ** k - 1."""
+    return np.minimum(np.frexp(np.maximum(counts, 0).astype(float))[1], LEVELS - 1)
 
-    return run
 
+def code(level: np.ndarray, p2: np.ndarray, p1_step: np.ndarray) -> np.ndarray:
+    """A cell of the histogram."""
+    return level.astype(np.int64) << 2 * STEP_BITS | step(p2) << STEP_BITS | p1_step
 
-def joined(parts: list[np.ndarray], dtype: str) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.empty(0, dtype)
 
+def answer(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's sums: to each slice those of its keys, and once the number of keys with training tokens and, of pairs,
+    the histogram of their held-out probabilities."""
+    rows = [r for batch in group for r in batch.to_pylist()]
+    keys = [unpack(r["key"], "<u8", True) for r in rows]
+    first = np.cumsum([0, *map(len, keys)])
+    every, n = joined(keys, "<u8"), joined([unpack(r["n"], "<u4") for r in rows], "<u4").astype(np.int64)
+    del keys
+    order = np.argsort(every, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = every[order[1:]] != every[order[:-1]]
+    starts = np.flatnonzero(new)
+    sums = np.add.reduceat(n[order], starts)
+    counts = np.empty(len(order), np.int64)
+    counts[order] = sums[np.cumsum(new) - 1]
+    for r, s, e in zip(rows, first[:-1], first[1:], strict=True):
+        yield pa.RecordBatch.from_pydict({"slice": [r["slice"]], "bucket": [r["bucket"]], "counts": [pack(counts[s:e])], "cells": [None], "weights": [None], "seen": [0]}, ANSWER_SCHEMA)
+    cells, weights, seen = b"", b"", sums > 0
+    if rows[0]["c1"]:
+        one = order[starts[seen]]
+        c1, p1, c12 = joined([unpack(r["c1"], "<i8") for r in rows], "<i8")[one], joined([unpack(r["p1"], "<u2") for r in rows], "<u2")[one].astype(np.int64), sums[seen]
+        found, at = np.unique(code(level_of(c1 - 1), (c12 - 1) / np.maximum(c1 - 1, 1), p1), return_inverse=True)
+        cells, weights = pack(found), pack(np.bincount(at, weights=c12, minlength=len(found)).astype(np.int64))
+    yield pa.RecordBatch.from_pydict({"slice": [None], "bucket": [rows[0]["bucket"]], "counts": [None], "cells": [cells], "weights": [weights], "seen": [int(seen.sum())]}, ANSWER_SCHEMA)
+
+
+def opened(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in source:
+        for cells, weights in zip(batch.column("cells").to_pylist(), batch.column("weights").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_pydict({"key": unpack(cells, "<i8"), "n": unpack(weights, "<i8")})
 
-def statistics(shared):
-    """Of a bucket: histogram cells (kind 0) and pairs frequent enough to be broadcast (kind 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-
-    def run(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent: Frequent = shared.value
-        rows = [r for batch in group for r in batch.to_pylist()]
-        spare = max(frequent.tokens - 1, 1)
-        found: list[tuple[np.ndarray, np.ndarray]] = [(unpack(r["a"], "<i8", True), unpack(r["n"], "<u4").astype(np.int64)) for r in rows if r["kind"] == DONE]
-        pairs = [r for r in rows if r["kind"] == PAIR]
-        keys, n = joined([unpack(r["a"], "<i8", True) for r in pairs], "<i8"), joined([unpack(r["n"], "<u4") for r in pairs], "<u4").astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        starts = runs_of(keys)
-        keys, n = keys[starts], sums_by(starts, n)
-        left, right = keys >> WORD_BITS, keys & MASK
-        found.append(cells(frequent.level[left], (n - 1) / np.maximum(frequent.counts[left] - 1, 1), (frequent.counts[right] - 1) / spare, n))
-        top = n >= max(16, frequent.tokens // MOST_PAIRS)
-        yield pa.RecordBatch.from_pydict({"kind": np.ones(top.sum(), np.int32), "key": keys[top], "n": n[top]}, schema)
-        words = [r for r in rows if r["kind"] == WORD]
-        h, l, n = joined([unpack(r["a"], "<i8", True) for r in words], "<i8"), joined([unpack(r["b"], "<i8") for r in words], "<i8"), joined([unpack(r["n"], "<u4") for r in words], "<u4").astype(np.int64)
-        order = np.lexsort((l, h))
-        h, l, n = h[order], l[order], n[order]
-        own = runs_of(h)
-        c2 = np.repeat(sums_by(own, n), sizes_of(own, len(h)))
-        starts = runs_of(h, l)
-        c12, c2, l = sums_by(starts, n), c2[starts], l[starts]
-        known, at = l > 0, np.maximum(l - 1, 0)
-        if len(l):
-            level = np.where(known, frequent.level[at], 0)
-            p2 = np.where(known, (c12 - 1) / np.maximum(frequent.counts[at] - 1, 1), 0.0)
-            found.append(cells(level, p2, (c2 - 1) / spare, c12))
-        all_cells, weight = np.concatenate([f for f, _ in found]), np.concatenate([w for _, w in found])
-        merged, at = np.unique(all_cells, return_inverse=True)
-        yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(merged), np.int32), "key": merged, "n": np.bincount(at, weights=weight, minlength=len(merged)).astype(np.int64)}, schema)
 
-    return run
+# --- weights and scores
 
 
 def expectation_maximisation(histogram: np.ndarray, weight: np.ndarray, distinct: int) -> np.ndarray:
     """Weights (bigram, unigram, uniform) of each level, as (LEVELS, 3)."""
-    level, s2, s1 = histogram >> 40, histogram >> WORD_BITS & MASK, histogram & MASK
+    level, s2, s1 = histogram >> 2 * STEP_BITS, histogram >> STEP_BITS & STEP_MASK, histogram & STEP_MASK
     parts = np.stack([np.where(s > 0, 2.0 ** ((s - OFFSET) / STEPS), 0.0) for s in (s2, s1)] + [np.full(len(level), 1 / (distinct + 1))], axis=1)
     mix = np.full((LEVELS, 3), 1 / 3)
+    # a context that was never seen has no bigrams
     mix[0] = (0, 0.5, 0.5)
     for _ in range(ROUNDS):
         share = parts * mix[level]
@@ -267,137 +262,31 @@ def expectation_maximisation(histogram: np.ndarray, weight: np.ndarray, distinct
     return mix
 
 
-def log_mix(frequent: Frequent, mix: np.ndarray, left: np.ndarray, c12: np.ndarray, c2: np.ndarray) -> np.ndarray:
-    """log10 of the model's probability; left -1 is a rare context."""
-    if not len(left):
-        return np.empty(0)
-    known, at = left >= 0, np.maximum(left, 0)
-    level = np.where(known, frequent.level[at], 0) if len(frequent.level) else np.zeros(len(left), int)
-    c1 = np.where(known, frequent.counts[at], 1) if len(frequent.counts) else np.ones(len(left))
-    return np.log10(mix[level, 0] * np.where(known, c12 / c1, 0.0) + mix[level, 1] * c2 / max(frequent.tokens, 1) + mix[level, 2] / (frequent.distinct + 1))
+def log_mix(mix: np.ndarray, tokens: int, distinct: int, c1: np.ndarray, c12: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """log10 of the model's probability."""
+    own = mix[level_of(c1)]
+    return np.log10(own[:, 0] * c12 / np.maximum(c1, 1) + own[:, 1] * c2 / max(tokens, 1) + own[:, 2] / (distinct + 1))
 
 
-def log_base(frequent: Frequent, c2: np.ndarray) -> np.ndarray:
-    return np.log10((c2 + 1) / (frequent.tokens + frequent.distinct + 1))
+RESULT = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
-def row_parts(shared, buckets: int):
-    """Of all rows: pairs dealt to their buckets, and what needs no bucket as sums for each row (kind DONE)."""
+def score_slice(mix: np.ndarray, buckets: int, tokens: int, distinct: int):
+    """The rows of a slice, from its tokens and the counts that were returned to it."""
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, mix, pairs, pair_n = shared.value
-        uid = TaskContext.get().partitionId() << 33
-        for batch in source:
-            ids, train = batch.column("doc_id"), batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
-            for first, hashes, places, sizes in token_slices(batch):
-                known = frequent.find(hashes)
-                left, right = known[contexts(places, sizes, int(places[-1]))], known[places]
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                flags, number = train[first : first + len(sizes)], uid + first
-                here = right >= 0
-                c2 = frequent.counts[np.maximum(right, 0)] if len(frequent.counts) else np.zeros(len(right))
-                n_known = np.bincount(row, weights=here, minlength=len(sizes)).astype(np.int64)
-                base = np.bincount(row[here], weights=log_base(frequent, c2[here]), minlength=len(sizes))
-                score = np.zeros(len(sizes))
-                alone = here & (left < 0)
-                score += np.bincount(row[alone], weights=log_mix(frequent, mix, left[alone], np.zeros(alone.sum()), c2[alone]), minlength=len(sizes))
-                both = np.flatnonzero(here & (left >= 0))
-                keys = pair_key(left[both], right[both])
-                at = np.minimum(np.searchsorted(pairs, keys), max(len(pairs) - 1, 0))
-                hot = pairs[at] == keys if len(pairs) else np.zeros(len(keys), bool)
-                own = both[hot]
-                score += np.bincount(row[own], weights=log_mix(frequent, mix, left[own], pair_n[at[hot]] if len(pairs) else np.empty(0), c2[own]), minlength=len(sizes))
-                keys, own = keys[~hot], row[both[~hot]]
-                packed, n = np.unique(keys << WORD_BITS | own, return_counts=True)
-                yield from deal(PAIR, spread(packed >> WORD_BITS, buckets), packed >> WORD_BITS, np.zeros(len(packed), np.int64), n, packed & MASK, flags, number)
-                rare = np.flatnonzero(~here)
-                h, l = hashes[places[rare]], (left[rare].astype(np.int64) + 1) << WORD_BITS | row[rare]
-                order = np.lexsort((l, h))
-                h, l = h[order], l[order]
-                starts = runs_of(h, l)
-                yield from deal(WORD, spread(h[starts], buckets), h[starts], l[starts] >> WORD_BITS, sizes_of(starts, len(h)), l[starts] & MASK, flags, number)
-                done = np.stack([base, score], axis=1)
-                counts = np.stack([sizes, n_known], axis=1).astype(np.int64)
-                own_ids = ids.slice(first, len(sizes))
-                blob = {"bucket": spread(np.array([number]), buckets), "kind": np.array([DONE], np.int32), "slice": [number], "a": [int64(own_ids.fill_null(-1)).tobytes()], "b": [done.tobytes()], "n": [counts.tobytes()], "rows": [b""], "flags": [own_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()]}
-                yield pa.RecordBatch.from_pydict(blob, BLOB_SCHEMA)
-            uid += batch.num_rows
-
-    return run
-
-
-SUMS = "slice long, kind int, rows binary, a binary, n binary, sums binary, flags binary"
-SUM_SCHEMA = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("rows", "a", "n", "sums", "flags"))])
-
-
-def bucket_scores(shared):
-    """Of a bucket: for each slice of rows that was dealt to it, packed sums (n_known, base, score) of its rows."""
-
-    def run(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, mix, _, _ = shared.value
-        rows = [r for batch in group for r in batch.to_pylist()]
-        made: dict[str, list] = {c: [] for c in SUM_SCHEMA.names}
-
-        def put(*values: object) -> None:
-            for c, v in zip(SUM_SCHEMA.names, values, strict=True):
-                made[c].append(v)
-
-        for r in rows:
-            if r["kind"] == DONE:
-                put(r["slice"], DONE, b"", r["a"], r["n"], r["b"], r["flags"])
-        for kind in (PAIR, WORD):
-            own = [r for r in rows if r["kind"] == kind]
-            if not own:
-                continue
-            places, flags = [unpack(r["rows"], "<i8", True) for r in own], np.concatenate([unpack(r["flags"], "u1") for r in own])
-            first = np.cumsum([0, *map(len, places)])
-            second = [unpack(r["b"], "<i8") for r in own]
-            row = np.concatenate([(s & MASK) + f for s, f in zip(second, first, strict=False)])
-            l = np.concatenate([s >> WORD_BITS for s in second])
-            a, n = np.concatenate([unpack(r["a"], "<i8", True) for r in own]), np.concatenate([unpack(r["n"], "<u4") for r in own]).astype(np.int64)
-            del second
-            order = np.argsort(a, kind="stable") if kind == PAIR else np.lexsort((l, a))
-            a, l, n, row = a[order], l[order], n[order], row[order]
-            learnt = n * flags[row]
-            starts = runs_of(a) if kind == PAIR else runs_of(a, l)
-            c12 = np.repeat(sums_by(starts, learnt), sizes_of(starts, len(a)))
-            if kind == PAIR:
-                left, c2 = a >> WORD_BITS, frequent.counts[a & MASK]
-            else:
-                words = runs_of(a)
-                left, c2 = l - 1, np.repeat(sums_by(words, learnt), sizes_of(words, len(a)))
-                base = np.bincount(row, weights=n * log_base(frequent, c2), minlength=first[-1])
-                known = np.bincount(row, weights=n * (c2 > 0), minlength=first[-1]).astype(np.int64)
-            score = np.bincount(row, weights=n * log_mix(frequent, mix, left, c12, c2), minlength=first[-1])
-            for r, at, s, e in zip(own, places, first[:-1], first[1:], strict=True):
-                sums = score[s:e] if kind == PAIR else np.concatenate([base[s:e], score[s:e]])
-                put(r["slice"], kind, pack(at, True), b"", b"" if kind == PAIR else pack(known[s:e]), sums.tobytes(), b"")
-        yield pa.RecordBatch.from_pydict(made, SUM_SCHEMA)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, answers = Slice(left), right.to_pylist()
+        counts = own.answered(own.hashes, [r for r in answers if not r["pairs"]], buckets)
+        c12 = own.answered(own.pair_hashes(), [r for r in answers if r["pairs"]], buckets)
+        c2 = counts[own.right]
+        score, base = log_mix(mix, tokens, distinct, counts[own.left], c12, c2), np.log10((c2 + 1) / (tokens + distinct + 1))
+        n = len(own.sizes)
+        sums = [np.bincount(own.row, weights=x[own.pair], minlength=n) for x in (c2 > 0, base, score)]
+        return pa.table({"doc_id": pa.array(own.ids, mask=own.nulls > 0), "n_tokens": own.sizes, "n_known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
 
     return run
 
 
-TOTALS = "doc_id long, n_tokens long, n_known long, base double, score double"
-TOTAL_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-
-def add_up(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a slice of rows: what it knew itself and the sums of all buckets, one row a row."""
-    rows = [r for batch in group for r in batch.to_pylist()]
-    done = next(r for r in rows if r["kind"] == DONE)
-    counts, sums = np.frombuffer(done["n"], "<i8").reshape(-1, 2).copy(), np.frombuffer(done["sums"], "<f8").reshape(-1, 2).copy()
-    for r in rows:
-        if r["kind"] == DONE:
-            continue
-        at, got = unpack(r["rows"], "<i8", True), np.frombuffer(r["sums"], "<f8")
-        if r["kind"] == WORD:
-            counts[at, 1] += unpack(r["n"], "<i8")
-            sums[at, 0] += got[: len(at)]
-        sums[at, 1] += got[-len(at) :]
-    ids = pa.array(np.frombuffer(done["a"], "<i8"), mask=np.frombuffer(done["flags"], np.uint8) > 0)
-    yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (counts[:, 0], counts[:, 1], sums[:, 0], sums[:, 1]))], schema=TOTAL_SCHEMA)
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -406,23 +295,23 @@ def interpolated_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs and whole texts.
 
     Null and empty texts are the end mark alone. Rows that repeat a doc_id are scored each on its own. A null doc_id is
-    not held out. Without training rows every count is 0 and every log probability that of the uniform part.
+    not held out. Without training rows every count is 0 and every log probability that of the uniform part. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     rows = texts(docs).withColumn("train", ~held_out(F.col("doc_id")))
-    counted = materialize(rows.filter("train").select("text").mapInArrow(count_tokens, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
-    total = counted.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, distinct = total["n"] or 0, total["v"]
-    top = counted.filter(F.col("c") >= max(1, -(-tokens // MOST_WORDS))).toPandas()
-    frequent = Frequent(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), tokens, distinct)
-    shared = spark.sparkContext.broadcast(frequent)
+    slices = materialize(rows.mapInArrow(tokenise, TOKENS), "lm-tokens")
+    tokens = slices.agg(F.sum("n_train")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
-    dealt = rows.filter("train").select("text").mapInArrow(pair_counts(shared, buckets), BLOBS)
-    learnt = materialize(dealt.groupBy("bucket").applyInArrow(statistics(shared), "kind int, key long, n long"), "lm-statistics")
-    histogram = learnt.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    pairs = learnt.filter("kind = 1").select("key", "n").toPandas().sort_values("key")
+    words = slices.select("slice", "hashes", "counts").mapInArrow(ask_words(buckets), ASKED)
+    words = materialize(words.groupBy("bucket").applyInArrow(answer, ANSWER), "lm-words")
+    distinct = words.filter("slice is null").agg(F.sum("seen")).first()[0] or 0
+    counts = words.filter("slice is not null").select("slice", "bucket", "counts", F.lit(False).alias("pairs"))
+    pairs = slices.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(ask_pairs(buckets, tokens), ASKED)
+    pairs = materialize(pairs.groupBy("bucket").applyInArrow(answer, ANSWER), "lm-pairs")
+    cells = pairs.filter("slice is null").select("cells", "weights").mapInArrow(opened, "key long, n long")
+    histogram = cells.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     mix = expectation_maximisation(histogram["key"].to_numpy(np.int64), histogram["n"].to_numpy(float), distinct)
-    model = spark.sparkContext.broadcast((frequent, mix, pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)))
-    parts = rows.mapInArrow(row_parts(model, buckets), BLOBS).groupBy("bucket").applyInArrow(bucket_scores(model), SUMS)
-    summed = parts.groupBy("slice").applyInArrow(add_up, TOTALS)
-    return summed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    every = counts.unionByName(pairs.filter("slice is not null").select("slice", "bucket", "counts", F.lit(True).alias("pairs")))
+    scored = slices.groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(score_slice(mix, buckets, tokens, distinct), RESULT)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -23,7 +23,11 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def brute(rows, mix, least):
+def level(n):
+    return n.bit_length()
+
+
+def brute(rows, mix):
     """Scores from plain counts, given the weights."""
     c1, c2 = Counter(), Counter()
     for i, t in rows:
@@ -32,30 +36,42 @@ def brute(rows, mix, least):
             c1.update(w)
             c2.update(zip(["", *w], w, strict=False))
     n, v = sum(c1.values()), len(c1)
-    frequent = {w for w, c in c1.items() if c >= least}
-    low = int(math.log2(min(c1[w] for w in frequent))) if frequent else 0
     out = []
     for i, t in rows:
         w, score, base = words(t), 0.0, 0.0
         for a, b in zip(["", *w], w, strict=False):
-            level = min(1 + int(math.log2(c1[a])) - low, I.LEVELS - 1) if a in frequent else 0
-            p2 = c2[a, b] / c1[a] if a in frequent else 0.0
-            score += math.log10(mix[level][0] * p2 + mix[level][1] * c1[b] / n + mix[level][2] / (v + 1))
+            own = mix[level(c1[a])]
+            score += math.log10(own[0] * c2[a, b] / max(c1[a], 1) + own[1] * c1[b] / n + own[2] / (v + 1))
             base += math.log10((c1[b] + 1) / (n + v + 1))
         out.append((i, held(i), len(w), sum(c1[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most_words", [1 << 20, 40])
-def test_scores_equal_plain_counts(spark, monkeypatch, most_words):
-    monkeypatch.setattr(I, "MOST_WORDS", most_words)
+def brute_histogram(rows):
+    """Tokens by level, bigram and unigram probability without themselves."""
+    c1, c2, cells = Counter(), Counter(), Counter()
+    trained = [words(t) for i, t in rows if not held(i)]
+    for w in trained:
+        c1.update(w)
+        c2.update(zip(["", *w], w, strict=False))
+    n = sum(c1.values())
+    for w in trained:
+        for a, b in zip(["", *w], w, strict=False):
+            p = np.array([(c2[a, b] - 1) / max(c1[a] - 1, 1)]), np.array([(c1[b] - 1) / (n - 1)])
+            cells[int(I.code(np.array([level(c1[a] - 1)]), p[0], I.step(p[1]))[0])] += 1
+    return dict(cells)
+
+
+@pytest.mark.parametrize("bucket_tokens", [3_000_000, 3])
+def test_scores_equal_plain_counts(spark, monkeypatch, bucket_tokens):
+    monkeypatch.setattr(I, "BUCKET_TOKENS", bucket_tokens)
     seen = []
     learn = I.expectation_maximisation
-    monkeypatch.setattr(I, "expectation_maximisation", lambda *a: seen.append(learn(*a)) or seen[-1])
+    monkeypatch.setattr(I, "expectation_maximisation", lambda *a: seen.append((a, learn(*a))) or seen[-1][1])
     df = spark.createDataFrame([(i, t, 1) for i, t in ROWS], "doc_id long, text string, score int").repartition(5)
     got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in I.interpolated_scores(df).collect()]
-    total = sum(len(words(t)) for i, t in ROWS if not held(i))
-    assert sorted(got, key=str) == brute(ROWS, seen[0], max(1, -(-total // most_words)))
+    assert sorted(got, key=str) == brute(ROWS, seen[0][1])
+    assert dict(zip(seen[0][0][0].tolist(), seen[0][0][1].astype(int).tolist(), strict=True)) == brute_histogram(ROWS)
 
 
 def test_empty_and_untrained(spark):
@@ -66,11 +82,25 @@ def test_empty_and_untrained(spark):
 
 
 def test_weights_are_mixtures_and_prefer_what_predicts():
-    histogram = I.code(np.array([3, 5]), np.array([0.5, 0.0]), np.array([0.001, 0.01]))
+    histogram = I.code(np.array([3, 5]), np.array([0.5, 0.0]), I.step(np.array([0.001, 0.01])))
     mix = I.expectation_maximisation(histogram, np.array([1000.0, 1000.0]), 5000)
     assert np.allclose(mix.sum(axis=1), 1) and mix[3, 0] > 0.9 and mix[5, 1] > 0.9 and mix[0, 0] == 0
 
 
+def test_levels_are_powers_of_two():
+    n = np.array([0, 1, 2, 3, 4, 7, 8, 2**40 - 1, 2**40])
+    assert I.level_of(n).tolist() == [level(int(x)) for x in n]
+
+
+def test_a_word_of_most_rows_is_one_item_a_slice(spark):
+    """A bucket gets each key once from a slice, however often it occurs there."""
+    df = spark.range(2000).selectExpr("id as doc_id", "'hot hot hot' as text").repartition(4)
+    slices = I.texts(df).withColumn("train", I.F.lit(True)).mapInArrow(I.tokenise, I.TOKENS)
+    items = slices.mapInArrow(I.ask_words(2), I.ASKED).collect()
+    assert sum(len(I.unpack(r.key, "<u8", True)) for r in items) == 2 * slices.count() <= 16
+    assert sum(I.unpack(r.n, "<u4").sum() for r in items) == 8000
+
+
 @given(st.lists(st.integers(-(2**62), 2**62), max_size=50))
 def test_packed_arrays_come_back(values):
     x = np.array(sorted(values), np.int64)
