@@ -2,7 +2,8 @@
 
 Texts are lower-cased and everything that is no letter becomes a blank; character 1- to 3-grams are hashed to BUCKETS.
 Training adds up n-gram counts by language (one small count table per task, summed by Spark); the matrix of smoothed
-log probabilities, languages by BUCKETS, is broadcast. Scoring gathers a text's n-grams in numpy.
+log probabilities, languages by BUCKETS, is broadcast. Scoring multiplies sparse rows of n-gram counts, a batch of texts at a
+time, with the matrix in numpy. Long texts are read in slices that overlap by what an n-gram needs, so none is lost.
 """
 
 from __future__ import annotations
@@ -29,16 +30,17 @@ RESULT = "doc_id long, lang_pred string, score double"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 #: Odd multipliers of the n-gram hash.
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
-#: Characters handled at a time.
-SLICE = 1 << 20
+#: Characters of a slice, and slices that are scored together.
+SLICE = 1 << 18
+GROUP = 64
 
 
 def letters(text: str) -> str:
     return f" {NO_LETTER.sub(' ', text.lower()).strip()} "
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Hashed n-grams of letters(text), all orders."""
+def ngrams(text: str, first: int = 0) -> np.ndarray:
+    """Hashed n-grams of letters(text), all orders, that end at character `first` or later."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     out, held = [], np.zeros(len(points), np.uint32)
     with np.errstate(over="ignore"):
@@ -47,10 +49,18 @@ def ngrams(text: str) -> np.ndarray:
                 break
             held = (held[: len(points) - n + 1] ^ points[n - 1 :]) * MIX[n - 1]
             held ^= held >> np.uint32(15)
-            out.append(((held * MIX[2]) >> np.uint32(17)).astype(np.int32))
+            out.append(((held * MIX[2]) >> np.uint32(17)).astype(np.int32)[max(0, first - n + 1) :])
     return np.concatenate(out)
 
 
+def sliced_ngrams(text: str) -> Iterator[np.ndarray]:
+    """ngrams(text), a slice at a time; a slice begins with the last characters of the one before."""
+    more = max(ORDERS) - 1
+    for a in range(0, len(text), SLICE):
+        lead = min(a, more)
+        yield ngrams(text[a - lead : a + SLICE], lead)
+
+
 def count_task(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's n-gram counts, one row a language; the last count is of texts."""
     totals: dict[str, np.ndarray] = {}
@@ -59,9 +69,8 @@ def count_task(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if HAS_LETTER.search(text):
                 have = totals.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 have[BUCKETS] += 1
-                text = letters(text)
-                for a in range(0, len(text), SLICE):
-                    have[:BUCKETS] += np.bincount(ngrams(text[a : a + SLICE]), minlength=BUCKETS)
+                for found in sliced_ngrams(letters(text)):
+                    have[:BUCKETS] += np.bincount(found, minlength=BUCKETS)
     if totals:
         yield pa.RecordBatch.from_pydict({"label": list(totals), "counts": list(totals.values())})
 
@@ -70,19 +79,33 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, log probabilities) from (text, label) rows, over every row and whole texts.
 
     Each task sends one row of counts for each language; the sums have languages x BUCKETS entries, whatever the input.
+    Languages are counted first: more than MOST_LANGUAGES raise ValueError before anything is gathered.
     """
+    named = labelled.select("label").distinct().limit(MOST_LANGUAGES + 1).count()
+    if named > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages, which is what fit() takes")
     parts = labelled.mapInArrow(count_task, "label string, counts array<long>")
     cells = parts.select("label", F.posexplode("counts").alias("bucket", "n")).filter("n > 0")
     sums = cells.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["label"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; fit() takes {MOST_LANGUAGES}")
     counts = np.zeros((len(langs), BUCKETS + 1))
     counts[sums["label"].map({k: i for i, k in enumerate(langs)}).to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"]
     seen, cells = counts[:, BUCKETS], counts[:, :BUCKETS] + SMOOTHING
     return langs, np.log(seen / max(seen.sum(), 1)), np.log(cells / cells.sum(axis=1, keepdims=True))
 
 
+def add_scores(total: np.ndarray, rows: list[tuple[int, np.ndarray]], table: np.ndarray) -> None:
+    """Add to each text's row the log probabilities of its n-grams: the sparse matrix of texts by distinct buckets, in
+    coordinates (text, bucket, count), times the dense one."""
+    if not rows:
+        return
+    first = rows[0][0]
+    key, n = np.unique(np.concatenate([np.int64(i - first) * BUCKETS + found for i, found in rows]), return_counts=True)
+    text, bucket = np.divmod(key, BUCKETS)
+    starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    total[first + text[starts]] += np.add.reduceat(n[:, None] * table[bucket].astype(np.float64), starts, axis=0)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of lang_pred) for every row of docs.
 
@@ -94,20 +117,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
 
     def one(batch: pa.RecordBatch) -> dict:
         langs, prior, table = shared.value
-        found, scores = [], []
-        for text in batch.column("text").to_pylist():
-            if not langs or not HAS_LETTER.search(text):
-                found.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            text, total = letters(text), prior.copy()
-            for a in range(0, len(text), SLICE):
-                buckets, n = np.unique(ngrams(text[a : a + SLICE]), return_counts=True)
-                total += n @ table[buckets].astype(np.float64)
-            best = int(total.argmax())
-            found.append(langs[best])
-            scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
-        return {"doc_id": batch.column("doc_id"), "lang_pred": found, "score": scores}
+        text = batch.column("text").to_pylist()
+        total = np.zeros((len(text), len(langs)))
+        known = [i for i, t in enumerate(text) if langs and HAS_LETTER.search(t)]
+        rows: list[tuple[int, np.ndarray]] = []
+        for i in known:
+            total[i] += prior
+            for found in sliced_ngrams(letters(text[i])):
+                rows.append((i, found))
+                if len(found) >= SLICE or len(rows) >= GROUP:
+                    add_scores(total, rows, table)
+                    rows = []
+        add_scores(total, rows, table)
+        names, scores = [UNKNOWN] * len(text), np.zeros(len(text))
+        if known:
+            own = total[known]
+            best = own.argmax(axis=1)
+            scores[known] = 1 / np.exp(np.minimum(own - own.max(axis=1, keepdims=True), 0)).sum(axis=1)
+            for i, k in zip(known, best, strict=True):
+                names[i] = langs[k]
+        return {"doc_id": batch.column("doc_id"), "lang_pred": names, "score": scores}
 
     return texts(docs).mapInArrow(batches(one, SCHEMA), RESULT)
 

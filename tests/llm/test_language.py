@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quern.llm import language as G
 
@@ -36,3 +37,40 @@ def test_defined_results(spark):
     unlabelled = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in G.identify(unlabelled).collect()] == ["und"]
     assert G.identify(unlabelled.filter("false")).count() == 0
+
+
+def plain_letters(text):
+    import re
+
+    return " " + re.sub(r"[^a-zäöüéè]+", " ", text.lower()).strip() + " "
+
+
+def test_slices_lose_no_ngrams(monkeypatch):
+    text = G.letters("".join("abcdefghij klmnopq"[i * 7 % 18] for i in range(500)))
+    want = Counter(G.ngrams(text).tolist())
+    assert sum(want.values()) == 3 * len(text) - 3
+    for size in (1, 2, 3, 5, 64, 499):
+        monkeypatch.setattr(G, "SLICE", size)
+        assert Counter(np.concatenate(list(G.sliced_ngrams(text))).tolist()) == want
+
+
+def test_posteriors_equal_plain_sums(spark):
+    """log prior plus each n-gram's log probability, one at a time, for texts of mixed languages and over a slice."""
+    train = [("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der hund und die katze", "de"), ("the end", "en")]
+    model = langs, prior, table = G.fit(spark.createDataFrame(train, "text string, label string"))
+    words = " ".join(t for t, _ in train).split()
+    rows = [(i, " ".join(words[(i * 5 + k * k) % len(words)] for k in range(1 + i % 9))) for i in range(200)] + [(1000, "le chat and der hund " * 30_000)]
+    assert len(rows[-1][1]) > 2 * G.SLICE
+    got = {r.doc_id: r for r in G.predict(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        # as the matrix that is sent is of float32
+        sums = prior + sum(n * table[:, b].astype(np.float32).astype(float) for b, n in Counter(G.ngrams(plain_letters(text)).tolist()).items())
+        share = np.exp(sums - sums.max())
+        assert got[i].lang_pred == langs[int(sums.argmax())] and abs(got[i].score - 1 / share.sum()) < 1e-6
+
+
+def test_too_many_languages_are_refused(spark):
+    df = spark.range(G.MOST_LANGUAGES + 1).selectExpr("'text' as text", "concat('l', id) as label")
+    with pytest.raises(ValueError):
+        G.fit(df)
