@@ -4,8 +4,10 @@ A source with weight w owns blocks 0, 1, 2, ... of its documents. Block j is rel
 ceil((j + 1) / w). One block fills one slot; in each slot the released block with the earliest deadline runs. On one
 sequence with weights that add up to 1, that meets every deadline, so after t slots a source is less than one block off
 w * t. Weights are taken as given, as fractions, and every slot is worked out, so nothing is rounded and no error adds
-up: the driver takes one step for each block of BLOCK_ROWS documents. When a source runs out of blocks, a new phase
-begins in which the others share its weight in proportion; there are at most as many phases as sources.
+up. A schedule has MOST_BLOCKS blocks or about as many, whatever the table's size: a block is BLOCK_ROWS documents or, of
+larger tables, an even share of all, so that the driver's work and the plan it broadcasts are bounded. When a source runs
+out of blocks, a new phase begins in which the others share its weight in proportion; there are at most as many phases as
+sources.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import count, islice
-from math import floor, lcm
+from itertools import count
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +25,16 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import expose_package, materialize
 
-#: Blocks of a source in one row of the plan, and documents in a block.
+#: Blocks of a source in one row of the plan, documents in a block at least, and blocks of a schedule (at most one more
+#: for each source).
 PERIOD = 512
 BLOCK_ROWS = 16
+MOST_BLOCKS = 1 << 20
 #: Weights are of sources named by the caller or found in the data; more than these are refused, not cut.
 MOST_SOURCES = 1_000
 NO_SOURCE = "\0none"
 
 
-def whole_parts(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Parts of the period by largest remainder, one at least."""
-    total = sum(weights.values())
-    period = max(period, 4 * len(weights))
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    parts = {s: 1 + floor(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (floor(exact[s]) - exact[s], s))[: period - sum(parts.values())]:
-        parts[s] += 1
-    return parts
-
-
 def pfair(parts: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
     """(source, block, release, deadline) of each slot, without end: earliest deadline first among released blocks; ties
     by name. A source's weight is its parts over the sum of parts, exactly."""
@@ -59,11 +52,6 @@ def pfair(parts: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
         heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
 
 
-def pfair_period(parts: dict[str, int]) -> list[str]:
-    """The source of each slot of one period."""
-    return [s for s, _, _, _ in islice(pfair(parts), sum(parts.values()))]
-
-
 def exact_parts(weights: dict[str, float]) -> dict[str, int]:
     """Whole numbers in the very proportion of the weights."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -132,11 +120,12 @@ def plan_table(spark: SparkSession, plan: Iterator[dict], period: int) -> DataFr
     return table.withColumn("chunk", F.expr(f"first_block div {period}"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
     """Every row of docs with its place in the mixture: doc_id, source, block, release, deadline, slot, position.
 
     weights: target weights by source; those not named get a millionth of the least given; by default a
-    source weighs the square root of its rows. release and deadline are slots counted from the start of the sequence,
+    source weighs the square root of its rows. block_rows: documents in a block; by default BLOCK_ROWS or, where that
+    makes more than MOST_BLOCKS blocks, rows / MOST_BLOCKS. release and deadline are slots counted from the start of the sequence,
     in the phase that the block falls in, by the weights as given. position is slot * block_rows + place in the block, unique for each row and
     ascending in mixture order (a source's last block may be shorter, so positions can skip). Rows with a null source
     form a source of their own. Equal doc_ids get neighbouring places. An empty table gives an empty result.
@@ -146,6 +135,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     rows, totals = ranked(docs)
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"{len(totals)} sources; mix() takes {MOST_SOURCES}")
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(totals.values()) // MOST_BLOCKS))
     given = weights or {s: n**0.5 for s, n in totals.items()}
     least = min([w for w in given.values() if w > 0], default=1.0) * 1e-6
     plan = phases({s: -(-n // block_rows) for s, n in totals.items()}, {s: max(given.get(s, 0.0), least) for s in totals}, period)

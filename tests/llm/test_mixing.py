@@ -1,5 +1,7 @@
 from collections import defaultdict
 from fractions import Fraction
+from itertools import islice
+from math import ceil, floor
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,16 +9,45 @@ from hypothesis import strategies as st
 from quern.llm import mixing as P
 
 
+def slow_edf(weights, slots):
+    """Every slot from the definitions, over all sources: release floor(j / w), deadline ceil((j + 1) / w)."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    share, done, out = {s: w / sum(exact.values()) for s, w in exact.items()}, dict.fromkeys(weights, 0), []
+    for t in range(slots):
+        open_ = [(ceil((done[s] + 1) / w), s) for s, w in share.items() if floor(done[s] / w) <= t]
+        due, s = min(open_)
+        out.append((s, done[s], floor(done[s] / share[s]), due))
+        done[s] += 1
+    return out
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdefgh"), st.floats(0.01, 100), min_size=1), st.integers(1, 200))
-def test_a_period_stays_within_a_block(weights, period):
-    parts = P.whole_parts(weights, period)
-    slots = P.pfair_period(parts)
-    total, got = len(slots), defaultdict(int)
-    for t, s in enumerate(slots, 1):
+@given(st.dictionaries(st.sampled_from("abcdefgh"), st.floats(0.01, 100), min_size=1))
+def test_slots_equal_slow_ones_and_stay_within_a_block(weights):
+    slots = slow_edf(weights, 150)
+    assert list(islice(P.pfair(P.exact_parts(weights)), 150)) == slots
+    total, got = sum(map(Fraction, weights.values())), defaultdict(int)
+    for t, (s, *_) in enumerate(slots, 1):
+        got[s] += 1
+        assert all(abs(got[x] - Fraction(w) / total * t) < 1 for x, w in weights.items())
+
+
+def test_a_million_slots_stay_within_a_block_of_the_target():
+    weights = {"a": 0.334, "b": 1 / 7, "rare": 1e-6, "rest": 1 - 0.334 - 1 / 7 - 1e-6}
+    parts = P.exact_parts(weights)
+    total, got = sum(parts.values()), dict.fromkeys(parts, 0)
+    for t, (s, j, _, _) in enumerate(islice(P.pfair(parts), 1_000_000)):
+        # lag is least just after a source's slot and largest just before one
+        assert got[s] == j and j * total < parts[s] * (t + 1) and parts[s] * t < (j + 1) * total
         got[s] += 1
-        assert all(abs(got[x] * total - parts[x] * t) < total for x in parts)
-    assert dict(got) == parts
+    assert all(abs(got[s] * total - parts[s] * 1_000_000) < total for s in parts) and got["rare"] in (1, 2)
+
+
+def test_large_tables_have_larger_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_BLOCKS", 50)
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as source")
+    got = P.mix(df).collect()
+    assert len(got) == len({r.position for r in got}) == 3000 and len({r.slot for r in got}) <= 52
 
 
 @settings(max_examples=40, deadline=None)
