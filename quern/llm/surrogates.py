@@ -1,13 +1,15 @@
 """PII: detected entities get keyed, type-consistent surrogates. DataFrame and SQL functions only.
 
-Detection is one alternation of patterns; a text is split by it, so the pieces between matches stay as they are. Each
-match becomes one part (a name: one part a word) with a canonical form, so that "+1 (555) 010-2030" and "+1 555-010-2030"
-are one entity. Each distinct (type, canonical form) gets a surrogate from SHA-256 of key, type, form and attempt, made
-to match what it replaces: digits for digits and letters of the same script and case, a valid check digit for card
-numbers, octets for addresses, one surrogate domain for a domain, and for names syllables of the same script with an
-ending of the same gender. A surrogate that another entity of the type already has, or that is itself an entity of the
-corpus, is made anew with the next attempt until none is left, so distinct entities stay distinct and the same entity
-always gets the same surrogate.
+Detection is one pass of one alternation with a named group for each type; a replacement writes a mark around each match
+and says which group matched, so the type is never guessed from the string, and splitting at the marks leaves what lies
+between as it is. Labels of secrets and forms of address are context and stay. Each match becomes one part (a name: one
+part a word) with a canonical form, so that "+1 (555) 010-2030" and "+1 555-010-2030" are one entity. Each distinct
+(type, canonical form) gets a surrogate from SHA-256 of key, type, form and attempt, made to match what it replaces:
+digits for digits and letters of the same script and case, valid check digits for card and account numbers, octets for
+addresses, one surrogate domain for a domain, and for names syllables of the same script with an ending of the same
+gender. A surrogate that another entity of the type already has, or that is itself an entity of the corpus, is made anew
+with the next attempt until none is left, so distinct entities stay distinct and the same entity always gets the same
+surrogate. A word of a name is replaced wherever else the same text has it, without a form of address too.
 """
 
 from __future__ import annotations
@@ -17,34 +19,54 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import lookup_join, materialize
 
-# Forms of address by gender.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "Господин", "κύριος", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "госпожа", "Госпожа", "κυρία", "Κυρία")
-# Alphabets from which surrogates are made: consonants, vowels, and endings of names by gender.
+# Forms of address by gender; the last don't tell.
+MALE = ("Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Signor", "господин", "Господин", "κύριος", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Señorita", "Signora", "госпожа", "Госпожа", "κυρία", "Κυρία")
+NEUTRAL = ("Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Profesor", "Professore", "доктор", "Доктор", "профессор", "Профессор")
+# Alphabets from which surrogates are made: consonants, vowels, and endings of names by gender (n: not told).
 SCRIPTS = {
-    "Latin": ("bcdfghjklmnprstvz", "aeiou", {"m": "nrsk", "f": "aei", "s": "nrtz"}),
-    "Cyrillic": ("бвгджзклмнпрстфх", "аеиоу", {"m": "нрск", "f": "аия", "s": "внкр"}),
-    "Greek": ("βγδζθκλμνπρστφχ", "αεηιου", {"m": "ςνρκ", "f": "αηω", "s": "ςνκρ"}),
+    "Latin": ("bcdfghjklmnprstvz", "aeiou", {"m": "nrsk", "f": "aei", "n": "lxyo", "s": "nrtz"}),
+    "Cyrillic": ("бвгджзклмнпрстфх", "аеиоу", {"m": "нрск", "f": "аия", "n": "лйюо", "s": "внкр"}),
+    "Greek": ("βγδζθκλμνπρστφχ", "αεηιου", {"m": "ςνρκ", "f": "αηω", "n": "οξιυ", "s": "ςνκρ"}),
 }
-TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\b\.?"
-WORD = rf"(?!{TITLE})\p{{Lu}}[\p{{L}}'’\-]{{1,30}}"
-#: Type and pattern, the first that matches counts.
+TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+WORD = rf"(?!(?:{TITLES})\b)\p{{Lu}}(?:['’]\p{{Lu}})?[\p{{L}}\-]{{1,30}}"
+LABELS = r"token|password|passwd|pwd|passphrase|secret|api[_\-]?key|secret[_\-]?key|access[_\-]?key|private[_\-]?key"
+#: Type and pattern, the first that matches counts. Groups "label" and "title" are context.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63})*\.\p{L}{2,24}",
-    "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}\"?)[A-Za-z0-9_\-]{12,128}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[.\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}\-])",
-    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\p{N})",
-    "name": rf"\b{TITLE}\s{WORD}(?:\s{WORD}){{0,2}}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])(?<email>[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63})*\.\p{L}{2,24})",
+    "accesskey": r"\b(?<accesskey>AKIA[0-9A-Z]{16})\b",
+    "secret": rf"(?<label>(?<![\p{{L}}\p{{N}}])(?i:[a-z0-9]{{1,20}}[_\-]){{0,3}}(?i:{LABELS})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)(?<secret>[A-Za-z0-9_\-+/.]{{11,255}}[A-Za-z0-9_\-+/]={{0,2}})",
+    "iban": r"\b(?<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
+    "ssn": r"(?<![\p{L}\p{N}\-])(?<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\p{L}\p{N}\-])",
+    "phone": r"(?<![\p{L}\p{N}+])(?<phone>\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[.\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}\-])(?<card>[0-9](?:[ \-]?[0-9]){12,18})(?![\p{L}\p{N}\-])",
+    "ip": r"(?<![\p{N}.])(?<ip>(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))(?!\.?\p{N})",
+    "name": rf"(?<title>(?<![\p{{L}}\p{{N}}])(?:(?:{TITLES})(?:\.\s?|\s)){{1,3}})(?<name>{WORD}(?: {WORD}){{0,2}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every text with an entity holds; the rest skips the alternation.
-TRIGGER = r"@|AKIA|[0-9][0-9.\-() ]{5}|(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]|[A-Z]{2}[0-9]{2}|" + TITLE
+#: What every text with an entity holds; the rest skips the alternation. Labels are looked for where a colon or an equals sign is.
+TRIGGER = rf"[0-9](?:[0-9.\-() ]{{5}}|(?<=[A-Z]{{2}}[0-9]))|@|AKIA|[=:](?<=(?i:{LABELS})[\"']?\s{{0,3}}[=:])|(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?<![\p{{L}}\p{{N}}])(?:{TITLES})[.\s]"
 KEY = "quern-surrogates"
 FILLED = ("phone", "card", "ssn", "iban")
+#: Between the fields of a match; no character of any text, nor part of one.
+FIELD = "\ufffe"
+FIELDS = (*PATTERNS, "title")
+#: Where words of letters begin and end.
+WORD_EDGE = r"(?<![\p{L}\p{N}\-])(?=\p{L})|(?<=[\p{L}\p{N}])(?![\p{L}\p{N}\-])"
+
+
+def mark_of(text: str) -> Column:
+    """Written around matches: a noncharacter and the text's own hash, so that no text can hold its mark."""
+    return F.concat(F.lit("\uffff"), F.hex(F.xxhash64(text)))
+
+
+def pieces_of(text: str) -> Column:
+    """A text cut at its matches: even pieces lie between them, odd ones are fields, of which the type's own isn't empty."""
+    mark = mark_of(text)
+    fields = [F.lit(f"${{{f}}}" + (FIELD if f != FIELDS[-1] else "")) for f in FIELDS]
+    marked = F.regexp_replace(F.col(text), F.lit(ANY), F.concat(F.lit("${label}${title}"), mark, *fields, mark))
+    return F.when(F.col(text).rlike(TRIGGER), F.split(marked, mark, -1)).otherwise(F.array(text))
 
 
 def _sql(text: str) -> str:
@@ -57,27 +79,27 @@ def luhn(digits: str) -> Column:
     return F.expr(f"aggregate(transform(split(reverse({digits}), ''), (c, i) -> {term}), 0, (a, x) -> a + x) % 10 = 0")
 
 
-def entity_type(raw: str) -> Column:
-    """The type of a matched string; null for a digit run that is no card number."""
-    digits = f"regexp_replace({raw}, '[^0-9]', '')"
-    tests = {t: F.col(raw).rlike("^(?:" + p + ")$") for t, p in PATTERNS.items() if t not in ("secret",)}
-    out = F.when(tests["email"], "email").when(tests["access_key"], "access_key").when(tests["iban"] & ~F.col(raw).rlike("^[0-9]+$"), "iban").when(tests["ssn"], "ssn").when(tests["phone"], "phone")
-    out = out.when(tests["card"], F.when(luhn(digits), "card")).when(tests["ip"], "ip").when(tests["name"], "name")
-    return out.otherwise("secret")
+def matches_of(pieces: DataFrame) -> DataFrame:
+    """(row, pieces) to one row a match: row, at, raw, type, title. A digit run that fails the card's checksum is none."""
+    found = pieces.select("row", F.posexplode(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, F.split(p, FIELD, -1)))).alias("at", "fields")).filter("fields is not null")
+    kinds = F.array(*map(F.lit, PATTERNS))
+    place = F.expr(f"int(array_position(transform(slice(fields, 1, {len(PATTERNS)}), x -> x <> ''), true))")
+    typed = found.select("row", "at", F.element_at("fields", place).alias("raw"), F.element_at(kinds, place).alias("type"), F.element_at("fields", F.lit(len(FIELDS))).alias("title"))
+    return typed.filter((F.col("type") != "card") | luhn("regexp_replace(raw, '[^0-9]', '')"))
 
 
 def parts_of(found: DataFrame) -> DataFrame:
-    """(doc_id.., at, raw, type) to one row a part: part, word, kind, canon. Names have a part for each word."""
-    title = F.regexp_extract("raw", "^(" + TITLE + r")\s", 1)
-    bare = F.regexp_replace(title, r"\.$", "")
-    gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f")
-    names = F.split(F.regexp_replace("raw", "^" + TITLE + r"\s", ""), r"\s")
-    words = F.when(F.col("type") == "name", names).otherwise(F.array("raw"))
-    out = found.select("*", title.alias("title"), gender.alias("gender"), F.size(words).alias("parts"), F.posexplode(words).alias("part", "word"))
+    """Matches to one row a part: part, word, kind, canon. Names have a part for each word. A word whose form of address
+    doesn't tell its gender has that of another mention in the same text."""
+    told = F.regexp_extract_all("title", F.lit(r"[\p{L}]+"), F.lit(0))
+    gender = F.when(F.arrays_overlap(told, F.array(*map(F.lit, MALE))), "m").when(F.arrays_overlap(told, F.array(*map(F.lit, FEMALE))), "f")
+    words = F.when(F.col("type") == "name", F.split("raw", " ")).otherwise(F.array("raw"))
+    out = found.select("*", gender.alias("gender"), F.size(words).alias("parts"), F.posexplode(words).alias("part", "word"))
     last = F.col("part") == F.col("parts") - 1
+    anywhere = F.max("gender").over(Window.partitionBy("row", "type", F.lower("word")))
     script = F.when(F.col("word").rlike(r"\p{IsCyrillic}"), "Cyrillic").when(F.col("word").rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
-    kind = F.when(F.col("type") == "name", F.concat_ws("_", F.lit("name"), F.when(last, "s").otherwise(F.col("gender")), script)).otherwise(F.col("type"))
-    canon = F.when(F.col("type").isin("access_key", "secret"), F.col("word")).when(F.col("type").isin(*FILLED), F.upper(F.regexp_replace("word", "[^A-Za-z0-9]", ""))).otherwise(F.lower("word"))
+    kind = F.when(F.col("type") == "name", F.concat_ws("_", F.lit("name"), F.when(last, "s").otherwise(F.coalesce("gender", anywhere, F.lit("n"))), script)).otherwise(F.col("type"))
+    canon = F.when(F.col("type").isin("accesskey", "secret"), F.col("word")).when(F.col("type").isin(*FILLED), F.upper(F.regexp_replace("word", "[^A-Za-z0-9]", ""))).otherwise(F.lower("word"))
     return out.withColumn("kind", kind).withColumn("canon", canon)
 
 
@@ -123,6 +145,13 @@ def _card(digits: str) -> str:
     return f"concat({body}, (10 - {total} % 10) % 10)"
 
 
+def _iban(account: str) -> str:
+    """Country and length stay; the check digits are right."""
+    body = _like(f"substr({account}, 5)")
+    remainder = f"aggregate(filter(split(concat(body, substr({account}, 1, 2), '00'), ''), c -> c <> ''), 0, (a, c) -> IF(c RLIKE '[0-9]', (a * 10 + int(c)) % 97, (a * 100 + ascii(c) - 55) % 97))"
+    return f"transform(array({body}), body -> concat(substr({account}, 1, 2), lpad(98 - {remainder}, 2, '0'), body))[0]"
+
+
 def surrogate_column() -> str:
     """The surrogate of (kind, canon, stream, domain stream, attempt), in canonical form."""
     octet = "concat_ws('.', " + ", ".join(f"1 + (256 * {_byte(str(2 * k))} + {_byte(str(2 * k + 1))}) % 254" for k in range(4)) + ")"
@@ -131,9 +160,8 @@ def surrogate_column() -> str:
     label = f"substr({domain}, 1, length({domain}) - length({top}) - 1)"
     email = f"concat({_like(local)}, '@', {_like(label).replace('substr(stream,', 'substr(domain_stream,')}, '.', {top})"
     phone = f"concat(substr(canon, 1, 1), {_like('substr(canon, 2)')})"
-    iban = f"concat(substr(canon, 1, 2), {_like('substr(canon, 3)')})"
     key = f"concat('AKIA', {_like('substr(canon, 5)')})"
-    return f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {octet} WHEN 'card' THEN {_card('canon')} WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {_like('canon')} WHEN 'iban' THEN {iban} WHEN 'access_key' THEN {key} WHEN 'secret' THEN {_hexlike('canon')} ELSE {_syllables('kind')} END"
+    return f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {octet} WHEN 'card' THEN {_card('canon')} WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {_like('canon')} WHEN 'iban' THEN {_iban('canon')} WHEN 'accesskey' THEN {key} WHEN 'secret' THEN {_hexlike('canon')} ELSE {_syllables('kind')} END"
 
 
 def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
@@ -167,30 +195,36 @@ def rendered() -> Column:
     """A surrogate in the form of the word it replaces."""
     fill = "array_join(transform(filter(split(word, ''), c -> c <> ''), (c, i) -> IF(c RLIKE '[A-Za-z0-9]', substr(surrogate, 1 + length(regexp_replace(substr(word, 1, i), '[^A-Za-z0-9]', '')), 1), c)), '')"
     upper = (F.upper("word") == F.col("word")) & (F.lower("word") != F.col("word"))
-    cased = F.when(F.col("kind").isin("access_key", "secret"), F.col("surrogate")).when(upper & (F.length("word") > 1), F.upper("surrogate"))
+    cased = F.when(F.col("kind").isin("accesskey", "secret"), F.col("surrogate")).when(upper & (F.length("word") > 1), F.upper("surrogate"))
     return F.when(F.col("kind").isin(*FILLED), F.expr(fill)).otherwise(cased.when(F.col("kind").startswith("name_"), F.initcap("surrogate")).otherwise(F.col("surrogate")))
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities and entity_types (sorted) for every row of docs, whole texts.
 
-    Null and empty texts give an empty text with no entity. Only texts with an entity are shuffled. Rows that repeat a
-    doc_id are replaced each on its own. An empty table gives an empty result.
+    n_entities counts detected matches; later bare mentions of a name are replaced too and not counted. Null and empty
+    texts give an empty text with no entity. Every text is matched once and written once, cut at its matches; of that,
+    only texts with an entity are shuffled. Rows that repeat a doc_id are replaced each on its own. An empty table gives
+    an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    marked = rows.withColumn("raws", F.when(F.col("text").rlike(TRIGGER), F.regexp_extract_all("text", F.lit("(" + ANY + ")"), 1)).otherwise(F.array().cast("array<string>")))
-    hit = materialize(marked.filter(F.size("raws") > 0).withColumn("row", F.expr("uuid()")), "pii-texts")
-    found = hit.select("row", F.posexplode("raws").alias("at", "raw")).withColumn("type", entity_type("raw"))
-    parts = materialize(parts_of(found.filter("type is not null")), "pii-parts")
+    cut = rows.select("doc_id", pieces_of("text").alias("pieces"))
+    texts = materialize(cut.withColumn("row", F.when(F.size("pieces") > 1, F.expr("uuid()"))), "pii-texts")
+    hit = texts.filter("row is not null")
+    parts = materialize(parts_of(matches_of(hit)), "pii-parts")
     counts = parts.groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("n"))
     table = assign(materialize(counts, "pii-entities"), key)
     named = lookup_join(parts, table.select("kind", "canon", "n", "surrogate"), ["kind", "canon"], "n", parts.count())
-    pieces = named.withColumn("new", rendered()).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "part", "new", "title", "type"))).alias("news"))
-    # match i becomes its surrogate, or stays where it was no entity
+    named = materialize(named.withColumn("new", rendered()), "pii-replaced")
+    news = named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "part", "new", "type"))).alias("news"))
+    bare = named.filter("type = 'name'").groupBy("row", "word").agg(F.min_by("new", F.struct("at", "part")).alias("new"))
+    bare = bare.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias("bare"))
+    # the k-th match's parts; where there are none, it was no entity and stays. Fields are empty but for one and the title.
     own = "filter(news, x -> x.at = i)"
-    new = f"concat_ws(' ', nullif({own}[0].title, ''), concat_ws(' ', transform({own}, x -> x.new)))"
-    rebuilt = f"array_join(flatten(transform(pieces, (p, i) -> array(p, IF(i >= size(raws), '', IF(size({own}) = 0, raws[i], {new}))))), '')"
-    joined = hit.join(pieces, "row", "left").withColumn("news", F.coalesce("news", F.expr("cast(array() as array<struct<at:int,part:int,new:string,title:string,type:string>>)")))
-    done = joined.withColumn("pieces", F.split("text", "(?:" + ANY + ")", -1)).select("doc_id", F.expr(rebuilt).alias("text"), F.expr("size(array_distinct(news.at))").alias("n_entities"), F.expr("array_sort(array_distinct(news.type))").alias("entity_types"))
-    clean = marked.filter(F.size("raws") == 0).select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("entity_types"))
+    raw = f"array_join(slice(split(p, '{FIELD}', -1), 1, {len(PATTERNS)}), '')"
+    between = f"IF(bare is null, p, array_join(transform(split(p, {_sql(WORD_EDGE)}, -1), w -> coalesce(bare[w], w)), ''))"
+    rebuilt = f"array_join(transform(pieces, (p, i) -> IF(i % 2 = 0, {between}, IF(size({own}) = 0, {raw}, array_join(transform({own}, x -> x.new), ' ')))), '')"
+    joined = hit.join(news, "row", "left").join(bare, "row", "left").withColumn("news", F.coalesce("news", F.expr("cast(array() as array<struct<at:int,part:int,new:string,type:string>>)")))
+    done = joined.select("doc_id", F.expr(rebuilt).alias("text"), F.expr("size(array_distinct(news.at))").alias("n_entities"), F.expr("array_sort(array_distinct(transform(news.type, t -> IF(t = 'accesskey', 'access_key', t))))").alias("entity_types"))
+    clean = texts.filter("row is null").select("doc_id", F.element_at("pieces", 1).alias("text"), F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("entity_types"))
     return clean.unionByName(done)
