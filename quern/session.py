@@ -37,9 +37,12 @@ def expose_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one is set where it is unset (tests, local mode)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, local mode takes a temporary one and a cluster,
+    whose machines share no such folder, raises RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -54,5 +57,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is cut, lost executors lose nothing,
     and the Python work above it runs once (Dataset.checkpoint computes a plan twice)."""
     path = scratch_path(df.sparkSession, name)
+    _scratch.append((df.sparkSession.sparkContext.applicationId, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: (application, path) of what materialize has written and drop_scratch hasn't deleted, oldest first.
+_scratch: list[tuple[str, str]] = []
+
+
+def scratch_mark() -> int:
+    """A place in the sequence of scratch tables, for drop_scratch."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> int:
+    """Delete this application's scratch tables written since a mark, except the files that `but` reads; their number.
+
+    For results that have been written elsewhere: a DataFrame made from a deleted table can't be computed any more.
+    """
+    kept = {f.rsplit("/", 1)[0] for f in but.inputFiles()} if but is not None else set()
+    own = [(a, p) for a, p in _scratch[since:] if a == spark.sparkContext.applicationId and not any(k.endswith(p.split(":", 1)[-1].lstrip("/")) for k in kept)]
+    for _, path in own:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _scratch[since:] = [x for x in _scratch[since:] if x not in own]
+    return len(own)
