@@ -1,10 +1,10 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
 Every partition turns its rows into one run: (key, smallest doc_id, rows), sorted by key. Runs then meet in binomial
-rounds. In a round, each node takes the runs of FAN children, merges them (equal keys keep the smallest identifier and
-add their counts) and cuts the result into FAN ranges of the key, so that nodes fall and lanes rise by the same factor:
-a task always holds about as much as one partition's run, and no task ever holds the whole key space. The last round
-leaves one run per lane.
+rounds. In a round, each node takes the runs of FAN children and merges them; equal keys keep the smallest identifier and
+add their counts. Runs are cut into FAN ranges of the key (lanes) before the first round and again after each, so lanes
+rise ahead of nodes: a task gets FAN runs of a FANth of a partition's keys each, about as much as one partition's run,
+and no task ever holds the whole key space, however few the partitions are. The last round leaves one run per lane.
 
 A key is SHA-256 of the normalised text followed by its XXH64. Entries are one only if both agree, which verifies the
 identifier that is kept at every level.
@@ -40,9 +40,12 @@ def normalised(text: Column) -> Column:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the 40-byte key of each row. JVM functions only."""
-    text = normalised(F.col(text_col))
-    key = F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(F.col(text_col)).alias("key"))
+
+
+def key_of(text: Column) -> Column:
+    text = normalised(text)
+    return F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
 
 
 def fold_entries(entries: np.ndarray) -> np.ndarray:
@@ -65,40 +68,66 @@ def lane_of(entries: np.ndarray, bits: int) -> np.ndarray:
 
 def cut(entries: np.ndarray, node: int, bits: int) -> Iterator[pa.RecordBatch]:
     """One row for each lane that has entries."""
+    if not len(entries):
+        return
     lanes = lane_of(entries, bits)
-    starts = np.flatnonzero(np.r_[True, lanes[1:] != lanes[:-1]]) if len(lanes) else np.array([], int)
-    ends = np.r_[starts[1:], len(lanes)] if len(lanes) else starts
-    for a, b in zip(starts, ends, strict=True):
+    starts = np.flatnonzero(np.r_[True, lanes[1:] != lanes[:-1]])
+    for a, b in zip(starts, np.r_[starts[1:], len(lanes)], strict=True):
         yield pa.RecordBatch.from_pydict({"node": [node], "lane": [int(lanes[a])], "run": [entries[a:b].tobytes()]}, RUN_SCHEMA)
 
 
+class Run:
+    """A run that grows: entries are folded in when as many wait as it holds, so each is moved a few times at most."""
+
+    def __init__(self):
+        self.held, self.waiting, self.size = np.empty(0, ENTRY), [], 0
+
+    def add(self, entries: np.ndarray) -> None:
+        self.waiting.append(entries)
+        self.size += len(entries)
+        if self.size >= max(len(self.held), 1 << 16):
+            self.fold()
+
+    def fold(self) -> np.ndarray:
+        self.held = fold_entries(np.concatenate([self.held, *self.waiting]))
+        self.waiting, self.size = [], 0
+        return self.held
+
+
 def first_runs(bits: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray = np.empty(0, ENTRY)
+        own = Run()
         for batch in source:
             made = np.empty(batch.num_rows, ENTRY)
-            made["key"] = np.array(batch.column("key").to_pylist(), dtype=KEY)
+            made["key"] = np.frombuffer(b"".join(batch.column("key").to_pylist()), KEY)
             made["id"] = int64(batch.column("doc_id").fill_null(NO_ID))
             made["rows"] = 1
-            held = fold_entries(np.concatenate([held, fold_entries(made)]))
-        if len(held):
-            yield from cut(held, TaskContext.get().partitionId(), bits)
+            own.add(made)
+        yield from cut(own.fold(), TaskContext.get().partitionId(), bits)
 
     return run
 
 
+def merged(group: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """The runs of a group as one, read as they come."""
+    own = Run()
+    for batch in group:
+        for x in batch.column("run"):
+            own.add(np.frombuffer(x.as_buffer(), ENTRY))
+    return own.fold()
+
+
 def merge_round(bits: int):
     """Runs of one lane from FAN children to one run, cut by the next bits."""
 
     def run(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for batch in group for x in batch.column("run")])
-        yield from cut(fold_entries(entries), key[0].as_py(), bits)
+        yield from cut(merged(group), key[0].as_py(), bits)
 
     return run
 
 
 def last_round(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    entries = fold_entries(np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for batch in group for x in batch.column("run")]))
+    entries = merged(group)
     raw = pa.py_buffer(np.ascontiguousarray(entries["key"]).tobytes())
     keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(40), len(entries), [None, raw]).cast(pa.binary())
     yield pa.RecordBatch.from_arrays([keys, pa.array(entries["id"], mask=entries["id"] == NO_ID), pa.array(entries["rows"])], schema=FINAL_SCHEMA)
@@ -108,10 +137,10 @@ def keepers(keyed: DataFrame) -> DataFrame:
     """One row per key of a (doc_id, key) frame: key, keep_id, group_size."""
     runs = max(1, keyed.rdd.getNumPartitions())
     rounds = max(1, -(-(runs - 1).bit_length() // BITS))
-    frame = keyed.mapInArrow(first_runs(0), RUN)
+    frame = keyed.mapInArrow(first_runs(BITS), RUN)
     for k in range(1, rounds + 1):
         parents = frame.withColumn("node", F.shiftright("node", BITS)).groupBy("node", "lane")
-        frame = parents.applyInArrow(last_round, FINAL) if k == rounds else parents.applyInArrow(merge_round(BITS * k), RUN)
+        frame = parents.applyInArrow(last_round, FINAL) if k == rounds else parents.applyInArrow(merge_round(BITS * (k + 1)), RUN)
     return frame
 
 
@@ -130,3 +159,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
+
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of equal texts one row of docs, whole: of those with the smallest id, the first by its columns.
+
+    Rows are decided by their own id and text: rows that share an id but not the text are groups of their own, and of rows
+    that repeat both, one stays. A null id comes after all others.
+    """
+    expose_package(docs.sparkSession)
+    keyed = materialize(digests(docs, id_col, text_col), "digests")
+    groups = materialize(keepers(keyed).filter("group_size > 1"), "keepers")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), key_of(F.col(text_col)).alias("key"))
+    joined = lookup_join(rows, groups, ["key"], "group_size", keyed.count())
+    alone = joined.filter("group_size is null").select("row.*")
+    tied = joined.filter("group_size is not null and id <=> keep_id")
+    chosen = tied.groupBy("key").agg(F.min_by("row", F.to_json(F.struct("row"))).alias("row"))
+    return alone.unionByName(chosen.select("row.*"))

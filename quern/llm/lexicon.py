@@ -14,7 +14,6 @@ import json
 import mmap
 import os
 import struct
-import tempfile
 import unicodedata
 from array import array
 from collections import Counter
@@ -22,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm.common import batches, materialize, texts
+from quern.llm.common import batches, materialize, scratch_path, texts
 
 #: Words of the lexicon, at most, and the longest in bytes.
 WORDS = 1 << 17
@@ -268,22 +268,24 @@ def ship_lexicon(docs: DataFrame, tokenizer_path: str, words: int = WORDS) -> st
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
     context = docs.sparkSession.sparkContext
     if (context.applicationId, name) not in _shipped:  # Spark takes a name once
-        path = os.path.join(tempfile.mkdtemp(prefix="quern-lexicon-"), name)
-        with open(path, "wb") as f:
+        folder = scratch_path(docs.sparkSession, "lexicon")
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{name}") as f:
             f.write(data)
-        context.addFile(path)
+        context.addFile(f"{folder}/{name}")
         _shipped.add((context.applicationId, name))
     return name
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, words: int = WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row and whole text of docs.
+def encode_decode(docs: DataFrame, tokenizer_path: str, words: int = WORDS, position: Column | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row and whole text of docs, and position where it is given.
 
     Ids are those of the tokenizers library without special tokens added, truncation or padding; decoded text is that of
     decode(ids, skip_special_tokens=False). Null and empty texts have no ids. Equal texts give equal values. An empty
     table gives an empty lexicon and an empty result.
     """
-    name = ship_lexicon(docs, tokenizer_path, words)
+    name, placed = ship_lexicon(docs, tokenizer_path, words), position is not None
 
     def one(batch: pa.RecordBatch) -> dict:
         encode = encoder(tokenizer_path, name)
@@ -291,9 +293,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, words: int = WORDS) -> D
         for text in batch.column("text").to_pylist():
             ids, decoded = encode(text)
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()))
-        return {"doc_id": batch.column("doc_id"), **{c: [r[k] for r in rows] for k, c in enumerate(SCHEMA.names[1:])}}
+        made = {"doc_id": batch.column("doc_id"), **{c: [r[k] for r in rows] for k, c in enumerate(SCHEMA.names[1:])}}
+        return made | {"position": batch.column("position")} if placed else made
 
-    return texts(docs).mapInArrow(batches(one, SCHEMA), RESULT)
+    if not placed:
+        return texts(docs).mapInArrow(batches(one, SCHEMA), RESULT)
+    return texts(docs, position.cast("long").alias("position")).mapInArrow(batches(one, SCHEMA.append(pa.field("position", pa.int64()))), RESULT + ", position long")
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, words: int = WORDS) -> DataFrame:

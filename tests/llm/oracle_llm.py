@@ -2,7 +2,7 @@
 
 import re
 
-from test_simhash import plain_components, plain_fingerprint
+from test_near_copies import plain_components
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,5 +15,4 @@ def same_texts(rows):
 
 
 def near_components(rows):
-    ids = [r.doc_id for r in rows]
-    return {c for c in plain_components([plain_fingerprint(r.text) for r in rows], ids)}
+    return set(plain_components([(r.doc_id, r.text) for r in rows]))
