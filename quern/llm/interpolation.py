@@ -31,7 +31,7 @@ from quern.llm.simhash import BLANKS, LOWER
 #: Training tokens for each bucket.
 BUCKET_TOKENS = 3_000_000
 #: Bytes of text in a slice, if no single text is longer.
-SLICE = 3 << 20
+SLICE = 4 << 20
 LEVELS = 64
 ROUNDS = 60
 SEED = 7
@@ -43,8 +43,8 @@ STEP_BITS = 12
 STEP_MASK = (1 << STEP_BITS) - 1
 TOKENS = "slice long, n_train long, ids binary, nulls binary, train binary, sizes binary, places binary, hashes binary, counts binary"
 TOKEN_SCHEMA = pa.schema([("slice", pa.int64()), ("n_train", pa.int64()), *((c, pa.binary()) for c in ("ids", "nulls", "train", "sizes", "places", "hashes", "counts"))])
-ASKED = "bucket int, slice long, key binary, n binary, c1 binary, p1 binary"
-ASKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), *((c, pa.binary()) for c in ("key", "n", "c1", "p1"))])
+ASKED = "bucket int, slice long, key binary, n binary, s1 binary, p1 binary"
+ASKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), *((c, pa.binary()) for c in ("key", "n", "s1", "p1"))])
 #: What a bucket returns: to a slice its counts, and of its own (slice null) a histogram.
 ANSWER = "slice long, bucket int, counts binary, cells binary, weights binary, seen long"
 ANSWER_SCHEMA = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("counts", "cells", "weights")), ("seen", pa.int64())])
@@ -75,10 +75,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def dealing(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How a slice deals its distinct keys: their order, by bucket and key, the buckets and where each begins."""
-    bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((keys, bucket))
-    found, starts = np.unique(bucket[order], return_index=True)
+    """How a slice deals its distinct keys, which are hashes, by ranges: their order, the buckets and where each begins."""
+    order = np.argsort(keys)
+    found, starts = np.unique(((keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), return_index=True)
     return order, found, starts
 
 
@@ -139,7 +138,7 @@ class Slice:
     def __init__(self, table: pa.Table):
         row = table.to_pylist()[0]
         self.number = row["slice"]
-        self.ids, self.nulls, self.train = unpack(row["ids"], "<i8"), unpack(row["nulls"], "u1"), unpack(row["train"], "u1")
+        self.ids, self.nulls, self.train = (unpack(row[c], t) if c in row else None for c, t in (("ids", "<i8"), ("nulls", "u1"), ("train", "u1")))
         self.sizes, self.hashes = unpack(row["sizes"], "<u4").astype(np.int64), unpack(row["hashes"], "<u8", True)
         places = unpack(row["places"], "<u4").astype(np.int64)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -166,12 +165,12 @@ class Slice:
 # --- what slices ask and buckets answer
 
 
-def asked(number: int, buckets: int, keys: np.ndarray, n: np.ndarray, c1: np.ndarray | None = None, p1: np.ndarray | None = None) -> pa.RecordBatch:
+def asked(number: int, buckets: int, keys: np.ndarray, n: np.ndarray, s1: np.ndarray | None = None, p1: np.ndarray | None = None) -> pa.RecordBatch:
     order, found, starts = dealing(keys, buckets)
     made: dict[str, list] = {c: [] for c in ASKED_SCHEMA.names}
     for bucket, s, e in zip(found.tolist(), starts, [*starts[1:], len(order)], strict=True):
         own = order[s:e]
-        values = (bucket, number, pack(keys[own], True), pack(n[own].astype(np.uint32)), b"" if c1 is None else pack(c1[own]), b"" if p1 is None else pack(p1[own].astype(np.uint16)))
+        values = (bucket, number, pack(keys[own], True), pack(n[own].astype(np.uint32)), b"" if s1 is None else pack(s1[own].astype(np.uint16)), b"" if p1 is None else pack(p1[own].astype(np.uint16)))
         for c, v in zip(ASKED_SCHEMA.names, values, strict=True):
             made[c].append(v)
     return pa.RecordBatch.from_pydict(made, ASKED_SCHEMA)
@@ -192,7 +191,7 @@ def ask_pairs(buckets: int, tokens: int):
         counts = own.answered(own.hashes, right.to_pylist(), buckets)
         n = np.bincount(own.pair, weights=own.train[own.row], minlength=len(own.left))
         p1 = step((counts[own.right] - 1) / max(tokens - 1, 1))
-        return pa.Table.from_batches([asked(own.number, buckets, own.pair_hashes(), n, counts[own.left], p1)])
+        return pa.Table.from_batches([asked(own.number, buckets, own.pair_hashes(), n, count_step(counts[own.left] - 1), p1)])
 
     return run
 
@@ -206,9 +205,16 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(np.maximum(counts, 0).astype(float))[1], LEVELS - 1)
 
 
-def code(level: np.ndarray, p2: np.ndarray, p1_step: np.ndarray) -> np.ndarray:
-    """A cell of the histogram."""
-    return level.astype(np.int64) << 2 * STEP_BITS | step(p2) << STEP_BITS | p1_step
+def count_step(counts: np.ndarray) -> np.ndarray:
+    """A frequency in steps of its binary logarithm, rounded down; 0 for 0."""
+    return np.where(counts > 0, 1 + np.floor(np.log2(np.maximum(counts, 1)) * STEPS).astype(np.int64), 0)
+
+
+def code(c12: np.ndarray, s1: np.ndarray, p1_step: np.ndarray) -> np.ndarray:
+    """A cell of the histogram: the level of a context, in steps s1, and the steps of both probabilities."""
+    level = np.where(s1 > 0, 1 + (s1 - 1) // STEPS, 0).astype(np.int64)
+    p2 = np.where(s1 > 0, c12 / 2.0 ** ((s1 - 0.5) / STEPS), 0.0)
+    return np.minimum(level, LEVELS - 1) << 2 * STEP_BITS | step(np.minimum(p2, 1.0)) << STEP_BITS | p1_step
 
 
 def answer(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +235,11 @@ def answer(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for r, s, e in zip(rows, first[:-1], first[1:], strict=True):
         yield pa.RecordBatch.from_pydict({"slice": [r["slice"]], "bucket": [r["bucket"]], "counts": [pack(counts[s:e])], "cells": [None], "weights": [None], "seen": [0]}, ANSWER_SCHEMA)
     cells, weights, seen = b"", b"", sums > 0
-    if rows[0]["c1"]:
+    if rows[0]["s1"]:
         one = order[starts[seen]]
-        c1, p1, c12 = joined([unpack(r["c1"], "<i8") for r in rows], "<i8")[one], joined([unpack(r["p1"], "<u2") for r in rows], "<u2")[one].astype(np.int64), sums[seen]
-        found, at = np.unique(code(level_of(c1 - 1), (c12 - 1) / np.maximum(c1 - 1, 1), p1), return_inverse=True)
+        s1, p1 = (joined([unpack(r[c], "<u2") for r in rows], "<u2")[one].astype(np.int64) for c in ("s1", "p1"))
+        c12 = sums[seen]
+        found, at = np.unique(code(c12 - 1, s1, p1), return_inverse=True)
         cells, weights = pack(found), pack(np.bincount(at, weights=c12, minlength=len(found)).astype(np.int64))
     yield pa.RecordBatch.from_pydict({"slice": [None], "bucket": [rows[0]["bucket"]], "counts": [None], "cells": [cells], "weights": [weights], "seen": [int(seen.sum())]}, ANSWER_SCHEMA)
 
@@ -307,11 +314,11 @@ def interpolated_scores(docs: DataFrame) -> DataFrame:
     words = materialize(words.groupBy("bucket").applyInArrow(answer, ANSWER), "lm-words")
     distinct = words.filter("slice is null").agg(F.sum("seen")).first()[0] or 0
     counts = words.filter("slice is not null").select("slice", "bucket", "counts", F.lit(False).alias("pairs"))
-    pairs = slices.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(ask_pairs(buckets, tokens), ASKED)
+    pairs = slices.select("slice", "train", "sizes", "places", "hashes").groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(ask_pairs(buckets, tokens), ASKED)
     pairs = materialize(pairs.groupBy("bucket").applyInArrow(answer, ANSWER), "lm-pairs")
     cells = pairs.filter("slice is null").select("cells", "weights").mapInArrow(opened, "key long, n long")
     histogram = cells.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     mix = expectation_maximisation(histogram["key"].to_numpy(np.int64), histogram["n"].to_numpy(float), distinct)
     every = counts.unionByName(pairs.filter("slice is not null").select("slice", "bucket", "counts", F.lit(True).alias("pairs")))
-    scored = slices.groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(score_slice(mix, buckets, tokens, distinct), RESULT)
+    scored = slices.drop("n_train", "train", "counts").groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(score_slice(mix, buckets, tokens, distinct), RESULT)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -57,8 +57,10 @@ def brute_histogram(rows):
     n = sum(c1.values())
     for w in trained:
         for a, b in zip(["", *w], w, strict=False):
-            p = np.array([(c2[a, b] - 1) / max(c1[a] - 1, 1)]), np.array([(c1[b] - 1) / (n - 1)])
-            cells[int(I.code(np.array([level(c1[a] - 1)]), p[0], I.step(p[1]))[0])] += 1
+            s1 = 1 + int(8 * math.log2(c1[a] - 1)) if c1[a] > 1 else 0
+            p2 = min((c2[a, b] - 1) / 2 ** ((s1 - 0.5) / 8), 1.0) if s1 else 0.0
+            steps = [round(8 * math.log2(p)) + I.OFFSET if p > 0 else 0 for p in (p2, (c1[b] - 1) / (n - 1))]
+            cells[level(c1[a] - 1) << 2 * I.STEP_BITS | steps[0] << I.STEP_BITS | steps[1]] += 1
     return dict(cells)
 
 
@@ -82,7 +84,7 @@ def test_empty_and_untrained(spark):
 
 
 def test_weights_are_mixtures_and_prefer_what_predicts():
-    histogram = I.code(np.array([3, 5]), np.array([0.5, 0.0]), I.step(np.array([0.001, 0.01])))
+    histogram = I.code(np.array([3, 0]), I.count_step(np.array([5, 17])), I.step(np.array([0.001, 0.01])))
     mix = I.expectation_maximisation(histogram, np.array([1000.0, 1000.0]), 5000)
     assert np.allclose(mix.sum(axis=1), 1) and mix[3, 0] > 0.9 and mix[5, 1] > 0.9 and mix[0, 0] == 0
 
@@ -90,6 +92,8 @@ def test_weights_are_mixtures_and_prefer_what_predicts():
 def test_levels_are_powers_of_two():
     n = np.array([0, 1, 2, 3, 4, 7, 8, 2**40 - 1, 2**40])
     assert I.level_of(n).tolist() == [level(int(x)) for x in n]
+    n = np.arange(5000)
+    assert (I.code(n, I.count_step(n), 0 * n) >> 2 * I.STEP_BITS == I.level_of(n)).all()
 
 
 def test_a_word_of_most_rows_is_one_item_a_slice(spark):
