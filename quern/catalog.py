@@ -80,11 +80,15 @@ def postings(spark, sf):
     m as (select doc_id, cast(lower(source) = 'src1' or lower(lang) = 'src1' as double) + cast(lower(source) = 'de' or lower(lang) = 'de' as double) as exact,
       (case when contains(lower(concat_ws(' ', source, lang)), 'src1') then 0.5 else 0.0 end) + (case when contains(lower(concat_ws(' ', source, lang)), 'de') then 0.5 else 0.0 end) as meta from documents),
     c as (select doc_id, max(quality)::double as confidence from labels group by doc_id),
-    s as (select documents.doc_id, 4 * exact + 1.2 * coalesce(ti.score, 0) + meta + 0.5 * coalesce(confidence, 0) as score from documents join m using (doc_id) left join ti using (doc_id) left join c using (doc_id) where exact > 0 or meta > 0 or ti.score is not null)
+    v as (select vec_id as doc_id, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) as vector from embeddings),
+    s as (select documents.doc_id, 4 * exact + 1.2 * coalesce(ti.score, 0) + 3 * (case when vector >= 0.15 then vector else 0 end) + meta + 0.5 * coalesce(confidence, 0) as score from documents join m using (doc_id) left join ti using (doc_id) left join v using (doc_id) left join c using (doc_id) where exact > 0 or meta > 0 or ti.score is not null or vector >= 0.15
+      union all select doc_id, 3 * vector + 0.5 * coalesce(confidence, 0) from v left join c using (doc_id) where vector >= 0.15 and doc_id not in (select doc_id from documents))
     select doc_id, round(score, 6) as score, {RANK.format('score')} as rank from s order by round(score, 6) desc, doc_id limit 20""".replace("tf as (select doc_id, dl, term, count(*) as tf from t where term in " + IN_TERMS, "tf as (select doc_id, dl, term, count(*) as tf from t where term in ('src1', 'de')"))
 def hybrid_score(spark, sf):
     confidence = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("confidence"))
-    return rounded(retrieval.hybrid(table(spark, sf, "documents"), confidence, ["src1", "de"], 20), "score").select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    rows = table(spark, sf, "embeddings")
+    vector = rows.filter("vec_id = 0").first()["embedding"]
+    return rounded(retrieval.hybrid(table(spark, sf, "documents"), confidence, ["src1", "de"], 20, rows.select(F.col("vec_id").alias("doc_id"), "embedding"), vector), "score").select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""with {BM25},
@@ -257,7 +261,7 @@ def graph_edges(spark, sf):
     return part("nation", "N", "n_nationkey", "R", "n_regionkey", "IN_REGION").unionByName(part("customer", "C", "c_custkey", "N", "c_nationkey", "IN_NATION")).unionByName(part("supplier", "S", "s_suppkey", "N", "s_nationkey", "IN_NATION"))
 
 
-@query(f"with {NODES} select node_id, min(type) as type, string_agg(distinct name, '|' order by name) as names, string_agg(distinct source, '|' order by source) as sources, bool_or(authoritative) as authoritative from n group by node_id")
+@query(f"with {NODES} select node_id, type, string_agg(distinct name, '|' order by name) as names, string_agg(distinct source, '|' order by source) as sources, bool_or(authoritative) as authoritative from n group by node_id, type")
 def node_merge(spark, sf):
     return graph.merge_nodes(graph_nodes(spark, sf))
 
@@ -420,7 +424,7 @@ def rule_groups_prefix(spark, sf):
 @query("""with g as (select lang, count(*) filter (where regexp_matches(text, '[0-9]')) as hits, count(*) as n from documents group by lang),
     s as (select *, hits * 100 + hits / n::double * 20 + least(n, 50) * 0.01 as score from g),
     w as (select *, score - coalesce(lead(score) over (order by score desc, lang), 0) as gap from s)
-    select lang, hits, n, round(score, 6) as score, round(gap, 6) as gap, case when hits > 0 and gap >= 100 then 'HIGH' when hits > 0 then 'MEDIUM' else 'LOW' end as confidence from w""")
+    select lang, hits, n, round(score, 6) as score, round(gap, 6) as gap, case when hits >= 10 and hits / n::double >= 0.35 and gap >= 50 then 'HIGH' when hits >= 5 and hits / n::double >= 0.2 then 'MEDIUM' else 'LOW' end as confidence from w""")
 def density_selection(spark, sf):
     return rounded(profile.density_selection(table(spark, sf, "documents"), "lang", F.col("text").rlike("[0-9]")), "score", "gap")
 
@@ -627,10 +631,10 @@ def topic_grounding(spark, sf):
     return grounding.ground_topics(hits, grounding.topic_status(F.col("t"), F.col("e"), True), "n_chars", "doc_id").select("doc_id", "n_chars", "topic_status")
 
 
-@query("""with n as (select unnest(['red', 'bolt', 'small ring', 'promo', 'zzz']) as name), h as (select name, contains(lower(p_name), name) as s, contains(lower(p_type), name) as w from part cross join n)
-    select name, case when count(*) filter (where s) > 0 then 'confirmed' when count(*) filter (where w and not s) > 0 then 'possible' else 'not_found' end as status, count(*) filter (where s) as n_strong, count(*) filter (where w and not s) as n_weak from h group by name""")
+@query("""with n as (select unnest(['red', 'bolt', 'small ring', 'promo', 'zzz', 'lonely']) as name), h as (select name, contains(lower(p_name), name) as s, contains(lower(p_type), name) as w from part cross join n)
+    select name, case when count(*) filter (where s) > 0 then 'confirmed' when count(*) filter (where w and not s) > 0 then 'possible' when name like 'zz%' and sum(count(*) filter (where s and name <> 'lonely')) over () > 0 then 'contradicted' else 'not_found' end as status, count(*) filter (where s) as n_strong, count(*) filter (where w and not s) as n_weak from h group by name""")
 def entity_grounding(spark, sf):
-    names = spark.createDataFrame([(n,) for n in ("red", "bolt", "small ring", "promo", "zzz")], "name string")
+    names = spark.createDataFrame([(n, "own" if n == "lonely" else "word") for n in ("red", "bolt", "small ring", "promo", "zzz", "lonely")], "name string, kind string")
     return grounding.entity_report(table(spark, sf, "part"), names, "p_name", "p_type", "p_partkey")
 
 
@@ -833,3 +837,6 @@ def deviations(spark, sf):
 @query("""select 'S' || p_partkey as source_key, u.* from part cross join (values (4, 'VBAK', 1, 12), (11, 'ZLOG', 6, 12)) as u(line, table_name, first, last)""")
 def access_windows(spark, sf):
     return code.scan_code(sources(spark, sf).withColumn("source_code", F.rtrim("source_code")), "windows").withColumn("last", F.least("last", F.lit(12)))
+
+
+from quern import catalog_text  # noqa: E402, F401  (registers its queries)

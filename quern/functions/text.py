@@ -6,6 +6,8 @@ classes instead of \\b and \\w, whose meaning differs between regex engines.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,23 +16,47 @@ UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
 ACCENTED = "àáâãåçèéêëìíîïñòóôõùúûýÿ"
 BASE = "aaaaaceeeeiiiinoooouuuyy"
 
-# Function words that a query drops.
+#: Function words that a query drops: this library's own list, a caller may give another.
 STOPWORDS = (
     "der die das den dem des ein eine einer eines einem einen und oder aber wenn dann als wie was wer wo wann warum welche welcher welches "
     "ist sind war waren wird werden wurde kann können hat haben im in an am auf aus bei mit nach von vom zu zum zur für über unter durch um "
     "nicht auch nur noch es er sie wir ihr ich man alle the a an and or of to in on for with is are was be by from that this what which how where"
 ).split()
 
-# Endings that the light stemmer removes from German adjectives, longest first.
-ADJECTIVE_ENDINGS = ("eren", "erem", "erer", "eres", "ere", "en", "em", "er", "es", "e")
+# Adjective endings in the order in which they are tried, and the roots after which they come off short words too.
+ADJECTIVE_ENDINGS = ("es", "en", "em", "er", "e")
+ADJECTIVE_ROOTS = ("uell", "isch", "iv", "ig", "lich")
 
 # Last parts of German compounds that are split off.
 COMPOUND_TAILS = (
-    "nummer", "gruppe", "daten", "satz", "feld", "tabelle", "steuerung", "findung", "art", "text", "code", "schlüssel", "status", "typ",
-    "bereich", "organisation", "werk", "lager", "kunde", "material", "auftrag", "lieferung", "nachricht", "partner", "beleg",
+    "lager", "ort", "nummer", "schluessel", "schlüssel", "gruppe", "art", "typ", "status", "kennzeichen", "text", "name", "datum",
+    "menge", "preis", "wert", "code", "klasse", "bereich", "stelle", "partner", "kunde", "material", "beleg", "position",
+)
+
+# Upper-case words that are no technical symbols.
+NO_SYMBOLS = (
+    "SAP", "ABAP", "API", "HTTP", "JSON", "XML", "PDF", "CSV", "URL", "ID", "UUID", "OK", "YES", "NO", "NULL", "TRUE", "FALSE", "SELECT", "FROM",
+    "WHERE", "INTO", "TYPE", "DATA", "TABLE", "CLASS", "METHOD", "FUNCTION", "REPORT", "INCLUDE", "FORM", "ENDFORM", "ENDIF", "ELSE", "LOOP",
+    "ENDLOOP", "APPEND", "CLEAR", "MOVE", "CALL", "EXPORT", "IMPORT", "READ", "WRITE", "CHECK", "MESSAGE", "RAISE", "RETURN",
 )
 
 
+def _plain_letters() -> dict[str, str]:
+    """Letters with marks to those of their compatibility decomposition that are no marks, over the Latin blocks, the
+    presentation forms and the full-width letters."""
+    out = {}
+    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF21, 0xFF5B)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        if bare != chr(point):
+            out[chr(point)] = bare
+    return out
+
+
+PLAIN = _plain_letters()
+#: Where a word of ASCII letters, digits and underscores begins or ends.
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
 def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -44,8 +70,13 @@ def fold_search(c: Column | str) -> Column:
 
 
 def fold_plain(c: Column | str) -> Column:
-    """Lower case with marks off: ä to a; ß to ss."""
-    return F.replace(F.translate(F.lower(_text(c)), ACCENTED + "äöü", BASE + "aou"), F.lit("ß"), F.lit("ss"))
+    """Lower case with marks off, as after a compatibility decomposition: ä to a, ﬁ to fi; ß to ss."""
+    single = {k: v for k, v in PLAIN.items() if len(v) == 1}
+    out = F.translate(_text(c), "".join(single), "".join(single.values()))
+    for k, v in PLAIN.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return F.replace(F.lower(out), F.lit("ß"), F.lit("ss"))
 
 
 def search_key(c: Column | str) -> Column:
@@ -75,27 +106,41 @@ def content_terms(c: Column | str) -> Column:
     return F.array_distinct(F.filter(bm25_tokens(c), lambda t: ~t.isin(*STOPWORDS)))
 
 
+def raw_words(c: Column | str) -> Column:
+    """Words of letters (umlauts too), digits and _ / . - as they are written."""
+    return F.filter(F.split(_text(c), "[^A-Za-zÄÖÜäöüß0-9_/.-]+"), lambda t: t != "")
+
+
 def light_stem(c: Column | str) -> Column:
-    """An adjective ending off a word of six letters or more, then a trailing s off one of five."""
-    word = F.lower(_text(c))
-    ending = "(?:" + "|".join(ADJECTIVE_ENDINGS) + ")$"
-    bare = F.when(F.length(word) >= 6, F.regexp_replace(word, "^(.{4,}?)" + ending, "$1")).otherwise(word)
-    return F.when((F.length(bare) >= 5) & bare.endswith("s") & ~bare.endswith("ss"), F.substring(bare, 1, F.length(bare) - 1)).otherwise(bare)
+    """A folded word of four letters or more without its first adjective ending that leaves five letters, or four after
+    an adjective's root; then, from six letters on, without a plural's s."""
+    word, length = fold_plain(c), F.length(fold_plain(c))
+    bare = []
+    for ending in ADJECTIVE_ENDINGS:
+        left = length - len(ending)
+        root = F.substring(word, F.lit(1), left)
+        fits = F.endswith(word, F.lit(ending)) & (left >= 4) & ((left >= 5) | root.rlike("(?:" + "|".join(ADJECTIVE_ROOTS) + ")$"))
+        bare.append(F.when(fits, root))
+    stem = F.coalesce(*bare, word)
+    plural = (F.length(stem) >= 6) & stem.endswith("s") & ~stem.endswith("ss")
+    return F.when(length < 4, word).when(plural, F.substring(stem, F.lit(1), F.length(stem) - 1)).otherwise(stem)
 
 
 def compound_parts(c: Column | str) -> Column:
-    """The tails found at the end of a longer word, with what stands before them, and its separated parts."""
-    word = F.lower(_text(c))
-    tails = F.array(*map(F.lit, COMPOUND_TAILS))
-    hits = F.filter(tails, lambda t: F.endswith(word, t) & (F.length(word) >= F.length(t) + 3))
+    """Distinct parts of a folded word: itself from four letters on, each tail with over three letters before it and what
+    those are, and its separated parts of three letters or more."""
+    word = fold_plain(c)
+    tails = F.array(*map(fold_plain, map(F.lit, COMPOUND_TAILS)))
+    hits = F.filter(tails, lambda t: F.endswith(word, t) & (F.length(word) > F.length(t) + 3))
     heads = F.transform(hits, lambda t: F.substring(word, F.lit(1), F.length(word) - F.length(t)))
-    return F.array_distinct(F.concat(hits, heads, F.filter(F.split(word, "[_/ -]+"), lambda p: (F.length(p) >= 3) & (p != word))))
+    whole = F.filter(F.array(word), lambda w: F.length(w) >= 4)
+    return F.array_distinct(F.concat(whole, heads, hits, F.filter(F.split(word, "[_./-]+"), lambda p: F.length(p) >= 3)))
 
 
 def char_trigrams(c: Column | str) -> Column:
-    """Distinct trigrams of the upper-case letters and digits; none for shorter texts."""
+    """Trigrams of the upper-case letters and digits, repeats included; shorter texts are their own."""
     t = F.regexp_replace(F.upper(_text(c)), "[^A-Z0-9]", "")
-    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.filter(F.array(t), lambda x: x != ""))
 
 
 def word_pairs(tokens: Column) -> Column:
@@ -121,18 +166,27 @@ def snippet(text: Column | str, term: Column) -> Column:
     return F.when(at > 0, F.substring(t, F.greatest(F.lit(1), at - 60), F.lit(240))).otherwise(F.substring(t, 1, 220))
 
 
-def symbols(c: Column | str) -> Column:
-    """Technical symbols of a text, longest first: namespaced names, names with underscores, Z/Y names, table-field pairs."""
+def symbol_matches(c: Column | str) -> Column:
+    """Technical symbols as (norm, kind), each once with the kind that comes first: paths of class and method with both
+    names, pairs of table and field with both, Z and Y names in any case, upper-case words of four letters or with a
+    digit. Words of NO_SYMBOLS are none."""
     t = _text(c)
-    families = (
-        r"(/[A-Z0-9_]{2,}/[A-Z0-9_]+)",
-        r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)(?![A-Za-z0-9_])",
-        r"(?<![A-Za-z0-9_])([ZY][A-Z0-9_]{2,})(?![A-Za-z0-9_])",
-        r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9_]{2,}-[A-Z][A-Z0-9_]+)(?![A-Za-z0-9_])",
-    )
-    found = F.array_distinct(F.concat(*(F.regexp_extract_all(t, F.lit(p), 1) for p in families)))
-    # sorted by length and then by name
-    keyed = F.array_sort(F.transform(found, lambda s: F.struct((-F.length(s)).alias("l"), s.alias("s"))))
+    groups = lambda p, *which: [F.regexp_extract_all(t, F.lit(p), F.lit(g)) for g in which]
+    path = groups(f"{EDGE}([A-Z][A-Z0-9_/]{{2,}})\\s*(?:=>|->)\\s*([A-Z][A-Z0-9_~/]{{2,}}){EDGE}", 0, 1, 2)
+    pair = groups(f"{EDGE}([A-Z][A-Z0-9_]{{2,}})\\s*[-.]\\s*([A-Z][A-Z0-9_]{{2,}}){EDGE}", 1, 2)
+    joined = F.zip_with(*pair, lambda a, b: F.concat_ws("-", a, b))
+    custom = groups(f"{EDGE}([ZzYy]{{1,2}}_?[A-Za-z0-9_]{{2,}}){EDGE}", 1)[0]
+    upper = F.filter(groups(f"{EDGE}([A-Z][A-Z0-9_]{{2,}}){EDGE}", 1)[0], lambda w: (F.length(w) >= 4) | w.rlike("[0-9]"))
+    families = ((path[0], "method_path"), (F.concat(path[1], path[2]), "uppercase_token"), (joined, "compound_field"), (F.concat(*pair), "uppercase_token"), (custom, "zy_name"), (upper, "uppercase_token"))
+    of_kind = lambda names, kind: F.transform(names, lambda w: F.struct(F.upper(F.trim(w)).alias("norm"), F.lit(kind).alias("kind")))
+    found = F.concat(*(of_kind(*family) for family in families))
+    names = F.filter(F.array_distinct(F.transform(found, lambda m: m["norm"])), lambda n: ~n.isin(*NO_SYMBOLS))
+    return F.transform(names, lambda n: F.element_at(F.filter(found, lambda m: m["norm"] == n), 1))
+
+
+def symbols(c: Column | str) -> Column:
+    """Names of symbol_matches, longest first, then by name."""
+    keyed = F.array_sort(F.transform(symbol_matches(c), lambda m: F.struct((-F.length(m["norm"])).alias("l"), m["norm"].alias("s"))))
     return F.transform(keyed, lambda k: k["s"])
 
 

@@ -44,8 +44,8 @@ def best_per_group(rows: DataFrame, group: list[str], order: list[Column], n: in
 
 
 def budgets(rows: DataFrame, group: str, budget: DataFrame, order: list[Column], cap: int) -> DataFrame:
-    """Rows within their group's budget (a small table group, budget), then the first cap of all."""
-    kept = rows.join(F.broadcast(budget), group).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place") <= F.col("budget"))
+    """Rows within their group's budget (a table group, budget), then the first cap of all."""
+    kept = rows.join(budget, group).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place") <= F.col("budget"))
     return kept.orderBy(*order).limit(cap)
 
 

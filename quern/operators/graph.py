@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """(node_id, type, name, source, authoritative) to one row per node: sorted names and sources, flags OR-ed."""
-    return nodes.groupBy("node_id").agg(
-        F.min("type").alias("type"),
+    """(node_id, type, name, source, authoritative) to one row per node and type, as one id may name things of different
+    types: sorted names and sources, flags OR-ed."""
+    return nodes.groupBy("node_id", "type").agg(
         F.array_join(F.array_sort(F.collect_set("name")), "|").alias("names"),
         F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"),
         F.max("authoritative").alias("authoritative"),
@@ -38,10 +38,11 @@ def unify_relations(edges: DataFrame, table: dict[str, str], default: str = "REL
 
 
 def neighbours(seeds: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(seed, to_id, relation): targets of edges from each seed, the first `most` by relation and target."""
-    found = edges.join(F.broadcast(seeds.select(F.col("node_id").alias("from_id"))), "from_id").select(F.col("from_id").alias("seed"), "to_id", "relation").distinct()
-    lists = found.groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.struct("relation", "to_id"))), 1, most).alias("l"))
-    return lists.select("seed", F.explode("l").alias("e")).select("seed", "e.to_id", "e.relation")
+    """(seed, to_id, relation): targets of edges from each seed, the first `most` by relation and target. A hub's edges
+    are ranked and cut in the tasks that read them before they meet."""
+    found = edges.join(seeds.select(F.col("node_id").alias("from_id")).distinct(), "from_id", "left_semi").select(F.col("from_id").alias("seed"), "to_id", "relation").distinct()
+    placed = found.withColumn("_p", F.row_number().over(Window.partitionBy("seed").orderBy("relation", "to_id")))
+    return placed.filter(F.col("_p") <= most).drop("_p")
 
 
 def bounded_search(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:

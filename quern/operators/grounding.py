@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,12 +33,21 @@ def entity_grounding(strong: Column, weak: Column, other: Column) -> Column:
     return F.when(strong, "confirmed").when(weak, "possible").when(other, "contradicted").otherwise("not_found")
 
 
+#: Names of a question; more are refused, as each text is searched for each.
+MOST_NAMES = 200
+
+
 def entity_report(docs: DataFrame, entities: DataFrame, strong: str, weak: str, id_col: str) -> DataFrame:
-    """(name, status, n_strong, n_weak) for a small table of names: one pass over docs, a row for each name and task."""
-    names = [r["name"] for r in entities.select("name").distinct().collect()]
-    at = F.array(*(F.struct(F.lit(n).alias("name"), F.contains(F.lower(strong), F.lit(n.lower())).alias("s"), F.contains(F.lower(weak), F.lit(n.lower())).alias("w")) for n in sorted(names)))
-    counts = docs.select(id_col, F.explode(at).alias("e")).groupBy("e.name").agg(F.count_if("e.s").alias("n_strong"), F.count_if(F.col("e.w") & ~F.col("e.s")).alias("n_weak"))
-    return counts.select("name", entity_grounding(F.col("n_strong") > 0, F.col("n_weak") > 0, F.lit(False)).alias("status"), "n_strong", "n_weak")
+    """(name, status, n_strong, n_weak) for the names of a question, MOST_NAMES at most: one pass over docs and a row for
+    each name and task. entities: (name) or (name, kind); a name that isn't found is contradicted where another of its
+    kind is found in strong fields."""
+    kinds = entities.select("name", "kind" if "kind" in entities.columns else F.lit("").alias("kind")).distinct().limit(MOST_NAMES + 1).collect()
+    if len(kinds) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    at = F.array(*(F.struct(F.lit(r["name"]).alias("name"), F.lit(r["kind"]).alias("kind"), F.contains(F.lower(strong), F.lit(r["name"].lower())).alias("s"), F.contains(F.lower(weak), F.lit(r["name"].lower())).alias("w")) for r in sorted(kinds)))
+    counts = docs.select(id_col, F.explode(at).alias("e")).groupBy("e.kind", "e.name").agg(F.count_if("e.s").alias("n_strong"), F.count_if(F.col("e.w") & ~F.col("e.s")).alias("n_weak"))
+    others = F.sum("n_strong").over(Window.partitionBy("kind")) > F.col("n_strong")
+    return counts.select("name", entity_grounding(F.col("n_strong") > 0, F.col("n_weak") > 0, others).alias("status"), "n_strong", "n_weak")
 
 
 def process_tier(own: Column, shared: Column, named: Column) -> Column:
@@ -48,15 +57,11 @@ def process_tier(own: Column, shared: Column, named: Column) -> Column:
     return F.struct(tier.alias("tier"), why.alias("reason"))
 
 
-def budget_gate(is_literal: bool, literal_hits: int, deep: bool, anchors: int, exact_hits: int, sufficient: bool) -> str:
-    """How far a search goes."""
-    if is_literal and not literal_hits:
-        return "CLOSED"
-    if deep:
-        return "DEEP_ANALYSIS"
-    if anchors and not exact_hits:
-        return "RETRIEVAL"
-    return "EXACT" if sufficient else "RETRIEVAL"
+def budget_gate(is_literal: Column, literal_hits: Column, deep: Column, anchors: Column, exact_hits: Column, sufficient: Column) -> Column:
+    """How far a search goes: closed where a literal isn't found, deep where it is asked for, retrieval for anchors without
+    exact hits, and otherwise exact where the hits suffice."""
+    closed, open_anchors = is_literal & (literal_hits == 0), (anchors > 0) & (exact_hits == 0)
+    return F.when(closed, "CLOSED").when(deep, "DEEP_ANALYSIS").when(open_anchors, "RETRIEVAL").when(sufficient, "EXACT").otherwise("RETRIEVAL")
 
 
 def without_noise(hits: DataFrame, name: str, kind: str, symbols: list[str], noise: tuple[str, ...] = ("ABAPGIT",), loose: tuple[str, ...] = ("control_table", "master_field")) -> DataFrame:

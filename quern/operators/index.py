@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import bm25_tokens
+from quern.session import materialize
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -19,15 +20,17 @@ def document_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def query_postings(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, len, tf_0, tf_1, ...): length and counts of the query's distinct terms, for documents with one of them.
+    """(doc_id, len, tf_0, tf_1, ...): length and counts of the query's distinct terms, for every document.
 
-    For a query the whole inverted index isn't needed: texts are cut into tokens where they are read, tokens of the query
-    alone are exploded, and an aggregate adds them up.
+    For a query the whole inverted index isn't needed: each text is cut into tokens once, where it is read, tokens of the
+    query are kept, and counts are taken from those in the same row. Nothing is exploded or shuffled; the result, a few
+    numbers a document, is written once, as both the corpus's statistics and the scores are made from it.
     """
     terms = list(dict.fromkeys(terms))
-    tokens = bm25_tokens(text_col)
-    found = docs.select(F.col(id_col).alias("doc_id"), F.size(tokens).alias("len"), F.explode(F.filter(tokens, lambda t: t.isin(*terms))).alias("term"))
-    return found.groupBy("doc_id", "len").agg(*(F.count_if(F.col("term") == t).alias(f"tf_{i}") for i, t in enumerate(terms)))
+    cut = docs.select(F.col(id_col).alias("doc_id"), bm25_tokens(text_col).alias("tokens"))
+    kept = cut.select("doc_id", F.size("tokens").alias("len"), F.filter("tokens", lambda t: t.isin(*terms)).alias("hits"))
+    counts = (F.size(F.filter("hits", F.lit(w).eqNullSafe)).alias(f"tf_{i}") for i, w in enumerate(terms))
+    return materialize(kept.select("doc_id", "len", *counts), "query-postings")
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -49,10 +52,12 @@ def symbol_map(names: DataFrame, name: str, id_col: str) -> DataFrame:
 
 
 def capped_postings(rows: DataFrame, key: str, id_col: str, cap: int) -> DataFrame:
-    """(key, ids, n): the first cap ids of each key by id, and the count of all. Ids are cut in partial aggregates of
-    one task only after they are distinct, so the cap is a property of the result and not of the input."""
-    counted = rows.select(key, id_col).distinct().groupBy(key).agg(F.sort_array(F.collect_list(id_col)).alias("ids"), F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("ids", F.slice("ids", 1, cap))
+    """(key, ids, n): the first cap ids of each key by id, and the count of all. Ranks are cut at the cap before ids are
+    gathered, so no key's ids are ever in one row; the count is an aggregate of its own."""
+    pairs = rows.select(key, id_col).distinct()
+    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(id_col))).filter(F.col("_r") <= cap)
+    lists = first.groupBy(key).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
+    return lists.join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
 
 
 def values_by_field(literals: DataFrame, most: int) -> DataFrame:

@@ -34,8 +34,9 @@ def record_key(number: Column, field: Column, position: Column, values: Column,
 
 
 def with_definition(rows: DataFrame, definitions: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with their table's definition where there is one, and whether there is."""
-    one = definitions.dropDuplicates(keys).withColumn("_known", F.lit(True))
+    """rows with their table's definition where there is one (of several the least by its columns), and whether there is."""
+    rest = [c for c in definitions.columns if c not in keys]
+    one = definitions.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_d")).select(*keys, "_d.*", F.lit(True).alias("_known")) if rest else definitions.distinct().withColumn("_known", F.lit(True))
     return rows.join(one, keys, "left").withColumn("has_definition", F.coalesce("_known", F.lit(False))).drop("_known")
 
 

@@ -49,7 +49,9 @@ def density_selection(rows: DataFrame, group: str, hit: Column) -> DataFrame:
     score = F.col("hits") * 100 + F.col("hits") / F.col("n") * 20 + F.least("n", F.lit(50)) * 0.01
     scored = counted.withColumn("score", score)
     gap = F.col("score") - F.coalesce(F.lead("score").over(Window.orderBy(F.desc("score"), group)), F.lit(0.0))
-    return scored.withColumn("gap", gap).withColumn("confidence", F.when((F.col("hits") > 0) & (F.col("gap") >= 100), "HIGH").when(F.col("hits") > 0, "MEDIUM").otherwise("LOW"))
+    high = (F.col("hits") >= 10) & (F.col("hits") / F.col("n") >= 0.35) & (F.col("gap") >= 50)
+    medium = (F.col("hits") >= 5) & (F.col("hits") / F.col("n") >= 0.2)
+    return scored.withColumn("gap", gap).withColumn("confidence", F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW"))
 
 
 def inventory(rows: DataFrame, item: str, medium: str, partner: str) -> DataFrame:
@@ -77,4 +79,6 @@ def progress(done: Column, countable: Column, locked: Column) -> list[Column]:
 def value_catalogue(rows: DataFrame, fields: list[str], kept: int = 24) -> DataFrame:
     """(field, values, n): distinct values of each field, the first `kept` of them in order."""
     pairs = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))).alias("x")).select("x.*").filter("value is not null").distinct()
-    return pairs.groupBy("field").agg(F.array_join(F.slice(F.array_sort(F.collect_list("value")), 1, kept), "|").alias("values"), F.count(F.lit(1)).alias("n"))
+    first = pairs.withColumn("_p", F.row_number().over(Window.partitionBy("field").orderBy("value"))).filter(F.col("_p") <= kept)
+    lists = first.groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("values"))
+    return lists.join(pairs.groupBy("field").agg(F.count(F.lit(1)).alias("n")), "field")

@@ -23,21 +23,20 @@ def top_k(scored: DataFrame, k: int, score: str = "score", id_col: str = "doc_id
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.round(score, digits).desc(), F.col(id_col))))
 
 
-def corpus_statistics(docs: DataFrame, found: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
-    """One row: documents, mean length, and the document frequency of each distinct term of query_postings()."""
-    size = docs.select(F.size(bm25_tokens(text_col)).alias("len")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = found.agg(*(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))))
-    return size.crossJoin(df)
-
-
-def bm25_scores(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of documents with a term; a term that the query repeats counts as often.
-
-    The statistics of the query are one row, broadcast to the documents that have a term.
-    """
+def with_statistics(found: DataFrame, n_terms: int) -> DataFrame:
+    """Documents of query_postings() with one of the terms, and beside each the corpus's one row of statistics: documents,
+    mean length, and the document frequency of each term."""
+    has = [F.col(f"tf_{i}") > 0 for i in range(n_terms)]
+    stats = found.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *(F.count_if(h).alias(f"df_{i}") for i, h in enumerate(has)))
+    anywhere = F.greatest(*(F.col(f"tf_{i}") for i in range(n_terms)), F.lit(0)) > 0
+    return found.filter(anywhere).crossJoin(F.broadcast(stats))
+
+
+def bm25_scores(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score) of documents with a term; a term that the query repeats counts as often. found: the query's
+    postings, where they are known already."""
     distinct = list(dict.fromkeys(terms))
-    found = query_postings(docs, distinct, id_col, text_col)
-    joined = found.crossJoin(F.broadcast(corpus_statistics(docs, found, distinct, text_col)))
+    joined = with_statistics(found if found is not None else query_postings(docs, distinct, id_col, text_col), len(distinct))
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
         tf, df = F.col(f"tf_{i}").cast("double"), F.col(f"df_{i}").cast("double")
@@ -46,11 +45,10 @@ def bm25_scores(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_
     return joined.select("doc_id", score.alias("score"))
 
 
-def tfidf_scores(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tfidf_scores(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """(doc_id, score): sum of (1 + ln(1 + tf)) * ln(1 + N / df) over distinct terms."""
     terms = list(dict.fromkeys(terms))
-    found = query_postings(docs, terms, id_col, text_col)
-    joined = found.crossJoin(F.broadcast(corpus_statistics(docs, found, terms, text_col)))
+    joined = with_statistics(found if found is not None else query_postings(docs, terms, id_col, text_col), len(terms))
     score = F.lit(0.0)
     for i in range(len(terms)):
         one = (1 + F.log(1 + F.col(f"tf_{i}").cast("double"))) * F.log(1 + F.col("n_docs") / F.col(f"df_{i}"))

@@ -54,34 +54,54 @@ def count_lines(spark: SparkSession, path: str) -> int:
     return scan_text(spark, path).count()
 
 
-def publish(frames: dict[str, DataFrame], folder: str, overwrite: bool = False) -> None:
-    """Write each frame as JSON lines below folder, all or none: into a staging folder, then renamed by Hadoop's FileSystem.
+#: Names the version folder that readers see.
+POINTER = "CURRENT"
 
-    Without overwrite an existing output is an error, before anything is written.
+
+def published(spark: SparkSession, folder: str) -> str:
+    """The version folder that was published last; FileNotFoundError before the first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(folder)
+    return f"{folder}/{spark.read.text(str(place.toString())).first()[0]}"
+
+
+def publish(frames: dict[str, DataFrame], folder: str, overwrite: bool = False) -> str:
+    """Write each frame as JSON lines into a new version folder, all or none, and return that.
+
+    What readers see changes at one moment, when the pointer file is replaced by a rename, so a failure before leaves the
+    version before, and one after nothing to do. Without overwrite a published folder is an error, before anything is
+    written. Frames that aren't given again are not in the new version. Old versions stay until they are deleted.
     """
     spark = next(iter(frames.values())).sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
-    fs = path(folder).getFileSystem(conf)
-    if not overwrite and any(fs.exists(path(folder, name)) for name in frames):
-        raise FileExistsError(f"{folder} has one of {sorted(frames)}")
-    stage = f"{folder}/.stage-{time.time_ns()}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path, version = jvm.org.apache.hadoop.fs.Path, f"v-{time.time_ns()}"
+    pointer, staged = path(f"{folder}/{POINTER}"), path(f"{folder}/_{POINTER}-{version}")
+    fs = pointer.getFileSystem(conf)
+    if not overwrite and fs.exists(pointer):
+        raise FileExistsError(folder)
     try:
         for name, frame in frames.items():
-            frame.write.json(f"{stage}/{name}")
-        for name in frames:
-            if fs.exists(path(folder, name)):
-                fs.delete(path(folder, name), True)
-            if not fs.rename(path(stage, name), path(folder, name)):
-                raise OSError(f"{stage}/{name} can't be renamed")
-    finally:
-        fs.delete(path(stage), True)
+            frame.write.json(f"{folder}/{version}/{name}")
+        out = fs.create(staged)
+        out.write(bytearray(version, "ascii"))
+        out.close()
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(staged, pointer, options)
+    except BaseException:
+        fs.delete(path(f"{folder}/{version}"), True)
+        fs.delete(staged, True)
+        raise
+    return f"{folder}/{version}"
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One row: the hash of sorted path|time|size of a binaryFile scan without contents."""
+    """One row: a hash of the set of path|time|size of a binaryFile scan without contents. It is made of sums of the
+    stamps' hashes, which don't depend on their order, so nothing is gathered however many files there are."""
     stamp = F.concat_ws("|", "path", F.col("modificationTime").cast("string"), F.col("length").cast("string"))
-    return files.select(stamp.alias("s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("s")), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_files"))
+    parts = [F.sum(F.xxhash64("s", F.lit(k)).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return files.select(stamp.alias("s")).agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *parts), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_files"))
 
 
 def file_stamps(spark: SparkSession, path: str) -> DataFrame:
