@@ -144,6 +144,14 @@ def keepers(keyed: DataFrame) -> DataFrame:
     return frame
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and key of every row, with keep_id and group_size where its group has more rows."""
+    expose_package(docs.sparkSession)
+    keyed = materialize(digests(docs, id_col, text_col), "digests")
+    groups = materialize(keepers(keyed).filter("group_size > 1"), "keepers")
+    return lookup_join(keyed, groups, ["key"], "group_size", keyed.count())
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with its group of equal texts: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -152,10 +160,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays where another row has an id; in a group of null ids alone keep_id is null and kept is true. An empty table
     gives an empty result.
     """
-    expose_package(docs.sparkSession)
-    keyed = materialize(digests(docs, id_col, text_col), "digests")
-    groups = materialize(keepers(keyed).filter("group_size > 1"), "keepers")
-    joined = lookup_join(keyed, groups, ["key"], "group_size", keyed.count())
+    joined = grouped(docs, id_col, text_col)
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"))
@@ -165,14 +170,16 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Of each group of equal texts one row of docs, whole: of those with the smallest id, the first by its columns.
 
     Rows are decided by their own id and text: rows that share an id but not the text are groups of their own, and of rows
-    that repeat both, one stays. A null id comes after all others.
+    that repeat both, one stays. A null id comes after all others. Decisions are made on ids and keys; docs are joined
+    once, with the rows that go.
     """
-    expose_package(docs.sparkSession)
-    keyed = materialize(digests(docs, id_col, text_col), "digests")
-    groups = materialize(keepers(keyed).filter("group_size > 1"), "keepers")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), key_of(F.col(text_col)).alias("key"))
-    joined = lookup_join(rows, groups, ["key"], "group_size", keyed.count())
-    alone = joined.filter("group_size is null").select("row.*")
-    tied = joined.filter("group_size is not null and id <=> keep_id")
-    chosen = tied.groupBy("key").agg(F.min_by("row", F.to_json(F.struct("row"))).alias("row"))
-    return alone.unionByName(chosen.select("row.*"))
+    decided = grouped(docs, id_col, text_col).filter("group_size is not null")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    counts = materialize(decided.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), stays.alias("stays")).agg(F.count(F.lit(1)).alias("n")).filter("not stays or n > 1"), "decided")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (key_of(docs[text_col]) == F.col("_key"))
+    kept = docs.join(counts.select("_id", "_key"), same, "left_anti")
+    tied = counts.filter("stays").select("_id", "_key")
+    if tied.isEmpty():
+        return kept
+    again = docs.join(tied, same).select("_id", "_key", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return kept.unionByName(again.groupBy("_id", "_key").agg(F.min_by("row", F.to_json(F.struct("row"))).alias("row")).select("row.*"))

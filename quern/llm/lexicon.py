@@ -33,8 +33,8 @@ from quern.llm.common import batches, materialize, scratch_path, texts
 #: Words of the lexicon, at most, and the longest in bytes.
 WORDS = 1 << 17
 LONGEST = 64
-#: Pieces of text and words that a worker remembers.
-CACHE = 600_000
+#: Pieces of text and words that a worker remembers since it last made room, and once more before that.
+CACHE = 200_000
 MAGIC = b"MATL0002"
 NO_STATE = 0xFFFFFFFF
 #: Places that the compiler tries for a state's transitions before it puts them at the end.
@@ -181,8 +181,13 @@ class Encoder(dict):
         self.tokenizer, self.lexicon = WordTokenizer(tokenizer_path), Lexicon(lexicon_path)
         self.decoded: dict[str, str] = {}
         self.words: dict[bytes, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, str], dict[bytes, bytes]] = ({}, {}, {})
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.older[0].get(piece)
+        if ids is not None:
+            self[piece], self.decoded[piece] = ids, self.older[1][piece]
+            return ids
         tokenizer = self.tokenizer
         parts = tokenizer.special_pattern.split(piece) if tokenizer.special_pattern and "<" in piece else (piece,)
         ids = b"".join(array("I", [tokenizer.special[p]]).tobytes() if p in tokenizer.special else self.plain(p) for p in parts) if len(parts) > 1 else self.plain(piece)
@@ -194,7 +199,7 @@ class Encoder(dict):
         """Ids of a piece without special tokens."""
         found = []
         for word in self.tokenizer.words(piece):
-            ids = self.words.get(word)
+            ids = self.words.get(word) or self.older[2].get(word)
             if ids is None:
                 ids = array("I", self.lexicon.lookup(word) or self.tokenizer.merge(word)).tobytes()
                 if len(word) <= LONGEST:
@@ -204,11 +209,11 @@ class Encoder(dict):
 
     def __call__(self, text: str) -> tuple[bytes, str]:
         """Ids as bytes and their decoded text."""
-        if len(self) > CACHE:
+        if len(self) > CACHE or len(self.words) > CACHE:
+            # what was asked for since then comes back from the older half
+            self.older = (dict(self), self.decoded, self.words)
             self.clear()
-            self.decoded.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
+            self.decoded, self.words = {}, {}
         # white space only parts words in this pattern, so a text can be cut at any of it
         pieces = text.replace("\n", " ").split(" ")
         ids = b"".join(map(self.__getitem__, pieces))
