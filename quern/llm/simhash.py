@@ -7,9 +7,11 @@ joined with themselves by Hamming distance:
   points on the way (inner: d <= bound). A fingerprint whose ball of radius r crosses a bound from outside also visits
   the inner side, as a query. Of two fingerprints on different sides the outer one visits the inner one's shard, so no
   link is lost and none is looked for twice. The triangle inequality is what lets the other branches be pruned.
+* A shard that is too large gets a tree of its own, from a sample of its members, and so on, so that shards keep their
+  size whatever the table's; one that a tree can't split (a dense ball) stays.
 * In a shard, queries and members are split again by vantage points until the groups are small, pruned by the same
   bounds, and compared bit by bit.
-* A shard that is too large for one task (a dense ball of near copies) is dealt in blocks; pairs of blocks are tasks.
+* What then is too large for one task is dealt in blocks; pairs of blocks are tasks.
 
 A task does not return its links but a forest that connects the same fingerprints, of bounded degree and depth, so that
 a ball of n fingerprints gives n edges and not n * n. Connected components then spread the smallest label over edges
@@ -24,7 +26,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import batches, byte_text, int64, lookup_join, materialize, texts
@@ -32,9 +34,10 @@ from quern.llm.common import batches, byte_text, int64, lookup_join, materialize
 WORDS = 3
 RADIUS = 3
 SEED = 42
-#: Fingerprints that the routing tree is built from, at most, and those of a shard that it aims at.
+#: Fingerprints that a routing tree is built from, on average, those of a shard that it aims at, and rounds of trees.
 SAMPLE = 20_000
 SHARD = 6_000
+ROUNDS = 8
 #: Members and queries of one task beyond which a shard is dealt in blocks of this size.
 BLOCK = 30_000
 #: Group sizes below which fingerprints are compared directly.
@@ -120,10 +123,11 @@ def build_tree(points: np.ndarray, leaves: int, radius: int = RADIUS) -> list[tu
     return nodes
 
 
-def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the point, leaf, whether it is at home there) of every visit."""
+def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the point, leaf, whether it is at home there) of every visit. home: whether points are at home in the tree
+    at all; by default all are."""
     out: list[tuple[np.ndarray, int, np.ndarray]] = []
-    todo = [(0 if nodes else -1, np.arange(len(points)), np.ones(len(points), bool))]
+    todo = [(0 if nodes else -1, np.arange(len(points)), np.ones(len(points), bool) if home is None else home)]
     while todo:
         at, own, home = todo.pop()
         if not len(own):
@@ -213,42 +217,80 @@ def link_group(group: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
+def sampled(total: int) -> Column:
+    """Of `total` distinct fingerprints about SAMPLE: those with the least hashes. A filter, nothing is sorted."""
+    share = min(1.0, SAMPLE / max(total, 1))
+    return F.xxhash64("fp") <= F.lit(int(min(2**63 - 1, -(2**63) + share * 2**64)))
+
+
+VISIT = "shard long, fp long, home boolean, final boolean"
+VISIT_SCHEMA = pa.schema([("shard", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_()), ("final", pa.bool_())])
+NODE = np.dtype([("point", "<u8"), ("bound", "<i8"), ("inner", "<i8"), ("outer", "<i8")])
+
+
 def shard_rows(distinct: DataFrame, nodes: list, radius: int) -> DataFrame:
-    """(shard, fp, home) for each visit."""
+    """(shard, fp, home, final) for each visit; final where the tree couldn't split."""
     shared = distinct.sparkSession.sparkContext.broadcast(nodes)
 
     def one(batch: pa.RecordBatch) -> dict:
         fp = int64(batch.column("fp"))
         at, leaf, home = route(shared.value, fp.view(np.uint64), radius)
-        return {"shard": leaf, "fp": fp[at], "home": home}
+        return {"shard": leaf, "fp": fp[at], "home": home, "final": np.full(len(at), not shared.value)}
+
+    return distinct.select("fp").mapInArrow(batches(one, VISIT_SCHEMA), VISIT)
+
+
+def subdivided(visits: DataFrame, large: DataFrame, radius: int, sample: int, shard: int, block: int) -> DataFrame:
+    """The visits of large shards (shard, n, members), routed on by a tree for each. Trees come from about `sample`
+    members each; visits are routed in parts of about a block, each with a copy of its shard's tree."""
+
+    def tree(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(group))
+        points = np.sort(rows.column("fp").to_numpy().view(np.uint64))
+        nodes = build_tree(points, max(2, round(rows.column("members")[0].as_py() / shard)), radius)
+        yield pa.RecordBatch.from_pydict({"shard": [key[0].as_py()], "nodes": [np.array(nodes, NODE).tobytes()]})
+
+    def routed(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes = [tuple(n) for n in np.frombuffer(right.column("nodes")[0].as_py(), NODE).tolist()] if right.num_rows else []
+        fp, own = left.column("fp").to_numpy(), left.column("shard")[0].as_py()
+        at, leaf, home = route(nodes, fp.view(np.uint64), radius, left.column("home").to_numpy())
+        names = {k: xxhash.xxh64_intdigest(f"{own}/{k}") - (1 << 63) for k in set(leaf.tolist())}
+        return pa.table({"shard": pa.array([names[k] for k in leaf.tolist()], pa.int64()), "fp": fp[at], "home": home, "final": np.full(len(at), not nodes)}, schema=VISIT_SCHEMA)
 
-    schema = pa.schema([("shard", pa.int32()), ("fp", pa.int64()), ("home", pa.bool_())])
-    return distinct.select("fp").mapInArrow(batches(one, schema), "shard int, fp long, home boolean")
+    own = visits.join(large, "shard")
+    chosen = own.filter(F.col("home") & (F.pmod(F.xxhash64("fp", "shard"), "members") < sample)).select("shard", "fp", "members")
+    trees = chosen.groupBy("shard").applyInArrow(tree, "shard long, nodes binary")
+    parts = F.ceil(F.col("n") / block)
+    dealt = own.select("shard", F.pmod(F.xxhash64("fp", F.lit(1)), parts).alias("part"), "fp", "home")
+    copies = trees.join(large, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "nodes")
+    return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(routed, VISIT)
 
 
 def links(distinct: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, connecting what links of the radius connect."""
-    spark = distinct.sparkSession
-    sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    sample = distinct.filter(sampled(total)).select("fp").toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     nodes = build_tree(np.sort(sample), max(1, round(total / SHARD)), radius)
     visits = materialize(shard_rows(distinct, nodes, radius), "simhash-visits")
-    sizes = visits.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("members")).toPandas()
-    # (shard, blocks of its members, blocks of its queries)
-    plan = [(int(r.shard), -(-int(r.members) // BLOCK) or 1, -(-int(r.n) // BLOCK)) for r in sizes.itertuples()]
-    whole = F.when(F.col("home"), 2).otherwise(1)
-    large = {s: (m, q) for s, m, q in plan if q > 1}
-    small = visits.select("shard", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", whole.alias("side"))
-    if large:
-        table = spark.createDataFrame([(s, m, q) for s, (m, q) in large.items()], "shard int, m int, q int")
-        dealt = visits.join(F.broadcast(table), "shard")
-        as_member = dealt.filter("home").withColumn("x", F.pmod(F.xxhash64("fp"), "m").cast("int")).select("shard", "x", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("y"), "fp", F.lit(0).alias("side"))
-        as_query = dealt.withColumn("y", F.pmod(F.xxhash64("fp"), "q").cast("int")).select("shard", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"), "y", "fp", F.lit(1).alias("side"))
-        small = small.join(F.broadcast(table.select("shard")), "shard", "left_anti").unionByName(as_member).unionByName(as_query)
+    for k in range(ROUNDS + 1):
+        sizes = visits.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("members"), F.min("final").alias("final"))
+        large = materialize(sizes.filter(F.col("n") > BLOCK), "simhash-large")
+        wanted = large.filter("not final and members > 0").select("shard", "n", "members")
+        if k == ROUNDS or wanted.isEmpty():
+            break
+        finer = subdivided(visits, wanted, radius, SAMPLE, SHARD, BLOCK)
+        visits = materialize(visits.join(wanted.select("shard"), "shard", "left_anti").unionByName(finer), "simhash-visits")
+    whole = visits.join(large.select("shard"), "shard", "left_anti").select("shard", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", F.when(F.col("home"), 2).otherwise(1).alias("side"))
+    # blocks of a shard's members (x) and of its queries (y)
+    dealt = visits.join(large.select("shard", F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).alias("m"), F.ceil(F.col("n") / BLOCK).alias("q")), "shard")
+    block = lambda count: F.pmod(F.xxhash64("fp"), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
+    as_member = dealt.filter("home").select("shard", block("m").alias("x"), every("q").alias("y"), "fp", F.lit(0).alias("side"))
+    as_query = dealt.select("shard", every("m").alias("x"), block("q").alias("y"), "fp", F.lit(1).alias("side"))
 
     def one(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from link_group(group, radius)
 
-    return small.groupBy("shard", "x", "y").applyInArrow(one, "a long, b long")
+    return whole.unionByName(as_member).unionByName(as_query).groupBy("shard", "x", "y").applyInArrow(one, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,9 +76,10 @@ def test_shards_lose_no_link(seed, n, ball, leaves):
     assert found == set(zip(i.tolist(), j.tolist(), strict=True))
 
 
-def test_large_shards_are_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK", 300)
-    monkeypatch.setattr(S, "SHARD", 800)
+@pytest.mark.parametrize(("block", "shard", "sample", "rounds"), [(300, 800, 20_000, 8), (200, 100, 60, 8), (200, 100, 60, 1), (5_000, 20, 20_000, 8)])
+def test_large_shards_are_split_or_dealt_in_blocks(spark, monkeypatch, block, shard, sample, rounds):
+    for name, value in (("BLOCK", block), ("SHARD", shard), ("SAMPLE", sample), ("ROUNDS", rounds)):
+        monkeypatch.setattr(S, name, value)
     x = fingerprints_with_balls(3, 1500, 900)
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(3)
     labels = {r.node: r.label for r in S.components(S.links(df, len(x))).collect()}
@@ -86,6 +88,12 @@ def test_large_shards_are_dealt_in_blocks(spark, monkeypatch):
     assert [labels.get(i, i) for i in ids] == want
 
 
+def test_the_sample_is_a_filter_of_about_its_size(spark):
+    df = spark.range(200_000).selectExpr("id as fp")
+    assert 19_000 < df.filter(S.sampled(200_000)).count() < 21_000 and df.filter(S.sampled(100)).count() == 200_000
+    assert "TakeOrdered" not in df.filter(S.sampled(200_000))._jdf.queryExecution().toString()
+
+
 def test_forest_has_bounded_degree():
     root = np.zeros(1000, int)
     a, b = S.forest_edges(np.arange(1000), root)
