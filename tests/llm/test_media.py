@@ -64,3 +64,26 @@ def test_short_texts_have_pairs_of_their_own():
     short = [b"a", b"one two", b"three four", b"Short text.", b"x" * 65, b"some words of a line that is between one and two units long, here", b"q" * 128]
     pairs = [tuple(M.features(M.to_wav(t))[1].tolist()) for t in short]
     assert all(pairs) and len(set(pairs)) == len(short)
+
+
+def test_query_features_equal_slow_ones(spark):
+    """The digest of a row is that of pairs worked out slowly from the stored samples, for texts on both sides of a slice."""
+    rng = np.random.default_rng(2)
+    texts = ["", "a", "x" * 128, "words of a text " * 40, "".join(map(chr, rng.integers(32, 127, 5000))), "ü" * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same = 0
+    for r in M.wav_fingerprints(df).collect():
+        payload = texts[r.doc_id].encode()
+        payload += bytes(-len(payload) % 64 or (0 if payload else 64))
+        x = np.frombuffer(payload, np.uint8)
+        if len(x) < M.LEAST:
+            bins = M.peak_bins(x)
+        else:
+            bins = slow_bins(x)
+        pairs = slow_pairs(bins)
+        assert r.feature == hashlib.sha256(np.array(list(r.pairs), np.int64).tobytes()).hexdigest()
+        # rounding of equal peaks may differ in the last place
+        common = len(set(pairs) & set(r.pairs))
+        assert common >= 0.99 * max(len(pairs), len(r.pairs))
+        same += pairs == list(r.pairs)
+    assert same >= len(texts) - 1
