@@ -136,6 +136,52 @@ def custom_names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", *(X.is_custom_name(c).alias(n) for n, c in names.items()))
 
 
+TOPIC = " ".join(f"when ends_with(n, '{e}') and length(n) >= {4 + len(e)} then left(n, length(n) - {len(e)})" for e in X.TOPIC_ENDINGS)
+
+
+@query(f"""with {WORDS}, s as (select word, regexp_replace(strip_accents(replace(lower(word), 'ß', '')), '[^a-z0-9]+', '', 'g') as n from w) select word, case when length(n) < 5 then n {TOPIC} else n end as stem from s""")
+def topic_stems(spark, sf):
+    return words(spark, sf).select("word", X.topic_stem("word").alias("stem"))
+
+
+@query("""with m as (select p_partkey, lower(p_type) as field, p_brand as tbl, upper('Z_' || p_type) as tech, p_name as title from part)
+    select p_partkey, case when contains(tech, 'Z_PROMO') or contains(tech, 'STANDARD') then 100 else 0 end
+      + case when contains(field, 'economy') then 120 when contains(lower(title), 'economy') then 90 when contains(field, 'red bolt') then 120 when contains(lower(title), 'red bolt') then 90 else 0 end
+      + case when n = 2 then 70 else n * 12 end + case when contains(field, 'large') or contains(lower(tbl), 'large') or contains(field, 'bolt') then 45 else 0 end as boost
+    from (select *, (contains(field, 'large') or contains(lower(tbl), 'large') or contains(lower(title), 'large') or contains(lower(tech), 'large'))::int + (contains(field, 'bolt') or contains(lower(title), 'bolt'))::int as n from m)""")
+def lexical_field_boosts(spark, sf):
+    fields = {"technical_name": F.concat(F.lit("Z_"), F.col("p_type")), "field_text": F.col("p_type"), "table_text": F.col("p_brand"), "title": F.col("p_name")}
+    return table(spark, sf, "part").select("p_partkey", search.field_boosts(fields, ["Z_PROMO", "STANDARD", "X"], ["Economy", "red bolt", "abc"], ["large", "bolt", "of"]).alias("boost"))
+
+
+# Links by kind
+
+
+@query("""with c as (select o_orderkey, substr('1245678 9AtX', (1 + o_orderkey % 12)::int, 1) as code from orders),
+    m as (select * from (values ('1', 'Print output'), ('2', 'Fax'), ('4', 'Telex'), ('5', 'External send'), ('6', 'EDI'), ('7', 'Simple mail'), ('8', 'Special function'), ('9', 'Events (workflow)'), ('A', 'Distribution (ALE)'), ('T', 'Workflow task')) as t(k, text))
+    select o_orderkey, code, case when code = '6' then 'Own EDI' else coalesce(text, 'unbekannt') end as medium_text, case when code = '6' then 'CONFIG_TEXT' when text is not null then 'GENERIC_SAP_MAPPING' else 'UNRESOLVED' end as resolution from c left join m on upper(trim(code)) = k""")
+def medium_texts(spark, sf):
+    code = F.substring(F.lit("1245678 9AtX"), (1 + F.col("o_orderkey") % 12).cast("int"), F.lit(1))
+    own = spark.createDataFrame([(" 6", "Own EDI"), ("6", "Zweiter Text"), ("5", " ")], "code string, text string")
+    return link.resolve_media(table(spark, sf, "orders").select("o_orderkey", code.alias("code")), "code", own, english=True)
+
+
+HITS_OF = (("h1", "ddic_field", "RED BOLT", "ECONOMY", "F7"), ("h2", "ddic_field", "NONE", "PROMO", "F1"), ("h3", "table_profile", "BRAND#12", "", ""), ("h4", "control_table", "WIDGET", "", ""), ("h5", "method", "COLD", "", ""), ("h6", "program", "B3", "", ""), ("h7", "other", "COLD", "", ""))
+
+
+@query(f"""with h as (select * from (values {', '.join(map(str, HITS_OF))}) as t(hit_id, kind, tech, tbl, fld)),
+    d as (select p_partkey as doc_id, (['master_field', 'table_profile', 'class'])[1 + p_size % 3] as unit, upper(p_name) as title, 'K|' || upper(p_type) || '|F' || p_size as key, upper(p_brand) as obj, 'B' || (p_size % 5) as sub, upper(p_type) as mt, 'F' || (p_size % 9) as mf from part)
+    select distinct hit_id, doc_id from h join d on (kind = 'ddic_field' and unit = 'master_field' and (title = tech or (mt = tbl and mf = fld) or contains(key, '|' || tbl || '|' || fld)))
+      or (kind in ('table_profile', 'control_table') and unit = 'table_profile' and (key = 'TABLE_PROFILE:' || tech or obj = tech or contains(title, tech))) or (kind in ('method', 'program') and (contains(key, tech) or contains(title, tech) or obj = tech or sub = tech))""")
+def hit_documents(spark, sf):
+    hits = spark.createDataFrame(HITS_OF, "hit_id string, kind string, technical_name string, table_name string, field_name string")
+    size = F.col("p_size")
+    unit = F.element_at(F.array(*map(F.lit, ("master_field", "table_profile", "class"))), (1 + size % 3).cast("int"))
+    key = F.concat(F.lit("K|"), "p_type", F.lit("|F"), size.cast("string"))
+    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), unit.alias("unit_type"), F.col("p_name").alias("title"), key.alias("source_key"), F.col("p_brand").alias("object_name"), F.concat(F.lit("B"), (size % 5).cast("string")).alias("subobject_name"), F.col("p_type").alias("table_name"), F.concat(F.lit("F"), (size % 9).cast("string")).alias("field_name"))
+    return link.match_hits(hits, docs)
+
+
 # Sources and sinks: written as JSON lines and read back
 
 CUSTOMER = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()), T.StructField("c_mktsegment", T.StringType())])

@@ -27,6 +27,12 @@ STOPWORDS = (
 ADJECTIVE_ENDINGS = ("es", "en", "em", "er", "e")
 ADJECTIVE_ROOTS = ("uell", "isch", "iv", "ig", "lich")
 
+# Endings that come off a topic's words, in the order in which they are tried.
+TOPIC_ENDINGS = (
+    "ischen", "lichem", "lichen", "liche", "isches", "ischer", "ische", "ischem", "ungen", "ung", "isch", "lich", "endes", "ende", "enden", "endem",
+    "elles", "elle", "ellen", "ellem", "heit", "keit", "em", "en", "er", "es", "e", "s",
+)
+
 # Last parts of German compounds that are split off.
 COMPOUND_TAILS = (
     "lager", "ort", "nummer", "schluessel", "schlüssel", "gruppe", "art", "typ", "status", "kennzeichen", "text", "name", "datum",
@@ -143,6 +149,14 @@ def char_trigrams(c: Column | str) -> Column:
     return F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.filter(F.array(t), lambda x: x != ""))
 
 
+def topic_stem(c: Column | str) -> Column:
+    """A word's plain letters and digits without its first topic ending that leaves four or more; words under five stay."""
+    word = F.regexp_replace(fold_plain(F.replace(_text(c), F.lit("ß"), F.lit(""))), "[^a-z0-9]+", "")
+    length = F.length(word)
+    cuts = (F.when(F.endswith(word, F.lit(e)) & (length >= 4 + len(e)), F.substring(word, F.lit(1), length - len(e))) for e in TOPIC_ENDINGS)
+    return F.when(length < 5, word).otherwise(F.coalesce(*cuts, word))
+
+
 def word_pairs(tokens: Column) -> Column:
     """Neighbouring tokens joined by a blank."""
     return F.when(F.size(tokens) >= 2, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)))).otherwise(F.array().cast("array<string>"))

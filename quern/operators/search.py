@@ -119,6 +119,35 @@ def lexical_score(phrase: Column, all_terms: Column, n_terms: Column, trigram: C
     return F.when(phrase, 120.0).otherwise(0.0) + F.when(all_terms, 70.0).otherwise(0.0) + 12.0 * n_terms + F.when(trigram >= 0.6, 35.0).otherwise(0.0) + F.least(F.lit(40.0), 6.0 * bm25) + kind_boost
 
 
+# Boosts of the lexical channel by field, and of what a whole query has in common with a document.
+PHRASE_BOOSTS = {"field_text": 120, "table_text": 110, "data_element_text": 105, "search_text": 90, "title": 90}
+TECHNICAL_BOOST, ALL_TERMS_BOOST, DESCRIPTION_BOOST, CODE_BOOST, TERM_BOOST = 100, 70, 45, 28, 12
+DESCRIBING = ("field_text", "table_text", "data_element_text", "domain_text")
+
+
+def field_boosts(fields: dict[str, Column], technical: list[str], phrases: list[str], terms: list[str]) -> Column:
+    """The field-wise part of a lexical score. fields: technical_name, title, code_summary and the texts of PHRASE_BOOSTS and
+    DESCRIBING; those that a document hasn't are left out.
+
+    A technical token of three letters that the name holds counts once. Of the phrases of five letters the first that
+    any field holds counts, by the first field that does. Terms of three letters count as one where all of several are
+    found, else each; where one is in a describing text that counts too, and otherwise one in the summary of code.
+    """
+    plain = {k: search_key(c) for k, c in fields.items()}
+    holds = lambda name, what: F.contains(plain[name], search_key(F.lit(what))) if name in plain else F.lit(False)
+    anywhere = lambda names, words: F.greatest(F.lit(False), F.lit(False), *(holds(n, w) for n in names for w in words))
+    name = F.upper(F.coalesce(fields.get("technical_name", F.lit(None).cast("string")), F.lit("")))
+    exact = F.greatest(F.lit(False), F.lit(False), *(F.contains(name, F.lit(t)) for t in technical if len(t) >= 3))
+    boosts = [F.when(holds(field, p), F.lit(b)) for p in phrases if len(p) >= 5 for field, b in PHRASE_BOOSTS.items()]
+    words = [t for t in terms if len(t) >= 3]
+    found = [anywhere(plain, [t]) for t in words]
+    n = sum((f.cast("int") for f in found), F.lit(0))
+    described = F.greatest(F.lit(False), F.lit(False), *(f & anywhere(DESCRIBING, [t]) for t, f in zip(words, found, strict=True)))
+    in_code = F.greatest(F.lit(False), F.lit(False), *(f & anywhere(("code_summary",), [t]) for t, f in zip(words, found, strict=True)))
+    shared = F.when((n == len(words)) & (n >= 2), ALL_TERMS_BOOST).otherwise(n * TERM_BOOST)
+    return F.when(exact, TECHNICAL_BOOST).otherwise(0) + F.coalesce(*boosts, F.lit(0)) + shared + F.when(described, DESCRIPTION_BOOST).when(in_code, CODE_BOOST).otherwise(0)
+
+
 def term_coverage(text_col: str, terms: list[str]) -> Column:
     """Distinct terms that a text's tokens contain."""
     return F.size(F.array_intersect(bm25_tokens(text_col), F.array(*map(F.lit, terms))))
