@@ -31,6 +31,8 @@ ACCESS = (
     ("modify", re.compile(r"^\s*MODIFY\s+([A-Za-z0-9_/]+)", re.I)),
     ("delete", re.compile(r"^\s*DELETE\s+FROM\s+([A-Za-z0-9_/]+)", re.I)),
 )
+#: A quoted string, the begin of a comment at a line's end, or the full stop of a statement.
+MARKS = re.compile(r"'[^']*(?:'|$)|\"|\.(?![0-9])")
 CALL = re.compile(r"\bCALL\s+(FUNCTION|TRANSACTION|METHOD)\s+'?([A-Za-z0-9_/>=~-]+)'?|\b(PERFORM|SUBMIT)\s+([A-Za-z0-9_/]+)", re.I)
 MACRO = re.compile(r"\s*([A-Za-z][A-Za-z0-9_]*)(?=[\s.])(?!\s*(?:=|-|\())")
 # Statements with an underscore-free look that macro calls must not be taken for.
@@ -50,23 +52,17 @@ def statements(source: str) -> Iterator[tuple[int, str, bool]]:
         if is_comment(line):
             yield number, line, True
             continue
-        text, quoted, start = line, False, 0
-        for i, c in enumerate(text):
-            if c == "'":
-                quoted = not quoted
-            elif c == '"' and not quoted:
-                text = text[:i]
+        start, end = 0, len(line)
+        for mark in MARKS.finditer(line):
+            if mark[0] == '"':
+                end = mark.start()
                 break
-        quoted = False
-        for i, c in enumerate(text):
-            if c == "'":
-                quoted = not quoted
-            elif c == "." and not quoted and not (i + 1 < len(text) and text[i + 1].isdigit()):
-                piece = text[start : i + 1]
+            if mark[0] == ".":
+                piece = line[start : mark.end()]
                 if held or piece.strip():
                     yield first or number, "\n".join([*held, piece]), False
-                held, first, start = [], 0, i + 1
-        rest = text[start:]
+                held, first, start = [], 0, mark.end()
+        rest = line[start:end]
         if rest.strip():
             held.append(rest)
             first = first or number
