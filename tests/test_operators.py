@@ -174,9 +174,11 @@ def test_questions(spark):
     assert "große lieferungen gesteuert" in q.phrases and question.stem("großen") == "gross" and question.normalise("").terms == []
     found = lambda text: one(spark, question.literals(F.col("v")), text)
     l = found("Wo ist MATNR 4711 oder 'ABC' hart codiert?")
-    assert l.is_literal and l["values"] == ["4711", "ABC", "MATNR"] and l.fields == ["MATNR"]
+    assert l.is_literal and l["values"] == ["ABC", "4711", "MATNR"] and l.fields == []
+    l = found("MATNR = 4711 hart codiert?")
+    assert l.is_literal and l["values"] == ["4711", "MATNR"] and l.fields == ["MATNR"]
     assert found("VKORG = 1000 fest?").is_literal and not found("Wie viele Aufträge gibt es 2024?").is_literal and not found("").is_literal
-    assert found("Sind Konstanten in ORDERS und zmat1 da?")["values"] == ["ORDERS", "ZMAT1"] or found("Sind Konstanten in ORDERS und zmat1 da?")["is_literal"]
+    assert {"ORDERS", "ZMAT1"} <= set(found("Sind Konstanten: ORDERS, zmat1")["values"])
 
 
 def test_macros_and_windows():
