@@ -12,10 +12,13 @@ from quern.llm.language import identify
 from quern.llm.lexicon import encode_decode
 from quern.llm.media import wav_fingerprints
 from quern.llm.mixing import mix
+from quern.llm.packing import pack
 from quern.llm.quality import classify
 from quern.llm.simhash import near_duplicates
+from quern.llm.spelling import variants
 from quern.llm.surrogates import replace_entities
 from quern.llm.token_files import round_trip
+from quern.llm.vector_codes import compress
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +61,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_interpolation, op4_quality, op5_simhash, op6_surrogates, op7_bpe, op8_media, op9_language, op10_mixing)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_interpolation, op4_quality, op5_simhash, op6_surrogates, op7_bpe, op8_media, op9_language, op10_mixing, op11_vector_codes, op12_packing, op13_spelling)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
