@@ -83,3 +83,13 @@ def drop_scratch(spark: SparkSession, since: int = 0, but: DataFrame | None = No
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     _scratch[since:] = [x for x in _scratch[since:] if x not in own]
     return len(own)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables of materialize that nothing reads any more; of an empty one there are no files to find it by."""
+    for df in tables:
+        places = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for own in [x for x in _scratch if any(p.endswith(x[1].split(":", 1)[-1].lstrip("/")) for p in places)]:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(own[1])
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+            _scratch.remove(own)
