@@ -2,13 +2,14 @@
 
 A word's key is the sum of a power of each of its letters' numbers, the same for all its anagrams. Words that differ by
 one letter have keys that differ by that letter's value, or by the difference of two values where it was exchanged. Each
-word therefore asks for its key less the value of each of its letters: the word without that letter has this key (it was
-added or removed), and so does, less one of its own letters, each word in which that letter was exchanged. Candidates meet
-by an equi-join on these keys and count once the order of their letters is verified.
-
-Values are fifth powers, whose differences are all distinct, so a pair of words meets under one key. Keys under which
-many words meet are refined by the place of the letter and by what stays without it, which parts them into those that
-differ by nothing else: no pair is lost and none is made that doesn't count.
+word therefore hands in its key less the value of each of its letters: the word without that letter has this key (it was
+added or removed), and so does, less one of its own letters, each word in which that letter was exchanged. Values are
+fifth powers, whose differences are all distinct, so a pair of words meets under one key.
+
+Random texts have thousands of words under one key, of which few are near. So the order of letters is verified where keys
+meet: beside the key, words hand in a hash of what stays without the letter and the letter's place, and equal keys are
+joined with these. At most 90 words, the size of the alphabet, share all three, and they all are near each other, so a
+group's pairs are its result. Pairs count once the words themselves are compared.
 """
 
 from __future__ import annotations
@@ -30,10 +31,8 @@ POWER = 5
 RUNS = "[A-Za-zÀ-ÿ]"
 #: Fixed values of the contract: one run in EVERY loses a letter; words have LEAST letters and TWICE occurrences at least.
 EVERY, LEAST, TWICE, TIMES = 31, 7, 2, 10
-#: Words that a task counts before it hands them on.
-HELD = 1 << 18
-#: Words that meet under one key before it is refined.
-CROWD = 64
+#: Words that a task counts before it hands them on, and texts that it takes at a time.
+HELD, TEXTS = 1 << 16, 256
 
 
 def damaged(doc_id: int | None, run: str, every: int = EVERY) -> str:
@@ -58,7 +57,7 @@ def word_counts(docs: DataFrame, least: int = LEAST, twice: int = TWICE, every:
             held.clear()
             return made
 
-        for batch in source:
+        for batch in (b.slice(a, TEXTS) for b in source for a in range(0, b.num_rows, TEXTS)):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 for found, n in Counter(runs.findall(text.translate(LOWER).decode())).items():
                     word = damaged(doc_id, found, every)
@@ -96,38 +95,19 @@ def one_apart(x: Column, y: Column) -> Column:
     return F.levenshtein(x, y, 1) == 1
 
 
-def under_keys(own: DataFrame, less: DataFrame) -> DataFrame:
-    """Pairs (x, y) of near words: y is x without a letter, or a greater word of its length. own has (key, word), less
-    (key, word) for each letter that is left out."""
-    x = less.select("key", F.col("word").alias("x"))
-    removed = x.join(own.select("key", F.col("word").alias("y")), "key").filter((F.length("x") == F.length("y") + 1) & one_apart(F.col("x"), F.col("y")))
-    exchanged = x.join(less.select("key", F.col("word").alias("y")), "key").filter((F.col("x") < F.col("y")) & (F.length("x") == F.length("y")) & one_apart(F.col("x"), F.col("y")))
-    return removed.select("x", "y").unionByName(exchanged.select("x", "y"))
-
-
-def under_refined_keys(own: DataFrame, less: DataFrame, words: DataFrame) -> DataFrame:
-    """The same pairs by key, a hash of what stays of a word and, of exchanged letters, their place, which at most 90 words
-    share. Rows carry ids: a long word has many places."""
-    places = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.lit(1)) == F.col("letter"))
-    rest = F.concat(F.substring("word", F.lit(1), F.col("at") - 1), F.substring("word", F.col("at") + 1, F.length("word")))
-    first = (F.col("at") == 1) | (F.substring("word", F.col("at") - 1, F.lit(1)) != F.col("letter"))
-    at = less.select("key", "id", "word", "letter", F.explode(places).alias("at")).select("key", "id", "at", F.xxhash64(rest).alias("rest"), first.alias("first"))
-    x = at.withColumnRenamed("id", "x")
-    removed = x.filter("first").join(own.select("key", F.xxhash64("word").alias("rest"), F.col("id").alias("y")), ["key", "rest"])
-    exchanged = x.join(at.select("key", "rest", "at", F.col("id").alias("y")), ["key", "rest", "at"]).filter(F.col("x") < F.col("y"))
-    met = removed.select("x", "y").unionByName(exchanged.select("x", "y"))
-    named = met.join(words.select(F.col("id").alias("x"), F.col("word").alias("of_x")), "x").join(words.select(F.col("id").alias("y"), F.col("word").alias("of_y")), "y")
-    return named.filter(one_apart(F.col("of_x"), F.col("of_y"))).select(F.col("of_x").alias("x"), F.col("of_y").alias("y")).distinct()
-
-
-def near_pairs(words: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Pairs (x, y) of distinct words of (word, id) one letter apart, each once."""
-    own = words.select(key_of(F.col("word")).alias("key"), "word", "id")
-    letter = own.select("key", "word", "id", F.explode(F.array_distinct(letters_of(F.col("word")))).alias("letter"))
-    less = letter.select((F.col("key") - value_of(F.col("letter"))).alias("key"), "word", "letter", "id")
-    crowds = materialize(own.select("key").unionByName(less.select("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"), "spelling-crowds")
-    usual = under_keys(own.join(crowds, "key", "left_anti"), less.join(crowds, "key", "left_anti"))
-    return usual.unionByName(under_refined_keys(own.join(crowds, "key", "left_semi"), less.join(crowds, "key", "left_semi"), words))
+def near_pairs(words: DataFrame) -> DataFrame:
+    """(x, y): ids of words of (word, id) that meet under a key, each pair once: y is x without a letter, or both are alike
+    without the letter at one place."""
+    own = words.select("id", "word", key_of(F.col("word")).alias("key"))
+    each = own.select("id", "word", "key", F.posexplode(letters_of(F.col("word"))).alias("before", "letter"))
+    rest = F.concat(F.substring("word", F.lit(1), F.col("before")), F.substring("word", F.col("before") + 2, F.length("word")))
+    first = (F.col("before") == 0) | (F.substring("word", F.col("before"), F.lit(1)) != F.col("letter"))
+    less = each.select((F.col("key") - value_of(F.col("letter"))).alias("key"), F.xxhash64(rest).alias("rest"), "id", F.col("before").alias("at"), first.alias("first")).repartition("key", "rest")
+    # of a run of equal letters, one is enough to be removed
+    removed = less.filter("first").join(own.select("key", F.xxhash64("word").alias("rest"), F.col("id").alias("y")), ["key", "rest"]).select(F.col("id").alias("x"), "y")
+    alike = less.groupBy("key", "rest", "at").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
+    pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: a < b), lambda b: F.struct(a.alias("x"), b.alias("y")))))
+    return removed.unionByName(alike.select(F.inline(pairs)))
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
@@ -143,7 +123,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
         links = links.drop("moved")
 
 
-def variants(docs: DataFrame, least: int = LEAST, twice: int = TWICE, every: int = EVERY, times: int = TIMES, crowd: int = CROWD) -> DataFrame:
+def variants(docs: DataFrame, least: int = LEAST, twice: int = TWICE, every: int = EVERY, times: int = TIMES) -> DataFrame:
     """word, form, root, n, n_near and form_n of every word of all whole texts.
 
     Words are those of word_counts. Near are words that differ by exactly one inserted, deleted or replaced letter. form
@@ -152,11 +132,12 @@ def variants(docs: DataFrame, least: int = LEAST, twice: int = TWICE, every: int
     doc_id are all read, a null doc_id is written as nothing. An empty table gives an empty result.
     """
     words = word_counts(docs, least, twice, every)
-    pairs = materialize(near_pairs(words, crowd), "spelling-pairs")
+    pairs = materialize(near_pairs(words), "spelling-pairs")
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    counted = both.join(words.select(F.col("word").alias("y"), "n"), "y")
-    best = counted.groupBy(F.col("x").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n")).alias("n"), "y")).alias("best"))
+    near = both.join(words.select(F.col("id").alias("y"), F.col("word").alias("other"), F.col("n").alias("other_n")), "y").select(F.col("x").alias("id"), "other", "other_n")
+    near = near.join(words.select("id", "word"), "id").filter(one_apart(F.col("word"), F.col("other")))
+    best = near.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("y"))).alias("best"))
     chosen = F.coalesce(-F.col("best.n") >= F.col("n") * times, F.lit(False))
-    formed = materialize(words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("best.y")).alias("form"), F.when(chosen, -F.col("best.n")).alias("form_n")), "spelling-forms")
+    formed = materialize(words.join(best, "id", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("best.y")).alias("form"), F.when(chosen, -F.col("best.n")).alias("form_n")), "spelling-forms")
     roots = last_forms(formed.filter("form is not null"))
     return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

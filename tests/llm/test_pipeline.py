@@ -112,5 +112,5 @@ def test_registered(spark):
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in found
+    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in found
     assert os.path.exists(os.path.join(os.path.dirname(__spark_entry__.__file__), "corpus_pipeline.py"))

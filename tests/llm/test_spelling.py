@@ -1,7 +1,7 @@
+import random
 import re
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import spelling as S
@@ -56,10 +56,9 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("crowd", [1, 4, S.CROWD])
-def test_equals_plain_version(spark, crowd):
+def test_equals_plain_version(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in ROWS], "doc_id long, text string, word string").repartition(5)
-    assert rows_of(S.variants(df, crowd=crowd)) == plain_variants(ROWS)
+    assert rows_of(S.variants(df)) == plain_variants(ROWS)
 
 
 def test_given_table_equals_plain_version(spark):
@@ -94,5 +93,14 @@ def test_very_long_words(spark):
     rows = [(1, "q" * 30_000 + " " + "q" * 30_000 + " " + "q" * 29_999 + " " + "q" * 29_999)]
     assert plain_words(rows) == {"q" * 30_000: 2, "q" * 29_999: 2}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for crowd in (0, S.CROWD):
-        assert sorted((len(r.word), r.form, r.n, r.n_near) for r in S.variants(df, crowd=crowd).collect()) == [(29_999, None, 2, 1), (30_000, None, 2, 1)]
+    assert sorted((len(r.word), r.form, r.n, r.n_near) for r in S.variants(df).collect()) == [(29_999, None, 2, 1), (30_000, None, 2, 1)]
+
+
+def test_anagrams_under_one_key_make_no_pairs(spark):
+    """Thousands of words under one key: only near ones are paired."""
+    rng = random.Random(4)
+    words = {"".join(rng.sample("abcdefghij", 10)) for _ in range(3000)}
+    text = " ".join(w for w in words for _ in range(2))
+    rows = [(31, text)]
+    found = S.word_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert S.near_pairs(found).count() < 200 and found.count() > 2500
