@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.operators import canonical, code, documents, evidence, fuse, gate, graph, grounding, incremental, index, link, masterdata, profile, search, vectors
+from quern.operators import canonical, documents, evidence, fuse, gate, graph, grounding, incremental, index, link, masterdata, profile, search, vectors
 from quern.plans import retrieval
 from quern.streaming import sync
 
@@ -560,60 +560,6 @@ def snippets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.snippet("text", F.lit("nation")).alias("snippet"))
 
 
-# Code
-
-CODE = """REPORT zdemo.
-* a comment with 'C1'
-FORM read_orders.
-  SELECT * FROM vbak INTO TABLE lt WHERE vkorg = '{org}' AND auart = 'ZOR'.
-  IF ls_item-matnr = '{matnr}'.
-    CALL FUNCTION 'Z_SEND'.
-  ENDIF.
-ENDFORM.
-FORM write_log.
-  PERFORM read_orders.
-  UPDATE zlog SET done = 'X' WHERE id = '{matnr}'.
-ENDFORM.
-"""
-
-
-def sources(spark, sf):
-    """A source for each part, written from its key."""
-    text = F.replace(F.replace(F.lit(CODE), F.lit("{org}"), (1000 + F.col("p_partkey") % 7).cast("string")), F.lit("{matnr}"), F.lpad(F.col("p_partkey").cast("string"), 18, "0"))
-    return table(spark, sf, "part").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("source_key"), text.alias("source_code"))
-
-
-@query("""select 'S' || p_partkey as source_key, u.* from part cross join (values ('FORM', 'READ_ORDERS', 3, 8, null::varchar), ('FORM', 'WRITE_LOG', 9, 12, null)) as u(unit_type, unit_name, start_line, end_line, parent)""")
-def code_units(spark, sf):
-    return code.scan_code(sources(spark, sf), "units")
-
-
-@query("""with p as (select 'S' || p_partkey as source_key, p_partkey::varchar as k, lpad(p_partkey::varchar, 18, '0') as m, (1000 + p_partkey % 7)::varchar as org from part)
-    select source_key, 2 as line, 'C1' as value, 'C1' as normalized, null as field, 'generic_literal' as role, true as comment from p
-    union all select source_key, 4, org, org, 'VKORG', 'sales_org', false from p union all select source_key, 4, 'ZOR', 'ZOR', 'AUART', 'order_type', false from p
-    union all select source_key, 5, m, k, 'MATNR', 'material_number', false from p union all select source_key, 6, 'Z_SEND', 'Z_SEND', null, 'generic_literal', false from p
-    union all select source_key, 11, 'X', 'X', 'DONE', 'generic_literal', false from p union all select source_key, 11, m, k, 'ID', 'generic_literal', false from p""")
-def code_literals(spark, sf):
-    return code.scan_code(sources(spark, sf), "literals")
-
-
-@query("""with p as (select 'S' || p_partkey as source_key, lpad(p_partkey::varchar, 18, '0') as m, (1000 + p_partkey % 7)::varchar as org from part)
-    select source_key, 4 as line, 'read' as operation, 'VBAK' as table_name, 'VKORG' as where_field, org as where_value from p union all select source_key, 4, 'read', 'VBAK', 'AUART', 'ZOR' from p union all select source_key, 11, 'update', 'ZLOG', 'ID', m from p""")
-def code_accesses(spark, sf):
-    return code.scan_code(sources(spark, sf), "accesses")
-
-
-@query("""select 'S' || p_partkey as source_key, u.* from part cross join (values (6, 'function', 'Z_SEND'), (10, 'perform', 'READ_ORDERS')) as u(line, kind, name)""")
-def code_calls(spark, sf):
-    return code.scan_code(sources(spark, sf), "calls")
-
-
-@query("select p_partkey % 7 + 1000 as value, count(*) as n, min('S' || p_partkey) as first_source from part group by 1")
-def literal_lookup(spark, sf):
-    found = code.scan_code(sources(spark, sf), "literals").filter("role = 'sales_org' and not comment")
-    return found.groupBy(F.col("normalized").cast("long").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("source_key").alias("first_source"))
-
-
 @query("select vec_id, true as same from embeddings")
 def vector_codec(spark, sf):
     rows = table(spark, sf, "embeddings").withColumn("b", vectors.encode_vector(F.col("embedding")))
@@ -769,12 +715,6 @@ def inventory_rows(spark, sf):
     return evidence.full_inventory(table(spark, sf, "documents").filter("doc_id % 3 > 0").select("doc_id", "lang"), quality, "doc_id")
 
 
-@query("""select p_partkey::varchar as normalized, 2 as n_active, 0 as n_comment, 2 as n_places, 'S' || p_partkey || '|11' as first_place, true as multi_use from part""")
-def hardcoded_inventory(spark, sf):
-    found = code.scan_code(sources(spark, sf), "literals").filter("value rlike '^[0-9]{18}$'").withColumn("active", ~F.col("comment"))
-    return evidence.hardcoded_inventory(found, "normalized", "active", ["source_key", "line"])
-
-
 @query("""with c as (select o_orderpriority as v, count(*) as n from orders group by 1), t as (select * from c order by n desc, v limit 3)
     select count(*) as n_values, count(distinct o_custkey) as n_owners, count(distinct o_orderstatus) as n_partners, (select string_agg(v || '=' || n, ',' order by n desc, v) from t) as top_values from orders""")
 def seed_profile(spark, sf):
@@ -805,13 +745,6 @@ def sibling_units(spark, sf):
     return evidence.sibling_units(orders.filter("o_totalprice > 300000"), orders.select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query("select source_key, line, kind, called, case when called = 'READ_ORDERS' then (select min('S' || p_partkey || '|READ_ORDERS') from part) end as callee from (select 'S' || p_partkey as source_key, u.* from part cross join (values (6, 'function', 'Z_SEND'), (10, 'perform', 'READ_ORDERS')) as u(line, kind, called))")
-def callee_resolution(spark, sf):
-    found = sources(spark, sf)
-    units = code.scan_code(found, "units").withColumn("id", F.concat_ws("|", "source_key", "unit_name"))
-    return evidence.callees(code.scan_code(found, "calls").withColumnRenamed("name", "called"), units, "unit_name", "id")
-
-
 # Search documents
 
 
@@ -834,9 +767,4 @@ def deviations(spark, sf):
     return documents.deviations(pairs, "p_partkey", "field", "a", "b")
 
 
-@query("""select 'S' || p_partkey as source_key, u.* from part cross join (values (4, 'VBAK', 1, 12), (11, 'ZLOG', 6, 12)) as u(line, table_name, first, last)""")
-def access_windows(spark, sf):
-    return code.scan_code(sources(spark, sf).withColumn("source_code", F.rtrim("source_code")), "windows").withColumn("last", F.least("last", F.lit(12)))
-
-
-from quern import catalog_text  # noqa: E402, F401  (registers its queries)
+from quern import catalog_code, catalog_text  # noqa: E402, F401  (register their queries)

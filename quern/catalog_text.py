@@ -99,8 +99,8 @@ SYMBOLS = f"""q as (select p_partkey, {QUESTION} as q from part),
     fam as (select p_partkey, q, unnest([{{'k': 1, 'kind': 'method_path', 's': regexp_extract_all(q, path, 0)}}, {{'k': 2, 'kind': 'uppercase_token', 's': list_concat(regexp_extract_all(q, path, 1), regexp_extract_all(q, path, 2))}},
       {{'k': 3, 'kind': 'compound_field', 's': [x[1] || '-' || x[2] for x in z]}}, {{'k': 4, 'kind': 'uppercase_token', 's': list_concat([x[1] for x in z], [x[2] for x in z])}},
       {{'k': 5, 'kind': 'zy_name', 's': regexp_extract_all(q, '\\b([ZzYy]{{1,2}}_?[A-Za-z0-9_]{{2,}})\\b', 1)}}, {{'k': 6, 'kind': 'uppercase_token', 's': [x for x in regexp_extract_all(q, '\\b([A-Z][A-Z0-9_]{{2,}})\\b', 1) if length(x) >= 4 or regexp_matches(x, '[0-9]')]}}]) as f from pr),
-    one as (select p_partkey, f.k as k, f.kind as kind, upper(trim(unnest(f.s))) as norm from fam),
-    sy as (select p_partkey, norm, arg_min(kind, k) as kind from one where norm not in ({STOP}) group by all)"""
+    one as (select p_partkey, k, kind, pos, trim(raw) as raw, upper(trim(raw)) as norm from (select p_partkey, f.k as k, f.kind as kind, unnest(f.s) as raw, unnest(range(len(f.s))) as pos from fam)),
+    sy as (select p_partkey, norm, arg_min(kind, k * 1000 + pos) as kind, arg_min(raw, k * 1000 + pos) as raw from one where norm not in ({STOP}) group by all)"""
 
 
 def questions(spark, sf):
@@ -119,8 +119,8 @@ FIELD = "'(?i)\\b([A-Z][A-Z0-9_]{2,})\\s*[=:]?\\s*[''\"]?([A-Z0-9_]{2,}|[0-9]{2,
 
 
 @query(f"""with {SYMBOLS},
-    c as (select p_partkey, q, regexp_matches(q, '(?i)\\b({'|'.join(question.HARDCODED)})\\b') as cue, [x for x in list_zip(regexp_extract_all(q, {FIELD}, 1), regexp_extract_all(q, {FIELD}, 2)) if upper(x[1]) not in ({NONE})] as b from q),
-    u as (select p_partkey, list(norm) as syms from sy where kind = 'uppercase_token' or norm in ('ORDERS', 'ORDRSP', 'DESADV', 'INVOIC', 'DELVRY', 'WMMBXY') or regexp_full_match(norm, 'Z[A-Z0-9]{{3,}}') group by 1),
+    c as (select p_partkey, q, regexp_matches(q, '(?i)\\b(hart\\s*codiert|hartcodiert|hard\\s*cod(?:ed|ing)?|fest\\s*(?:verdrahtet|codiert|im\\s+code)|konstanten?|fest\\s+im\\s+code|stehen\\s+fest)\\b') as cue, [x for x in list_zip(regexp_extract_all(q, {FIELD}, 1), regexp_extract_all(q, {FIELD}, 2)) if upper(x[1]) not in ({NONE})] as b from q),
+    u as (select p_partkey, list(raw) as syms from sy where kind = 'uppercase_token' or norm in ('ORDERS', 'ORDRSP', 'DESADV', 'INVOIC', 'DELVRY', 'WMMBXY') or regexp_full_match(norm, 'Z[A-Z0-9]{{3,}}') group by 1),
     v as (select p_partkey, q, cue, list_distinct([upper(x[1]) for x in b if upper(x[1]) in ({', '.join(f"'{f}'" for f in question.BOUND_FIELDS)})]) as fields,
       list_distinct([x for x in list_concat(list_concat([x[2] for x in b], regexp_extract_all(q, '\\b([0-9]{{3,}})\\b', 1)), list_concat([trim(x) for x in regexp_extract_all(q, '[''"]([^''"]{{1,64}})[''"]', 1)], case when cue then coalesce(syms, []) else [] end)) if length(x) >= 2 and upper(x) not in ({NONE})]) as vals from c left join u using (p_partkey))
     select p_partkey, len(vals) > 0 and (cue or (len(fields) > 0 and regexp_matches(q, '(?i)fest|hart|code'))) as is_literal, array_to_string(list_sort(vals), '|') as vals, array_to_string(list_sort(fields), '|') as fields from v""")

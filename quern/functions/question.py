@@ -13,12 +13,13 @@ from quern.functions.text import ADJECTIVE_ENDINGS, ADJECTIVE_ROOTS, EDGE, STOPW
 
 SYMBOL = re.compile(r"(?<![A-Za-z0-9_/])(?:/[A-Z0-9_]{2,}/[A-Z0-9_]+|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[ZY][A-Z0-9_]{2,}|[A-Z][A-Z0-9_]{2,}-[A-Z][A-Z0-9_]+)(?![A-Za-z0-9_])")
 # What says that a question is about values in code.
-HARDCODED = (r"hart\s*codiert", r"hartcodiert", r"hard\s*cod(?:ed|ing)?", r"fest\s*(?:verdrahtet|codiert|im\s+code)", r"konstanten?", r"fest\s+im\s+code", r"stehen\s+fest")
+HARDCODED = r"hart\s*codiert|hartcodiert|hard\s*cod(?:ed|ing)?|fest\s*(?:verdrahtet|codiert|im\s+code)|konstanten?|fest\s+im\s+code|stehen\s+fest"
 # Words that are neither fields nor values.
 NO_LITERALS = ("WO", "IST", "WIRD", "STEHT", "CODE", "FEST", "HART", "CODERT", "IM", "DER", "DIE", "DAS", "UND", "MIT", "VON", "AUS", "WAS", "WELCHE", "WELCHER")
 # Fields to which a value can be bound, and message types that are values.
 BOUND_FIELDS = ("MATNR", "KUNNR", "LIFNR", "WERKS", "VKORG", "VTWEG", "SPART", "BUKRS", "LGORT", "AUART", "KSCHL")
 MESSAGE_TYPES = ("ORDERS", "ORDRSP", "DESADV", "INVOIC", "DELVRY", "WMMBXY")
+# A field's name and the value that follows it.
 FIELD_VALUE = f"(?i){EDGE}([A-Z][A-Z0-9_]{{2,}})\\s*[=:]?\\s*['\"]?([A-Z0-9_]{{2,}}|[0-9]{{2,}})['\"]?"
 
 
@@ -70,12 +71,12 @@ def literals(question: Column) -> Column:
     """
     q = F.trim(F.coalesce(question, F.lit("")))
     every = lambda p, g: F.regexp_extract_all(q, F.lit(p), F.lit(g))
-    cue = q.rlike(f"(?i){EDGE}(?:{'|'.join(HARDCODED)}){EDGE}")
+    cue = q.rlike(f"(?i){EDGE}(?:{HARDCODED}){EDGE}")
     bound = F.filter(F.zip_with(every(FIELD_VALUE, 1), every(FIELD_VALUE, 2), lambda f, v: F.struct(F.upper(f).alias("f"), F.trim(v).alias("v"))), lambda x: ~x["f"].isin(*NO_LITERALS))
     named = F.filter(F.transform(bound, lambda x: x["v"]), lambda v: F.length(v) >= 2)
     quoted = F.transform(every("['\"]([^'\"]{1,64})['\"]", 1), lambda v: F.trim(v))
     ours = lambda m: (m["kind"] == "uppercase_token") | m["norm"].isin(*MESSAGE_TYPES) | m["norm"].rlike("^Z[A-Z0-9]{3,}$")
-    marked = F.when(cue, F.transform(F.filter(symbol_matches(q), ours), lambda m: m["norm"])).otherwise(F.array().cast("array<string>"))
+    marked = F.when(cue, F.transform(F.filter(symbol_matches(q), ours), lambda m: m["raw"])).otherwise(F.array().cast("array<string>"))
     found = F.concat(named, every(f"{EDGE}([0-9]{{3,}}){EDGE}", 1), quoted, marked)
     values = F.filter(F.array_distinct(found), lambda v: (F.length(v) >= 2) & ~F.upper(v).isin(*NO_LITERALS))
     fields = F.array_distinct(F.filter(F.transform(bound, lambda x: x["f"]), lambda f: f.isin(*BOUND_FIELDS)))

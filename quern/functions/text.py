@@ -7,6 +7,7 @@ classes instead of \\b and \\w, whose meaning differs between regex engines.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,10 +144,28 @@ def compound_parts(c: Column | str) -> Column:
     return F.array_distinct(F.concat(whole, heads, hits, F.filter(F.split(word, "[_./-]+"), lambda p: F.length(p) >= 3)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: an expression that a lambda names is worked out again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def firsts(rows: Column, key: str) -> Column:
+    """Of an array of structs those that first have their key, in order; by sorting, so in time near to linear."""
+    placed = F.array_sort(F.transform(rows, lambda r, i: F.struct(r[key].alias("k"), i.alias("i"), r.alias("r"))))
+    marked = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
+    kept = once(placed, marked)
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r")))), lambda x: x["r"])
+
+
 def char_trigrams(c: Column | str) -> Column:
     """Trigrams of the upper-case letters and digits, repeats included; shorter texts are their own."""
-    t = F.regexp_replace(F.upper(_text(c)), "[^A-Z0-9]", "")
-    return F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.filter(F.array(t), lambda x: x != ""))
+    bare = F.regexp_replace(F.upper(_text(c)), "[^A-Z0-9]", "")
+    short = lambda t: F.filter(F.array(t), lambda x: x != "")
+    # pieces of three letters from each of three starts, put side by side
+    pieces = lambda t, start: F.regexp_extract_all(F.substring(t, start + 1, 1 << 30), F.lit("(...)"), F.lit(1))
+    side = lambda t: F.zip_with(F.zip_with(pieces(t, 0), pieces(t, 1), lambda a, b: F.array(a, b)), pieces(t, 2), lambda ab, c: F.concat(ab, F.array(c)))
+    woven = lambda t: F.filter(F.flatten(side(t)), lambda x: x.isNotNull())
+    return once(bare, lambda t: F.when(F.length(t) >= 3, woven(t)).otherwise(short(t)))
 
 
 def topic_stem(c: Column | str) -> Column:
@@ -159,7 +178,8 @@ def topic_stem(c: Column | str) -> Column:
 
 def word_pairs(tokens: Column) -> Column:
     """Neighbouring tokens joined by a blank."""
-    return F.when(F.size(tokens) >= 2, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = lambda t: F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return once(tokens, lambda t: F.when(F.size(t) >= 2, pairs(t)).otherwise(F.array().cast("array<string>")))
 
 
 def normal_literal(c: Column | str) -> Column:
@@ -180,22 +200,26 @@ def snippet(text: Column | str, term: Column) -> Column:
     return F.when(at > 0, F.substring(t, F.greatest(F.lit(1), at - 60), F.lit(240))).otherwise(F.substring(t, 1, 220))
 
 
+# Patterns of technical symbols: a path of class and method, a table and its field, names of the customer's own, words in upper case.
+PATH = f"{EDGE}([A-Z][A-Z0-9_/]{{2,}})\\s*(?:=>|->)\\s*([A-Z][A-Z0-9_~/]{{2,}}){EDGE}"
+FIELD_OF = f"{EDGE}([A-Z][A-Z0-9_]{{2,}})\\s*[-.]\\s*([A-Z][A-Z0-9_]{{2,}}){EDGE}"
+CUSTOM = f"{EDGE}([ZzYy]{{1,2}}_?[A-Za-z0-9_]{{2,}}){EDGE}"
+UPPER = f"{EDGE}([A-Z][A-Z0-9_]{{2,}}){EDGE}"
+
+
 def symbol_matches(c: Column | str) -> Column:
-    """Technical symbols as (norm, kind), each once with the kind that comes first: paths of class and method with both
-    names, pairs of table and field with both, Z and Y names in any case, upper-case words of four letters or with a
-    digit. Words of NO_SYMBOLS are none."""
+    """Technical symbols as (norm, kind, raw), each once with the kind that comes first and as it is first written: paths of
+    class and method with both names, pairs of table and field with both, Z and Y names in any case, upper-case words of
+    four letters or with a digit. Words of NO_SYMBOLS are none."""
     t = _text(c)
     groups = lambda p, *which: [F.regexp_extract_all(t, F.lit(p), F.lit(g)) for g in which]
-    path = groups(f"{EDGE}([A-Z][A-Z0-9_/]{{2,}})\\s*(?:=>|->)\\s*([A-Z][A-Z0-9_~/]{{2,}}){EDGE}", 0, 1, 2)
-    pair = groups(f"{EDGE}([A-Z][A-Z0-9_]{{2,}})\\s*[-.]\\s*([A-Z][A-Z0-9_]{{2,}}){EDGE}", 1, 2)
+    path, pair = groups(PATH, 0, 1, 2), groups(FIELD_OF, 1, 2)
     joined = F.zip_with(*pair, lambda a, b: F.concat_ws("-", a, b))
-    custom = groups(f"{EDGE}([ZzYy]{{1,2}}_?[A-Za-z0-9_]{{2,}}){EDGE}", 1)[0]
-    upper = F.filter(groups(f"{EDGE}([A-Z][A-Z0-9_]{{2,}}){EDGE}", 1)[0], lambda w: (F.length(w) >= 4) | w.rlike("[0-9]"))
-    families = ((path[0], "method_path"), (F.concat(path[1], path[2]), "uppercase_token"), (joined, "compound_field"), (F.concat(*pair), "uppercase_token"), (custom, "zy_name"), (upper, "uppercase_token"))
-    of_kind = lambda names, kind: F.transform(names, lambda w: F.struct(F.upper(F.trim(w)).alias("norm"), F.lit(kind).alias("kind")))
-    found = F.concat(*(of_kind(*family) for family in families))
-    names = F.filter(F.array_distinct(F.transform(found, lambda m: m["norm"])), lambda n: ~n.isin(*NO_SYMBOLS))
-    return F.transform(names, lambda n: F.element_at(F.filter(found, lambda m: m["norm"] == n), 1))
+    upper = F.filter(groups(UPPER, 1)[0], lambda w: (F.length(w) >= 4) | w.rlike("[0-9]"))
+    families = ((path[0], "method_path"), (F.concat(path[1], path[2]), "uppercase_token"), (joined, "compound_field"), (F.concat(*pair), "uppercase_token"), (groups(CUSTOM, 1)[0], "zy_name"), (upper, "uppercase_token"))
+    of_kind = lambda names, kind: F.transform(names, lambda w: F.struct(F.upper(F.trim(w)).alias("norm"), F.lit(kind).alias("kind"), F.trim(w).alias("raw")))
+    found = F.filter(F.concat(*(of_kind(*family) for family in families)), lambda m: ~m["norm"].isin(*NO_SYMBOLS))
+    return firsts(found, "norm")
 
 
 def symbols(c: Column | str) -> Column:
@@ -216,9 +240,7 @@ def search_document_id(*keys: Column) -> Column:
 def key_value_map(c: Column | str) -> Column:
     """k=v;k=v as a map; the last of equal keys counts, blanks around keys and values don't."""
     entries = F.transform(F.filter(F.split(_text(c), ";"), lambda e: e.contains("=")), lambda e: F.struct(F.trim(F.substring_index(e, "=", 1)).alias("k"), F.trim(F.regexp_replace(e, "^[^=]*=", "")).alias("v")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    last = F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"].alias("v")))
-    return F.map_from_entries(last)
+    return F.map_from_entries(F.reverse(firsts(F.reverse(entries), "k")))
 
 
 def source_key_part(c: Column | str, kind: Column | str) -> Column:
@@ -229,8 +251,10 @@ def source_key_part(c: Column | str, kind: Column | str) -> Column:
 
 
 def drop_prefixes(terms: Column) -> Column:
-    """Terms that don't begin a longer one of the same list."""
-    return F.filter(terms, lambda t: ~F.exists(terms, lambda o: (o != t) & F.startswith(o, t) & (F.length(t) >= 4)))
+    """Distinct terms that don't begin a longer one of the same list; those under four letters stay. In sorted order, what a
+    term begins follows it."""
+    begins = lambda s: F.filter(s, lambda t, i: (F.length(t) >= 4) & F.coalesce(F.startswith(F.get(s, i + 1), t), F.lit(False)))
+    return once(terms, lambda t: F.array_except(t, once(F.array_sort(F.array_distinct(t)), begins)))
 
 
 def search_text(sections: dict[str, Column]) -> Column:

@@ -1,196 +1,273 @@
-"""Code scanning: units, literals, table accesses and calls of ABAP sources.
+"""ABAP sources as relations: lines, tokens, statements, units, literals, table accesses, calls and macros.
 
-A source is one row; scanners go over its statements in Arrow batches and return a row for each finding. Line numbers
-start at 1.
+A source is one row. Lines are exploded, tokens of a line are numbered, and running sums over a source give each token the
+number of its statement; what is found in statements is a row each. Line numbers start at 1. A window spans one source.
+Sources are (source_key, source_code); null and empty code has no rows.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fields that bind a literal, with the role that it then has.
 ROLES = {
-    "MATNR": "material_number", "VKORG": "sales_org", "VTWEG": "channel", "SPART": "division", "WERKS": "plant", "LGORT": "storage",
-    "KUNNR": "customer", "LIFNR": "vendor", "BUKRS": "company", "AUART": "order_type", "LFART": "delivery_type", "KSCHL": "condition",
-    "MTART": "material_type", "NACHA": "medium",
+    "MATNR": "material_number", "KUNNR": "customer_number", "LIFNR": "vendor_number", "WERKS": "plant", "LGORT": "storage_location", "VKORG": "sales_org", "VTWEG": "distr_channel",
+    "SPART": "division", "BUKRS": "company_code", "AUART": "order_type", "BSART": "order_type", "KSCHL": "condition_type", "MESTYP": "message_type", "IDOCTP": "idoc_type",
 }
-# Statements that open a unit, and how each ends.
-OPENERS = {"FORM": "ENDFORM", "MODULE": "ENDMODULE", "FUNCTION": "ENDFUNCTION", "METHOD": "ENDMETHOD", "CLASS": "ENDCLASS"}
-OPEN = re.compile(r"^\s*(FORM|MODULE|FUNCTION|METHOD|CLASS)\s+([A-Za-z0-9_/~=>]+)([^.]*)", re.I)
-QUOTED = re.compile(r"'((?:[^']|''){1,60})'")
-BOUND = re.compile(r"([A-Za-z_][A-Za-z0-9_]*(?:-|~|->|=>))?([A-Za-z_][A-Za-z0-9_]*)\s*(?:=|<>|\bEQ\b|\bNE\b|\bIN\b|\bLIKE\b)\s*\(?\s*$", re.I)
-ACCESS = (
-    ("read", re.compile(r"\bSELECT\b.*?\bFROM\s+@?([A-Za-z0-9_/]+)", re.I | re.S)),
-    ("update", re.compile(r"^\s*UPDATE\s+([A-Za-z0-9_/]+)", re.I)),
-    ("insert", re.compile(r"^\s*INSERT\s+(?:INTO\s+)?([A-Za-z0-9_/]+)", re.I)),
-    ("modify", re.compile(r"^\s*MODIFY\s+([A-Za-z0-9_/]+)", re.I)),
-    ("delete", re.compile(r"^\s*DELETE\s+FROM\s+([A-Za-z0-9_/]+)", re.I)),
+# Literals that say nothing.
+NOISE = r"(?i)^(?:true|false|abap_true|abap_false|x|space|initial|sy-uname|sy-datum|NAME1|ORT01|ARKTX|ERNAM|ERDAT|AEDAT)$"
+# Lines that open a unit (kind, pattern of the line with its name); a unit ends with END and its kind.
+OPENERS = (
+    ("FUNCTION", r"(?i)^\s*FUNCTION\s+([/A-Za-z_][/A-Za-z0-9_]*)\s*\.?"),
+    ("FORM", r"(?i)^\s*FORM\s+([/A-Za-z_][/A-Za-z0-9_]*)\b"),
+    ("MODULE", r"(?i)^\s*MODULE\s+([/A-Za-z_][/A-Za-z0-9_]*)\b"),
+    ("CLASS", r"(?i)^\s*CLASS\s+([/A-Za-z_][/A-Za-z0-9_]*)\s+(?:IMPLEMENTATION|DEFINITION)\b"),
+    ("METHOD", r"(?i)^\s*METHOD\s+([/A-Za-z_][/A-Za-z0-9_]*)\b"),
+)
+IMPLEMENTATION = r"(?i)^\s*CLASS\s+\S+\s+IMPLEMENTATION\b"
+# How a literal is bound to a field {f}: what stands before it on its line, what follows it in its statement.
+BEFORE = (
+    r"\b(?:[A-Z0-9_]+-)?{f}\b\s*(?:=|EQ|NE|CP|IN)\s*$",
+    r"\b(?:[A-Z0-9_]+-)?{f}\b[^.]{{0,100}}?\b(?:IN|BETWEEN)\b[^.]{{0,120}}?$",
+    r"\b(?:[A-Z0-9_]*{f}[A-Z0-9_]*)-(?:LOW|HIGH)\s*=\s*$",
+    r"\b[A-Z0-9_]*{f}[A-Z0-9_]*\b[^.\n]{{0,80}}?\bdefault\s+$",
+    r"\b(?:TYPE|LIKE)\s+[A-Z0-9_-]*{f}\b[^.\n]{{0,40}}?\bVALUE\s+$",
 )
-#: A quoted string, the begin of a comment at a line's end, or the full stop of a statement.
-MARKS = re.compile(r"'[^']*(?:'|$)|\"|\.(?![0-9])")
-CALL = re.compile(r"\bCALL\s+(FUNCTION|TRANSACTION|METHOD)\s+'?([A-Za-z0-9_/>=~-]+)'?|\b(PERFORM|SUBMIT)\s+([A-Za-z0-9_/]+)", re.I)
-MACRO = re.compile(r"\s*([A-Za-z][A-Za-z0-9_]*)(?=[\s.])(?!\s*(?:=|-|\())")
-# Statements with an underscore-free look that macro calls must not be taken for.
+AFTER = r"^\s*(?:=|EQ|NE)\s*(?:[A-Z0-9_]+-)?{f}\b"
+MOVED, MOVED_TO = r"(?i)\bMOVE\s+$", r"^\s+TO\s+[^.\n]*\b{f}\b"
+LOW, LOW_OF = r"(?i)\blow\s*=\s*$", r"^[^.]{{0,120}}?\b(?:[A-Z0-9_]*{f})"
+# Names that are not those of database tables.
+INTERNAL = r"^(L_|G_|LT_|GT_|LS_|GS_|IT_|IS_|WA_|<|SY)"
+NOT_TABLES = ("ADJACENT", "SET", "INTO", "CORRESPONDING")
+NAME = r"[/A-Za-z_][/A-Za-z0-9_]*"
+#: A string up to its quote or the end of the line, a comment, a full stop that is no decimal point, anything else.
+TOKEN = r"""'[^']*(?:''[^']*)*'?|"[^\n]*|\.(?![0-9])|[^'".]+|\.[0-9]+"""
+CONDITION = rf"(?i)^\s*({NAME})\s*(EQ|NE|<>|<=|>=|LT|GT|LE|GE|=|<|>)\s*(.+?)\s*$"
+# Statements that open with an underscored word and are no macro calls.
 KEYWORDS = ("END_OF_SELECTION", "START_OF_SELECTION", "CLASS_DATA", "FIELD_SYMBOLS")
-WHERE = re.compile(r"\bWHERE\b(.*)$", re.I | re.S)
-EQUAL = re.compile(r"([A-Za-z_][A-Za-z0-9_~-]*)\s*(?:=|\bEQ\b)\s*'((?:[^']|'')*)'", re.I)
-
-
-def is_comment(line: str) -> bool:
-    return line.startswith("*") or line.lstrip().startswith('"')
-
-
-def statements(source: str) -> Iterator[tuple[int, str, bool]]:
-    """(first line, text, comment) of each statement: up to a full stop outside quotes; comment lines by themselves."""
-    held, first = [], 0
-    for number, line in enumerate(source.split("\n"), 1):
-        if is_comment(line):
-            yield number, line, True
-            continue
-        start, end = 0, len(line)
-        for mark in MARKS.finditer(line):
-            if mark[0] == '"':
-                end = mark.start()
-                break
-            if mark[0] == ".":
-                piece = line[start : mark.end()]
-                if held or piece.strip():
-                    yield first or number, "\n".join([*held, piece]), False
-                held, first, start = [], 0, mark.end()
-        rest = line[start:end]
-        if rest.strip():
-            held.append(rest)
-            first = first or number
-    if held:
-        yield first, "\n".join(held), False
-
-
-def units(source: str) -> list[tuple]:
-    """(unit_type, unit_name, start_line, end_line, parent) in order of their first line; an open unit ends with the file."""
-    out, stack = [], []
-    lines = source.split("\n")
-    for number, line in enumerate(lines, 1):
-        if is_comment(line):
-            continue
-        opened = OPEN.match(line)
-        word = line.strip().split(".")[0].split(" ")[0].upper()
-        if opened and not (opened[1].upper() == "CLASS" and re.search(r"\b(DEFERRED|LOAD)\b", opened[3], re.I)) and not (opened[1].upper() == "METHOD" and "->" in line.split(opened[2])[0]):
-            kind, rest = opened[1].upper(), opened[3].upper()
-            if kind == "CLASS":
-                kind = "CLASS_DEFINITION" if "DEFINITION" in rest else "CLASS_IMPLEMENTATION"
-            stack.append((kind, opened[2].upper(), number))
-        elif stack and word == OPENERS[stack[-1][0].split("_")[0]]:
-            kind, name, start = stack.pop()
-            out.append((kind, name, start, number, stack[-1][1] if stack else None))
-    while stack:
-        kind, name, start = stack.pop()
-        out.append((kind, name, start, len(lines), stack[-1][1] if stack else None))
-    return sorted(out, key=lambda u: (u[2], u[3]))
-
-
-def literals(source: str) -> list[tuple]:
-    """(line, value, normalized, field, role, comment), each (line, value) once."""
-    out, seen = [], set()
-    for first, text, comment in statements(source):
-        for m in QUOTED.finditer(text):
-            value = m[1].replace("''", "'").strip()
-            line = first + text[: m.start()].count("\n")
-            if not value or (line, value) in seen:
-                continue
-            seen.add((line, value))
-            bound = BOUND.search(text[: m.start()])
-            field = bound[2].upper() if bound else None
-            normal = value.lstrip("0") or "0" if value.isdigit() else value.upper()
-            out.append((line, value, normal, field, ROLES.get(field or "", "generic_literal"), comment))
-    return out
 
 
-def accesses(source: str) -> list[tuple]:
-    """(line, operation, table_name, where_field, where_value); one row a WHERE literal, one with nulls without any."""
-    out = []
-    for line, text, comment in statements(source):
-        if comment:
-            continue
-        for kind, pattern in ACCESS:
-            m = pattern.search(text)
-            if m and not (kind != "read" and m[1].upper() in ("TABLE", "LINES", "INITIAL", "SCREEN", "REPORT")):
-                where = WHERE.search(text)
-                found = EQUAL.findall(where[1]) if where else []
-                for field, value in found or [(None, None)]:
-                    out.append((line, kind, m[1].upper(), field and field.split("~")[-1].upper(), value and value.replace("''", "'")))
-                break
-    return out
+def _lines(code: Column) -> Column:
+    return F.split(F.regexp_replace(F.coalesce(code, F.lit("")), "\r\n?", "\n"), "\n")
 
 
-def calls(source: str) -> list[tuple]:
-    """(line, kind, name) of calls, performs and submits."""
-    out = []
-    for line, text, comment in statements(source):
-        if not comment:
-            out += [(line, (m[1] or m[3]).lower(), (m[2] or m[4]).upper()) for m in CALL.finditer(text)]
-    return out
+def _is_comment(line: Column) -> Column:
+    return line.rlike(r'^\s*[*"]')
+
+
+def lines_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, text)."""
+    return sources.select(key, F.posexplode(_lines(F.col(code))).alias("at", "text")).select(key, (F.col("at") + 1).alias("line"), "text")
+
+
+def tokens_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, at, token, stmt, begin, comment): tokens with the number of their statement and where they begin in the
+    source's code. A line of comment is a statement of its own (its line, negative) and doesn't end one."""
+    cut = lines_of(sources, key, code).select(key, "line", _is_comment(F.col("text")).alias("comment"), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("at", "token"))
+    kept = cut.filter(F.col("comment") | ~F.col("token").startswith('"'))
+    token = F.when((F.col("at") == 0) & (F.col("line") > 1), F.concat(F.lit("\n"), "token")).otherwise(F.col("token"))
+    before = Window.partitionBy(key).orderBy("line", "at").rowsBetween(Window.unboundedPreceding, -1)
+    stops = F.sum(((F.col("token") == ".") & ~F.col("comment")).cast("int")).over(before)
+    length = F.sum(F.length("word")).over(before)
+    numbered = kept.withColumn("word", token).withColumn("stops", F.coalesce(stops, F.lit(0))).withColumn("begin", F.coalesce(length, F.lit(0)))
+    return numbered.select(key, "line", "at", "token", "word", "comment", "begin", F.when(F.col("comment"), -F.col("line")).otherwise(F.col("stops")).alias("stmt"))
+
 
+def statements_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, stmt, line, text, comment, parts): statements that aren't blank, their first line, and their tokens in order."""
+    part = F.struct("line", "at", "token", "word", "begin")
+    grouped = tokens_of(sources, key, code).groupBy(key, "stmt", "comment").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    filled = F.filter("parts", lambda p: F.length(F.trim(p["token"])) > 0)
+    text = F.array_join(F.transform("parts", lambda p: p["word"]), "")
+    return grouped.withColumn("line", F.element_at(filled, 1)["line"]).filter("line is not null").select(key, "stmt", "line", text.alias("text"), "comment", "parts")
 
-def macros(source: str) -> list[tuple]:
-    """(line, name, resolved): macro calls, the first line of each name; resolved if the source DEFINEs it.
 
-    A call is a statement whose first word is a name that the source defines, or one in upper case that is no keyword and
-    is followed by arguments alone.
+def units_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, unit_type, unit_name, start_line, end_line, parent), narrow.
+
+    A unit opens outside of others, but for methods, which open inside the implementation of a class too, and closes with
+    the end of its kind while it is the innermost; what else lies inside is its content. Open units end with the source.
     """
-    defined = {m.upper() for m in re.findall(r"^\s*DEFINE\s+([A-Za-z0-9_]+)", source, re.I | re.M)}
-    out, seen = [], set()
-    for line, text, comment in statements(source):
-        m = None if comment else MACRO.match(text)
-        name = m[1].upper() if m else ""
-        if name and name not in seen and (name in defined or (m[1].isupper() and "_" in name and "=" not in text and "(" not in text and name not in KEYWORDS)):
-            seen.add(name)
-            out.append((line + text[: m.start(1)].count("\n"), name, name in defined))
-    return out
+    kinds = "|".join(k for k, _ in OPENERS)
+
+    def event(line: Column, i: Column) -> Column:
+        opened = F.coalesce(*(F.when(line.rlike(p), F.struct(F.lit(k).alias("kind"), F.upper(F.regexp_extract(line, p, 1)).alias("name"))) for k, p in OPENERS))
+        ended = F.upper(F.regexp_extract(line, rf"(?i)^\s*END({kinds})\b", 1))
+        return F.struct((i + 1).alias("line"), F.coalesce(opened["kind"], ended).alias("kind"), opened["name"].alias("name"), line.rlike(IMPLEMENTATION).alias("holds"))
+
+    # opening and closing lines in order, folded with the stack of open units
+    found = sources.select(key, _lines(F.col(code)).alias("lines"))
+    found = found.withColumn("events", F.filter(F.transform("lines", event), lambda e: e["kind"] != ""))
+    unit = "array<struct<line:int,kind:string,name:string,holds:boolean>>"
+    begin = F.expr(f"named_struct('open', cast(array() as {unit}), 'closed', cast(array() as array<struct<unit_type:string,unit_name:string,start_line:int,end_line:int,parent:string>>))")
+
+    def closed_unit(top: Column, end: Column, parent: Column) -> Column:
+        return F.struct(top["kind"].alias("unit_type"), top["name"].alias("unit_name"), top["line"].alias("start_line"), end.alias("end_line"), parent.alias("parent"))
+
+    def step(s: Column, e: Column) -> Column:
+        depth, top = F.size(s["open"]), F.try_element_at(s["open"], F.lit(-1))
+        closes = e["name"].isNull() & (depth > 0) & (top["kind"] == e["kind"])
+        opens = e["name"].isNotNull() & ((depth == 0) | ((e["kind"] == "METHOD") & F.exists(s["open"], lambda u: u["holds"])))
+        done = F.struct(F.slice(s["open"], F.lit(1), F.greatest(depth - 1, F.lit(0))).alias("open"), F.concat(s["closed"], F.array(closed_unit(top, e["line"], F.try_element_at(s["open"], F.lit(-2))["name"]))).alias("closed"))
+        more = F.struct(F.concat(s["open"], F.array(e)).alias("open"), s["closed"].alias("closed"))
+        return F.when(F.coalesce(closes, F.lit(False)), done).when(opens, more).otherwise(s)
+
+    folded = found.withColumn("s", F.aggregate("events", begin, step))
+    left = F.transform("s.open", lambda u, i: closed_unit(u, F.size("lines"), F.when(i > 0, F.get("s.open", i - 1)["name"])))
+    return folded.select(key, F.inline(F.concat("s.closed", left)))
+
+
+def in_units(found: DataFrame, units: DataFrame, key: str = "source_key") -> DataFrame:
+    """Rows (key, line, ...) with unit_name, the innermost unit around the line or null: the last border at or before it,
+    where a unit's begin is a border to it and the line after its end one to its parent."""
+    begins = units.select(key, F.col("start_line").alias("line"), F.lit(1).alias("_order"), "start_line", F.col("unit_name").alias("_unit"))
+    ends = units.select(key, (F.col("end_line") + 1).alias("line"), F.lit(0).alias("_order"), -F.col("start_line"), F.col("parent").alias("_unit"))
+    borders = begins.union(ends).select(key, "line", "_order", "start_line", F.struct("_unit").alias("_border"))
+    rows = found.withColumns({"_order": F.lit(2), "start_line": F.lit(0)})
+    over = Window.partitionBy(key).orderBy("line", "_order", "start_line").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.unionByName(borders, allowMissingColumns=True).withColumn("unit_name", F.last("_border", ignorenulls=True).over(over)["_unit"])
+    return marked.filter("_order = 2").select(*found.columns, "unit_name")
 
 
-def windows(source: str) -> list[tuple]:
-    """(line, table_name, first, last) of each table access: up to five lines before it, 14 after, or to the ENDIF that
-    follows an IF within 40 lines."""
-    lines, out = source.split("\n"), []
-    for line, _, table, _, _ in dict.fromkeys((a[0], a[1], a[2], None, None) for a in accesses(source)):
-        first, last = max(1, line - 5), min(len(lines), line + 14)
-        opened = next((n for n in range(line - 1, first - 1, -1) if re.match(r"\s*IF\b", lines[n - 1], re.I)), None)
-        if opened:
-            first = opened
-            last = next((n for n in range(line, min(len(lines), line + 40) + 1) if re.match(r"\s*ENDIF\b", lines[n - 1], re.I)), last)
-        out.append((line, table, first, last))
+def _bound(field: str, before: Column, after: Column) -> Column:
+    fits = [before.rlike("(?i)" + p.format(f=field)) for p in BEFORE]
+    fits += [after.rlike("(?i)" + AFTER.format(f=field)), before.rlike(MOVED) & after.rlike("(?i)" + MOVED_TO.format(f=field)), before.rlike(LOW) & after.rlike("(?i)" + LOW_OF.format(f=field))]
+    out = fits[0]
+    for x in fits[1:]:
+        out = out | x
     return out
 
 
-#: What each scanner returns beside the source's key.
-SCANNERS = {
-    "units": (units, (("unit_type", pa.string()), ("unit_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("parent", pa.string()))),
-    "literals": (literals, (("line", pa.int32()), ("value", pa.string()), ("normalized", pa.string()), ("field", pa.string()), ("role", pa.string()), ("comment", pa.bool_()))),
-    "accesses": (accesses, (("line", pa.int32()), ("operation", pa.string()), ("table_name", pa.string()), ("where_field", pa.string()), ("where_value", pa.string()))),
-    "macros": (macros, (("line", pa.int32()), ("name", pa.string()), ("resolved", pa.bool_()))),
-    "windows": (windows, (("line", pa.int32()), ("table_name", pa.string()), ("first", pa.int32()), ("last", pa.int32()))),
-    "calls": (calls, (("line", pa.int32()), ("kind", pa.string()), ("name", pa.string()))),
-}
-NAMES = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean"}
+def literals_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, value, normalized, kind, fields, roles, comment) of quoted literals of up to 60 characters that say
+    something, each once a line and set of fields.
 
+    fields are those of ROLES that the literal is bound to by comparison, list, range, MOVE, default or declared value, in
+    ROLES' order; without any the role is generic_literal.
+    """
+    found = statements_of(sources, key, code)
+    spans = F.transform("parts", lambda p: F.struct(p["line"].alias("line"), p["token"].alias("token"), (p["begin"] - F.element_at("parts", 1)["begin"]).alias("at"), (F.length(p["word"]) - F.length(p["token"])).alias("skip")))
+    quoted = found.select(key, "text", "comment", F.explode(F.filter(spans, lambda p: p["token"].startswith("'"))).alias("p"))
+    value = F.replace(F.regexp_extract("p.token", "^'(.*?)'?$", 1), F.lit("''"), F.lit("'"))
+    named = quoted.select(key, "text", "comment", F.col("p.line").alias("line"), value.alias("value"), (F.col("p.at") + F.col("p.skip")).alias("from"), F.length("p.token").alias("length"))
+    named = named.filter(F.col("value").rlike(r"\S") & (F.length("value") <= 60) & ~F.col("value").rlike(NOISE))
+    before = F.substring_index(F.substring("text", F.lit(1), F.col("from")), "\n", -1)
+    bound = named.withColumn("before", before).withColumn("after", F.substring("text", F.col("from") + F.col("length") + 1, F.length("text"))).withColumn("upper", F.upper(F.concat_ws(" ", "before", "after")))
+    fields = F.array_compact(F.array(*(F.when(F.col("upper").contains(f) & _bound(f, F.col("before"), F.col("after")), f) for f in ROLES)))
+    typed = (
+        F.when(F.col("before").rlike(r"(?i)\bCALL\s+FUNCTION\b"), "function_module").when(F.col("before").rlike(r"(?i)\bCALL\s+TRANSACTION\b"), "transaction").when(F.concat_ws(" ", "before", "after").rlike(r"(?i)\b(?:MESTYP|MESSAGE\s+TYPE)\b"), "message_type")
+        .when(F.concat_ws(" ", "before", "after").rlike(r"(?i)\bIDOCTP\b"), "idoc_type").when(F.col("value").rlike("^[0-9]+$"), "numeric").when(F.length("value") == 1, "char").otherwise("string")
+    )
+    trimmed = F.trim("value")
+    normal = F.when(trimmed.rlike("^[0-9]+$"), F.regexp_replace(trimmed, "^0+(?=[0-9])", "")).otherwise(F.upper(trimmed))
+    roles = F.create_map(*(F.lit(x) for f in ROLES.items() for x in f))
+    kinds = F.array_distinct(F.transform("fields", lambda f: roles[f]))
+    return bound.select(key, "line", "value", normal.alias("normalized"), typed.alias("kind"), fields.alias("fields"), "comment").select(
+        key, "line", "value", "normalized", "kind", F.array_join("fields", ",").alias("fields"), F.when(F.size("fields") == 0, "generic_literal").otherwise(F.array_join(kinds, ",")).alias("roles"), "comment"
+    ).dropDuplicates([key, "line", "normalized", "fields", "comment"])
+
+
+def accesses_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, stmt, line, operation, table_name, condition): reads, updates, inserts, changes and deletions of database tables, with
+    the text of a WHERE. Each SELECT of a statement is a read; names of internal tables are none."""
+    found = statements_of(sources, key, code).filter("not comment").select(key, "stmt", "line", "text")
+    parts = F.split("text", r"(?i)(?=\bSELECT\b)")
+    reads = found.select("*", parts.alias("p"), F.posexplode(parts).alias("i", "piece")).filter(F.col("piece").rlike(r"(?i)^SELECT\b"))
+    reads = reads.withColumn("text", F.array_join(F.slice("p", F.col("i") + 1, F.size("p")), "")).withColumn("operation", F.lit("read"))
+    reads = reads.withColumn("table_name", F.regexp_extract("text", rf"(?is)\bFROM\s+({NAME})\b", 1))
+    changes = found.withColumn("operation", F.lower(F.regexp_extract("text", r"(?i)^\s*(UPDATE|INSERT|MODIFY|DELETE)\b", 1))).filter("operation <> ''")
+    target = F.when(F.col("operation") == "update", F.regexp_extract("text", rf"(?i)\bUPDATE\s+({NAME})\s+SET\b", 1)).otherwise(F.regexp_extract("text", rf"(?i)\b(?:INSERT|MODIFY|DELETE)\b\s+(?:FROM\s+)?(?:INTO\s+)?(?:TABLE\s+)?({NAME})\b", 1))
+    both = reads.select(key, "stmt", "line", "operation", "table_name", "text").unionByName(changes.select(key, "stmt", "line", "operation", target.alias("table_name"), "text"))
+    named = both.withColumn("table_name", F.upper("table_name")).filter((F.col("table_name") != "") & ~F.col("table_name").rlike(INTERNAL) & ~F.col("table_name").isin(*NOT_TABLES))
+    where = F.trim(F.regexp_replace(F.regexp_extract("text", r"(?is)\bWHERE\b(.*?)\.?\s*$", 1), r"\s+", " "))
+    return named.select(key, "stmt", "line", "operation", "table_name", F.when(F.col("operation").isin("read", "update", "delete"), where).otherwise("").alias("condition"))
+
+
+def assignments_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, stmt, line, variable, value): statements that give a variable a literal or number: by `=`, MOVE, or a declaration's
+    VALUE."""
+    found = statements_of(sources, key, code).filter("not comment").select(key, "stmt", "line", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    forms = (
+        (r"(?i)^\s*(?:DATA\()?([A-Za-z_][A-Za-z0-9_]*)\)?\s*=\s*('(?:[^']|'')*'|-?[0-9]+(?:\.[0-9]+)?)\s*\.?$", 1, 2),
+        (r"(?i)^\s*MOVE\s+('(?:[^']|'')*')\s+TO\s+([A-Za-z_][A-Za-z0-9_]*)\s*\.?$", 2, 1),
+        (r"(?i)^\s*(?:CONSTANTS|DATA)\s*:?\s*([A-Za-z_][A-Za-z0-9_]*)\b[^']*\bVALUE\s+('(?:[^']|'')*')\s*\.?$", 1, 2),
+    )
+    variable, value = (F.coalesce(*(F.when(F.col("text").rlike(p), F.regexp_extract("text", p, of[k])) for p, *of in forms)) for k in (0, 1))
+    named = found.select(key, "stmt", "line", F.upper(variable).alias("variable"), value.alias("raw")).filter("variable is not null")
+    return named.select(key, "stmt", "line", "variable", F.when(F.col("raw").startswith("'"), F.replace(F.regexp_extract("raw", "^'(.*)'$", 1), F.lit("''"), F.lit("'"))).otherwise(F.col("raw")).alias("value"))
+
+
+def conditions_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, operation, table_name, unit_name, field, operator, value_kind, raw_value, resolved) of each part of a WHERE.
+
+    A variable has the value of its last assignment before the statement in the same unit, else of the last one outside of
+    all units: one window over uses and assignments. resolved is null where there is none.
+    """
+    units = units_of(sources, key, code)
+    part = F.explode(F.split("condition", r"(?i)\bAND\b")).alias("part")
+    found = accesses_of(sources, key, code).filter("condition <> ''").select(key, "stmt", "line", "operation", "table_name", part).filter(F.col("part").rlike(CONDITION))
+    rhs = F.regexp_extract("part", CONDITION, 3)
+    cut = found.select(key, "stmt", "line", "operation", "table_name", F.upper(F.regexp_extract("part", CONDITION, 1)).alias("field"), F.upper(F.regexp_extract("part", CONDITION, 2)).alias("operator"), F.regexp_replace(rhs, "[.,;]+$", "").alias("rhs"))
+    literal, number = F.col("rhs").rlike("^'.*'$"), F.col("rhs").rlike(r"^-?[0-9]+(?:\.[0-9]+)?$")
+    kinds = cut.select(
+        key, "stmt", "line", "operation", "table_name", "field", F.when(F.col("operator") == "EQ", "=").when(F.col("operator") == "NE", "<>").otherwise(F.col("operator")).alias("operator"), F.when(literal | number, "literal").otherwise("variable").alias("value_kind"),
+        F.when(literal, F.replace(F.regexp_extract("rhs", "^'(.*)'$", 1), F.lit("''"), F.lit("'"))).otherwise(F.col("rhs")).alias("raw_value"),
+    )
+    uses = in_units(kinds.withColumn("_use", F.lit(True)), units, key).withColumn("variable", F.upper(F.regexp_replace("raw_value", "^@", "")))
+    given = in_units(assignments_of(sources, key, code), units, key)
+    both = uses.unionByName(given, allowMissingColumns=True)
+    inside = Window.partitionBy(key, "unit_name", "variable").orderBy("stmt", F.col("_use").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    anywhere = Window.partitionBy(key, "variable").orderBy("stmt", F.col("_use").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("own", F.last("value", ignorenulls=True).over(inside)).withColumn("outer", F.last(F.when(F.col("unit_name").isNull(), F.col("value")), ignorenulls=True).over(anywhere))
+    resolved = F.when(F.col("value_kind") == "literal", F.col("raw_value")).otherwise(F.coalesce("own", "outer"))
+    return known.filter("_use").select(key, "line", "operation", "table_name", "unit_name", "field", "operator", "value_kind", "raw_value", resolved.alias("resolved"))
 
-def scan_code(sources: DataFrame, scanner: str, key: str = "source_key", code: str = "source_code") -> DataFrame:
-    """One of SCANNERS over (key, code) rows. Null code gives no rows. Narrow: a source is scanned where it is read."""
-    find, columns = SCANNERS[scanner]
-    schema = pa.schema([(key, pa.string()), *columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, *r) for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in find(c or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+# Statements that call, with the pattern of the name.
+CALLS = (
+    ("function", r"(?i)\bCALL\s+FUNCTION\s+'?([A-Za-z0-9_/]+)'?"), ("transaction", r"(?i)\bCALL\s+TRANSACTION\s+'?([A-Za-z0-9_/]+)'?"), ("method", r"(?i)\bCALL\s+METHOD\s+([A-Za-z0-9_/>=~-]+)"),
+    ("perform", r"(?i)\bPERFORM\s+([A-Za-z0-9_/]+)"), ("submit", r"(?i)\bSUBMIT\s+([A-Za-z0-9_/]+)"), ("include", r"(?i)^\s*INCLUDE\s+([A-Za-z0-9_/]+)"), ("raise", r"(?i)\bRAISE\s+([A-Za-z0-9_/]+)"),
+    ("message", r"(?i)^\s*MESSAGE\s+([A-Za-z][0-9]{3})\b"), ("authority", r"(?i)\bAUTHORITY-CHECK\s+OBJECT\s+'([A-Za-z0-9_/]+)'"),
+)
+
+
+def calls_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, kind, name) of calls, performs, submits, includes, messages and authority checks, by their statement's first line."""
+    found = statements_of(sources, key, code).filter("not comment").select(key, "line", "text")
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), F.upper(n).alias("name")))
+
+    each = F.concat(*(of_kind(k, p) for k, p in CALLS))
+    return found.select(key, "line", F.inline(each))
+
+
+def macros_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, name, resolved): macro calls, the first line of each name; resolved if the source DEFINEs it.
+
+    A call is a statement whose first word is a name that the source defines, or one in upper case with an underscore that is
+    no keyword and is followed by arguments alone.
+    """
+    found = statements_of(sources, key, code).filter("not comment").select(key, "line", "text")
+    first = r"^\s*([A-Za-z][A-Za-z0-9_]*)(?=[\s.])(?!\s*(?:=|-|\())"
+    defined = lines_of(sources, key, code).select(key, F.upper(F.regexp_extract("text", r"(?i)^\s*DEFINE\s+([A-Za-z0-9_]+)", 1)).alias("name")).filter("name <> ''").distinct().withColumn("resolved", F.lit(True))
+    named = found.withColumn("word", F.regexp_extract("text", first, 1)).withColumn("name", F.upper("word")).filter("name <> ''").join(defined, [key, "name"], "left")
+    looks = (F.col("word") == F.col("name")) & F.col("name").contains("_") & ~F.col("text").rlike("[=(]") & ~F.col("name").isin(*KEYWORDS)
+    return named.filter(F.col("resolved") | looks).groupBy(key, "name").agg(F.min("line").alias("line"), F.coalesce(F.first("resolved"), F.lit(False)).alias("resolved")).select(key, "line", "name", "resolved")
+
 
-    return sources.select(F.col(key).cast("string"), F.col(code).cast("string")).mapInArrow(run, f"{key} string, " + ", ".join(f"{n} {NAMES[t]}" for n, t in columns))
+def windows_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, table_name, first, last) of each table access: up to five lines before it, 14 after, or from the nearest IF
+    among those five to the ENDIF that follows within 40 lines."""
+    numbers = lambda p: F.filter(F.transform("lines", lambda t, i: F.when(t.rlike(p), i + 1)), lambda n: n.isNotNull())
+    shape = sources.select(key, _lines(F.col(code)).alias("lines")).select(key, F.size("lines").alias("n_lines"), numbers(r"(?i)^\s*IF\b").alias("ifs"), numbers(r"(?i)^\s*ENDIF\b").alias("ends"))
+    found = accesses_of(sources, key, code).select(key, "line", "table_name").distinct().join(shape, key)
+    first = F.greatest(F.lit(1), F.col("line") - 5)
+    opened = F.array_max(F.filter("ifs", lambda n: (n >= first) & (n < F.col("line"))))
+    closed = F.array_min(F.filter("ends", lambda n: (n >= F.col("line")) & (n <= F.col("line") + 40)))
+    last = F.least("n_lines", F.col("line") + 14)
+    return found.select(key, "line", "table_name", F.coalesce(opened, first).alias("first"), F.when(opened.isNotNull(), F.coalesce(closed, last)).otherwise(last).alias("last"))
 
 
 def repair_lines(evidence: DataFrame, sources: DataFrame, key: str = "source_key") -> DataFrame:
@@ -198,7 +275,7 @@ def repair_lines(evidence: DataFrame, sources: DataFrame, key: str = "source_key
 
     Sources are exploded into lines and joined on the trimmed line, so a source is never searched once a quote.
     """
-    lines = sources.select(key, F.posexplode(F.split("source_code", "\n")).alias("at", "text")).select(key, (F.col("at") + 1).alias("at"), F.trim("text").alias("trimmed"))
+    lines = lines_of(sources, key).select(key, F.col("line").alias("at"), F.trim("text").alias("trimmed"))
     one = lines.groupBy(key, "trimmed").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("only"), F.collect_set("at").alias("all"))
     out = evidence.withColumn("trimmed", F.trim("quote")).join(one, [key, "trimmed"], "left")
     exact = F.coalesce(F.array_contains("all", F.col("line")), F.lit(False))
