@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.catalog import TERMS, TOKENS, query, rounded, table
+from quern.catalog import EDGES, TERMS, TOKENS, graph_edges, query, rounded, table
 from quern.functions import question
 from quern.functions import text as X
-from quern.operators import evidence, gate, graph, grounding, incremental, index, link, masterdata, profile, search, vectors
+from quern.operators import evidence, gate, graph, grounding, incremental, index, link, masterdata, profile, rules, search, vectors
 from quern.session import scratch_path
 from quern.sources import jsonl
 
@@ -367,3 +367,77 @@ def embeddings_to_make(spark, sf):
 @query(f"select doc_id, len([t for t in {list(dict.fromkeys(TERMS))!r} if list_contains(toks, t)]) as n_terms from (select doc_id, {TOKENS} as toks from documents)")
 def terms_covered(spark, sf):
     return table(spark, sf, "documents").select("doc_id", search.term_coverage("text", TERMS).alias("n_terms"))
+
+
+# Paths, rounds and rules
+
+RANKED = f"""{EDGES}, k as (select from_id || '>' || to_id as edge_id, from_id, to_id, relation, case when relation = 'IN_NATION' and from_id like 'S%' then 1 when relation = 'IN_NATION' then 2 else 3 end as rank from e),
+    m as (select *, from_id as a, to_id as b from k union all select *, to_id, from_id from k)"""
+
+
+def ranked_edges(spark, sf):
+    rank = F.when((F.col("relation") == "IN_NATION") & F.col("from_id").startswith("S"), 1).when(F.col("relation") == "IN_NATION", 2).otherwise(3)
+    return graph_edges(spark, sf).select(F.concat_ws(">", "from_id", "to_id").alias("edge_id"), "from_id", "to_id", "relation", rank.alias("rank"))
+
+
+def _hop(n: int) -> str:
+    """Labels of hop n: paths are compared as texts of their edges, which are parted by a character below all of theirs."""
+    known = " union all ".join(f"select node_id from p{i}" for i in range(n))
+    return f"""p{n} as (select node_id, seed_id, {n} as distance, path, rank, open from (select b as node_id, seed_id, path || chr(1) || edge_id as path, m.rank, bool_or(relation <> 'IN_REGION') over (partition by b) as open,
+        row_number() over (partition by b order by m.rank, path || chr(1) || edge_id, seed_id) as r from p{n - 1} join m on m.a = node_id where open) where r = 1 and node_id not in ({known}))"""
+
+
+@query(f"""with {RANKED}, p0 as (select node_id, node_id as seed_id, 0 as distance, '' as path, null::int as rank, true as open from (values ('C1'), ('S1'), ('C7')) as s(node_id)), {_hop(1)}, {_hop(2)}, {_hop(3)}
+    select node_id, seed_id, distance, replace(ltrim(path, chr(1)), chr(1), ' ') as path, rank from ({' union all '.join(f'select * from p{i}' for i in range(4))})""")
+def graph_paths(spark, sf):
+    """Shortest paths with the evidence of their last edge; regions are reached and not expanded."""
+    seeds = spark.createDataFrame([("C1",), ("S1",), ("C7",)], "node_id string")
+    found = graph.paths_from(seeds, ranked_edges(spark, sf), 3, ("IN_REGION",))
+    return found.withColumn("path", F.array_join("path", " "))
+
+
+@query("""with recursive c as (select distinct o_custkey as c, l_partkey as p from orders join lineitem on l_orderkey = o_orderkey where l_quantity >= 48),
+    walk(c, n) as (select min(c) as c, 0 as n from c union select y.c, n + 1 from walk w join c x on x.c = w.c join c y on y.p = x.p where n < 40)
+    select c as o_custkey, min(n) as round from walk group by c""")
+def rounds_of_shared_parts(spark, sf):
+    """Customers by shared parts from the first one, until a round finds nobody new: their number depends on the data."""
+    lines = table(spark, sf, "lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_partkey")
+    bought = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
+
+    def step(added):
+        parts = added.join(bought, "o_custkey").select("l_partkey").distinct()
+        return parts.join(bought, "l_partkey").select("o_custkey")
+
+    return graph.until_nothing_new(bought.agg(F.min("o_custkey").alias("o_custkey")).filter("o_custkey is not null"), step, "o_custkey")
+
+
+INTERFACE_TEXTS = (
+    "Funktionsbaustein: SD_{k} (aus {w})", "ZCO_{w}_NEW->UPDATE_{k}", "IT_{k}", "RFC Destination {w}{k}", "open dataset {k}.csv", "Z_{k} parameter", "soap parameter {w}", "VBAK (Tabelle {k})", "ZCL_{w}->RUN", "read_{k}", "cx_ai_{k}",
+    "/IDOC/{k}", "  OData \n URL {k}", "Testsystem {k}", "call function date_{k}", "{w}", "Logical Port {k}",
+)
+
+
+@query(rf"""with t as (select p_partkey, replace(replace(([{', '.join(repr(x) if chr(39) not in x else x for x in INTERFACE_TEXTS).replace(chr(92) + 'n', chr(10))}])[1 + p_partkey % {len(INTERFACE_TEXTS)}], '{{k}}', p_partkey::varchar), '{{w}}', p_type) as raw from part),
+    c as (select p_partkey, trim(regexp_replace(raw, '\s+', ' ', 'g')) as x from t),
+    n as (select *, upper(case when regexp_matches(x, 'funktionsbaustein\s*:?\s*[A-Z0-9_/]+', 'i') then regexp_extract(x, 'funktionsbaustein\s*:?\s*([A-Z0-9_/]+)', 1, 'i') when regexp_matches(x, '^[A-Z0-9_/]+->[A-Z0-9_/]+', 'i') then regexp_extract(x, '^([A-Z0-9_/]+->[A-Z0-9_/]+)', 1, 'i') else trim(split_part(x, '(', 1)) end) as name from c),
+    r as (select *, case when regexp_matches(x, 'klassenvariablen|interne|import-tabelle|export-tabelle|parameter', 'i') and not regexp_matches(x, 'web\s*service|soap|proxy|rfc|idoc|http|rest|file|datei', 'i') then 'internal_method_or_variable:internal_comment'
+      when regexp_matches(name, '^(I_|E_|C_|L_|G_|LT_|GT_|LS_|GS_|IT_|IS_|WA_|P_|R_)') then 'internal_method_or_variable:parameter_or_variable' when regexp_matches(x, '\bcx_ai_', 'i') then 'internal_method_or_variable:runtime_exception'
+      when regexp_matches(name, '^(VBPA|KNVA|VBSK|MARA|VBAK|VBAP|EKKO|EKPO|ZEXTO_)') and not contains(name, '->') then 'internal_method_or_variable:database_table' when regexp_matches(x, '\bidoc\b|/idoc', 'i') then 'idoc:idoc' when regexp_matches(x, '\brfc\b|destination\b', 'i') then 'rfc_destination:rfc'
+      when regexp_matches(x, '\bhttp\b|\brest\b|\burl\b|\bodata\b', 'i') then 'http_or_rest:http' when regexp_matches(x, '\bfile\b|datei|dataset|csv', 'i') then 'file_interface:file' when regexp_matches(x, 'logical[_\s-]?port|soap|web\s*service|proxy|zco_|zotco_', 'i') then 'sap_proxy_or_webservice:proxy'
+      when regexp_matches(x, 'funktionsbaustein', 'i') then 'function_module:named_function' when regexp_matches(x, 'call function', 'i') and regexp_matches(name, '^(DATE_|SD_|READ_|CACL_|NUMBER_)') then 'function_module:called_function' when regexp_matches(name, '^(DATE_|SD_|READ_|CACL_|NUMBER_)[A-Z0-9_/]*$') then 'function_module:function_like_name'
+      when regexp_matches(x, 'optitool|prodsystem|testsystem|testsys', 'i') then 'external_system_name:system_label' when starts_with(name, 'ZCL_') then 'internal_method_or_variable:helper_class' else 'internal_method_or_variable:plain_name' end as k from n)
+    select p_partkey, name, split_part(k, ':', 1) as kind, split_part(k, ':', 2) as reason from r""")
+def interface_kinds(spark, sf):
+    text = F.element_at(F.array(*map(F.lit, INTERFACE_TEXTS)), (F.col("p_partkey") % len(INTERFACE_TEXTS) + 1).cast("int"))
+    raw = F.replace(F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{w}"), F.col("p_type"))
+    return table(spark, sf, "part").select("p_partkey", rules.interface_name(raw).alias("name"), rules.interface_kind(raw).alias("k")).select("p_partkey", "name", "k.kind", "k.reason")
+
+
+@query("""select distinct s_suppkey, p_partkey from supplier join part on contains(upper(p_name), upper(substr(s_name, 1 + s_suppkey % 3, 4))) or contains(upper(p_name), (['BOLT', 'RED', 'X', 'NG', 'MALL RI', 'ZZZZ'])[1 + s_suppkey % 6])""")
+def names_in_names(spark, sf):
+    """Parts whose names hold a word or a part of the name of a supplier."""
+    key, suppliers = F.col("s_suppkey"), table(spark, sf, "supplier")
+    word = F.element_at(F.array(*map(F.lit, ("BOLT", "RED", "X", "NG", "MALL RI", "ZZZZ"))), (key % 6 + 1).cast("int"))
+    needles = suppliers.select(key.alias("needle_id"), F.lit("").alias("scope"), F.explode(F.array(F.upper(F.expr("substr(s_name, 1 + s_suppkey % 3, 4)")), word)).alias("needle"))
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("name_id"), F.lit("").alias("scope"), F.upper("p_name").alias("name"))
+    return link.contains_join(needles, names).toDF("s_suppkey", "p_partkey")

@@ -80,7 +80,7 @@ def statements_of(sources: DataFrame, key: str = "source_key", code: str = "sour
     grouped = tokens_of(sources, key, code).groupBy(key, "stmt", "comment").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     filled = F.filter("parts", lambda p: F.length(F.trim(p["token"])) > 0)
     text = F.array_join(F.transform("parts", lambda p: p["word"]), "")
-    return grouped.withColumn("line", F.element_at(filled, 1)["line"]).filter("line is not null").select(key, "stmt", "line", text.alias("text"), "comment", "parts")
+    return grouped.withColumn("line", F.try_element_at(filled, F.lit(1))["line"]).filter("line is not null").select(key, "stmt", "line", text.alias("text"), "comment", "parts")
 
 
 def units_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
