@@ -163,3 +163,54 @@ def test_plan_has_no_python(spark):
 
 def test_empty_table(spark):
     assert S.replace_entities(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+#: Label and what follows it, written as people write them.
+SECRETS = [
+    ("password=", "hunter2"), ("password: ", "P@ssw0rd!2024secretXYZ"), ("pwd=", "Tr0ub4dor&3xyzw"), ("api_key = '", "abc-123"), ('"token": "', "a b c, d"), ("Passphrase: '", "correct horse battery staple"), ("secret=", "x"), ("PASSWORD : ", "päss~wörd#1"),
+    ("db-password=", "h" * 300), ("private_key=", "<k>" + "9f" * 3000), ("access-key: ", "..a..b"), ("token=", "1.2.3.4"), ("my_secret_key=", "a:b:c@d.e"), ("passwd=", "'q"),
+]
+
+
+def test_secrets_of_any_length_and_sign(spark):
+    for end in ("", ".", ", and more", "' z", '" z'):
+        close = lambda label: label[-1] if label[-1] in "'\"" else ""
+        texts = [f"see {label}{secret}{close(label)}{end}" for label, secret in SECRETS]
+        for (label, secret), text, got in zip(SECRETS, texts, replaced(spark, *texts), strict=True):
+            assert got.startswith(f"see {label}") and secret not in got.removeprefix(f"see {label}"), (text, got)
+            letters = re.findall(r"[^\W_]{4,}", secret)
+            assert not any(x in got.removeprefix(f"see {label}") for x in letters), (text, got)
+    assert replaced(spark, "password=****, token: -- and secret = ?") == ["password=****, token: -- and secret = ?"]
+
+
+def test_short_secrets_stay_distinct(spark):
+    texts = [f"pwd={c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    got = [t.removeprefix("pwd=") for t in replaced(spark, *texts)]
+    assert len(set(got)) == len(texts) and not set(got) & {t.removeprefix("pwd=") for t in texts}
+
+
+def test_names_in_any_case_months_and_introductions(spark):
+    a, b, c, d = replaced(spark, "Mr Smith's car. SMITH and smith, Smithson", "Mrs May came in May.", "Hello, my name is Alice Johnson and Johnson is here", "Ich heiße Jörg, JÖRG!")
+    m = re.fullmatch(r"Mr (\w+)'s car\. (\w+) and (\w+), Smithson", a)
+    assert m and m[1].lower() == m[2].lower() == m[3] != "smith" and m[2].isupper()
+    assert re.fullmatch(r"Mrs \w+ came in May\.", b) and "Mrs May" not in b
+    m = re.fullmatch(r"Hello, my name is (\w+) (\w+) and (\w+) is here", c)
+    assert m and m[2] == m[3] and not {"Alice", "Johnson"} & set(m.groups())
+    m = re.fullmatch(r"Ich heiße (\w+), (\w+)!", d)
+    assert m and m[1].upper() == m[2] != "JÖRG"
+
+
+def test_addresses_of_networks(spark):
+    got = replaced(spark, "at 10.0.0.1 or 192.168.1.5, 172.20.0.9, 127.0.0.1", "out 8.8.8.8", "v6 2a00:1450:4001:830::200e, fe80::1ff:fe23:4567:890a and 2001:0db8:85a3:0000:0000:8a2e:0370:7334", "std::vector a::b 10:20:30 12::")
+    private = re.findall(r"\d+\.\d+\.\d+\.\d+", got[0])
+    assert len(private) == 4 and all(x.startswith("10.") for x in private) and "10.0.0.1" not in private
+    assert 240 <= int(re.search(r"(\d+)\.\d+\.\d+\.\d+", got[1])[1]) <= 254
+    m = re.fullmatch(r"v6 (2001:\w{4}:\w{4}:\w{3}::\w{4}), (fe80::\w{3}:\w{4}:\w{4}:\w{4}) and (2001(?::[0-9a-f]{4}){7})", got[2])
+    assert m and not {"200e", "890a", "7334"} & set(re.split("[: ,]+", got[2]))
+    assert got[3] == "std::vector a::b 10:20:30 12::"
+
+
+def test_mail_goes_nowhere_and_accounts_are_checked(spark):
+    got = replaced(spark, "a@b.com, c@firma.de and d@example.org", "DE89 3704 0044 0532 0130 00, DE88 3704 0044 0532 0130 00")
+    assert re.fullmatch(r"\w@\w\.example\.com, \w@\w{5}\.example\.com and \w@example\.org", got[0]) and "a@b" not in got[0]
+    assert got[1].endswith(", DE88 3704 0044 0532 0130 00") and "DE89" not in got[1]
