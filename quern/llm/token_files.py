@@ -67,7 +67,7 @@ def parse(payload: bytes) -> tuple[int | None, int, np.ndarray]:
     return None if width & NO_ID else doc_id, before, np.frombuffer(payload, f"<u{width & ~NO_ID}", offset=LEAD.size)
 
 
-def writer(folder: str, tokenizer_path: str, end_id: int):
+def writer(folder: str, run_id: str, tokenizer_path: str, end_id: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
         encoder = encoder_for(tokenizer_path, end_id)
@@ -75,7 +75,7 @@ def writer(folder: str, tokenizer_path: str, end_id: int):
         try:
             for batch in source:
                 if batch.num_rows and out is None:
-                    name = f"part-{shard:06d}-{uuid.uuid4().hex}.rec"
+                    name = f"{run_id}-{shard:06d}-{uuid.uuid4().hex}.rec"
                     out = store.open_output_stream(f"{root}/{name}")
                 rows = {c: [] for c in INDEX_SCHEMA.names}
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -94,8 +94,9 @@ def writer(folder: str, tokenizer_path: str, end_id: int):
     return run
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """Write the record files and return their index, whose before column counts within a file.
+def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, run_id: str = "part") -> DataFrame:
+    """Write the record files and return their index, whose before column counts within a file. Names of files begin with
+    the run's id, which must differ where corpora share a folder.
 
     Files follow each other in ascending doc_id by their shard number. Null doc_ids come first.
     """
@@ -104,7 +105,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return materialize(dealt.mapInArrow(writer(folder, tokenizer_path, end_id), INDEX), "token-index")
+    return materialize(dealt.mapInArrow(writer(folder, run_id, tokenizer_path, end_id), INDEX), "token-index")
 
 
 def global_starts(index: DataFrame) -> DataFrame:
@@ -152,11 +153,12 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return index.mapInArrow(reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def drop_orphans(index: DataFrame, folder: str) -> int:
-    """Delete record files that the index doesn't name (of lost attempts); their number."""
+def drop_orphans(index: DataFrame, folder: str, run_id: str = "part") -> int:
+    """Delete record files of a run that its index doesn't name (of lost attempts); their number. Other runs' files stay.
+    The index has a file for each task."""
     store, root = pafs.FileSystem.from_uri(folder)
     named = {r["file"] for r in index.select("file").distinct().toLocalIterator()}
-    found = [x.path for x in store.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith(".rec") and x.base_name not in named]
+    found = [x.path for x in store.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith(f"{run_id}-") and x.base_name.endswith(".rec") and x.base_name not in named]
     for path in found:
         store.delete_file(path)
     return len(found)
@@ -171,6 +173,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, folde
     spark: SparkSession = docs.sparkSession
     expose_package(spark)
     folder = folder or scratch_path(spark, "records")
-    index = write_records(docs, folder, tokenizer_path, end_id)
-    drop_orphans(index, folder)
+    run_id = uuid.uuid4().hex[:12]
+    index = write_records(docs, folder, tokenizer_path, end_id, run_id)
+    drop_orphans(index, folder, run_id)
     return read_records(global_starts(index), folder)

@@ -91,3 +91,12 @@ def test_other_tokenizers_take_whole_texts():
     encoder = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
     text = "Some  words, Here"
     assert not encoder.cuts and np.frombuffer(encoder(text), f"<u{encoder.width}").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_two_corpora_in_one_folder(spark, tmp_path):
+    folder = f"file://{tmp_path}/shared"
+    one, two = (spark.createDataFrame([(i, f"text {i} {w}") for i in range(20)], "doc_id long, text string") for w in ("a", "b"))
+    first = R.round_trip(one, PATH, folder=folder)
+    before = sorted(p.name for p in (tmp_path / "shared").iterdir())
+    assert R.round_trip(two, PATH, folder=folder).count() == 20
+    assert set(before) <= {p.name for p in (tmp_path / "shared").iterdir()} and first.count() == 20
