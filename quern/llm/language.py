@@ -33,6 +33,8 @@ MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 #: Characters of a slice, and slices that are scored together.
 SLICE = 1 << 18
 GROUP = 64
+#: Log probabilities that are added up at a time.
+CELLS = 1 << 21
 
 
 def letters(text: str) -> str:
@@ -86,24 +88,34 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         raise ValueError(f"more than {MOST_LANGUAGES} languages, which is what fit() takes")
     parts = labelled.mapInArrow(count_task, "label string, counts array<long>")
     cells = parts.select("label", F.posexplode("counts").alias("bucket", "n")).filter("n > 0")
-    sums = cells.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sums["label"].unique())
+    sums = cells.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    packed = sums.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).toArrow()  # a row for each language
+    order = sorted(range(packed.num_rows), key=lambda i: packed.column("label")[i].as_py())
+    langs = [packed.column("label")[i].as_py() for i in order]
     counts = np.zeros((len(langs), BUCKETS + 1))
-    counts[sums["label"].map({k: i for i, k in enumerate(langs)}).to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"]
+    for k, i in enumerate(order):
+        own = packed.column("cells")[i].values
+        counts[k, own.field("bucket").to_numpy()] = own.field("n").to_numpy()
     seen, cells = counts[:, BUCKETS], counts[:, :BUCKETS] + SMOOTHING
     return langs, np.log(seen / max(seen.sum(), 1)), np.log(cells / cells.sum(axis=1, keepdims=True))
 
 
 def add_scores(total: np.ndarray, rows: list[tuple[int, np.ndarray]], table: np.ndarray) -> None:
-    """Add to each text's row the log probabilities of its n-grams: the sparse matrix of texts by distinct buckets, in
-    coordinates (text, bucket, count), times the dense one."""
-    if not rows:
-        return
-    first = rows[0][0]
-    key, n = np.unique(np.concatenate([np.int64(i - first) * BUCKETS + found for i, found in rows]), return_counts=True)
-    text, bucket = np.divmod(key, BUCKETS)
-    starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-    total[first + text[starts]] += np.add.reduceat(n[:, None] * table[bucket].astype(np.float64), starts, axis=0)
+    """Add to each text's row the log probabilities of its n-grams: the sparse matrix of texts by n-grams, one entry an
+    occurrence, times the dense one, CELLS products at a time."""
+    rows = [(i, found) for i, found in rows if len(found)]
+    step = max(1, CELLS // max(1, table.shape[1]))
+    for i, found in rows:
+        if len(found) > step:
+            for a in range(0, len(found), step):
+                total[i] += table[found[a : a + step]].sum(axis=0, dtype=np.float64)
+    held: list[tuple[int, np.ndarray]] = []
+    for i, found in [r for r in rows if len(r[1]) <= step] + [(-1, np.empty(0, np.int64))]:
+        if held and (i < 0 or sum(len(f) for _, f in held) + len(found) > step):
+            starts = np.cumsum([0, *(len(f) for _, f in held)])[:-1]
+            np.add.at(total, [k for k, _ in held], np.add.reduceat(table[np.concatenate([f for _, f in held])], starts, axis=0, dtype=np.float64))
+            held = []
+        held.append((i, found))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:

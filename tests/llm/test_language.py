@@ -74,3 +74,18 @@ def test_too_many_languages_are_refused(spark):
     df = spark.range(G.MOST_LANGUAGES + 1).selectExpr("'text' as text", "concat('l', id) as label")
     with pytest.raises(ValueError):
         G.fit(df)
+
+
+def test_sums_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(G.BUCKETS, 3)).astype(np.float32)
+    rows = [(i % 7, rng.integers(0, G.BUCKETS, n)) for i, n in enumerate((5, 0, 400, 1, 30, 90, 2000, 7, 7))]
+    want = np.zeros((7, 3))
+    for i, found in rows:
+        for f in found:
+            want[i] += table[f]
+    for cells in (1, 100, G.CELLS):
+        monkeypatch.setattr(G, "CELLS", cells)
+        total = np.zeros((7, 3))
+        G.add_scores(total, rows, table)
+        assert np.allclose(total, want)
