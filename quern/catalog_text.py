@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.catalog import EDGES, TERMS, TOKENS, graph_edges, query, rounded, table
+from quern.catalog import BM25, EDGES, RANK, TERMS, TOKENS, graph_edges, query, rounded, table
 from quern.functions import question
 from quern.functions import text as X
-from quern.operators import evidence, gate, graph, grounding, incremental, index, link, masterdata, profile, rules, search, vectors
+from quern.operators import evidence, gate, graph, grounding, incremental, index, link, masterdata, profile, rules, search, stored_index, vectors
 from quern.session import scratch_path
 from quern.sources import jsonl
 
@@ -441,3 +441,27 @@ def names_in_names(spark, sf):
     needles = suppliers.select(key.alias("needle_id"), F.lit("").alias("scope"), F.explode(F.array(F.upper(F.expr("substr(s_name, 1 + s_suppkey % 3, 4)")), word)).alias("needle"))
     names = table(spark, sf, "part").select(F.col("p_partkey").alias("name_id"), F.lit("").alias("scope"), F.upper("p_name").alias("name"))
     return link.contains_join(needles, names).toDF("s_suppkey", "p_partkey")
+
+
+# Stored index
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, sf) -> str:
+    """The folder of the index of documents, which is written once a session: two thirds of them first, the rest, with
+    changes and a deletion that are taken back, as a delta."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored:
+        docs, folder = table(spark, sf, "documents").select("doc_id", "text"), scratch_path(spark, "index")
+        late = F.col("doc_id") % 3 == 2
+        stored_index.build(docs.withColumn("text", F.when(F.col("doc_id") % 30 == 0, F.lit("nation licensed before")).otherwise(F.col("text"))).filter(~late | (F.col("doc_id") % 30 == 2)), folder)
+        stored_index.update(docs.filter(late | (F.col("doc_id") % 30 == 0)), None, folder)
+        _stored[key] = folder
+    return _stored[key]
+
+
+@query(f"with {BM25} select doc_id, round(score, 6) as score, {RANK.format('score')} as rank from bm order by round(score, 6) desc, doc_id limit 20")
+def bm25_stored(spark, sf):
+    """bm25_topk from the stored index: reads the terms' buckets alone."""
+    return rounded(search.top_k(stored_index.bm25(spark, stored(spark, sf), TERMS), 20), "score").select("doc_id", "score", "rank")

@@ -66,6 +66,23 @@ def published(spark: SparkSession, folder: str) -> str:
     return f"{folder}/{spark.read.text(str(place.toString())).first()[0]}"
 
 
+def point_to(spark: SparkSession, folder: str, version: str) -> None:
+    """Make a version folder the published one, by one rename of the pointer file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    pointer, staged = jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}"), jvm.org.apache.hadoop.fs.Path(f"{folder}/_{POINTER}-{version}")
+    fs = pointer.getFileSystem(conf)
+    try:
+        out = fs.create(staged)
+        out.write(bytearray(version, "ascii"))
+        out.close()
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(staged, pointer, options)
+    except BaseException:
+        fs.delete(staged, True)
+        raise
+
+
 def publish(frames: dict[str, DataFrame], folder: str, overwrite: bool = False) -> str:
     """Write each frame as JSON lines into a new version folder, all or none, and return that.
 
@@ -76,22 +93,16 @@ def publish(frames: dict[str, DataFrame], folder: str, overwrite: bool = False)
     spark = next(iter(frames.values())).sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path, version = jvm.org.apache.hadoop.fs.Path, f"v-{time.time_ns()}"
-    pointer, staged = path(f"{folder}/{POINTER}"), path(f"{folder}/_{POINTER}-{version}")
+    pointer = path(f"{folder}/{POINTER}")
     fs = pointer.getFileSystem(conf)
     if not overwrite and fs.exists(pointer):
         raise FileExistsError(folder)
     try:
         for name, frame in frames.items():
             frame.write.json(f"{folder}/{version}/{name}")
-        out = fs.create(staged)
-        out.write(bytearray(version, "ascii"))
-        out.close()
-        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(staged, pointer, options)
+        point_to(spark, folder, version)
     except BaseException:
         fs.delete(path(f"{folder}/{version}"), True)
-        fs.delete(staged, True)
         raise
     return f"{folder}/{version}"
 
