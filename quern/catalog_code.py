@@ -208,6 +208,19 @@ def code_literals(spark, sf):
     return code.literals_of(sources(spark, sf))
 
 
+@query(rf"""with {LITERALS}, mat as (select *, trim(value) as v from raw where regexp_matches(value, '\S') and regexp_matches(b || ' ' || a, '\b(?:[A-Z0-9_]+-)?[A-Z0-9_]*MATNR\b|\bMATNR_', 'i')),
+    why as (select *, case when length(v) > 40 then 'too_long' when regexp_matches(v, '^(19|20)[0-9]{{2}}((0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01]))?$') then 'date_or_year' when lower(v) in ('true', 'false', 'abap_true', 'abap_false', 'x', 'space', 'initial') then 'boolean'
+        when regexp_matches(v, '-(MATNR|LOW|HIGH|SIGN|OPTION)$', 'i') then 'field_name_literal' when regexp_matches(v, '^SAP[A-Z0-9_]+$', 'i') then 'program_name' when upper(v) in ('NAME1', 'ORT01', 'KUNNR', 'LIFNR', 'WERKS', 'ARKTX', 'ERNAM', 'ERDAT', 'MATNR') then 'ddic_field_name'
+        when upper(v) in ('MATERIAL', '0MATERIAL') then 'semantic_token' when regexp_matches(v, '^[0-9]{{1,3}}$') then 'too_short_numeric' when regexp_matches(v, '^[0-9]{{19,}}$') then 'too_long_numeric'
+        when not (regexp_matches(v, '^[0-9]{{4,18}}$') or (regexp_matches(v, '^[A-Z0-9]{{4,18}}$', 'i') and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]', 'i'))) then 'not_material_shaped'
+        when regexp_matches(b, '\bFIELDNAME\s+(?:EQ|=)\s*$|\bBDC_FIELD\s+USING\s+$|\b(?:KSCHL|MSGTY|MSGNO|AUART|BSART|VBTYP|VTWEG|SPART|VKORG)\b\s*(?:=|EQ|NE)\s*$|\b(?:FKDAT|BUDAT|ERDAT|AEDAT|FBUDA|DATUM|DATAB|DATBI)\b[^.\n]{{0,60}}default\s+$', 'i') then 'bound_to_other_field'
+        when fb.field is null then 'not_bound' else 'operand_of_field' end as reason from mat left join (select source_key as k, line as n, pos as p, field from fb where field = 'MATNR') fb on fb.k = source_key and fb.n = line and fb.p = pos)
+    select distinct source_key, line, case when regexp_matches(v, '^[0-9]+$') then v else upper(v) end as value, reason = 'operand_of_field' as accepted, reason, comment from why""")
+def material_literals(spark, sf):
+    """Accepted and rejected material numbers, each with its reason."""
+    return code.materials_of(sources(spark, sf))
+
+
 @query(f"with {ACCESSES} select source_key, line, operation, table_name, condition from ac")
 def code_accesses(spark, sf):
     return code.accesses_of(sources(spark, sf)).drop("stmt")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from quern.catalog import BM25, EDGES, RANK, TERMS, TOKENS, graph_edges, query, rounded, table
 from quern.functions import question
 from quern.functions import text as X
-from quern.operators import evidence, gate, graph, grounding, incremental, index, link, masterdata, profile, rules, search, stored_index, vectors
+from quern.operators import evidence, gate, graph, grounding, incremental, index, link, masterdata, profile, rules, search, selection, stored_index, vectors
 from quern.session import scratch_path
 from quern.sources import jsonl
 
@@ -465,3 +465,28 @@ def stored(spark, sf) -> str:
 def bm25_stored(spark, sf):
     """bm25_topk from the stored index: reads the terms' buckets alone."""
     return rounded(search.top_k(stored_index.bm25(spark, stored(spark, sf), TERMS), 20), "score").select("doc_id", "score", "rank")
+
+
+# Tiers and passes
+
+
+@query("""with f as (select p_partkey as id, p_size::double as score, 'named' as reason from part where contains(p_name, 'bolt')), l as (select distinct a.l_partkey as from_id, b.l_partkey as to_id, 'same_order' as reason from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey <> b.l_partkey where a.l_quantity > 40 and b.l_quantity > 40),
+    u as (select id, 1 as tier, score, reason from f union all select to_id, 2, max(score) * 0.5, l.reason from l join f on from_id = id group by to_id, l.reason),
+    r as (select *, row_number() over (partition by id order by tier, score desc, reason) as p from u) select id as p_partkey, tier, round(score, 6) as score, reason from r where p = 1 order by tier, score desc, id limit 200""")
+def tiered_candidates(spark, sf):
+    """Parts of a name, then parts ordered with them: tier, score and reason of each."""
+    first = table(spark, sf, "part").filter("p_name like '%bolt%'").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"), F.lit("named").alias("reason"))
+    lines = table(spark, sf, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_partkey").distinct()
+    named = lines.join(first.select(F.col("id").alias("l_partkey")), "l_partkey", "left_semi")  # links are wanted from the first tier alone
+    links = named.toDF("k", "from_id").join(lines.toDF("k", "to_id"), "k").filter("from_id <> to_id").select("from_id", "to_id", F.lit("same_order").alias("reason"))
+    return rounded(selection.in_tiers(first, links, 0.5, 200).withColumnRenamed("id", "p_partkey"), "score")
+
+
+@query("""with m as (select p_partkey, p_brand, p_name, case when p_brand = 'Brand#12' and p_size < 10 then 'brand' when contains(p_name, 'red') and p_size > 40 then 'name' end as via, p_size from part),
+    s as (select * from m where via is not null union all select p_partkey, p_brand, p_name, 'sibling', p_size from m where via is null and contains(p_name, 'bolt') and p_brand in (select p_brand from m where via is not null))
+    select p_partkey, p_brand, via as found_by from s order by case via when 'brand' then 1 when 'name' then 2 else 3 end, p_partkey limit 300""")
+def exclusive_passes(spark, sf):
+    """Parts by brand, by name, then bolts of the brands found: each by the first pass that takes it, with one limit."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_size")
+    passes = [("brand", (F.col("p_brand") == "Brand#12") & (F.col("p_size") < 10)), ("name", F.contains("p_name", F.lit("red")) & (F.col("p_size") > 40))]
+    return selection.in_passes(rows, passes, ("sibling", "p_brand", F.contains("p_name", F.lit("bolt"))), ["p_partkey"], 300).select("p_partkey", "p_brand", "found_by")

@@ -139,6 +139,18 @@ def _bound(field: str, before: Column, after: Column) -> Column:
     return out
 
 
+def quoted_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, value, before, after, comment) of each quoted literal that isn't blank: what stands before it on its line and
+    what follows it in its statement."""
+    found = statements_of(sources, key, code)
+    spans = F.transform("parts", lambda p: F.struct(p["line"].alias("line"), p["token"].alias("token"), (p["begin"] - F.element_at("parts", 1)["begin"]).alias("at"), (F.length(p["word"]) - F.length(p["token"])).alias("skip")))
+    quoted = found.select(key, "text", "comment", F.explode(F.filter(spans, lambda p: p["token"].startswith("'"))).alias("p"))
+    value = F.replace(F.regexp_extract("p.token", "^'(.*?)'?$", 1), F.lit("''"), F.lit("'"))
+    named = quoted.select(key, "text", "comment", F.col("p.line").alias("line"), value.alias("value"), (F.col("p.at") + F.col("p.skip")).alias("from"), F.length("p.token").alias("length")).filter(F.col("value").rlike(r"\S"))
+    before = F.substring_index(F.substring("text", F.lit(1), F.col("from")), "\n", -1)
+    return named.select(key, "line", "value", before.alias("before"), F.substring("text", F.col("from") + F.col("length") + 1, F.length("text")).alias("after"), "comment")
+
+
 def literals_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
     """(key, line, value, normalized, kind, fields, roles, comment) of quoted literals of up to 60 characters that say
     something, each once a line and set of fields.
@@ -146,14 +158,8 @@ def literals_of(sources: DataFrame, key: str = "source_key", code: str = "source
     fields are those of ROLES that the literal is bound to by comparison, list, range, MOVE, default or declared value, in
     ROLES' order; without any the role is generic_literal.
     """
-    found = statements_of(sources, key, code)
-    spans = F.transform("parts", lambda p: F.struct(p["line"].alias("line"), p["token"].alias("token"), (p["begin"] - F.element_at("parts", 1)["begin"]).alias("at"), (F.length(p["word"]) - F.length(p["token"])).alias("skip")))
-    quoted = found.select(key, "text", "comment", F.explode(F.filter(spans, lambda p: p["token"].startswith("'"))).alias("p"))
-    value = F.replace(F.regexp_extract("p.token", "^'(.*?)'?$", 1), F.lit("''"), F.lit("'"))
-    named = quoted.select(key, "text", "comment", F.col("p.line").alias("line"), value.alias("value"), (F.col("p.at") + F.col("p.skip")).alias("from"), F.length("p.token").alias("length"))
-    named = named.filter(F.col("value").rlike(r"\S") & (F.length("value") <= 60) & ~F.col("value").rlike(NOISE))
-    before = F.substring_index(F.substring("text", F.lit(1), F.col("from")), "\n", -1)
-    bound = named.withColumn("before", before).withColumn("after", F.substring("text", F.col("from") + F.col("length") + 1, F.length("text"))).withColumn("upper", F.upper(F.concat_ws(" ", "before", "after")))
+    named = quoted_of(sources, key, code).filter((F.length("value") <= 60) & ~F.col("value").rlike(NOISE))
+    bound = named.withColumn("upper", F.upper(F.concat_ws(" ", "before", "after")))
     fields = F.array_compact(F.array(*(F.when(F.col("upper").contains(f) & _bound(f, F.col("before"), F.col("after")), f) for f in ROLES)))
     typed = (
         F.when(F.col("before").rlike(r"(?i)\bCALL\s+FUNCTION\b"), "function_module").when(F.col("before").rlike(r"(?i)\bCALL\s+TRANSACTION\b"), "transaction").when(F.concat_ws(" ", "before", "after").rlike(r"(?i)\b(?:MESTYP|MESSAGE\s+TYPE)\b"), "message_type")
@@ -168,6 +174,35 @@ def literals_of(sources: DataFrame, key: str = "source_key", code: str = "source
     ).dropDuplicates([key, "line", "normalized", "fields", "comment"])
 
 
+# Shapes of literals that are no material numbers, in the order in which they are tried.
+NO_MATERIALS = (
+    ("too_long", r"^.{41,}$"), ("date_or_year", r"^(?:19|20)\d{2}(?:(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))?$"), ("boolean", r"(?i)^(?:true|false|abap_true|abap_false|x|space|initial)$"), ("field_name_literal", r"(?i)-(?:MATNR|LOW|HIGH|SIGN|OPTION)$"),
+    ("program_name", r"(?i)^SAP[A-Z0-9_]+$"), ("ddic_field_name", r"(?i)^(?:NAME1|ORT01|KUNNR|LIFNR|WERKS|ARKTX|ERNAM|ERDAT|MATNR)$"), ("semantic_token", r"(?i)^0?MATERIAL$"), ("too_short_numeric", r"^\d{1,3}$"), ("too_long_numeric", r"^\d{19,}$"),
+)
+MATERIAL = r"(?i)^(?:\d{4,18}|(?=.*\d)(?=.*[A-Z])[A-Z0-9]{4,18})$"
+# What stands before a literal that belongs to another field, and what binds one to MATNR beside BEFORE and AFTER.
+AGAINST = r"(?i)\bFIELDNAME\s+(?:EQ|=)\s*$|\bBDC_FIELD\s+USING\s+$|\b(?:KSCHL|MSGTY|MSGNO|AUART|BSART|VBTYP|VTWEG|SPART|VKORG)\b\s*(?:=|EQ|NE)\s*$|\b(?:FKDAT|BUDAT|ERDAT|AEDAT|FBUDA|DATUM|DATAB|DATBI)\b[^.\n]{0,60}default\s+$"
+RANGE, RANGE_OF = r"(?i)\b(?:LOW|HIGH)\s*=\s*$", r"(?i)^[^.]{0,80}?\b(?:RANGE\s+OF\s+MATNR|FOR\s+[A-Z0-9_]*MATNR)\b"
+VALUE, VALUE_OF = r"(?i)\bVALUE\s+$", r"(?i)^[^.\n]{0,40}?\b(?:TYPE|LIKE)\s+[A-Z0-9_-]*MATNR\b"
+
+
+def materials_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
+    """(key, line, value, accepted, reason, comment) of literals in statements that name MATNR: material numbers, and what
+    isn't one with the reason.
+
+    A literal must have the shape of a material number, must not be bound to another field, and must be an operand of
+    MATNR: that the statement names the field elsewhere isn't enough. A rejection by shape comes before one by binding.
+    """
+    named = quoted_of(sources, key, code).filter(F.concat_ws(" ", "before", "after").rlike(r"(?i)\b(?:[A-Z0-9_]+-)?[A-Z0-9_]*MATNR\b|\bMATNR_"))
+    value = F.trim("value")
+    digits = F.regexp_replace(value, r"\s+", "")
+    shape = F.coalesce(*(F.when(value.rlike(p), F.lit(reason)) for reason, p in NO_MATERIALS), F.when(~value.rlike(MATERIAL), F.lit("not_material_shaped")))
+    before, after = F.col("before"), F.col("after")
+    bound = _bound("MATNR", before, after) | (before.rlike(RANGE) & after.rlike(RANGE_OF)) | (before.rlike(VALUE) & after.rlike(VALUE_OF))
+    reason = F.coalesce(shape, F.when(before.rlike(AGAINST), F.lit("bound_to_other_field")), F.when(~bound, F.lit("not_bound")))
+    return named.select(key, "line", F.when(digits.rlike(r"^\d+$"), digits).otherwise(F.upper(value)).alias("value"), reason.isNull().alias("accepted"), F.coalesce(reason, F.lit("operand_of_field")).alias("reason"), "comment").distinct()
+
+
 def accesses_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
     """(key, stmt, line, operation, table_name, condition): reads, updates, inserts, changes and deletions of database tables, with
     the text of a WHERE. Each SELECT of a statement is a read; names of internal tables are none."""
