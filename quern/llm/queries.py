@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm import codes_sql
 from quern.llm.common import read_table
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.interpolation import interpolated_scores
@@ -82,4 +83,5 @@ ORACLE_SQL = {
         select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.text) as text_sha256
         from t join g on t.text = g.text
     """,
+    "op11_vector_codes": codes_sql.sql(),
 }
