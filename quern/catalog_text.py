@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -490,3 +492,31 @@ def exclusive_passes(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_size")
     passes = [("brand", (F.col("p_brand") == "Brand#12") & (F.col("p_size") < 10)), ("name", F.contains("p_name", F.lit("red")) & (F.col("p_size") > 40))]
     return selection.in_passes(rows, passes, ("sibling", "p_brand", F.contains("p_name", F.lit("bolt"))), ["p_partkey"], 300).select("p_partkey", "p_brand", "found_by")
+
+
+# Entities of fields by their description
+
+FIELDS = (
+    ("MANDT", "MANDT", "MANDT", "CLNT", "Client", 3, True, "'100'"), ("ZKEY", "CHAR10", "", "CHAR", "", 10, True, "lpad(c_custkey::varchar, 8, '0')"), ("PARTNER", "KUNNR", "KUNNR", "CHAR", "Kunde", 10, False, "lpad(c_custkey::varchar, 10, '0')"),
+    ("ZZMATNR", "", "", "CHAR", "", 18, False, "'00000' || c_nationkey"), ("LIEF", "ELIFN", "", "CHAR", "Vendor", 10, False, "'000'"), ("RFCDEST_OUT", "", "", "CHAR", "", 32, False, "lower(c_mktsegment)"), ("ORDSTAT", "", "", "CHAR", "", 1, False, "'a'"),
+    ("CODE_1", "", "", "CHAR", "", 4, False, "'x' || c_nationkey"), ("ART", "", "", "CHAR", "", 4, True, "'za'"), ("BEZ", "", "", "CHAR", "", 4, False, "c_name"), ("LONGFIELD", "", "", "CHAR", "", 40, False, "c_mktsegment"), ("ZID", "", "", "NUMC", "", 8, True, "'a7'"),
+    ("SHORT", "", "", "CHAR", "", 2, False, "'q'"), ("AMOUNT", "", "", "CURR", "", 15, False, "c_acctbal::varchar"), ("EMPTY", "", "", "CHAR", "", 2, False, "' '"),
+)
+BLOB = "' ' || name || ' ' || element || ' ' || domain || ' ' || description || ' '"
+
+
+@query(f"""with f as ({' union all '.join(f"select c_custkey, '{n}' as name, '{e}' as element, '{d}' as domain, '{t}' as kind, upper('{x}') as description, {size} as length, {key} as is_key, trim({v}) as value from customer" for n, e, d, t, x, size, key, v in FIELDS)}),
+    k as (select *, {BLOB} as b, case when 'MANDT' in (name, element, domain) or kind = 'CLNT' then 'client_id' when regexp_matches({BLOB}, '\\b(MATNR|MATERIAL)\\b') or contains(name, 'MATNR') then 'material_number' when regexp_matches({BLOB}, '\\b(KUNNR|CUSTOMER|KUNDE)\\b') or contains(name, 'KUNNR') then 'customer_number'
+      when regexp_matches({BLOB}, '\\b(LIFNR|VENDOR|LIEFERANT)\\b') or contains(name, 'LIFNR') then 'vendor_number' when regexp_matches({BLOB}, '\\b(RFCDEST|LOGSYS|DESTINATION|SYSID|SERVER|HOST)\\b') or regexp_matches(name, 'DEST|LOGSYS|RFC') then 'technical_system_name'
+      when regexp_matches({BLOB}, '\\b(STATUS|STAT|STCD|STATE)\\b') or regexp_matches(name, '(STATUS|STAT)$') then 'status_value' when regexp_matches({BLOB}, '\\b(PARAM|KEY|CODE|KZ|FLAG|IND|TYPE|ART)\\b') or regexp_matches(name, '^(KEY|PARAM|VAL|CODE|KZ)')
+        then case when regexp_matches(name, 'PARAM|KEY|VAL') or regexp_matches({BLOB}, 'PARAM|KEY') then 'parameter_or_mapping_value' else 'code_value' end
+      when regexp_matches({BLOB}, '\\b(TEXT|DESCR|BEZEICH|NAME|VTEXT|REMARK|COMMENT)\\b') or regexp_matches(name, '(TEXT|DESCR|NAME|BEZ)$') or kind = 'CHAR' and length >= 20 then 'description_text' when is_key then 'primary_key_value' when kind = 'CHAR' and length between 1 and 10 then 'code_value' else 'field_value' end as entity_type from f where value <> '')
+    select c_custkey, name as field, entity_type, case when entity_type in ('material_number', 'customer_number', 'vendor_number') then coalesce(nullif(ltrim(value, '0'), ''), value) when entity_type in ('client_id', 'description_text', 'field_value') then value else upper(value) end as normalized,
+      case entity_type when 'client_id' then 0.95 when 'technical_system_name' then 0.8 when 'status_value' then 0.75 when 'description_text' then 0.7 when 'primary_key_value' then 0.9 when 'field_value' then 0.4 when 'parameter_or_mapping_value' then if(is_key, 0.8, 0.7)
+        when 'code_value' then case when name in ('SHORT') then 0.55 when is_key then 0.8 else 0.7 end else 0.85 end::double as confidence from k""")
+def field_entities(spark, sf):
+    """Entities of each customer's fields, by what is known of the field."""
+    described = [F.struct(*(F.lit(x).alias(c) for x, c in zip(row[:7], ("name", "element", "domain", "data_type", "description", "length", "is_key"), strict=True)), F.expr(re.sub(r"(\w+)::varchar", r"cast(\1 as string)", row[7])).cast("string").alias("value")) for row in FIELDS]
+    rows = table(spark, sf, "customer").select("c_custkey", F.explode(F.array(*described)).alias("f"))
+    found = rows.select("c_custkey", F.col("f.name").alias("field"), masterdata.entity_of(F.col("f"), F.col("f.value")).alias("e")).filter("e is not null")
+    return found.select("c_custkey", "field", F.col("e.type").alias("entity_type"), "e.normalized", "e.confidence")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import materialize
+
 RRF_K = 60
 
 
@@ -56,6 +58,15 @@ def best_per_key(rows: DataFrame, key: str, score: str, id_col: str) -> DataFram
 
 
 def with_gap(rows: DataFrame, score: str, id_col: str, group: list[str] | None = None) -> DataFrame:
-    """rows with the score's lead over the next one of the group; the last has its own score."""
-    order = Window.partitionBy(*(group or [])).orderBy(F.desc(score), id_col)
-    return rows.withColumn("gap", F.col(score) - F.coalesce(F.lead(score).over(order), F.lit(0.0)))
+    """rows with the score's lead over the next one of the group; the last has its own score.
+
+    Without a group rows are dealt in ranges of the order, so no task has all: the last of a range is followed by the first
+    of the next one, of which there is one row each.
+    """
+    lead = lambda by: F.lead(score).over(Window.partitionBy(*by).orderBy(F.desc(score), id_col))
+    if group:
+        return rows.withColumn("gap", F.col(score) - F.coalesce(lead(group), F.lit(0.0)))
+    dealt = materialize(rows.repartitionByRange(F.desc(score), F.asc(id_col)).withColumn("_range", F.spark_partition_id()), "ranges")
+    heads = dealt.groupBy("_range").agg(F.max(score).alias("_head"))
+    borders = heads.select("_range", F.lead("_head").over(Window.orderBy("_range")).alias("_border"))  # a row for each range
+    return dealt.join(borders, "_range").withColumn("gap", F.col(score) - F.coalesce(lead(["_range"]), "_border", F.lit(0.0))).drop("_range", "_border")

@@ -50,6 +50,42 @@ def field_entity(field: Column) -> Column:
     return out
 
 
+# Entities of a field by its name, element, domain and description together (blob) or its name alone, in the
+# order in which they are tried: type, pattern of the blob, pattern of the name, confidence.
+ENTITY_RULES = (
+    ("material_number", r"\b(MATNR|MATERIAL)\b", r"MATNR", 0.85),
+    ("customer_number", r"\b(KUNNR|CUSTOMER|KUNDE)\b", r"KUNNR", 0.85),
+    ("vendor_number", r"\b(LIFNR|VENDOR|LIEFERANT)\b", r"LIFNR", 0.85),
+    ("technical_system_name", r"\b(RFCDEST|LOGSYS|DESTINATION|SYSID|SERVER|HOST)\b", r"DEST|LOGSYS|RFC", 0.8),
+    ("status_value", r"\b(STATUS|STAT|STCD|STATE)\b", r"(STATUS|STAT)$", 0.75),
+)
+CODES = (r"\b(PARAM|KEY|CODE|KZ|FLAG|IND|TYPE|ART)\b", r"^(KEY|PARAM|VAL|CODE|KZ)")
+PARAMETERS = (r"PARAM|KEY", r"PARAM|KEY|VAL")
+TEXTS = (r"\b(TEXT|DESCR|BEZEICH|NAME|VTEXT|REMARK|COMMENT)\b", r"(TEXT|DESCR|NAME|BEZ)$")
+NUMBERS = ("material_number", "customer_number", "vendor_number")
+
+
+def entity_of(field: Column, value: Column) -> Column:
+    """(type, normalized, confidence) of a field's value by the field's description, a struct (name, element, domain,
+    data_type, description, length, is_key); null for a blank value. Numbers are normalised without leading zeros, texts
+    stay, anything else is in upper case."""
+    upper = lambda c: F.upper(F.trim(F.coalesce(field[c].cast("string"), F.lit(""))))
+    name, element, domain, kind = upper("name"), upper("element"), upper("domain"), upper("data_type")
+    blob, length, is_key = F.concat_ws(" ", name, element, domain, upper("description")), F.coalesce(field["length"], F.lit(0)), F.coalesce(field["is_key"], F.lit(False))
+    named = lambda patterns: blob.rlike(patterns[0]) | name.rlike(patterns[1])
+    answer = lambda kind, confidence: F.struct(F.lit(kind).alias("type"), F.lit(confidence).cast("double").alias("confidence"))
+    found = F.when((name == "MANDT") | (element == "MANDT") | (domain == "MANDT") | (kind == "CLNT"), answer("client_id", 0.95))
+    for entity, of_blob, of_name, confidence in ENTITY_RULES:
+        found = found.when(named((of_blob, of_name)), answer(entity, confidence))
+    code = F.when(named(PARAMETERS), F.lit("parameter_or_mapping_value")).otherwise("code_value")
+    found = found.when(named(CODES), F.struct(code.alias("type"), F.when(is_key, 0.8).otherwise(0.7).alias("confidence"))).when(named(TEXTS) | ((kind == "CHAR") & (length >= 20)), answer("description_text", 0.7))
+    found = found.when(is_key, answer("primary_key_value", 0.9)).when((kind == "CHAR") & (length > 0) & (length <= 10), answer("code_value", 0.55)).otherwise(answer("field_value", 0.4))
+    plain = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    bare = F.regexp_replace(plain, "^0+(?=.)", "")
+    normal = F.when(found["type"].isin(*NUMBERS), F.when(F.regexp_replace(plain, "^0+", "") == "", plain).otherwise(bare)).when(found["type"].isin("client_id", "description_text", "field_value"), plain).otherwise(F.upper(plain))
+    return F.when(plain != "", F.struct(found["type"].alias("type"), normal.alias("normalized"), found["confidence"].alias("confidence")))
+
+
 def row_entities(rows: DataFrame, key: str, values: str = "values", least: float = 0.55) -> DataFrame:
     """(key, field, value, entity_type, confidence) of fields that name an entity; clients and blank values are left out."""
     pairs = rows.select(key, F.explode(values).alias("field", "value")).filter("trim(value) <> ''").withColumn("e", field_entity(F.col("field")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.fuse import with_gap
+
 
 def value_distribution(rows: DataFrame, columns: list[str], top: int = 6) -> DataFrame:
     """(field, value, n, place): the most frequent values of each column, null left out, ties by value."""
@@ -47,11 +49,10 @@ def density_selection(rows: DataFrame, group: str, hit: Column) -> DataFrame:
     """Groups by hits * 100 + share * 20 + min(n, 50) / 100, with the lead over the next and a confidence."""
     counted = rows.groupBy(group).agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
     score = F.col("hits") * 100 + F.col("hits") / F.col("n") * 20 + F.least("n", F.lit(50)) * 0.01
-    scored = counted.withColumn("score", score)
-    gap = F.col("score") - F.coalesce(F.lead("score").over(Window.orderBy(F.desc("score"), group)), F.lit(0.0))
+    scored = with_gap(counted.withColumn("score", score), "score", group)
     high = (F.col("hits") >= 10) & (F.col("hits") / F.col("n") >= 0.35) & (F.col("gap") >= 50)
     medium = (F.col("hits") >= 5) & (F.col("hits") / F.col("n") >= 0.2)
-    return scored.withColumn("gap", gap).withColumn("confidence", F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW"))
+    return scored.withColumn("confidence", F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW"))
 
 
 def inventory(rows: DataFrame, item: str, medium: str, partner: str) -> DataFrame:
