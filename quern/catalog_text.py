@@ -480,7 +480,7 @@ def tiered_candidates(spark, sf):
     first = table(spark, sf, "part").filter("p_name like '%bolt%'").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"), F.lit("named").alias("reason"))
     lines = table(spark, sf, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_partkey").distinct()
     named = lines.join(first.select(F.col("id").alias("l_partkey")), "l_partkey", "left_semi")  # links are wanted from the first tier alone
-    links = named.toDF("k", "from_id").join(lines.toDF("k", "to_id"), "k").filter("from_id <> to_id").select("from_id", "to_id", F.lit("same_order").alias("reason"))
+    links = named.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("from_id")).join(lines.toDF("k", "to_id"), "k").filter("from_id <> to_id").select("from_id", "to_id", F.lit("same_order").alias("reason"))
     return rounded(selection.in_tiers(first, links, 0.5, 200).withColumnRenamed("id", "p_partkey"), "score")
 
 
