@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def test_contains_join_equals_every_pair(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_contains_join_multiplies_classes_last(spark):
+    needles = [(i, "x", "ab" if i % 2 else "b") for i in range(300)] + [(1, "x", "b"), (None, "x", "c"), (None, "x", "ab")]
+    names = [(j, "x", "xabx" if j % 3 else "bc") for j in range(200)] + [(None, "x", "cc"), (7, "x", "cc"), (7, "y", "ab")]
+    found = link.contains_join(spark.createDataFrame(needles, "needle_id int, scope string, needle string"), spark.createDataFrame(names, "name_id int, scope string, name string"))
+    want = {(i, j) for i, s, a in needles for j, t, b in names if s == t and a in b}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # pairs of ids are neither shuffled nor compared
+    assert not re.search(r"keys=\[needle_id#\d+L?, name_id#\d+", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_hits_meet_documents_without_a_nested_loop(spark):
     hits = spark.createDataFrame([(f"h{i}", "method", f"M{i}", None, None) for i in range(3000)], "hit_id string, kind string, technical_name string, table_name string, field_name string")
     docs = spark.createDataFrame([(1, "class", "calls m17x", "k|M2999", None, "M5", None, None), (2, None, None, None, None, None, None, None)], "doc_id int, unit_type string, title string, source_key string, object_name string, subobject_name string, table_name string, field_name string")
