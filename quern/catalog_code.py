@@ -115,7 +115,9 @@ def sources(spark, sf):
     values = {"{org}": (1000 + key % 7).cast("string"), "{matnr}": F.lpad(key.cast("string"), 18, "0"), "{k}": key.cast("string"), "{size}": F.col("p_size").cast("string"), "{brand}": F.col("p_brand")}
     for mark, value in values.items():
         text = F.replace(text, F.lit(mark), value)
-    return table(spark, sf, "part").select(F.concat(F.lit("S"), key.cast("string")).alias("source_key"), text.alias("source_code"))
+    # a part's row is small and its source isn't: rows are dealt by number before they are written out
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(F.concat(F.lit("S"), key.cast("string")).alias("source_key"), text.alias("source_code"))
 
 
 def _quoted(text: str) -> str:

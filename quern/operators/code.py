@@ -1,8 +1,8 @@
-"""ABAP sources as relations: lines, tokens, statements, units, literals, table accesses, calls and macros.
+"""ABAP sources as relations: lines, statements, units, literals, table accesses, calls and macros.
 
-A source is one row. Lines are exploded, tokens of a line are numbered, and running sums over a source give each token the
-number of its statement; what is found in statements is a row each. Line numbers start at 1. A window spans one source.
-Sources are (source_key, source_code); null and empty code has no rows.
+A source is one row and is cut into its statements where it is read: each line's strings and full stops are marked and the
+lines joined again, so that nothing is shuffled or sorted for it. Statements, and what is found in them, are a row each. Line
+numbers start at 1. A window spans one source. Sources are (source_key, source_code); null and empty code has no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +41,11 @@ LOW, LOW_OF = r"(?i)\blow\s*=\s*$", r"^[^.]{{0,120}}?\b(?:[A-Z0-9_]*{f})"
 INTERNAL = r"^(L_|G_|LT_|GT_|LS_|GS_|IT_|IS_|WA_|<|SY)"
 NOT_TABLES = ("ADJACENT", "SET", "INTO", "CORRESPONDING")
 NAME = r"[/A-Za-z_][/A-Za-z0-9_]*"
-#: A string up to its quote or the end of the line, a comment, a full stop that is no decimal point, anything else.
-TOKEN = r"""'[^']*(?:''[^']*)*'?|"[^\n]*|\.(?![0-9])|[^'".]+|\.[0-9]+"""
+# Marks, characters that Unicode keeps from text. What stands before a line's number where a part of a line or
+# a string begins, what follows that number, and what follows a string and a statement.
+PART, QUOTED, AT, UNQUOTED, END = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
+#: A string up to its quote or the end of the line, a comment, a full stop that is no decimal point.
+STRING, REMARK, STOP = "('[^']*(?:''[^']*)*'?)", '"[^\n]*', r"(\.)(?![0-9])"
 CONDITION = rf"(?i)^\s*({NAME})\s*(EQ|NE|<>|<=|>=|LT|GT|LE|GE|=|<|>)\s*(.+?)\s*$"
 # Statements that open with an underscored word and are no macro calls.
 KEYWORDS = ("END_OF_SELECTION", "START_OF_SELECTION", "CLASS_DATA", "FIELD_SYMBOLS")
@@ -61,26 +64,31 @@ def lines_of(sources: DataFrame, key: str = "source_key", code: str = "source_co
     return sources.select(key, F.posexplode(_lines(F.col(code))).alias("at", "text")).select(key, (F.col("at") + 1).alias("line"), "text")
 
 
-def tokens_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
-    """(key, line, at, token, stmt, begin, comment): tokens with the number of their statement and where they begin in the
-    source's code. A line of comment is a statement of its own (its line, negative) and doesn't end one."""
-    cut = lines_of(sources, key, code).select(key, "line", _is_comment(F.col("text")).alias("comment"), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("at", "token"))
-    kept = cut.filter(F.col("comment") | ~F.col("token").startswith('"'))
-    token = F.when((F.col("at") == 0) & (F.col("line") > 1), F.concat(F.lit("\n"), "token")).otherwise(F.col("token"))
-    before = Window.partitionBy(key).orderBy("line", "at").rowsBetween(Window.unboundedPreceding, -1)
-    stops = F.sum(((F.col("token") == ".") & ~F.col("comment")).cast("int")).over(before)
-    length = F.sum(F.length("word")).over(before)
-    numbered = kept.withColumn("word", token).withColumn("stops", F.coalesce(stops, F.lit(0))).withColumn("begin", F.coalesce(length, F.lit(0)))
-    return numbered.select(key, "line", "at", "token", "word", "comment", "begin", F.when(F.col("comment"), -F.col("line")).otherwise(F.col("stops")).alias("stmt"))
+def _marked(line: Column, number: Column, comment: bool) -> Column:
+    """A line with its marks, behind the line's end before it. In a comment no full stop ends a statement; in code what is
+    remarked behind a statement is dropped."""
+    n, empty = number.cast("string"), QUOTED + AT + UNQUOTED
+    begin = F.concat(F.lit(PART), n, F.lit(AT))
+    # one pass: a string between its marks, of anything else empty marks with what is kept of it
+    found = F.regexp_replace(line, f"{STRING}|({REMARK})" if comment else f"{STRING}|{REMARK}|{STOP}", f"{QUOTED}{AT}$1{UNQUOTED}$2")
+    if not comment:
+        found = F.replace(found, F.lit(empty + "."), F.concat(F.lit("." + END), begin))
+    found = F.replace(F.replace(found, F.lit(empty), F.lit("")), F.lit(QUOTED), F.concat(F.lit(QUOTED), n))
+    return F.concat(F.when(number > 1, "\n").otherwise(""), begin, found)
 
 
 def statements_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
-    """(key, stmt, line, text, comment, parts): statements that aren't blank, their first line, and their tokens in order."""
-    part = F.struct("line", "at", "token", "word", "begin")
-    grouped = tokens_of(sources, key, code).groupBy(key, "stmt", "comment").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    filled = F.filter("parts", lambda p: F.length(F.trim(p["token"])) > 0)
-    text = F.array_join(F.transform("parts", lambda p: p["word"]), "")
-    return grouped.withColumn("line", F.try_element_at(filled, F.lit(1))["line"]).filter("line is not null").select(key, "stmt", "line", text.alias("text"), "comment", "parts")
+    """(key, stmt, line, text, comment, marked): statements that aren't blank, the line where they begin and their text, which
+    marked has with the marks of its strings. Narrow. A line of comment is a statement of its own (its line, negative) and
+    doesn't end one. The marks' characters count as nothing."""
+    lines = sources.select(key, _lines(F.translate(F.col(code), PART + QUOTED + AT + UNQUOTED + END, "")).alias("lines"))
+    own = F.array_join(F.transform("lines", lambda t, i: F.when((F.length(t) > 0) & ~_is_comment(t), _marked(t, i + 1, False))), "")
+    comments = F.filter(F.transform("lines", lambda t, i: F.when(_is_comment(t), F.struct((-1 - i).cast("long").alias("stmt"), F.lit(True).alias("comment"), _marked(t, i + 1, True).alias("piece")))), lambda c: c.isNotNull())
+    cut = F.transform(F.split(own, END), lambda p, i: F.struct(i.cast("long").alias("stmt"), F.lit(False).alias("comment"), p.alias("piece")))
+    found = lines.select(key, F.inline(F.concat(cut, comments)))
+    line = F.regexp_extract("piece", f"{PART}([0-9]+){AT} *[^{PART} \n]", 1)
+    marked = found.select(key, "stmt", F.when(line != "", line).cast("int").alias("line"), "comment", F.regexp_replace("piece", f"{PART}[0-9]+{AT}", "").alias("marked")).filter("line is not null")
+    return marked.select(key, "stmt", "line", F.regexp_replace("marked", f"{QUOTED}[0-9]+{AT}|{UNQUOTED}", "").alias("text"), "comment", "marked")
 
 
 def units_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
@@ -91,14 +99,17 @@ def units_of(sources: DataFrame, key: str = "source_key", code: str = "source_co
     """
     kinds = "|".join(k for k, _ in OPENERS)
 
-    def event(line: Column, i: Column) -> Column:
+    def event(at: Column) -> Column:
+        line, i = at["line"], at["i"]
         opened = F.coalesce(*(F.when(line.rlike(p), F.struct(F.lit(k).alias("kind"), F.upper(F.regexp_extract(line, p, 1)).alias("name"))) for k, p in OPENERS))
         ended = F.upper(F.regexp_extract(line, rf"(?i)^\s*END({kinds})\b", 1))
         return F.struct((i + 1).alias("line"), F.coalesce(opened["kind"], ended).alias("kind"), opened["name"].alias("name"), line.rlike(IMPLEMENTATION).alias("holds"))
 
     # opening and closing lines in order, folded with the stack of open units
     found = sources.select(key, _lines(F.col(code)).alias("lines"))
-    found = found.withColumn("events", F.filter(F.transform("lines", event), lambda e: e["kind"] != ""))
+    # most lines have no word of a border and are looked at once
+    likely = F.filter(F.transform("lines", lambda t, i: F.when(t.rlike(rf"(?i)^\s*(?:END)?(?:{kinds})"), F.struct(t.alias("line"), i.alias("i")))), lambda x: x.isNotNull())
+    found = found.withColumn("events", F.filter(F.transform(likely, event), lambda e: e["kind"] != ""))
     unit = "array<struct<line:int,kind:string,name:string,holds:boolean>>"
     begin = F.expr(f"named_struct('open', cast(array() as {unit}), 'closed', cast(array() as array<struct<unit_type:string,unit_name:string,start_line:int,end_line:int,parent:string>>))")
 
@@ -142,13 +153,14 @@ def _bound(field: str, before: Column, after: Column) -> Column:
 def quoted_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
     """(key, line, value, before, after, comment) of each quoted literal that isn't blank: what stands before it on its line and
     what follows it in its statement."""
-    found = statements_of(sources, key, code)
-    spans = F.transform("parts", lambda p: F.struct(p["line"].alias("line"), p["token"].alias("token"), (p["begin"] - F.element_at("parts", 1)["begin"]).alias("at"), (F.length(p["word"]) - F.length(p["token"])).alias("skip")))
-    quoted = found.select(key, "text", "comment", F.explode(F.filter(spans, lambda p: p["token"].startswith("'"))).alias("p"))
-    value = F.replace(F.regexp_extract("p.token", "^'(.*?)'?$", 1), F.lit("''"), F.lit("'"))
-    named = quoted.select(key, "text", "comment", F.col("p.line").alias("line"), value.alias("value"), (F.col("p.at") + F.col("p.skip")).alias("from"), F.length("p.token").alias("length")).filter(F.col("value").rlike(r"\S"))
-    before = F.substring_index(F.substring("text", F.lit(1), F.col("from")), "\n", -1)
-    return named.select(key, "line", "value", before.alias("before"), F.substring("text", F.col("from") + F.col("length") + 1, F.length("text")).alias("after"), "comment")
+    pieces = statements_of(sources, key, code).select(key, "comment", F.split("marked", f"[{QUOTED}{UNQUOTED}]").alias("cut")).filter(F.size("cut") > 1)
+    # every other piece is a string with its line, the first and the last are none
+    one = pieces.select(key, "comment", "cut", F.explode(F.sequence(F.lit(2), F.size("cut") - 1, F.lit(2))).alias("i")).select(key, "comment", "cut", "i", F.element_at("cut", F.col("i")).alias("own"))
+    plain = lambda parts: F.regexp_replace(F.array_join(parts, UNQUOTED), f"{UNQUOTED}(?:[0-9]+{AT})?", "")
+    value = F.replace(F.regexp_extract("own", f"{AT}'(.*?)'?$", 1), F.lit("''"), F.lit("'"))
+    named = one.select(key, F.substring_index("own", AT, 1).cast("int").alias("line"), value.alias("value"), "comment", "cut", "i").filter(F.col("value").rlike(r"\S"))
+    before = F.substring_index(plain(F.slice("cut", F.lit(1), F.col("i") - 1)), "\n", -1)
+    return named.select(key, "line", "value", before.alias("before"), plain(F.slice("cut", F.col("i") + 1, F.size("cut"))).alias("after"), "comment")
 
 
 def literals_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
@@ -206,14 +218,14 @@ def materials_of(sources: DataFrame, key: str = "source_key", code: str = "sourc
 def accesses_of(sources: DataFrame, key: str = "source_key", code: str = "source_code") -> DataFrame:
     """(key, stmt, line, operation, table_name, condition): reads, updates, inserts, changes and deletions of database tables, with
     the text of a WHERE. Each SELECT of a statement is a read; names of internal tables are none."""
-    found = statements_of(sources, key, code).filter("not comment").select(key, "stmt", "line", "text")
-    parts = F.split("text", r"(?i)(?=\bSELECT\b)")
-    reads = found.select("*", parts.alias("p"), F.posexplode(parts).alias("i", "piece")).filter(F.col("piece").rlike(r"(?i)^SELECT\b"))
-    reads = reads.withColumn("text", F.array_join(F.slice("p", F.col("i") + 1, F.size("p")), "")).withColumn("operation", F.lit("read"))
-    reads = reads.withColumn("table_name", F.regexp_extract("text", rf"(?is)\bFROM\s+({NAME})\b", 1))
-    changes = found.withColumn("operation", F.lower(F.regexp_extract("text", r"(?i)^\s*(UPDATE|INSERT|MODIFY|DELETE)\b", 1))).filter("operation <> ''")
-    target = F.when(F.col("operation") == "update", F.regexp_extract("text", rf"(?i)\bUPDATE\s+({NAME})\s+SET\b", 1)).otherwise(F.regexp_extract("text", rf"(?i)\b(?:INSERT|MODIFY|DELETE)\b\s+(?:FROM\s+)?(?:INTO\s+)?(?:TABLE\s+)?({NAME})\b", 1))
-    both = reads.select(key, "stmt", "line", "operation", "table_name", "text").unionByName(changes.select(key, "stmt", "line", "operation", target.alias("table_name"), "text"))
+    found = statements_of(sources, key, code).filter("not comment").select(key, "stmt", "line", "text", F.split("text", r"(?i)(?=\bSELECT\b)").alias("p"), F.lower(F.regexp_extract("text", r"(?i)^\s*(UPDATE|INSERT|MODIFY|DELETE)\b", 1)).alias("change"))
+    entry = lambda operation, text: F.struct(operation.alias("operation"), text.alias("text"))
+    reads = F.filter(F.transform("p", lambda piece, i: F.when(piece.rlike(r"(?i)^SELECT\b"), entry(F.lit("read"), F.array_join(F.slice("p", i + 1, F.size("p")), "")))), lambda r: r.isNotNull())
+    changes = F.filter(F.array(entry(F.col("change"), F.col("text"))), lambda c: c["operation"] != "")
+    both = found.select(key, "stmt", "line", F.inline(F.concat(reads, changes)))
+    target = F.when(F.col("operation") == "read", F.regexp_extract("text", rf"(?is)\bFROM\s+({NAME})\b", 1)).when(F.col("operation") == "update", F.regexp_extract("text", rf"(?i)\bUPDATE\s+({NAME})\s+SET\b", 1))
+    target = target.otherwise(F.regexp_extract("text", rf"(?i)\b(?:INSERT|MODIFY|DELETE)\b\s+(?:FROM\s+)?(?:INTO\s+)?(?:TABLE\s+)?({NAME})\b", 1))
+    both = both.select(key, "stmt", "line", "operation", target.alias("table_name"), "text")
     named = both.withColumn("table_name", F.upper("table_name")).filter((F.col("table_name") != "") & ~F.col("table_name").rlike(INTERNAL) & ~F.col("table_name").isin(*NOT_TABLES))
     where = F.trim(F.regexp_replace(F.regexp_extract("text", r"(?is)\bWHERE\b(.*?)\.?\s*$", 1), r"\s+", " "))
     return named.select(key, "stmt", "line", "operation", "table_name", F.when(F.col("operation").isin("read", "update", "delete"), where).otherwise("").alias("condition"))
@@ -249,9 +261,8 @@ def conditions_of(sources: DataFrame, key: str = "source_key", code: str = "sour
         key, "stmt", "line", "operation", "table_name", "field", F.when(F.col("operator") == "EQ", "=").when(F.col("operator") == "NE", "<>").otherwise(F.col("operator")).alias("operator"), F.when(literal | number, "literal").otherwise("variable").alias("value_kind"),
         F.when(literal, F.replace(F.regexp_extract("rhs", "^'(.*)'$", 1), F.lit("''"), F.lit("'"))).otherwise(F.col("rhs")).alias("raw_value"),
     )
-    uses = in_units(kinds.withColumn("_use", F.lit(True)), units, key).withColumn("variable", F.upper(F.regexp_replace("raw_value", "^@", "")))
-    given = in_units(assignments_of(sources, key, code), units, key)
-    both = uses.unionByName(given, allowMissingColumns=True)
+    uses = kinds.withColumn("_use", F.lit(True)).withColumn("variable", F.upper(F.regexp_replace("raw_value", "^@", "")))
+    both = in_units(uses.unionByName(assignments_of(sources, key, code), allowMissingColumns=True), units, key)
     inside = Window.partitionBy(key, "unit_name", "variable").orderBy("stmt", F.col("_use").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     anywhere = Window.partitionBy(key, "variable").orderBy("stmt", F.col("_use").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     known = both.withColumn("own", F.last("value", ignorenulls=True).over(inside)).withColumn("outer", F.last(F.when(F.col("unit_name").isNull(), F.col("value")), ignorenulls=True).over(anywhere))

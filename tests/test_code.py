@@ -129,6 +129,17 @@ def test_macros_and_windows(spark):
     assert found(code.windows_of(frame(spark, source)), "line", "table_name", "first", "last") == [(7, "T1", 6, 9)]
 
 
+def test_statements_are_cut_without_a_shuffle(spark):
+    df = frame(spark, "a = 12'b'3 'c' 4.\r\n\n  5 \ufdd1\ufdd2'd' \" 'e'\n* 6'f' \" 'g'\n'h\n. x = '.'.5 .")
+    quoted = code.quoted_of(df)
+    for of in (code.statements_of(df), quoted, code.accesses_of(df), code.calls_of(df)):
+        plan = of._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    assert found(quoted, "line", "value", "before", "after", "comment") == [
+        (1, "b", "a = 12", "3 'c' 4.", False), (1, "c", "a = 12'b'3 ", " 4.", False), (3, "d", "  5 ", " \n'h\n.", False), (4, "f", "* 6", ' " \'g\'', True), (5, "h", "", "\n.", False), (6, ".", " x = ", ".5 .", False),
+    ]
+
+
 def test_plans_have_no_python(spark):
     df = frame(spark, "x = 1.")
     for of in (code.units_of, code.literals_of, code.accesses_of, code.conditions_of, code.calls_of, code.macros_of, code.windows_of):
