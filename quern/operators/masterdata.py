@@ -65,10 +65,9 @@ TEXTS = (r"\b(TEXT|DESCR|BEZEICH|NAME|VTEXT|REMARK|COMMENT)\b", r"(TEXT|DESCR|NA
 NUMBERS = ("material_number", "customer_number", "vendor_number")
 
 
-def entity_of(field: Column, value: Column) -> Column:
-    """(type, normalized, confidence) of a field's value by the field's description, a struct (name, element, domain,
-    data_type, description, length, is_key); null for a blank value. Numbers are normalised without leading zeros, texts
-    stay, anything else is in upper case."""
+def kind_of(field: Column) -> Column:
+    """(type, confidence) of a field by its description, a struct (name, element, domain, data_type, description, length,
+    is_key)."""
     upper = lambda c: F.upper(F.trim(F.coalesce(field[c].cast("string"), F.lit(""))))
     name, element, domain, kind = upper("name"), upper("element"), upper("domain"), upper("data_type")
     blob, length, is_key = F.concat_ws(" ", name, element, domain, upper("description")), F.coalesce(field["length"], F.lit(0)), F.coalesce(field["is_key"], F.lit(False))
@@ -80,10 +79,17 @@ def entity_of(field: Column, value: Column) -> Column:
     code = F.when(named(PARAMETERS), F.lit("parameter_or_mapping_value")).otherwise("code_value")
     found = found.when(named(CODES), F.struct(code.alias("type"), F.when(is_key, 0.8).otherwise(0.7).alias("confidence"))).when(named(TEXTS) | ((kind == "CHAR") & (length >= 20)), answer("description_text", 0.7))
     found = found.when(is_key, answer("primary_key_value", 0.9)).when((kind == "CHAR") & (length > 0) & (length <= 10), answer("code_value", 0.55)).otherwise(answer("field_value", 0.4))
+    return found
+
+
+def entity_of(kind: Column, value: Column) -> Column:
+    """(type, normalized, confidence) of a field's value by the field's kind_of; null for a blank value. Numbers are
+    normalised without leading zeros, texts stay, anything else is in upper case. What a field is depends on no value, so
+    its kind is found once a field, not once a value."""
     plain = F.trim(F.coalesce(value.cast("string"), F.lit("")))
     bare = F.regexp_replace(plain, "^0+(?=.)", "")
-    normal = F.when(found["type"].isin(*NUMBERS), F.when(F.regexp_replace(plain, "^0+", "") == "", plain).otherwise(bare)).when(found["type"].isin("client_id", "description_text", "field_value"), plain).otherwise(F.upper(plain))
-    return F.when(plain != "", F.struct(found["type"].alias("type"), normal.alias("normalized"), found["confidence"].alias("confidence")))
+    normal = F.when(kind["type"].isin(*NUMBERS), F.when(F.regexp_replace(plain, "^0+", "") == "", plain).otherwise(bare)).when(kind["type"].isin("client_id", "description_text", "field_value"), plain).otherwise(F.upper(plain))
+    return F.when(plain != "", F.struct(kind["type"].alias("type"), normal.alias("normalized"), kind["confidence"].alias("confidence")))
 
 
 def row_entities(rows: DataFrame, key: str, values: str = "values", least: float = 0.55) -> DataFrame:

@@ -171,3 +171,11 @@ def test_questions(spark):
     assert l.is_literal and l["values"] == ["4711", "MATNR"] and l.fields == ["MATNR"]
     assert found("VKORG = 1000 fest?").is_literal and not found("Wie viele Aufträge gibt es 2024?").is_literal and not found("").is_literal
     assert {"ORDERS", "zmat1"} <= set(found("Sind Konstanten: ORDERS, zmat1")["values"])
+
+
+def test_kinds_of_fields_are_found_once_a_field(spark):
+    """Not once a value: no pattern of a field's description is left in the plan."""
+    from quern.catalog_text import field_entities
+
+    plan = field_entities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "MATERIAL)" not in plan
