@@ -35,8 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each component of near copies (Jaccard of five-word shingles >= 0.8), the one with the smallest doc_id.
-    Copies that near lie on average ten bits apart in a fingerprint of 64, where trees prune nothing, so candidates
-    come from minhash bands and not from fingerprints. Texts without a word are alike."""
+    Candidates come from SimHash fingerprints by vantage-point trees; copies that near lie on average ten bits apart in a
+    fingerprint of 64, where trees prune nothing, so those that minhash bands find are added. Texts without a word are
+    alike."""
     return one_of_each(docs)
 
 
@@ -47,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     places = materialize(mix(docs).groupBy(key).agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("n")), "mixture-places")
     most, total = places.agg(F.max("position"), F.sum("n")).first()
     most = most or 0
-    placed = lookup_join(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key), places, ["key"], "n", total or 0)
+    placed = lookup_join(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key), places, ["key"], "n", total or 0, shuffled=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartitionById(parts, F.expr(f"int(position * {parts} div {most + 1})")).sortWithinPartitions("position")
     return dealt.select("row.*")

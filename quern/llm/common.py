@@ -55,11 +55,12 @@ def batches(one: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: pa.S
     return run
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, shuffled: bool = False) -> DataFrame:
     """Left join of rows to a table with one row per key, whatever the skew of the keys.
 
     weight is the table's count of rows for a key and total the sum over keys. Keys heavier than HOT_SHARE of total
-    (1,000 at most, by arithmetic) are broadcast; what is left has no heavy key and is joined by a shuffle.
+    (1,000 at most, by arithmetic) are broadcast; what is left has no heavy key and is joined by a shuffle,
+    with `shuffled` also where the table is small, so that a run tells what a larger one takes.
     """
     limit = max(64, int(total * HOT_SHARE))
     hot, cold = table.filter(F.col(weight) > limit), table.filter(F.col(weight) <= limit)
@@ -67,4 +68,4 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     values = [c for c in table.columns if c not in keys]
     found = marked.filter(F.col("_hot")).drop("_hot")
     rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
-    return found.select(*rows.columns, *values).unionByName(rest.join(cold, keys, "left").select(*rows.columns, *values))
+    return found.select(*rows.columns, *values).unionByName(rest.join(cold.hint("merge") if shuffled else cold, keys, "left").select(*rows.columns, *values))

@@ -1,8 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by SimHash, vantage-point trees and the Jaccard similarity of word shingles.
 
-Texts with equal sets of shingles are one node. Candidates are nodes that share a band of minhashes: with BANDS bands of
-ROWS hashes a pair of similarity s is missed with probability (1 - s ** ROWS) ** BANDS, 1.3e-7 at 0.8. Each candidate
-pair is confirmed by the exact similarity of its sets before it counts as a link:
+Texts with equal sets of shingles are one node, and a node has the SimHash fingerprint of its set. Candidates are nodes
+whose fingerprints vantage-point trees link (simhash.links), a bucket for each component of those links. Copies that are
+as similar as SIMILAR often lie further apart than such trees can look, so nodes that share a band of minhashes are
+candidates beside them: with BANDS bands of ROWS hashes a pair of similarity s is missed with probability
+(1 - s ** ROWS) ** BANDS, 1.3e-7 at 0.8. Each candidate pair is confirmed by the exact similarity of its sets before it
+counts as a link:
 
 * Each member of a band's bucket is compared with the least member of it, which buckets of one group mostly share; what
   that links is contracted.
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import byte_text, lookup_join, materialize, texts
 from quern.llm.simhash import BLANKS, LOWER, SEED, components
+from quern.llm.simhash import links as fingerprint_links
 from quern.session import discard, drop_scratch, scratch_mark
 
 WORDS = 5
@@ -38,7 +42,7 @@ LEAST_EQUAL = 124
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 TERMS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
 #: Members of a bucket that meet in one cell.
 BLOCK = 256
 
@@ -55,6 +59,14 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return found
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """Bit b is set if over half of the hashes have it, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(shingles), 1 << 16):
+        ones += np.unpackbits(shingles[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A key for each band, from the least values of the band's hash functions, and a byte of each value, eight to a long."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
@@ -72,7 +84,7 @@ def hash_of(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, node (hash of the set), size, bands and signature of every row and whole text; null counts as empty."""
+    """doc_id, text_hash, node (hash of the set), fp, size, bands and signature of every row and whole text; null counts as empty."""
 
     def one(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t, words) for t in byte_text(batch.column("text"))]
@@ -82,6 +94,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             "doc_id": batch.column("doc_id"),
             "text_hash": batch.column("text_hash"),
             "node": nodes.view(np.int64),
+            "fp": [set_fingerprint(s) for s in sets],
             "size": [len(s) for s in sets],
             "bands": [b for b, _ in keys],
             "signature": [g for _, g in keys],
@@ -92,7 +105,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for a in range(0, batch.num_rows, TEXTS):
                 yield pa.RecordBatch.from_pydict(one(batch.slice(a, TEXTS)), schema=SKETCHES)
 
-    return texts(docs, hash_of(F.col("text")).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, node long, size int, bands array<long>, signature array<long>")
+    return texts(docs, hash_of(F.col("text")).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, node long, fp long, size int, bands array<long>, signature array<long>")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -106,7 +119,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) ->
                 part = batch.slice(a, TEXTS)
                 yield pa.RecordBatch.from_pydict({"node": part.column("node"), "shingles": [shingle_set(t, words).view(np.int64) for t in byte_text(part.column("text"))]}, schema=schema)
 
-    own = texts(docs, hash_of(F.col("text")).alias("text_hash")).select("text", "text_hash").join(named, "text_hash").dropDuplicates(["text_hash"])
+    own = texts(docs, hash_of(F.col("text")).alias("text_hash")).select("text", "text_hash").join(named.hint("merge"), "text_hash").dropDuplicates(["text_hash"])
     return own.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
@@ -159,6 +172,16 @@ def open_members(inside: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
     return found, found.select("band", "members").distinct()
 
 
+def fingerprint_buckets(distinct: DataFrame) -> DataFrame:
+    """(node, size, band) of nodes (node, size, fp) whose fingerprints are linked with others, or the same as others': a bucket
+    for each component."""
+    points = materialize(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "near-fingerprints")
+    labels = components(fingerprint_links(points, points.count()))
+    placed = points.join(labels.withColumnRenamed("node", "fp"), "fp", "left").filter("label is not null or n > 1")
+    table = materialize(placed.select("fp", "n", F.xxhash64(F.lit("fingerprints"), F.coalesce("label", "fp")).alias("band")), "near-trees")
+    return lookup_join(distinct.select("node", "size", "fp"), table, ["fp"], "n", distinct.count()).filter("band is not null").select("node", "size", "band")
+
+
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, component_id, text_hash and component for every row of docs.
 
@@ -167,12 +190,12 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     alike. An empty table gives an empty result.
     """
     rows = materialize(sketches(docs, words), "near-sketches")
-    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-distinct")
+    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-distinct")
     total = distinct.count()
-    members = distinct.select("node", "size", F.explode("bands").alias("band"))
+    members = distinct.select("node", "size", F.explode("bands").alias("band")).unionByName(fingerprint_buckets(distinct))
     chosen = members.groupBy("band").agg(F.min(F.struct("node", "size")).alias("one"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     bands = materialize(chosen.select("band", F.col("one.node").alias("b"), F.col("one.size").alias("size_b"), "n"), "near-bands")
-    inside = lookup_join(members, bands, ["band"], "n", total * BANDS).filter("b is not null")
+    inside = lookup_join(members, bands, ["band"], "n", total * (BANDS + 1)).filter("b is not null")
     inside = materialize(inside.select("band", F.col("node").alias("a"), "size", "b", "size_b"), "near-buckets")
     wanted = inside.filter("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(sets_of(docs, rows, wanted, words), "near-sets")  # of all that share a bucket: texts are moved once
@@ -206,4 +229,4 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     sized = lookup_join(found, best, ["component"], "size", found.count()).filter("best is not null")
     dropped = sized.filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (hash_of(docs["text"]) == F.col("_hash")), "left_anti")
+    return docs.join(dropped.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (hash_of(docs["text"]) == F.col("_hash")), "left_anti")

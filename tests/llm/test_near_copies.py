@@ -85,3 +85,16 @@ def test_signatures_count_equal_minhashes(spark):
         rows.append((*(N.np.array(v, N.np.uint8).view(N.np.int64).tolist() for v in (a, b)), sum(x == y for x, y in zip(a, b, strict=True))))
     df = spark.createDataFrame(rows, "x array<long>, y array<long>, n int")
     assert df.filter(N.equal_minhashes("x", "y") != N.F.col("n")).count() == 0
+
+
+def test_fingerprints_by_trees_find_candidates(spark):
+    """Texts whose fingerprints trees link share a bucket, without any band of minhashes."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "one", "more"])), (3, " ".join(other)), (4, " ".join(["first", *other]))]
+    fps = [N.set_fingerprint(N.shingle_set(t.encode(), 5)) & (2**64 - 1) for _, t in rows]
+    assert (fps[0] ^ fps[1]).bit_count() <= S.RADIUS and (fps[0] ^ fps[2]).bit_count() > S.RADIUS
+    distinct = spark.createDataFrame([(i, 9, f - 2**64 if f >= 2**63 else f) for (i, _), f in zip(rows, fps)], "node long, size int, fp long")
+    bands = {r.node: r.band for r in N.fingerprint_buckets(distinct).collect()}
+    assert bands[1] == bands[2] and bands[1] != bands.get(3)
