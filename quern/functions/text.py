@@ -102,10 +102,17 @@ def bm25_tokens(c: Column | str) -> Column:
 
 def search_tokens(c: Column | str) -> Column:
     """Distinct tokens of letters, digits and _-/ with their folded form, their parts of four letters or more and the form without separators."""
-    words = F.filter(F.split(F.lower(_text(c)), "[^a-z0-9äöüßàáâãåçèéêëìíîïñòóôõùúûýÿ_/-]+"), lambda t: F.length(t) >= 2)
-    parts = F.filter(F.flatten(F.transform(words, lambda t: F.split(t, "[_/-]+"))), lambda t: F.length(t) >= 4)
-    glued = F.transform(F.filter(words, lambda t: t.rlike("[_/-]")), lambda t: F.regexp_replace(t, "[_/-]+", ""))
-    return F.array_distinct(F.concat(words, F.transform(words, fold_search), parts, glued))
+    words = F.array_distinct(F.filter(F.split(F.lower(_text(c)), "[^a-z0-9äöüßàáâãåçèéêëìíîïñòóôõùúûýÿ_/-]+"), lambda t: F.length(t) >= 2))
+
+    def all_forms(own: Column) -> Column:
+        # a word of plain letters is its own folded form, one without separators its own part
+        parted = F.filter(own, lambda t: t.rlike("[_/-]"))
+        parts = F.filter(F.flatten(F.transform(parted, lambda t: F.split(t, "[_/-]+"))), lambda t: F.length(t) >= 4)
+        glued = F.transform(parted, lambda t: F.regexp_replace(t, "[_/-]+", ""))
+        folded = F.transform(F.filter(own, lambda t: t.rlike("[^a-z0-9_/-]")), fold_search)
+        return F.array_distinct(F.concat(own, folded, parts, glued))
+
+    return once(words, all_forms)
 
 
 def content_terms(c: Column | str) -> Column:

@@ -44,3 +44,9 @@ def test_small_results(spark):
     assert one(X.drop_prefixes(F.split(v, " ")), "kundennummer kunde kun kunde art kundennummern") == ["kun", "art", "kundennummern"]
     found = one(X.symbol_matches(v), "zmat1 ZMAT1 CL_A=>RUN VBAK-VKORG")
     assert [(m.norm, m.kind, m.raw) for m in found] == [("CL_A=>RUN", "method_path", "CL_A=>RUN"), ("CL_A", "uppercase_token", "CL_A"), ("RUN", "uppercase_token", "RUN"), ("VBAK-VKORG", "compound_field", "VBAK-VKORG"), ("VBAK", "uppercase_token", "VBAK"), ("VKORG", "uppercase_token", "VKORG"), ("ZMAT1", "zy_name", "zmat1")]
+
+
+def test_search_tokens_cut_a_text_once(spark):
+    df = spark.createDataFrame([("Größe aa_bbbb/größe x aa_bbbb a- -/ ÄB aa_bbbb",), (None,)], "t string").select(X.search_tokens("t").alias("t"))
+    assert [r.t for r in df.collect()] == [["größe", "aa_bbbb/größe", "aa_bbbb", "a-", "-/", "äb", "groesse", "aa_bbbb/groesse", "aeb", "bbbb", "aabbbbgröße", "aabbbb", "a", ""], []]
+    assert df._jdf.queryExecution().analyzed().toString().count("split(lower(") == 1
