@@ -7,11 +7,13 @@ candidates beside them: with BANDS bands of ROWS hashes a pair of similarity s i
 (1 - s ** ROWS) ** BANDS, 1.3e-7 at 0.8. Each candidate pair is confirmed by the exact similarity of its sets before it
 counts as a link:
 
-* Each member of a band's bucket is compared with the least member of it, which buckets of one group mostly share; what
-  that links is contracted.
-* Then members of a bucket whose components still differ are compared, so no link in a bucket is lost. Of those pairs,
-  ones that agree in fewer than LEAST_EQUAL of all minhashes (by a byte of each) go no further: a pair at 0.8 has as few
-  with probability 4e-8. Texts of one group that aren't linked to what links the others still meet many of them.
+* Each member of a bucket is compared with the one that has most company over all its buckets: of edited copies that is
+  the original or what is nearest to it, which buckets of one group share. What that links is contracted.
+* Then members of a bucket whose components still differ are compared, so no link in a bucket is lost. A bit for each
+  residue of shingles, set if a text has an odd number of them, differs between two texts for no more residues than they
+  have different shingles, so pairs with too many different bits are no links and no row is made of them. Nor of those
+  that agree in fewer than LEAST_EQUAL of all minhashes (by a byte of each), which tells where sets are far larger than
+  PARITIES: a pair at 0.8 has as few with probability 4e-8.
 """
 
 from __future__ import annotations
@@ -39,10 +41,12 @@ SLICE = 1 << 11
 TEXTS = 256
 #: Of BANDS * ROWS minhashes, those that a pair must share.
 LEAST_EQUAL = 124
+#: Residues of shingles whose parities are kept, a bit each.
+PARITIES = 1024
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 TERMS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 #: Members of a bucket that meet in one cell.
 BLOCK = 256
 
@@ -78,13 +82,19 @@ def band_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.ascontiguousarray(least.view(np.uint8).reshape(-1, 8)[:, 0]).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each residue has an odd number of the shingles, 64 to a long."""
+    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def hash_of(text: Column) -> Column:
     """Tells texts of rows with one doc_id apart."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, node (hash of the set), fp, size, bands and signature of every row and whole text; null counts as empty."""
+    """doc_id, text_hash, node (hash of the set), fp, size, bands, signature and parity of every row and whole text; null counts as empty."""
 
     def one(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(t, words) for t in byte_text(batch.column("text"))]
@@ -98,6 +108,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             "size": [len(s) for s in sets],
             "bands": [b for b, _ in keys],
             "signature": [g for _, g in keys],
+            "parity": [parities(s) for s in sets],
         }
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +116,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for a in range(0, batch.num_rows, TEXTS):
                 yield pa.RecordBatch.from_pydict(one(batch.slice(a, TEXTS)), schema=SKETCHES)
 
-    return texts(docs, hash_of(F.col("text")).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, node long, fp long, size int, bands array<long>, signature array<long>")
+    return texts(docs, hash_of(F.col("text")).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, node long, fp long, size int, bands array<long>, signature array<long>, parity array<long>")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -129,6 +140,16 @@ def can_be_similar(x: str, y: str) -> Column:
     return F.least(x, y) * whole >= F.greatest(x, y) * part
 
 
+def can_be_linked(size_x: str, x: str, size_y: str, y: str) -> Column:
+    """Of two sets' sizes and parities: whether they may be SIMILAR. Sets have at least as many different shingles as
+    parities; with d of those and s in both sizes together their similarity is (s - d) / (s + d)."""
+    part, whole = SIMILAR
+    different = F.lit(0)
+    for k in range(PARITIES // 64):
+        different = different + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
+    return different * (whole + part) <= (F.col(size_x) + F.col(size_y)) * (whole - part)
+
+
 def equal_minhashes(x: str, y: str) -> Column:
     """Bytes that two signatures share: all less those that differ, of which one bit is left in each byte."""
 
@@ -182,6 +203,20 @@ def fingerprint_buckets(distinct: DataFrame) -> DataFrame:
     return lookup_join(distinct.select("node", "size", "fp"), table, ["fp"], "n", distinct.count()).filter("band is not null").select("node", "size", "band")
 
 
+def company(members: DataFrame, total: int) -> DataFrame:
+    """(band, a, size, b, size_b) of members (node, size, band) of buckets of two or more. b is the member whose buckets
+    have most members in all, itself included."""
+    counts = materialize(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-bands")
+    shared = materialize(lookup_join(members, counts, ["band"], "n", total).filter("n is not null"), "near-shared")
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    most = shared.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node", "size")).alias("one"), F.first("n").alias("n"))
+    chosen = materialize(most.select("band", F.col("one.node").alias("b"), F.col("one.size").alias("size_b"), "n"), "near-chosen")
+    inside = lookup_join(shared.drop("n"), chosen, ["band"], "n", total)
+    inside = materialize(inside.select("band", F.col("node").alias("a"), "size", "b", "size_b"), "near-buckets")
+    discard(counts, shared, chosen)
+    return inside
+
+
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, component_id, text_hash and component for every row of docs.
 
@@ -190,13 +225,10 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     alike. An empty table gives an empty result.
     """
     rows = materialize(sketches(docs, words), "near-sketches")
-    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-distinct")
+    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.first("parity").alias("parity")), "near-distinct")
     total = distinct.count()
     members = distinct.select("node", "size", F.explode("bands").alias("band")).unionByName(fingerprint_buckets(distinct))
-    chosen = members.groupBy("band").agg(F.min(F.struct("node", "size")).alias("one"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bands = materialize(chosen.select("band", F.col("one.node").alias("b"), F.col("one.size").alias("size_b"), "n"), "near-bands")
-    inside = lookup_join(members, bands, ["band"], "n", total * (BANDS + 1)).filter("b is not null")
-    inside = materialize(inside.select("band", F.col("node").alias("a"), "size", "b", "size_b"), "near-buckets")
+    inside = company(members, total * (BANDS + 1))
     wanted = inside.filter("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(sets_of(docs, rows, wanted, words), "near-sets")  # of all that share a bucket: texts are moved once
     links = confirmed(inside.filter(can_be_similar("size", "size_b") & (F.col("a") != F.col("b"))), sets)
@@ -204,12 +236,13 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     # what is left: members of a bucket in different components
     open_, sizes = open_members(inside, labels)
-    signed = materialize(open_.drop("members").join(distinct.select("node", "signature"), "node"), "near-signed")
+    signed = materialize(open_.drop("members").join(distinct.select("node", "signature", "parity"), "node"), "near-signed")
     x = in_cells(signed, sizes, "x", "y").withColumnRenamed("node", "a")
-    y = in_cells(signed, sizes, "y", "x").select("band", "x", "y", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"), F.col("signature").alias("signature_b"))
-    crossing = x.join(y, ["band", "x", "y"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & can_be_similar("size", "size_b") & (equal_minhashes("signature", "signature_b") >= LEAST_EQUAL))
+    y = in_cells(signed, sizes, "y", "x").select("band", "x", "y", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"), F.col("signature").alias("signature_b"), F.col("parity").alias("parity_b"))
+    similar = can_be_similar("size", "size_b") & can_be_linked("size", "parity", "size_b", "parity_b") & (equal_minhashes("signature", "signature_b") >= LEAST_EQUAL)
+    crossing = x.join(y, ["band", "x", "y"]).filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")) & similar)
     labels = components(links.unionByName(confirmed(crossing, sets)))
-    discard(inside, bands, open_, signed, sets)
+    discard(inside, open_, signed, sets)
 
     named = labels.join(distinct.select("node", "least"), "node")
     sizes = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))

@@ -98,3 +98,36 @@ def test_fingerprints_by_trees_find_candidates(spark):
     distinct = spark.createDataFrame([(i, 9, f - 2**64 if f >= 2**63 else f) for (i, _), f in zip(rows, fps)], "node long, size int, fp long")
     bands = {r.node: r.band for r in N.fingerprint_buckets(distinct).collect()}
     assert bands[1] == bands[2] and bands[1] != bands.get(3)
+
+
+def test_pairs_of_one_group_that_fall_short_make_no_rows(spark, monkeypatch):
+    """Copies of one text with many edits share bands and aren't linked: few of their pairs reach the exact comparison."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(words, rng.choice((0, 1, 2, 3, 4, 4, 5, 5, 6, 6, 7, 8)), rng)) for i in range(240)]
+    compared, confirm = [], N.confirmed
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return confirm(pairs, sets)
+
+    monkeypatch.setattr(N, "confirmed", counted)
+    got = sorted((r.doc_id, r.component_id) for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == sorted((d, c) for (d, _), c in zip(rows, plain_components(rows), strict=True))
+    assert len({c for _, c in got}) > 60 and compared[1] <= 2 * len(rows), compared
+
+
+def test_parities_lose_no_link(spark):
+    rng = random.Random(12)
+    made = []
+    for size in (1, 9, 40, 150, 3000):
+        for _ in range(12):
+            base = [rng.randrange(2**63) for _ in range(size)]
+            other = base[: size - rng.randrange(size // 6 + 1)] + [rng.randrange(2**63) for _ in range(rng.randrange(size // 6 + 1))]
+            a, b = set(base), set(other)
+            of = lambda s: N.parities(N.np.array(sorted(s), N.np.uint64)).tolist()
+            made.append((len(a), of(a), len(b), of(b), 5 * len(a & b) >= 4 * len(a | b)))
+    df = spark.createDataFrame(made, "size int, p array<long>, size_b int, q array<long>, linked boolean")
+    can = N.can_be_linked("size", "p", "size_b", "q")
+    assert df.filter("linked").count() > 10 and df.filter(N.F.col("linked") & ~can).count() == 0
+    assert df.filter(~N.F.col("linked") & ~can).count() > 5
