@@ -86,3 +86,14 @@ def test_all_matches_and_exceptions(spark):
     columns = {"text": F.col("text"), "name": F.col("name")}
     got = [(r.k.kind, r.a) for r in df.select(rules.first_match(table, columns, ("d", "none")).alias("k"), rules.all_matches(table, columns).alias("a")).collect()]
     assert got == [("a", ["has_x", "has_x_too"]), ("c", ["has_x_too"]), ("d", []), ("a", ["has_x", "has_z_named", "has_x_too"]), ("d", [])]
+
+
+def test_rounds_read_neither_orders_nor_lines_again(spark, monkeypatch):
+    """Pairs of customer and part are written once, however many rounds follow."""
+    from quern import catalog_text
+
+    taken = []
+    monkeypatch.setattr(catalog_text.graph, "until_nothing_new", lambda seeds, step, key: taken.append(step(seeds)) or seeds)
+    catalog_text.rounds_of_shared_parts(spark, "/root/testdata/sf0.001")
+    read = taken[0].inputFiles()
+    assert read and not [f for f in read if "lineitem" in f or "orders" in f]
