@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import bm25_tokens
 from quern.operators.search import K1, B
+from quern.session import discard, materialize
 from quern.sources.jsonl import point_to, published
 
 #: Buckets of terms; a term's postings lie in SPREAD files of its bucket, as one term may be in a third of all rows.
@@ -59,19 +60,23 @@ def _write(folder: str, version: int, versions: list[int], gone: DataFrame, stat
     return place
 
 
-def _cut(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of documents. Ids are those of one row each; what repeats one is indexed beside it, a null id isn't."""
+def _cut(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings and lengths of documents, and the tokens that both are made from, written once. Rows are dealt before they
+    are cut, as few row groups hold many texts. Ids are those of one row each; what repeats one is indexed beside it, a null id isn't."""
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
-    tokens = one.select("doc_id", bm25_tokens("text").alias("tokens"))
+    dealt = one.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text")
+    tokens = materialize(dealt.select("doc_id", bm25_tokens("text").alias("tokens")), "index-tokens")
     counted = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.withColumn("bucket", bucket_of(F.col("term"), buckets)), tokens.select("doc_id", F.size("tokens").alias("len"))
+    return counted.withColumn("bucket", bucket_of(F.col("term"), buckets)), tokens.select("doc_id", F.size("tokens").alias("len")), tokens
 
 
 def build(docs: DataFrame, folder: str, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write an index of docs as version 1 of a folder that has none."""
-    postings, lengths = _cut(docs, buckets, id_col, text_col)
+    postings, lengths, tokens = _cut(docs, buckets, id_col, text_col)
     total = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
-    return _write(folder, 1, [1], docs.sparkSession.createDataFrame([], "doc_id long"), tuple(total), buckets, lengths, postings)
+    place = _write(folder, 1, [1], docs.sparkSession.createDataFrame([], "doc_id long"), tuple(total), buckets, lengths, postings)
+    discard(tokens)
+    return place
 
 
 def update(changed: DataFrame, deleted: DataFrame | None, folder: str, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -80,7 +85,7 @@ def update(changed: DataFrame, deleted: DataFrame | None, folder: str, id_col: s
     _, stats = _live(spark, folder)
     versions = list(stats["versions"])
     version = max(versions) + 1
-    postings, lengths = _cut(changed, stats["buckets"], id_col, text_col)
+    postings, lengths, tokens = _cut(changed, stats["buckets"], id_col, text_col)
     ids = changed.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null")
     if deleted is not None:
         ids = ids.unionByName(deleted.select(F.col("doc_id").cast("long").alias("doc_id")))
@@ -88,7 +93,9 @@ def update(changed: DataFrame, deleted: DataFrame | None, folder: str, id_col: s
     less = old.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
     more = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
     now = (stats["n_docs"] - less[0] + more[0], stats["total"] - less[1] + more[1])
-    return _write(folder, version, [*versions, version], old, now, stats["buckets"], lengths, postings)
+    place = _write(folder, version, [*versions, version], old, now, stats["buckets"], lengths, postings)
+    discard(tokens)
+    return place
 
 
 def term_postings(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:

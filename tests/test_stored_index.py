@@ -72,3 +72,18 @@ def test_odd_rows(spark, tmp_path):
     assert stored_index.bm25(spark, empty, ["alpha"]).count() == 0
     stored_index.update(rows.filter("doc_id = 3"), None, empty)
     assert stored_index.bm25(spark, empty, ["alpha"]).count() == 1
+
+
+def test_a_text_is_cut_once(spark, tmp_path):
+    """However many tables of a version are made of it, and in as many tasks as there are partitions of a shuffle."""
+    folder, seen = f"file://{tmp_path}/index", spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = frame(spark, corpus(random.Random(5), range(50))).withColumn("text", F.udf(read, "string")("text"))
+    stored_index.build(docs, folder, buckets=4)
+    assert seen.value == 50
+    stored_index.update(docs.filter("doc_id < 20"), None, folder)
+    assert seen.value == 70
