@@ -10,6 +10,9 @@ Random texts have thousands of words under one key, of which few are near. So th
 meet: beside the key, words hand in a hash of what stays without the letter and the letter's place, and equal keys are
 joined with these. At most 90 words, the size of the alphabet, share all three, and they all are near each other, so a
 group's pairs are its result. Pairs count once the words themselves are compared.
+
+All joins are merges: Spark takes a table for as small as its compressed files, and rows exploded from it for no more than
+these, so that it would send ten letters a word to the driver as one table.
 """
 
 from __future__ import annotations
@@ -104,7 +107,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = (F.col("before") == 0) | (F.substring("word", F.col("before"), F.lit(1)) != F.col("letter"))
     less = each.select((F.col("key") - value_of(F.col("letter"))).alias("key"), F.xxhash64(rest).alias("rest"), "id", F.col("before").alias("at"), first.alias("first")).repartition("key", "rest")
     # of a run of equal letters, one is enough to be removed
-    removed = less.filter("first").join(own.select("key", F.xxhash64("word").alias("rest"), F.col("id").alias("y")), ["key", "rest"]).select(F.col("id").alias("x"), "y")
+    removed = less.filter("first").join(own.select("key", F.xxhash64("word").alias("rest"), F.col("id").alias("y")).hint("merge"), ["key", "rest"]).select(F.col("id").alias("x"), "y")
     alike = less.groupBy("key", "rest", "at").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
     pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: a < b), lambda b: F.struct(a.alias("x"), b.alias("y")))))
     return removed.unionByName(alike.select(F.inline(pairs)))
@@ -116,7 +119,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
     links = materialize(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = links.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        stepped = links.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         links = materialize(stepped, "spelling-roots")
         if links.filter("moved").isEmpty():
             return links.drop("moved")
@@ -134,10 +137,10 @@ def variants(docs: DataFrame, least: int = LEAST, twice: int = TWICE, every: int
     words = word_counts(docs, least, twice, every)
     pairs = materialize(near_pairs(words), "spelling-pairs")
     both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    near = both.join(words.select(F.col("id").alias("y"), F.col("word").alias("other"), F.col("n").alias("other_n")), "y").select(F.col("x").alias("id"), "other", "other_n")
-    near = near.join(words.select("id", "word"), "id").filter(one_apart(F.col("word"), F.col("other")))
+    near = both.join(words.select(F.col("id").alias("y"), F.col("word").alias("other"), F.col("n").alias("other_n")).hint("merge"), "y").select(F.col("x").alias("id"), "other", "other_n")
+    near = near.join(words.select("id", "word").hint("merge"), "id").filter(one_apart(F.col("word"), F.col("other")))
     best = near.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("y"))).alias("best"))
     chosen = F.coalesce(-F.col("best.n") >= F.col("n") * times, F.lit(False))
-    formed = materialize(words.join(best, "id", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("best.y")).alias("form"), F.when(chosen, -F.col("best.n")).alias("form_n")), "spelling-forms")
+    formed = materialize(words.join(best.hint("merge"), "id", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("best.y")).alias("form"), F.when(chosen, -F.col("best.n")).alias("form_n")), "spelling-forms")
     roots = last_forms(formed.filter("form is not null"))
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -104,3 +104,19 @@ def test_anagrams_under_one_key_make_no_pairs(spark):
     rows = [(31, text)]
     found = S.word_counts(spark.createDataFrame(rows, "doc_id long, text string"))
     assert S.near_pairs(found).count() < 200 and found.count() > 2500
+
+
+def test_no_table_goes_to_the_driver(spark, monkeypatch):
+    """Joins of small tables are merges too: estimates don't count letters that a word is exploded into."""
+    plans, keep = [], S.materialize
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, name):
+        plans.append(shown(df))
+        return keep(df, name)
+
+    monkeypatch.setattr(S, "materialize", seen)
+    found = S.variants(spark.createDataFrame([(i, t) for i, t in ROWS], "doc_id long, text string"))
+    assert rows_of(found) == plain_variants(ROWS)
+    plans.append(shown(found))
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p] and sum(p.count("SortMergeJoin") for p in plans) >= 6
