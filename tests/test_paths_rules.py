@@ -59,6 +59,23 @@ def test_contains_join_multiplies_classes_last(spark):
     assert not re.search(r"keys=\[needle_id#\d+L?, name_id#\d+", found._jdf.queryExecution().executedPlan().toString())
 
 
+def test_contains_join_holds_few_pairs_at_a_time(spark, monkeypatch):
+    """Parts of a class are of bounded size however large it is, and a task's generated code is given a piece of them at a time."""
+    monkeypatch.setattr(link, "PART", 50, raising=False)
+    needles = [(i, "x", "ab" if i % 2 else "b") for i in range(900)] + [(None, "x", "ab")]
+    names = [(f"n{j}", "x", "xabx") for j in range(2000)] + [("n1", "x", "c"), (None, "x", "b")]
+    left, right = spark.createDataFrame(needles, "needle_id int, scope string, needle string"), spark.createDataFrame(names, "name_id string, scope string, name string")
+    found = link.contains_join(left, right)
+    got = [tuple(r) for r in found.collect()]
+    want = {(i, j) for i, s, a in needles for j, t, b in names if a in b}
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = re.findall(r"(\*\(\d+\) )?Generate (\w+\(\w+)", plan)
+    assert [bool(code) for code, _ in made[:3]] == [True, True, False] and made[2][1] == "inline(flatten", made[:3]
+    parts = link._alike(right, "name_id", "name", 7)[1].select("class", F.size(F.flatten("pieces")).alias("n"), F.array_max(F.transform("pieces", F.size)).alias("most")).collect()
+    assert sum(r.n for r in parts) == 2001 and max(r.n for r in parts) < 100 and max(r.most for r in parts) == 7
+
+
 def test_hits_meet_documents_without_a_nested_loop(spark):
     hits = spark.createDataFrame([(f"h{i}", "method", f"M{i}", None, None) for i in range(3000)], "hit_id string, kind string, technical_name string, table_name string, field_name string")
     docs = spark.createDataFrame([(1, "class", "calls m17x", "k|M2999", None, "M5", None, None), (2, None, None, None, None, None, None, None)], "doc_id int, unit_type string, title string, source_key string, object_name string, subobject_name string, table_name string, field_name string")
